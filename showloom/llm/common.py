@@ -74,3 +74,9 @@ def only(df: DataFrame, *names: str) -> DataFrame:
 def spark_words(text: Column) -> Column:
     """array<string>: words ``[^\x20\x09-\x0D]+`` of a text, by SQL functions; null has none."""
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), SPACES[1:], " " * 5), " "), "")
+
+
+def held(value: Column) -> Column:
+    """value, in a column through which no filter is pushed: pushed down, a filter would have the expressions below
+    written out for each of their uses, and evaluated as often."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)

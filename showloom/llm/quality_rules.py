@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from showloom.llm.common import SPACES, spark_words
+from showloom.llm.common import SPACES, held, spark_words
 
 MIN_WORDS, MAX_REPEATED, WINDOW = 20, 30, 8
 LEAST_WORDS = 20
@@ -143,7 +143,7 @@ def judged(docs: DataFrame, refs: dict[str, tuple[list[float], list[float]]], *k
         F.char_length(F.translate("_t", SPACES, "")).cast("long").alias("_words"),
         (F.char_length("_t") - F.char_length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("_dup"),
-        span(F.col("_starts")).cast("long").alias("_rep"),
+        held(span(F.col("_starts")).cast("long")).alias("_rep"),
         total(F.col("_c")).alias("_nc"),
     )
     both = [(distance(F.col("_c"), F.col("_nc"), c), distance(F.col("_k"), F.col("_n"), k)) for c, k in refs.values()]
@@ -152,7 +152,7 @@ def judged(docs: DataFrame, refs: dict[str, tuple[list[float], list[float]]], *k
     bound = MAX_SUM + EASE / F.sqrt(F.greatest("_n", F.lit(1).cast("long")).cast("double"))
     fits = F.exists("_js", lambda x: F.coalesce((x["c"] <= MAX_CHARS) & (x["c"] + x["k"] <= bound), F.lit(True)))
     failed = (F.col("_n") < MIN_WORDS) | (100 * F.col("_rep") > MAX_REPEATED * F.col("_n"))
-    return df.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(fits, F.lit(True)))
+    return df.withColumn("base_failed", failed).withColumn("kept", held(~failed & F.coalesce(fits, F.lit(True))))
 
 
 def judge(docs: DataFrame, refs: dict | None = None) -> DataFrame:

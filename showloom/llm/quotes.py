@@ -1,7 +1,8 @@
 """Quotation linking: messages without quotes, linked to what they quote, in reply order; SQL functions alone.
 
 A line's quote level is the number of ">" that it starts with, blanks between them allowed. Runs of lines of one level
-are passages; level 0 is the author's own text, less attribution lines ("... wrote:") before a quote. A quoted passage
+are passages; level 0 is the author's own text, less attribution lines ("... wrote:") before a quote;
+what surrounds quotes is trimmed and joined by newlines, a text without quotes stays as it is. A quoted passage
 is normalised (A-Z and all letters in lower case, white space runs to one blank, trimmed) and hashed. Originals are
 the author's own text as a whole, each of its passages and each of their lines, normalised and hashed alike; for each
 hash the earliest original is kept, within each conversation and over all, so a text that a third of all messages share
@@ -59,7 +60,7 @@ def parsed(messages: DataFrame) -> DataFrame:
     plain = F.array(F.struct(F.lit(0).alias("level"), F.translate(text, "\u0001\u0002\r", "").alias("text")))
     rows = messages.select("conv_id", "turn", "role", F.when(quotes_nothing(text), plain).otherwise(passages(text)).alias("passages"))
     quoted_next = lambda i: F.coalesce(F.get("passages", i + 1)["level"] > 0, F.lit(False))
-    own = F.transform("passages", lambda p, i: F.when(p["level"] == 0, F.trim(F.when(quoted_next(i), F.regexp_replace(p["text"], ATTRIBUTION, "")).otherwise(p["text"]))))
+    own = F.transform("passages", lambda p, i: F.when(p["level"] == 0, F.btrim(F.when(quoted_next(i), F.regexp_replace(p["text"], ATTRIBUTION, "")).otherwise(p["text"]), F.lit(" \t\n"))))
     return rows.withColumn("own", F.filter(own, lambda x: x.isNotNull() & (x != "")))
 
 
@@ -93,7 +94,7 @@ def link(messages: DataFrame) -> DataFrame:
     links = found.groupBy("conv_id", "turn").agg(F.count("*").alias("_all"), F.sum(linked.cast("long")).alias("n_linked"), F.min(F.when(linked, F.struct("level", "at", "target"))).alias("best"))
     links = cut(links.select("conv_id", "turn", "n_linked", F.col("best.target.conv_id").alias("parent_conv_id"), F.col("best.target.first").alias("parent_turn")))
     level_of = F.transform("passages", lambda p: p["level"])
-    out = rows.select("conv_id", "turn", "role", F.array_join("own", "\n").alias("text"), F.size(F.filter(level_of, lambda x: x > 0)).alias("n_quotes"), F.array_max(level_of).alias("max_level"))
+    out = rows.select("conv_id", "turn", "role", F.when(F.array_max(level_of) == 0, F.col("passages")[0]["text"]).otherwise(F.array_join("own", "\n")).alias("text"), F.size(F.filter(level_of, lambda x: x > 0)).alias("n_quotes"), F.array_max(level_of).alias("max_level"))
     out = out.join(links, ["conv_id", "turn"], "left").join(places(messages), ["conv_id", "turn"], "left")
     return out.select("conv_id", "turn", "role", "text", "n_quotes", F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"), "max_level", "parent_conv_id", "parent_turn", "place")
 

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from showloom.llm.boosting import Trees, train
+from showloom.llm.common import held
 
 SAMPLE, SUFFIXES, SMOOTH = 20_000, 200, 10.0
 TREES, DEPTH = 20, 3
@@ -142,12 +143,12 @@ def judge(pages: DataFrame, model: tuple[Trees, dict[str, float], float], rules:
     trees, suffixes, prior = model
     rows = pages.select("page_id", F.col("url").alias("_url")).withColumn("host", host(F.col("_url"))).withColumn("path", path(F.col("_url")))
     named = features(F.col("_url"), F.col("host"), F.col("path"), suffixes, prior)
-    rows = rows.select("page_id", "host", "path", F.array(*named.values()).alias("_x"))
+    rows = rows.select("page_id", "host", "path", held(F.array(*named.values())).alias("_x"))
     margin = F.lit(trees.base)
     for k in range(len(trees.leaf)):
         margin = margin + tree_column(trees, k, [F.col("_x")[i] for i in range(len(named))])
     name, verdict = rule(F.col("host"), F.col("path"), rules)
-    score = 1 / (1 + F.exp(-margin))
+    score = held(1 / (1 + F.exp(-margin)))
     rows = rows.select("page_id", "host", "path", name.alias("rule"), verdict.alias("_ruled"), score.alias("block_score"))
     return rows.select("page_id", "host", "path", "rule", F.coalesce("_ruled", F.when(F.col("block_score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "block_score")
 
