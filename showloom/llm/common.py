@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +16,10 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 #: For bytes.translate: each of SPACES to a blank.
 TO_BLANK = bytes.maketrans(SPACES.encode(), b" " * len(SPACES))
-#: Rows of an Arrow batch that are turned into Python objects at once.
-SLICE = 512
+#: Rows of an Arrow batch that are turned into Python objects at once; bytes of text that are worked on at once.
+SLICE, SLICE_BYTES = 256, 4 << 20
+#: Most rows of an Arrow batch where texts are sent to Python.
+BATCH = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,6 +70,28 @@ def python_rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tupl
             yield part, [part.column(i).to_pylist() for i in at]
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[pa.RecordBatch, pa.StringArray]]:
+    """Slices of the batches whose texts have about SLICE_BYTES (a longer text is alone), with the texts, null as empty."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        texts = batch.column(batch.schema.get_field_index(name))
+        texts = pc.fill_null(texts, "") if texts.null_count else texts
+        ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        start = 0
+        while start < len(texts):
+            end = max(start + 1, int(np.searchsorted(ends, ends[start] + SLICE_BYTES)))
+            yield batch.slice(start, end - start), texts.slice(start, end - start)
+            start = end
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows of this session's Arrow batches to BATCH, as rows are whole texts here."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns of df, found by exact name."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -22,6 +22,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,54 +34,108 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from showloom.llm.common import TO_BLANK, file_system, put_file, python_rows
+from showloom.llm.common import SPACES, TO_BLANK, file_system, put_file, small_batches, text_slices
 
 MAGIC = b"SLSST01\n"
 #: Bytes of values in a block before it is packed; bits of the filter for a document; entries of a task's word table.
-BLOCK, BITS, TABLE = 256 << 10, 10, 250_000
+BLOCK, BITS, TABLE = 256 << 10, 10, 150_000
 HASHES = 7
 FOOTER = struct.Struct("<QQQQI8s")
 SUMMARY = "shard string, n_docs long, n_tokens long"
 
 
+#: bytes.translate: A-Z to lower case and white space to blanks, or white space alone.
+LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if b in SPACES.encode() else b for b in range(256))
+#: Which bytes are stops, letters or digits, for the splitting of words.
+STOP, ALNUM = np.isin(np.arange(256), [ord("."), ord(",")]), np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz0123456789"))
+LATIN = re.compile("[a-zß-öø-ÿ]+")
+
+
+def byte_alphabet() -> dict[int, int]:
+    """Byte -> character of the byte-level alphabet: printable bytes stand for themselves, the rest follow at 256."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: b if b in plain else 256 + rest.index(b) for b in range(256)}
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizers file that drops white space and never looks across it: words are encoded apart."""
+    """Ids of texts by a tokenizers file that drops white space and never looks across it, word by distinct word.
 
-    #: A stop after a letter or digit is a token of its own, so it is a word of its own here and words repeat more.
-    STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[\x20\x09-\x0D]|\Z)")
+    A stop after a letter or digit and before white space is a token of its own, so it is a word of its own here, and
+    A-Z go to lower case first as the tokenizer would have them: words repeat more. A slice of texts becomes distinct
+    words and their places; a word is encoded once while one of two tables of TABLE entries holds it.
+    """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.table = Tokenizer.from_file(path), {}
-        self.end = struct.pack("<I", end_id)
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.alphabet = byte_alphabet()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Per text its ids and the end id, each as 4 bytes."""
-        words = [self.words((t or "").encode()) for t in texts]
-        if len(self.table) > TABLE:
-            self.table = {}
-        table = self.table
-        new = {w for ws in words for w in ws if w not in table}
-        model = self.tokenizer.model
-        plain = [w for w in new if w.isalpha() and w.islower()]  # ASCII letters: one pre-token, equal in the byte alphabet
-        for w in plain:
-            ids = [t.id for t in model.tokenize(w.decode())]
-            table[w] = struct.pack(f"<{len(ids)}I", *ids)
-        rest = list(new.difference(plain))
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, 4 bytes each."""
+        if len(self.young) > TABLE:
+            self.young, self.old = {}, self.young
+        young, old, rest, model = self.young, self.old, [], self.tokenizer.model
+        for w in words:
+            if w in young:
+                continue
+            if (ids := old.get(w)) is not None:
+                young[w] = ids
+                continue
+            # Letters of which NFC and lower case are plain: one pre-token, in the byte alphabet.
+            if w.isalpha() and w.islower():
+                found = model.tokenize(w.decode())
+            elif len(w) < 64 and LATIN.fullmatch(low := w.decode().lower()):
+                found = model.tokenize(low.encode().decode("latin-1").translate(self.alphabet))
+            else:
+                rest.append(w)
+                continue
+            young[w] = array("I", [t.id for t in found]).tobytes()
         for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
-            table[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        out = [b"".join([*[table[w] for w in ws], self.end]) for ws in words]
+            young[w] = array("I", e.ids).tobytes()
+        out = [young[w] for w in words]
         for w in rest:
             if len(w) > 64:
-                del table[w]
+                del young[w]
         return out
 
-    def words(self, text: bytes) -> list[bytes]:
-        if b"<|" in text:  # perhaps a special token's name, which is one in its own case only
-            return text.translate(TO_BLANK).split()
-        return self.STOP.sub(rb" \1", text.lower()).translate(TO_BLANK).split()
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (uint32, no end ids), and where each text's end."""
+        at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        raw = bytes(texts.buffers()[2][int(at[0]) : int(at[-1])]) if texts.buffers()[2] else b""
+        at -= at[0]
+        named = b"<|" in raw  # perhaps a special token's name, which is one in its own case only
+        data = np.frombuffer(raw.translate(TO_BLANK if named else LOWER), np.uint8)
+        solid = data != 32
+        first = np.zeros(len(data) + 1, bool)  # of a text
+        first[at[:-1]] = True
+        breaks = np.ones(len(data), bool)
+        breaks[1:] = ~solid[:-1]
+        breaks |= first[:-1]
+        if not named and len(data):
+            ends = np.ones(len(data), bool)
+            ends[:-1] = ~solid[1:] | first[1:-1]
+            stops = STOP[data] & ends
+            stops[1:] &= ALNUM[data[:-1]]
+            stops[0] = False
+            breaks |= stops & ~first[:-1]
+        starts = np.flatnonzero(breaks & solid)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        packed = data[solid]
+        offsets = np.append((np.cumsum(solid) - 1)[starts], len(packed)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]).dictionary_encode()
+        parts, place = self.ids_of(words.dictionary.to_pylist()), words.indices.to_numpy()
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat, begins = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes
+        each = sizes[place]
+        ends = np.cumsum(each)
+        ids = flat[np.repeat(begins[place] - (ends - each), each) + np.arange(ends[-1])]
+        return ids, np.append(0, ends)[np.searchsorted(starts, at[1:])]
 
 
 def varint(n: int) -> bytes:
@@ -117,14 +172,14 @@ class Writer:
         self.hashes: list[bytes] = []
         self.docs = self.tokens = 0
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.place = self.place + 1 if self.doc == (doc_id,) else 0
         self.doc = (doc_id,)
         key = key_of(doc_id, self.place)
         shared = 0 if not self.in_block else next((i for i, (a, b) in enumerate(zip(key, self.last, strict=False)) if a != b), min(len(key), len(self.last)))
-        value = np.frombuffer(ids, "<u4").astype(f"<u{self.width}").tobytes()
+        value = ids.astype(f"<u{self.width}").tobytes()
         self.block += varint(shared) + varint(len(key) - shared) + varint(len(value)) + key[shared:] + value
-        self.in_block, self.last, self.docs, self.tokens = self.in_block + 1, key, self.docs + 1, self.tokens + len(ids) // 4
+        self.in_block, self.last, self.docs, self.tokens = self.in_block + 1, key, self.docs + 1, self.tokens + len(ids)
         if not self.place:
             self.hashes.append(struct.pack("<Q", xxhash.xxh64_intdigest(key)))
         if len(self.block) >= BLOCK:
@@ -215,6 +270,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, shards: i
     have to meet in one task. The returned rows are computed: the files are there.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(docs["text"], F.lit(""))
     order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
@@ -227,9 +283,11 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, shards: i
         def write(out: pa.NativeFile) -> None:
             encoder = WordEncoder(path, end_id)
             writer = Writer(out, encoder.width)
-            for _, (ids, texts) in python_rows(batches, "doc_id", "text"):
-                for doc_id, x in zip(ids, encoder.encode(texts), strict=True):
-                    writer.add(doc_id, x)
+            end = np.array([end_id], np.uint32)
+            for part, texts in text_slices(batches, "text"):
+                ids, ends = encoder.encode(texts)
+                for doc_id, start, stop in zip(part.column(0).to_pylist(), np.append(0, ends[:-1]), ends, strict=True):
+                    writer.add(doc_id, np.concatenate([ids[start:stop], end]))
             writer.finish()
             found.append((name, writer.docs, writer.tokens))
 
