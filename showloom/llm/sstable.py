@@ -24,6 +24,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from showloom.llm.common import SPACES, TO_BLANK, file_system, put_file, small_b
 
 MAGIC = b"SLSST01\n"
 #: Bytes of values in a block before it is packed; bits of the filter for a document; entries of a task's word table.
-BLOCK, BITS, TABLE = 256 << 10, 10, 150_000
+BLOCK, BITS, TABLE = 256 << 10, 10, 100_000
 HASHES = 7
 FOOTER = struct.Struct("<QQQQI8s")
 SUMMARY = "shard string, n_docs long, n_tokens long"
@@ -58,6 +59,14 @@ def byte_alphabet() -> dict[int, int]:
     return {b: b if b in plain else 256 + rest.index(b) for b in range(256)}
 
 
+@lru_cache(maxsize=1)
+def tokenizer_at(path: str):
+    """The tokenizer of a file; a Python worker loads it once for all of its tasks."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class WordEncoder:
     """Ids of texts by a tokenizers file that drops white space and never looks across it, word by distinct word.
 
@@ -67,9 +76,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, end_id: int):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.tokenizer, self.end_id = tokenizer_at(path), end_id
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.alphabet = byte_alphabet()
