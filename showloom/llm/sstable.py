@@ -59,14 +59,6 @@ def byte_alphabet() -> dict[int, int]:
     return {b: b if b in plain else 256 + rest.index(b) for b in range(256)}
 
 
-@lru_cache(maxsize=1)
-def tokenizer_at(path: str):
-    """The tokenizer of a file; a Python worker loads it once for all of its tasks."""
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 class WordEncoder:
     """Ids of texts by a tokenizers file that drops white space and never looks across it, word by distinct word.
 
@@ -76,7 +68,9 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, end_id: int):
-        self.tokenizer, self.end_id = tokenizer_at(path), end_id
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.alphabet = byte_alphabet()
@@ -87,9 +81,7 @@ class WordEncoder:
         if len(self.young) > TABLE:
             self.young, self.old = {}, self.young
         young, old, rest, model = self.young, self.old, [], self.tokenizer.model
-        for w in words:
-            if w in young:
-                continue
+        for w in [w for w in words if w not in young]:
             if (ids := old.get(w)) is not None:
                 young[w] = ids
                 continue
@@ -145,6 +137,12 @@ class WordEncoder:
         return ids, np.append(0, ends)[np.searchsorted(starts, at[1:])]
 
 
+@lru_cache(maxsize=1)
+def encoder_at(path: str, end_id: int) -> WordEncoder:
+    """A Python worker's encoder, its tables kept for all of the worker's tasks."""
+    return WordEncoder(path, end_id)
+
+
 def varint(n: int) -> bytes:
     out = bytearray()
     while n > 127:
@@ -288,7 +286,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, shards: i
         name, found = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.sst", []
 
         def write(out: pa.NativeFile) -> None:
-            encoder = WordEncoder(path, end_id)
+            encoder = encoder_at(path, end_id)
             writer = Writer(out, encoder.width)
             end = np.array([end_id], np.uint32)
             for part, texts in text_slices(batches, "text"):
