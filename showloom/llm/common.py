@@ -17,9 +17,9 @@ SPACES = " \t\n\x0b\x0c\r"
 #: For bytes.translate: each of SPACES to a blank.
 TO_BLANK = bytes.maketrans(SPACES.encode(), b" " * len(SPACES))
 #: Rows of an Arrow batch that are turned into Python objects at once; bytes of text that are worked on at once.
-SLICE, SLICE_BYTES = 256, 3 << 19
+SLICE, SLICE_BYTES = 256, 7 << 19
 #: Most rows of an Arrow batch where texts are sent to Python.
-BATCH = 500
+BATCH = 1200
 
 
 def shared_dir(spark: SparkSession) -> str:

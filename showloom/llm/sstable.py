@@ -39,7 +39,7 @@ from showloom.llm.common import SPACES, TO_BLANK, file_system, put_file, small_b
 
 MAGIC = b"SLSST01\n"
 #: Bytes of values in a block before it is packed; bits of the filter for a document; entries of a task's word table.
-BLOCK, BITS, TABLE = 256 << 10, 10, 100_000
+BLOCK, BITS, TABLE = 256 << 10, 10, 160_000
 HASHES = 7
 FOOTER = struct.Struct("<QQQQI8s")
 SUMMARY = "shard string, n_docs long, n_tokens long"
