@@ -97,9 +97,17 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def spark_words(text: Column) -> Column:
-    """array<string>: words ``[^\x20\x09-\x0D]+`` of a text, by SQL functions; null has none."""
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), SPACES[1:], " " * 5), " "), "")
+def blanked(text: Column) -> Column:
+    """text with each of SPACES as a blank. Plain replacements scan bytes, which translate() doesn't."""
+    for c in SPACES[1:]:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
+def occurrences(text: Column, char: str) -> Column:
+    """How often an ASCII character is in text."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(char), F.lit("")))
+
 
 
 def held(value: Column) -> Column:

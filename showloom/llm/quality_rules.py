@@ -23,13 +23,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from showloom.llm.common import SPACES, held, spark_words
+from showloom.llm.common import blanked, held, occurrences
 
 MIN_WORDS, MAX_REPEATED, WINDOW = 20, 30, 8
 LEAST_WORDS = 20
 #: Bounds: of the distance between character histograms; of both distances' sum, and what it is eased by for n words,
 #: over the root of n, as histograms of short texts scatter.
-MAX_CHARS, MAX_SUM, EASE = 0.3, 0.27, 0.9
+MAX_CHARS, MAX_SUM, EASE = 0.3, 0.27, 1.0
 #: Documents that references are made of: shares of lower-case letters, at least, and of the rest class, at most.
 PROSE_LOWER, PROSE_REST = 0.6, 0.02
 SYMBOLS = "#*$%&|<>"
@@ -43,28 +43,31 @@ COMMON = {
 WORD_LIST = [w for words in COMMON.values() for w in words]
 #: A character for each common word; the string of a text's common words is counted character by character.
 CODES = [chr(ord("A") + i) if i < 26 else chr(ord("a") + i - 26) for i in range(len(WORD_LIST))]
-#: Character classes as patterns of what is not in them; what is in none of them is the last class.
-CLASSES = [r"[^\p{Lu}]+", r"[^\p{Ll}]+", r"[^\p{Nd}]+", r"[^\x20\x09-\x0D]+", r"[^.,;:?'\"()\-]+"]
+#: Character classes: lower-case letters, white space, then these by patterns of what isn't in them, then the rest.
+CLASSES = [r"[^\p{Lu}]+", r"[^\p{Nd}]+", r"[^.,;:?'\"()\-]+"]
+LOWER, REST, N_CLASSES = 0, 5, 6
 
 
 def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def char_counts(text: Column) -> list[Column]:
-    """Code points by class, the last class being the rest."""
-    counts = [F.char_length(F.regexp_replace(text, c, "")) for c in CLASSES]
-    return [*counts, F.char_length(text) - reduce(Column.__add__, counts)]
+def char_counts(text: Column, few: Column) -> list[Column]:
+    """Code points by class of text (white space as blanks), of which few is without lower-case letters and blanks."""
+    n, blanks = F.char_length(text), occurrences(text, " ")
+    lower = n - blanks - F.char_length(few)
+    counts = [lower, blanks, *[F.char_length(F.regexp_replace(few, c, "")) for c in CLASSES]]
+    return [*counts, n - reduce(Column.__add__, counts)]
 
 
 def common_string(words: Column) -> Column:
     """CODES of the common words among words (array), in lower case, as one string."""
     table = F.create_map(*[F.lit(x) for pair in zip(WORD_LIST, CODES, strict=True) for x in pair])
-    return F.array_join(F.transform(words, lambda w: F.when(F.char_length(w) <= max(map(len, WORD_LIST)), F.element_at(table, F.lower(w)))), "")
+    return F.array_join(F.transform(words, lambda w: F.when(F.octet_length(w) <= max(map(len, WORD_LIST)), F.element_at(table, F.lower(w)))), "")
 
 
 def code_counts(codes: Column) -> list[Column]:
-    return [F.char_length(codes) - F.char_length(F.replace(codes, F.lit(c), F.lit(""))) for c in CODES]
+    return [occurrences(codes, c) for c in CODES]
 
 
 def repeated_words(hashes: Column) -> Column:
@@ -93,13 +96,15 @@ def span(starts: Column) -> Column:
 
 
 def with_words(docs: DataFrame, *keep: str) -> DataFrame:
-    return docs.select(*[F.col(k) for k in keep], whole(F.col("text")).alias("_t")).withColumn("_w", spark_words(F.col("_t")))
+    """The columns keep, _t (text), _b (white space as blanks), _r (_b without lower-case letters and blanks), _w (words)."""
+    df = docs.select(*[F.col(k) for k in keep], whole(F.col("text")).alias("_t")).withColumn("_b", blanked(F.col("_t")))
+    return df.withColumn("_r", F.regexp_replace("_b", r"[\p{Ll} ]+", "")).withColumn("_w", F.array_remove(F.split("_b", " "), ""))
 
 
 def histograms(df: DataFrame) -> DataFrame:
-    """df (_t, _w, ...) with _c (array<int>, counts by class), _k (counts by common word, then of other words) and _n (words)."""
-    df = df.withColumn("_n", F.size("_w")).withColumn("_c", F.array(*char_counts(F.col("_t")))).withColumn("_s", common_string(F.col("_w")))
-    return df.withColumn("_k", F.array(*code_counts(F.col("_s")), F.col("_n") - F.char_length("_s")))
+    """df with _c (array<int>, counts by class), _k (counts by common word, then of other words) and _n (words)."""
+    df = df.withColumn("_n", F.size("_w")).withColumn("_c", F.array(*char_counts(F.col("_b"), F.col("_r")))).withColumn("_s", common_string(F.col("_w")))
+    return df.withColumn("_k", F.array(*code_counts(F.col("_s")), F.col("_n") - F.octet_length("_s")))
 
 
 def total(counts: Column) -> Column:
@@ -112,10 +117,10 @@ def references(docs: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     rows = histograms(with_words(docs.filter(F.col("lang").isin(langs)), "lang")).filter(F.col("_n") >= LEAST_WORDS)
     rows = rows.select("lang", "_c", "_k", total(F.col("_c")).alias("nc"), F.col("_n").alias("nk"))
     share = lambda i: F.col("_c")[i] / F.col("nc")
-    rows = rows.filter((share(1) >= PROSE_LOWER) & (share(len(CLASSES)) <= PROSE_REST))
-    means = [F.avg(F.col("_c")[i] / F.col("nc")).alias(f"c{i}") for i in range(len(CLASSES) + 1)] + [F.avg(F.col("_k")[i] / F.col("nk")).alias(f"k{i}") for i in range(len(WORD_LIST) + 1)]
+    rows = rows.filter((share(LOWER) >= PROSE_LOWER) & (share(REST) <= PROSE_REST))
+    means = [F.avg(F.col("_c")[i] / F.col("nc")).alias(f"c{i}") for i in range(N_CLASSES)] + [F.avg(F.col("_k")[i] / F.col("nk")).alias(f"k{i}") for i in range(len(WORD_LIST) + 1)]
     found = rows.groupBy("lang").agg(*means).collect()  # a row a known language
-    return {r["lang"]: ([r[f"c{i}"] for i in range(len(CLASSES) + 1)], [r[f"k{i}"] for i in range(len(WORD_LIST) + 1)]) for r in found}
+    return {r["lang"]: ([r[f"c{i}"] for i in range(N_CLASSES)], [r[f"k{i}"] for i in range(len(WORD_LIST) + 1)]) for r in found}
 
 
 def distance(counts: Column, n: Column, reference: list[float]) -> Column:
@@ -132,7 +137,7 @@ def distance(counts: Column, n: Column, reference: list[float]) -> Column:
 def judged(docs: DataFrame, refs: dict[str, tuple[list[float], list[float]]], *keep: str) -> DataFrame:
     """The columns keep (by name), then _n, _words, _symbols, _dup, _rep, base_failed, kept and the least distances."""
     df = histograms(with_words(docs, *keep))
-    lines = F.filter(F.split("_t", "\n"), lambda x: F.char_length(F.translate(x, SPACES, "")) > 0)
+    lines = F.filter(F.split("_t", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
     df = df.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w))).withColumn("_lines", lines)
     df = df.withColumn("_win", repeated_words(F.col("_h"))).withColumn("_ord", covered(F.col("_win"))).withColumn("_starts", starts_of(F.col("_ord")))
     df = df.select(
@@ -140,8 +145,8 @@ def judged(docs: DataFrame, refs: dict[str, tuple[list[float], list[float]]], *k
         F.col("_n").cast("long").alias("_n"),
         "_c",
         "_k",
-        F.char_length(F.translate("_t", SPACES, "")).cast("long").alias("_words"),
-        (F.char_length("_t") - F.char_length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("_symbols"),
+        (F.char_length("_b") - occurrences(F.col("_b"), " ")).cast("long").alias("_words"),
+        reduce(Column.__add__, [occurrences(F.col("_b"), c) for c in SYMBOLS]).cast("long").alias("_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("_dup"),
         held(span(F.col("_starts")).cast("long")).alias("_rep"),
         total(F.col("_c")).alias("_nc"),
