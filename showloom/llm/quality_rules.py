@@ -104,7 +104,7 @@ def with_words(docs: DataFrame, *keep: str) -> DataFrame:
 def histograms(df: DataFrame) -> DataFrame:
     """df with _c (array<int>, counts by class), _k (counts by common word, then of other words) and _n (words)."""
     df = df.withColumn("_n", F.size("_w")).withColumn("_c", F.array(*char_counts(F.col("_b"), F.col("_r")))).withColumn("_s", common_string(F.col("_w")))
-    return df.withColumn("_k", F.array(*code_counts(F.col("_s")), F.col("_n") - F.octet_length("_s")))
+    return df.withColumn("_k", held(F.array(*code_counts(F.col("_s")), F.col("_n") - F.octet_length("_s"))))
 
 
 def total(counts: Column) -> Column:
