@@ -1,6 +1,384 @@
-"""Queries over the driver's tables, and their SQL."""
+"""Queries over the driver's tables, each with the SQL that says the same."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from showloom.functions import dates, html, text, urls, wiki
+from showloom.operators import crawl, events, quality, search
+from showloom.operators.index import MODES, Index, postings
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+WEIGHTS = {"text": 1.0, "lang": 0.5, "source": 2.1}
+WORDS, SITE = "the hation and onsh river", "http://site.example/"
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(function: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name or function.__name__] = function
+        if sql:
+            ORACLES[name or function.__name__] = sql
+        return function
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+TERMS = "unnest(regexp_extract_all(lower({}), '[a-z0-9]+'))"
+POSTINGS = (
+    "raw AS (" + " UNION ALL ".join(f"SELECT doc_id, CAST({w} AS DOUBLE) AS w, {TERMS.format(f)} AS term FROM documents" for f, w in WEIGHTS.items()) + "), "
+    "post AS (SELECT doc_id, term, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT doc_id, term, greatest(1, CAST(round_even(count(*) * w, 0) AS BIGINT)) AS tf FROM raw GROUP BY doc_id, term, w) GROUP BY doc_id, term), "
+    "nn AS (SELECT count(DISTINCT doc_id) AS n FROM post), terms AS (SELECT term, count(*) AS df, any_value(n) AS n FROM post, nn GROUP BY term)"
+)
+IDF = {"classic": "ln(n / df)", "smooth": "ln((n + 1.0) / (df + 1.0)) + 1", "prob": "ln((n - df + 0.5) / (df + 0.5))", "invdf": "1.0 / (df + 1)"}
+
+
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    return Index.build(table(spark, sf_dir, "documents"), WEIGHTS, title="source")
+
+
+@query(f"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, {TERMS.format('text')} AS term FROM documents) GROUP BY doc_id, term")
+def tokenize_index_terms(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(text.tokenize(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+
+
+STOPS = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+
+
+@query(f"SELECT term, count(*) AS n FROM (SELECT lower(unnest(regexp_extract_all(text, '[a-zA-Z0-9]{{2,}}'))) AS term FROM documents) WHERE term NOT IN ({STOPS}) GROUP BY term")
+def tokenize_stopword_terms(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.explode(text.tokenize_for_vectors(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {POSTINGS} SELECT doc_id, term, tf FROM post")
+def term_freq_weighted(spark, sf_dir):
+    return postings(table(spark, sf_dir, "documents"), WEIGHTS)
+
+
+@query(f"WITH {POSTINGS} SELECT term, df FROM terms")
+def doc_freq(spark, sf_dir):
+    return index(spark, sf_dir).terms.select("term", "df")
+
+
+@query(f"WITH {POSTINGS} SELECT n FROM nn")
+def corpus_size(spark, sf_dir):
+    return index(spark, sf_dir).postings.agg(F.countDistinct("doc_id").alias("n"))
+
+
+NORMS = "w AS (SELECT term, {} AS idf FROM terms), norms AS (SELECT doc_id, sqrt(greatest(sum(((1 + ln(tf)) * idf) ** 2), 1e-12)) AS norm FROM post JOIN w USING (term) GROUP BY doc_id)"
+#: The words of a query, as SQL values with their counts.
+COSINE = (
+    "q AS (SELECT term, idf, idf * (1 + ln(c)) AS wq FROM (SELECT term, count(*) AS c FROM (SELECT unnest(regexp_extract_all(lower('{q}'), '[a-z0-9]+')) AS term) GROUP BY term) JOIN w USING (term)), "
+    "dots AS (SELECT doc_id, sum((1 + ln(tf)) * idf * wq) AS dot FROM post JOIN q USING (term) WHERE wq <> 0 GROUP BY doc_id), "
+    "scored AS (SELECT doc_id, dot / (norm * (SELECT sqrt(sum(wq * wq)) FROM q)) AS s FROM dots JOIN norms USING (doc_id)) SELECT doc_id, round(s, 6) AS score FROM scored ORDER BY round(s, 12) DESC, doc_id LIMIT 20"
+)
+
+
+def by_mode(mode: str) -> None:
+    @query(f"WITH {POSTINGS} SELECT term, round({IDF[mode]}, 6) AS idf FROM terms", f"idf_{mode}")
+    def weights(spark, sf_dir):
+        return index(spark, sf_dir).idf(mode).select("term", r6("idf").alias("idf"))
+
+    @query(f"WITH {POSTINGS}, {NORMS.format(IDF[mode])} SELECT doc_id, round(norm, 6) AS norm FROM norms", f"doc_norms_{mode}")
+    def norms(spark, sf_dir):
+        return index(spark, sf_dir).norms(mode).select("doc_id", r6("norm").alias("norm"))
+
+    @query(f"WITH {POSTINGS}, {NORMS.format(IDF[mode])}, {COSINE.format(q=WORDS)}", f"search_cosine_{mode}")
+    def cosine(spark, sf_dir):
+        return search.cosine(index(spark, sf_dir), WORDS, mode).select("doc_id", r6("score").alias("score"))
+
+
+for _mode in MODES:
+    by_mode(_mode)
+
+
+@query()
+def search_many(spark, sf_dir):
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return search.cosine_many(index(spark, sf_dir), queries, k=5).select("query_id", "doc_id", "rank", r6("score").alias("score"))
+
+
+PAGE_TITLES = "SELECT page_id, regexp_extract(html, '(?is)<title>([^<]*)</title>', 1) AS title, regexp_replace(html, '(?s)<[^>]*>', ' ', 'g') AS body FROM pages"
+
+
+@query(
+    f"WITH p AS ({PAGE_TITLES}), raw AS (SELECT page_id, unnest(regexp_extract_all(lower(title), '[a-z0-9]+')) AS term FROM p), post AS (SELECT page_id, term, count(*) AS tf FROM raw GROUP BY ALL), "
+    "n AS (SELECT count(DISTINCT page_id) AS n FROM post), w AS (SELECT term, ln((any_value(n) + 1.0) / (count(*) + 1.0)) + 1 AS idf FROM post, n GROUP BY term), "
+    "norms AS (SELECT page_id, sqrt(sum(((1 + ln(tf)) * idf) ** 2)) AS norm FROM post JOIN w USING (term) GROUP BY page_id), q AS (SELECT term, idf FROM w WHERE term IN ('of', 'the')), "
+    "dots AS (SELECT page_id, sum((1 + ln(tf)) * idf * idf) AS dot FROM post JOIN q USING (term) GROUP BY page_id), "
+    "s AS (SELECT page_id, dot / (norm * (SELECT sqrt(sum(idf * idf)) FROM q)) * CASE WHEN contains(lower(title), 'of the') THEN 1.3 ELSE 1 END AS s FROM dots JOIN norms USING (page_id) JOIN p USING (page_id)) "
+    "SELECT page_id, round(s, 6) AS score FROM s ORDER BY round(s, 12) DESC, page_id LIMIT 20"
+)
+def search_title_boost(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("html", "(?is)<title>([^<]*)</title>", 1).alias("title"))
+    return search.cosine(Index.build(pages, {"title": 1.0}, key="page_id", title="title", url="url"), "of the").select(F.col("doc_id").alias("page_id"), r6("score").alias("score"))
+
+
+VECTOR = "hation onsh thing"
+
+
+@query(
+    f"WITH raw AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[a-zA-Z0-9]{{2,}}'))) AS term FROM documents), post AS (SELECT doc_id, term, count(*) AS tf FROM raw WHERE term NOT IN ({STOPS}) GROUP BY ALL), "
+    "n AS (SELECT count(*) AS n FROM documents), w AS (SELECT term, ln((any_value(n) + 1.0) / (count(*) + 1.0)) AS idf FROM post, n GROUP BY term), "
+    "vec AS (SELECT doc_id, term, tf * idf AS v FROM post JOIN w USING (term)), norms AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM vec GROUP BY doc_id), "
+    "q AS (SELECT term, idf AS wq FROM w WHERE term IN ('hation', 'onsh', 'thing')), dots AS (SELECT doc_id, sum(v * wq) AS dot FROM vec JOIN q USING (term) GROUP BY doc_id), "
+    "s AS (SELECT doc_id, coalesce(dot, 0) / ((CASE WHEN norm = 0 THEN 1e-12 ELSE norm END) * (SELECT sqrt(sum(wq * wq)) FROM q)) AS s FROM norms LEFT JOIN dots USING (doc_id)) SELECT doc_id, round(s, 6) AS score FROM s ORDER BY round(s, 12) DESC, doc_id LIMIT 10"
+)
+def search_vector_tfidf(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    counts = docs.select("doc_id", F.explode(text.tokenize_for_vectors(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    n = F.broadcast(docs.agg(F.count("*").alias("n")))
+    idf = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(n).select("term", F.ln((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))
+    return search.vector_search(search.vectors(counts, idf), docs, idf, VECTOR).select("doc_id", r6("score").alias("score"))
+
+
+@query(
+    "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT e AS q FROM e WHERE vec_id = 0), s AS (SELECT vec_id, list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))) AS s FROM e, q) "
+    "SELECT vec_id, round(s, 5) AS score FROM s ORDER BY round(s, 9) DESC, vec_id LIMIT 10"
+)
+def search_dense_cosine(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    probe = rows.filter("vec_id = 0").first()["embedding"]
+    return search.dense(rows, probe).select("vec_id", F.round("score", 5).alias("score"))
+
+
+BM25 = (
+    "raw AS (SELECT doc_id, field, unnest(regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+')) AS term FROM (SELECT doc_id, 'text' AS field, text AS t FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents)), "
+    "post AS (SELECT field, term, doc_id, count(*) AS tf FROM raw GROUP BY ALL), dl AS (SELECT field, doc_id, count(*) AS dl FROM raw GROUP BY ALL), st AS (SELECT field, count(*) AS n, avg(dl) AS a FROM dl GROUP BY field), df AS (SELECT field, term, count(*) AS df FROM post GROUP BY ALL), "
+    "s AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / a))) AS s FROM post JOIN dl USING (field, doc_id) JOIN st USING (field) JOIN df USING (field, term) WHERE term IN ({q}) GROUP BY doc_id) "
+    "SELECT doc_id, round(s, 6) AS score FROM s JOIN documents USING (doc_id) WHERE {p} ORDER BY round(s, 12) DESC, doc_id LIMIT 5"
+)
+
+
+def filtered(spark, sf_dir, command: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    columns = docs.select("doc_id", "text", "source", F.col("lang").alias("country"), F.array("source").alias("genres_exact"), (1950 + F.col("doc_id") % 75).cast("int").alias("start_year"))
+    return search.bm25(search.FieldIndex.build(docs, ["text", "source"]), columns, command).select("doc_id", r6("score").alias("score"))
+
+
+@query("WITH " + BM25.replace("{q}", "'hation', 'src3', 'thing'").replace("{p}", "true"))
+def search_bm25_multifield(spark, sf_dir):
+    return filtered(spark, sf_dir, "Hation, SRC3: thing")
+
+
+@query("WITH " + BM25.replace("{q}", "'hation', 'the'").replace("{p}", "lang = 'en' AND source = 'src1' AND 1950 + doc_id % 75 BETWEEN 1960 AND 2010"))
+def search_filters(spark, sf_dir):
+    return filtered(spark, sf_dir, "hation country:EN genre:src1 year>=1960 year<=2010 the year>=abc")
+
+
+@query("SELECT doc_id, 1.0::DOUBLE AS score FROM documents WHERE lang = 'de' ORDER BY doc_id LIMIT 5")
+def search_match_all(spark, sf_dir):
+    return filtered(spark, sf_dir, "country:de").select("doc_id", F.col("score").cast("double").alias("score"))
+
+
+@query(
+    "SELECT c_custkey, c_name, s_suppkey, s_name FROM (SELECT *, CAST(regexp_extract(c_name, '([0-9]+)', 1) AS BIGINT) AS k FROM customer) c FULL OUTER JOIN (SELECT *, CAST(regexp_extract(s_name, '([0-9]+)', 1) AS BIGINT) AS k FROM supplier) s ON c.k = s.k AND c_nationkey = s_nationkey"
+)
+def full_outer_two_key(spark, sf_dir):
+    number = lambda c: F.regexp_extract(c, "([0-9]+)", 1).try_cast("long")
+    left, right = table(spark, sf_dir, "customer").withColumn("k", number("c_name")), table(spark, sf_dir, "supplier").withColumn("sk", number("s_name"))
+    return left.join(right, (F.col("k") == F.col("sk")) & (F.col("c_nationkey") == F.col("s_nationkey")), "full_outer").select("c_custkey", "c_name", "s_suppkey", "s_name")
+
+
+@query(
+    "SELECT o_orderkey, coalesce(string_agg(l_linenumber || ' (' || strftime(l_shipdate, '%Y-%m-%d') || ')', chr(10) ORDER BY l_linenumber, strftime(l_shipdate, '%Y-%m-%d')), '') AS episodes FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey"
+)
+def left_join_agg_lists(spark, sf_dir):
+    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", day.alias("day")))).alias("x"))
+    label = F.array_join(F.transform("x", lambda e: text.episode_label(e["l_linenumber"].cast("string"), e["day"])), "\n")
+    return table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.coalesce(label, F.lit("")).alias("episodes"))
+
+
+@query("SELECT o_orderkey, coalesce(string_agg(DISTINCT l_returnflag || l_linestatus, ', ' ORDER BY l_returnflag || l_linestatus), '') AS names FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+def distinct_sorted_list(spark, sf_dir):
+    names = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set(F.concat("l_returnflag", "l_linestatus"))), ", ").alias("x"))
+    return table(spark, sf_dir, "orders").join(names, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.coalesce("x", F.lit("")).alias("names"))
+
+
+@query("SELECT user_id, arg_min(event_type, event_id) AS first_type FROM events GROUP BY user_id")
+def first_wins_dedupe(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("first_type"))
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY (role = 'system'), turn) AS overall FROM conversations")
+def overall_numbering(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("role") == "system", "turn")).cast("long").alias("overall"))
+
+
+@query("SELECT DISTINCT l_suppkey, l_returnflag, l_linestatus FROM lineitem")
+def row_distinct(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag", "l_linestatus").distinct()
+
+
+@query(
+    "SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(p_name || ' - ' || p_type || ' (' || (1950 + p_size) || ' American TV series)')), '\\s*\\((?:\\d{4}\\s*)?(?:american\\s+)?(?:tv\\s+series)\\)\\s*$', ''), '[-–—_:;/.,!?]+', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM part"
+)
+def norm_title(spark, sf_dir):
+    name = F.concat("p_name", F.lit(" - "), "p_type", F.lit(" ("), (1950 + F.col("p_size")).cast("string"), F.lit(" American TV series)"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.norm_title(name).alias("title"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%Y-%m-01') AS month_iso, strftime(o_orderdate, '%Y-01-01') AS year_iso, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders")
+def date_to_iso(spark, sf_dir):
+    show = lambda p: dates.date_to_iso(F.date_format("o_orderdate", p))
+    return table(spark, sf_dir, "orders").select("o_orderkey", show("d MMM yy").alias("iso"), show("MMM yyyy").alias("month_iso"), show("yyyy").alias("year_iso")).withColumn("year", dates.year_of_iso(F.col("iso")))
+
+
+@query("SELECT p_partkey, array_to_string(list_filter(list_transform(regexp_split_to_array(p_name || ';' || p_type, '[; ]'), lambda x: lower(trim(x))), lambda x: x <> ''), '|') AS parts FROM part")
+def split_clean_list(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(text.split_list(F.concat("p_name", F.lit(";"), "p_type"), "[; ]", lower=True), "|").alias("parts"))
+
+
+@query("SELECT page_id, regexp_extract(html, '(?is)<title>([^<]*)</title>', 1) AS title FROM pages")
+def html_title(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?is)<title>([^<]*)</title>", 1).alias("title"))
+
+
+HREFS = """SELECT page_id, unnest(regexp_extract_all(html, '(?i)href=["''](.*?)["'']', 1)) AS link FROM pages"""
+
+
+@query(f"SELECT page_id, link, count(*) AS n FROM ({HREFS}) GROUP BY page_id, link")
+def html_links(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(urls.links(F.col("html"))).alias("link")).groupBy("page_id", "link").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1)) AS n_items, coalesce(regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1)[1], '') AS first_item FROM pages")
+def html_list_items(spark, sf_dir):
+    items = F.regexp_extract_all("html", F.lit("(?is)<li[^>]*>(.*?)</li>"), F.lit(1))
+    return table(spark, sf_dir, "pages").select("page_id", F.size(items).cast("long").alias("n_items"), F.coalesce(F.get(items, F.lit(0)), F.lit("")).alias("first_item"))
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s{2,}', ' ', 'g')) AS plain FROM pages")
+def html_strip_tags(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.strip_tags(F.col("html")).alias("plain"))
+
+
+@query()
+def html_unescape(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", html.clean(text.strip_tags(F.col("html"))).alias("plain"))
+
+
+RESOLVED = f"CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN link WHEN starts_with(link, '//') THEN 'http:' || link WHEN starts_with(link, '/') THEN '{SITE[:-1]}' || link WHEN link = '' THEN '{SITE}' ELSE '{SITE}' || link END"
+
+
+@query(f"SELECT DISTINCT link, {RESOLVED} AS url FROM ({HREFS})")
+def url_resolve(spark, sf_dir):
+    found = table(spark, sf_dir, "pages").select(F.explode(urls.links(F.col("html"))).alias("link")).distinct()
+    return found.select("link", urls.resolve(F.col("link"), SITE).alias("url"))
+
+
+@query(
+    "WITH p AS (SELECT page_id, regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS p0, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS q FROM pages), r AS (SELECT *, CASE WHEN p0 = '' OR ends_with(p0, '/') THEN p0 || 'index.html' ELSE p0 END AS p FROM p), e AS (SELECT *, regexp_extract(p, '[^/.][^/]*?(\\.[^./]*)$', 1) AS e FROM r) "
+    "SELECT page_id, 'data/' || regexp_replace(CASE WHEN q <> '' THEN left(p, length(p) - length(e)) || '__q_' || left(sha1(q), 10) || CASE WHEN e = '' THEN '.html' ELSE e END ELSE p END, '^/+', '') AS path FROM e"
+)
+def url_store_path(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.store_path(F.col("url")).alias("path"))
+
+
+@query(f"SELECT count(*) AS n, count(DISTINCT link) AS n_distinct FROM ({HREFS}) WHERE NOT regexp_matches(link, '^(mailto|javascript|tel|data):')")
+def skip_scheme_filter(spark, sf_dir):
+    found = table(spark, sf_dir, "pages").select(F.explode(urls.links(F.col("html"))).alias("link"))
+    return found.filter(~urls.is_skipped(F.col("link"))).agg(F.count("*").alias("n"), F.countDistinct("link").alias("n_distinct"))
+
+
+def site_pages(spark, sf_dir) -> DataFrame:
+    """Pages under the names that their own menus link to: a page's first link leads to it."""
+    own = F.get(urls.links(F.col("html")), F.lit(0))
+    return table(spark, sf_dir, "pages").select(F.coalesce(urls.resolve(own, SITE), F.lit(SITE)).alias("url"), "html")
+
+
+SITE_LINKS = f"WITH h AS (SELECT page_id, regexp_extract_all(html, '(?i)href=[\"''](.*?)[\"'']', 1) AS l FROM pages), g AS (SELECT DISTINCT '{SITE[:-1]}' || l[1] AS src, '{SITE[:-1]}' || unnest(l) AS dst FROM h WHERE len(l) > 0)"
+
+
+@query(SITE_LINKS + " SELECT src, dst FROM g")
+def link_graph(spark, sf_dir):
+    return crawl.link_graph(site_pages(spark, sf_dir), SITE)
+
+
+@query(SITE_LINKS.replace("WITH", "WITH RECURSIVE") + ", seed AS (SELECT min(src) AS url FROM g), b AS (SELECT url, 0 AS level FROM seed UNION SELECT dst, level + 1 FROM b JOIN g ON src = url WHERE level < 3) SELECT url, CAST(min(level) AS INTEGER) AS level FROM b GROUP BY url")
+def link_graph_bfs(spark, sf_dir):
+    graph = crawl.link_graph(site_pages(spark, sf_dir), SITE)
+    return crawl.breadth_first(graph, graph.agg(F.min("src").alias("url")), depth=3)
+
+
+@query()
+def first_paragraph(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", wiki.first_paragraph(F.col("text")).alias("paragraph"))
+
+
+def wikitext(spark, sf_dir) -> DataFrame:
+    body = [F.lit("{{Infobox television\n| creator = [[A|Ann "), "source", F.lit("]]\n| first_aired = {{start date|"), (1950 + F.col("doc_id") % 70).cast("string"), F.lit("|1|2}}\n| starring = {{plainlist|\n* X\n* Y\n}}\n}}\n'''T''' "), "text", F.lit("\n[[Category:Shows "), "lang", F.lit("|k]]")]
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(*body).alias("raw"))
+
+
+@query()
+def clean_text(spark, sf_dir):
+    return wikitext(spark, sf_dir).select("doc_id", wiki.plain_text(F.col("raw")).alias("plain"))
+
+
+@query("SELECT doc_id, 'Ann ' || source AS creator, 'X, Y' AS starring, CAST(1950 + doc_id % 70 AS INTEGER) AS year, 'Shows ' || lang AS categories FROM documents")
+def infobox_map(spark, sf_dir):
+    info = F.col("info")
+    rows = wikitext(spark, sf_dir).select("doc_id", wiki.infobox(F.col("raw")).alias("info"), wiki.categories(F.col("raw")).alias("categories"))
+    return rows.select("doc_id", info["creator"].alias("creator"), info["starring"].alias("starring"), dates.start_year(info).alias("year"), "categories")
+
+
+@query(
+    "SELECT 'documents' AS \"table\", CAST(doc_id AS VARCHAR) AS url, 'short' AS rule FROM documents WHERE n_chars < 200 UNION ALL SELECT 'documents', CAST(doc_id AS VARCHAR), 'unknown language' FROM documents WHERE lang NOT IN ('en', 'de') "
+    "UNION ALL SELECT 'documents', CAST(d.doc_id AS VARCHAR), 'without labels' FROM documents d WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
+)
+def quality_violations(spark, sf_dir):
+    docs, labels = (table(spark, sf_dir, t).withColumn("key", F.col("doc_id").cast("string")) for t in ("documents", "labels"))
+    rules = {"short": F.col("n_chars") < 200, "unknown language": ~quality.among("lang", ["en", "de"])}
+    return quality.broken(docs, "documents", "key", rules).unionByName(quality.unmatched(docs, "key", labels, "key", "documents", "without labels"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def orphan_checks(spark, sf_dir):
+    return table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+
+
+@query(
+    "WITH e AS (SELECT CASE WHEN event_type = 'error' THEN 'crawl_error' ELSE 'page_crawled' END AS k, user_id % 7 AS l FROM events) "
+    "SELECT CAST(count(*) FILTER (k = 'page_crawled') AS BIGINT) AS pages, CAST(sum(l) FILTER (k = 'page_crawled') AS BIGINT) AS links, CAST(count(*) FILTER (k = 'crawl_error') AS BIGINT) AS errors, round(count(*) FILTER (k = 'page_crawled') / 60.0, 6) AS rate FROM e"
+)
+def event_stats(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "error", "crawl_error").otherwise("page_crawled")
+    lines = table(spark, sf_dir, "events").select(F.concat(F.lit("INFO - "), F.to_json(F.struct(kind.alias("event"), (F.col("user_id") % 7).alias("links_found")))).alias("value"))
+    return events.crawl_stats(events.parse(lines), seconds=60).withColumn("rate", r6("rate"))
+
+
+@query("SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
+def json_props(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.from_json("props", "k long")["k"].alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
+def incremental_ingest(spark, sf_dir):
+    import uuid
+
+    from showloom.streaming.ingest import ingest
+
+    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + f"/ingest-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "events").schema
+    for _ in range(2):  # the second run finds nothing new
+        ingest(spark, sf_dir, schema, f"{base}/out", f"{base}/checkpoint", pathGlobFilter="events.parquet")
+    return spark.read.parquet(f"{base}/out").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
+
+
+@query("SELECT doc_id, left(text, 200) || CASE WHEN length(text) > 200 THEN '...' ELSE '' END AS snippet FROM documents")
+def snippet_200(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text")).alias("snippet"))
