@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,10 +57,13 @@ class Index:
     @staticmethod
     def build(docs: DataFrame, weights: dict[str, float], key: str = "doc_id", title: str | None = None, url: str | None = None, sublinear: bool = True) -> Index:
         found = postings(docs, weights, key)
-        n = found.agg(F.countDistinct("doc_id").alias("n"))  # one row
-        terms = found.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))
         text = lambda c: (F.col(c) if c else F.lit(None)).cast("string")
-        return Index(found, terms, docs.select(F.col(key).alias("doc_id"), text(url).alias("url"), text(title).alias("title")), sublinear)
+        return Index.of(found, docs.select(F.col(key).alias("doc_id"), text(url).alias("url"), text(title).alias("title")), sublinear)
+
+    @staticmethod
+    def of(found: DataFrame, titles: DataFrame, sublinear: bool = True) -> Index:
+        n = found.agg(F.countDistinct("doc_id").alias("n"))  # one row
+        return Index(found, found.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)), titles, sublinear)
 
     def idf(self, mode: str) -> DataFrame:
         return self.terms.select("term", "df", idf(mode, F.col("n"), F.col("df")).alias("idf"))
@@ -68,14 +72,31 @@ class Index:
         w = tf_weight(F.col("tf"), self.sublinear) * F.col("idf")
         return self.postings.join(self.idf(mode), "term").groupBy("doc_id").agg(F.sqrt(F.greatest(F.sum(w * w), F.lit(1e-12))).alias("norm"))
 
+    def persist(self) -> Index:
+        """This index, its postings and terms kept (memory, then disk) for many searches; unpersist() both when done."""
+        self.postings.persist(StorageLevel.MEMORY_AND_DISK)
+        self.terms.persist(StorageLevel.MEMORY_AND_DISK)
+        return self
+
+    def all_norms(self, modes: tuple[str, ...]) -> DataFrame:
+        """doc_id, norm, idf_mode for several modes, in one pass over the postings."""
+        w = lambda m: tf_weight(F.col("tf"), self.sublinear) * idf(m, F.col("n"), F.col("df"))
+        sums = self.postings.join(self.terms, "term").groupBy("doc_id").agg(*[F.sum(w(m) * w(m)).alias(m) for m in modes])
+        each = F.explode(F.array(*[F.struct(F.lit(m).alias("idf_mode"), F.sqrt(F.greatest(F.col(m), F.lit(1e-12))).alias("norm")) for m in modes]))
+        return sums.select("doc_id", each.alias("x")).select("doc_id", "x.norm", "x.idf_mode")
+
     def save(self, folder: str, modes: tuple[str, ...] = MODES) -> None:
-        """Parquet: postings ranged and sorted by term, so a query's scan prunes to its terms; norms by idf mode."""
+        """Parquet: postings ranged and sorted by term, so a query's scan prunes to its terms; norms by idf mode.
+
+        Postings are written first, and what follows is computed from the files.
+        """
+        spark = self.postings.sparkSession
         self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
-        saved = Index(self.postings.sparkSession.read.parquet(f"{folder}/postings"), self.terms, self.titles, self.sublinear)
-        self.terms.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
+        saved = Index.of(spark.read.parquet(f"{folder}/postings"), self.titles, self.sublinear)
+        saved.terms.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
+        saved.terms = spark.read.parquet(f"{folder}/terms")
         self.titles.write.mode("overwrite").parquet(f"{folder}/titles")
-        for mode in modes:
-            saved.norms(mode).write.mode("overwrite").parquet(f"{folder}/norms/idf_mode={mode}")
+        saved.all_norms(modes).write.mode("overwrite").partitionBy("idf_mode").parquet(f"{folder}/norms")
 
     @staticmethod
     def load(spark: SparkSession, folder: str, sublinear: bool = True) -> Saved:

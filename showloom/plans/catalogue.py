@@ -46,7 +46,7 @@ IDF = {"classic": "ln(n / df)", "smooth": "ln((n + 1.0) / (df + 1.0)) + 1", "pro
 
 
 def index(spark: SparkSession, sf_dir: str) -> Index:
-    return Index.build(table(spark, sf_dir, "documents"), WEIGHTS, title="source")
+    return Index.build(table(spark, sf_dir, "documents"), WEIGHTS, title="source").persist()
 
 
 @query(f"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, {TERMS.format('text')} AS term FROM documents) GROUP BY doc_id, term")
