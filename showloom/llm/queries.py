@@ -64,5 +64,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_url_filter, op2_quality_classifier, op3_quality_rules, op4_html_extraction, op5_quotation_linking, op6_decontamination, op7_simhash, op8_token_shards, op9_warc, op10_sentencepiece)
 }
 
-#: Every op is tested against brute force in tests/llm; SQL is given where it says all that the query does.
-ORACLES: dict[str, str] = {}
+#: Shingles of five words (fewer: the whole sequence) of a table's texts, by its id.
+SHINGLES = (
+    "SELECT DISTINCT id, unnest(CASE WHEN len(w) < 6 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g "
+    "FROM (SELECT {id} AS id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}) WHERE len(w) > 0"
+)
+
+#: SQL where it says all that the query does; the other ops are tested against brute force in tests/llm.
+ORACLES: dict[str, str] = {
+    "op6_decontamination": (
+        f"WITH d AS ({SHINGLES.format(id='doc_id', table='documents')}), b AS ({SHINGLES.format(id='item_id', table='benchmark')}), n AS (SELECT id, count(*) AS n FROM b GROUP BY id), "
+        "c AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS c FROM d JOIN b USING (g) GROUP BY d.id, b.id) SELECT doc_id, item_id, c / n AS containment FROM c JOIN n ON n.id = item_id WHERE c >= 0.8 * n"
+    ),
+    "op9_warc": (
+        "WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS s FROM p), f AS (SELECT s, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY s) "
+        "SELECT page_id, n AS payload_bytes, s AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM d LEFT JOIN f USING (s)"
+    ),
+}
