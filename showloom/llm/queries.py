@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from showloom.llm import decontaminate, html_text, piece_codec, quality_model, quality_rules, quotes, simhash, sstable, url_filter, warc
 from showloom.llm.common import fresh_dir
@@ -27,7 +28,8 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,12 +72,41 @@ SHINGLES = (
     "FROM (SELECT {id} AS id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}) WHERE len(w) > 0"
 )
 
+
+
+def rules_sql() -> str:
+    """op3 in SQL: base counts, references by language, distances from them, verdict."""
+    q, chars, words = quality_rules, range(1, quality_rules.N_CLASSES + 1), range(1, len(quality_rules.WORD_LIST) + 2)
+    classes = [c.replace("'", "''") for c in q.CLASSES]
+    few = ", ".join(f"length(regexp_replace(r, '{c}', '', 'g'))" for c in classes)
+    common = ", ".join(f"len(list_filter(low, lambda x: x = '{w}'))" for w in q.WORD_LIST)
+    symbols = " + ".join(f"length(t) - length(replace(t, '{c}', ''))" for c in q.SYMBOLS)
+    means = ", ".join([f"avg(c[{i}] / list_sum(c)) AS c{i}" for i in chars] + [f"avg(k[{i}] / n) AS k{i}" for i in words])
+    term = lambda p, r: f"CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {r})) ELSE 0 END + CASE WHEN {r} > 0 THEN {r} * log2(2 * {r} / ({p} + {r})) ELSE 0 END"
+    js = lambda parts: f"sqrt(greatest(0, ({' + '.join(parts)}) / 2))"
+    by_char, by_word = js(term(f"(c[{i}] / list_sum(c))", f"c{i}") for i in chars), js(term(f"(k[{i}] / n)", f"k{i}") for i in words)
+    return f"""WITH a AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+b AS (SELECT *, regexp_replace(t, '[\\x09-\\x0D]', ' ', 'g') AS b, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM a),
+c AS (SELECT *, len(w) AS n, regexp_replace(b, '[\\p{{Ll}} ]+', '', 'g') AS r, length(b) - length(replace(b, ' ', '')) AS s, list_transform(w, lambda x: lower(x)) AS low FROM b),
+d AS (SELECT *, [length(b) - s - length(r), s, {few}] AS c0, [{common}] AS k0 FROM c),
+e AS (SELECT doc_id, lang, t, w, l, n, s, list_append(c0, length(b) - list_sum(c0)) AS c, list_append(k0, n - list_sum(k0)) AS k FROM d),
+refs AS (SELECT lang AS ref, {means} FROM e WHERE n >= {q.LEAST_WORDS} AND lang IN ({", ".join(f"'{x}'" for x in q.COMMON)}) AND c[{q.LOWER + 1}] / list_sum(c) >= {q.PROSE_LOWER} AND c[{q.REST + 1}] / list_sum(c) <= {q.PROSE_REST} GROUP BY lang),
+js AS (SELECT doc_id, n, {by_char} AS dc, {by_word} AS dk FROM e, refs WHERE n >= {q.LEAST_WORDS}),
+fit AS (SELECT doc_id, min(dc) AS dc, min(dk) AS dk, bool_or(dc <= {q.MAX_CHARS} AND dc + dk <= {q.MAX_SUM} + {q.EASE} / sqrt(n)) AS ok FROM js GROUP BY doc_id),
+win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 7], ' ')) AS m FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM e)),
+rep AS (SELECT doc_id, count(DISTINCT i + x) AS rep FROM win, range(0, 8) AS z(x) WHERE m > 1 GROUP BY doc_id),
+f AS (SELECT doc_id, n AS n_words, length(t) - s AS word_chars, {symbols} AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep, 0) AS n_repeat_words, dc, dk, coalesce(ok, true) AS ok FROM e LEFT JOIN rep USING (doc_id) LEFT JOIN fit USING (doc_id)),
+g AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEATED} * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept, round(dc, 6) AS char_distance, round(dk, 6) AS word_distance FROM g"""
+
+
 #: SQL where it says all that the query does; the other ops are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {
     "op6_decontamination": (
         f"WITH d AS ({SHINGLES.format(id='doc_id', table='documents')}), b AS ({SHINGLES.format(id='item_id', table='benchmark')}), n AS (SELECT id, count(*) AS n FROM b GROUP BY id), "
         "c AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS c FROM d JOIN b USING (g) GROUP BY d.id, b.id) SELECT doc_id, item_id, c / n AS containment FROM c JOIN n ON n.id = item_id WHERE c >= 0.8 * n"
     ),
+    "op3_quality_rules": rules_sql(),
     "op9_warc": (
         "WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS s FROM p), f AS (SELECT s, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY s) "
         "SELECT page_id, n AS payload_bytes, s AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM d LEFT JOIN f USING (s)"
