@@ -170,5 +170,5 @@ def judge(docs: DataFrame, refs: dict | None = None) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, all their columns."""
-    marked = judged(docs.select(*docs.columns, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")), references(docs), "_row")
+    marked = judged(docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")), references(docs), "_row")
     return marked.filter("kept").select("_row.*")
