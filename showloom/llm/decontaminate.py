@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from showloom.llm.common import python_rows, words_of
+from showloom.llm.common import python_rows, small_batches, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: UTF-8 bytes of benchmark text in a block.
@@ -119,6 +119,7 @@ class Items:
 
 def blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
     """The benchmark in blocks of MOST bytes. Their number is known from one aggregate before anything is collected."""
+    small_batches(benchmark.sparkSession)
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter("item_id is not null and text is not null")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, math.ceil(total / MOST))

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from showloom.llm.common import only, python_rows
+from showloom.llm.common import only, python_rows, small_batches
 
 #: The space marker of such models.
 MARK = "▁"
@@ -69,6 +69,8 @@ class Codec:
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs (doc_id, text)."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, sha = Codec(path), lambda x: hashlib.sha256(x.encode()).hexdigest()
         for part, (texts,) in python_rows(batches, "text"):

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from showloom.llm.boosting import Trees, train
-from showloom.llm.common import TO_BLANK, python_rows
+from showloom.llm.common import TO_BLANK, python_rows, small_batches
 
 SAMPLE = 20_000
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
@@ -63,6 +63,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     """Trees for labels.quality from the texts of at most sample labelled rows."""
+    small_batches(docs.sparkSession)
     known = labels.filter("doc_id is not null and quality in (0, 1)").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("other")).filter("label = other")
     # No more than sample rows of two numbers: fit for every task.
     chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "label"))
@@ -78,6 +79,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
 
 def scores(docs: DataFrame, model: Trees) -> DataFrame:
     """SCORES of every row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, (texts,) in python_rows(batches, "text"):
@@ -89,6 +91,7 @@ def scores(docs: DataFrame, model: Trees) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Trees) -> DataFrame:
     """The rows of docs that the model predicts good, all their columns."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, (texts,) in python_rows(batches, "text"):

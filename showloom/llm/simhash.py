@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from showloom.llm.common import cut, python_rows, words_of
+from showloom.llm.common import cut, python_rows, small_batches, words_of
 from showloom.llm.components import components
 
 SHINGLE, SEED, MOST = 4, 42, 4
@@ -61,6 +61,7 @@ def fingerprint(text: str | None, n: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (64 bits as a long) of every row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, (texts,) in python_rows(batches, "text"):
