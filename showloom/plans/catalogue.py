@@ -184,12 +184,12 @@ def search_match_all(spark, sf_dir):
 
 
 @query(
-    "SELECT c_custkey, c_name, s_suppkey, s_name FROM (SELECT *, CAST(regexp_extract(c_name, '([0-9]+)', 1) AS BIGINT) AS k FROM customer) c FULL OUTER JOIN (SELECT *, CAST(regexp_extract(s_name, '([0-9]+)', 1) AS BIGINT) AS k FROM supplier) s ON c.k = s.k AND c_nationkey = s_nationkey"
+    "SELECT CAST(c_custkey AS VARCHAR) AS customer, c_name, CAST(s_suppkey AS VARCHAR) AS supplier, s_name FROM (SELECT *, CAST(regexp_extract(c_name, '([0-9]+)', 1) AS BIGINT) AS k FROM customer) c FULL OUTER JOIN (SELECT *, CAST(regexp_extract(s_name, '([0-9]+)', 1) AS BIGINT) AS k FROM supplier) s ON c.k = s.k AND c_nationkey = s_nationkey"
 )
 def full_outer_two_key(spark, sf_dir):
     number = lambda c: F.regexp_extract(c, "([0-9]+)", 1).try_cast("long")
     left, right = table(spark, sf_dir, "customer").withColumn("k", number("c_name")), table(spark, sf_dir, "supplier").withColumn("sk", number("s_name"))
-    return left.join(right, (F.col("k") == F.col("sk")) & (F.col("c_nationkey") == F.col("s_nationkey")), "full_outer").select("c_custkey", "c_name", "s_suppkey", "s_name")
+    return left.join(right, (F.col("k") == F.col("sk")) & (F.col("c_nationkey") == F.col("s_nationkey")), "full_outer").select(F.col("c_custkey").cast("string").alias("customer"), "c_name", F.col("s_suppkey").cast("string").alias("supplier"), "s_name")
 
 
 @query(
