@@ -5,16 +5,22 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
+from functools import reduce
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from showloom.functions.text import STOP_WORDS, analyze, norm_query
+from showloom.operators import grammar
 from showloom.operators.index import Index, tf_weight
 
 BOOST, K1, B = 1.3, 1.2, 0.75
+#: Most terms that a fuzzy word stands for in a field.
+EXPANSIONS = 50
 #: Fields that free text is searched in.
 FIELDS = ["show_name", "alt_title", "native_title", "description", "wiki_description", "cast_all", "wiki_categories", "keywords", "content_all"]
 
@@ -116,7 +122,7 @@ def parse(command: str) -> Parsed:
 
 @dataclass
 class FieldIndex:
-    """postings(field, term, doc_id, tf, dl), stats(field, docs, total), df(field, term, df) of analyzed fields."""
+    """postings(field, term, doc_id, dl, tf, positions), stats(field, docs, total), df(field, term, df) of analyzed fields."""
 
     postings: DataFrame
     stats: DataFrame
@@ -126,25 +132,147 @@ class FieldIndex:
     def build(docs: DataFrame, fields: list[str], key: str = "doc_id") -> FieldIndex:
         each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), analyze(F.col(f)).alias("terms")) for f in fields]))
         rows = docs.select(F.col(key).alias("doc_id"), each.alias("x")).select("doc_id", "x.field", "x.terms", F.size("x.terms").cast("long").alias("dl")).filter("dl > 0")
-        found = rows.select("field", "doc_id", "dl", F.explode("terms").alias("term")).groupBy("field", "term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+        found = rows.select("field", "doc_id", "dl", F.posexplode("terms").alias("place", "term")).groupBy("field", "term", "doc_id", "dl").agg(F.count("*").alias("tf"), F.collect_list("place").alias("positions"))
         return FieldIndex(found, rows.groupBy("field").agg(F.count("*").alias("docs"), F.sum("dl").alias("total")), found.groupBy("field", "term").agg(F.count("*").alias("df")))
 
+    def save(self, folder: str) -> None:
+        """Parquet: postings by field, ranged and sorted by term, so a query's scan prunes to its terms."""
+        self.postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").partitionBy("field").parquet(f"{folder}/postings")
+        saved = self.postings.sparkSession.read.parquet(f"{folder}/postings")
+        saved.groupBy("field", "term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/df")
+        self.stats.write.mode("overwrite").parquet(f"{folder}/stats")
+
+    @staticmethod
+    def load(spark: SparkSession, folder: str) -> FieldIndex:
+        return FieldIndex(*[spark.read.parquet(f"{folder}/{name}") for name in ("postings", "stats", "df")])
+
+
+def analyzed(spark: SparkSession, node: grammar.Group) -> grammar.Group | None:
+    """node with words and phrases as the index has them; what holds no word drops out, None if nothing is left."""
+    texts = [*dict.fromkeys(x.text for x in node.leaves() if x.kind in ("word", "phrase"))]
+    found = spark.range(1).select(F.array(*[analyze(F.lit(t)) for t in texts]).alias("t")).first()["t"] if texts else []
+    words = dict(zip(texts, found, strict=True))
+
+    def leaf(x: grammar.Leaf) -> grammar.Leaf | grammar.Group | None:
+        if x.kind not in ("word", "phrase"):
+            return x
+        own = words[x.text]
+        if x.kind == "phrase" and len(own) > 1:
+            return replace(x, text=" ".join(own))
+        each = [(False, replace(x, kind="word", text=w)) for w in own]
+        return (each[0][1] if len(each) == 1 else grammar.Group(each)) if each else None
+
+    def group(g: grammar.Group) -> grammar.Group | None:
+        kept = [(must, y) for must, x in g.clauses if (y := group(x) if isinstance(x, grammar.Group) else leaf(x)) is not None]
+        return grammar.Group(kept) if kept else None
+
+    return group(node)
+
+
+def idf_of(stats: str = "docs", df: str = "df") -> Column:
+    return F.ln(1 + (F.col(stats) - F.col(df) + 0.5) / (F.col(df) + 0.5))
+
+
+def similar_terms(index: FieldIndex, number: int, leaf: grammar.Leaf) -> list[tuple[int, str, str, int, float]]:
+    """leaf's number, field, term, df, weight: in each field the EXPANSIONS terms most like a fuzzy word, with the
+    greatest df among them. The dictionary is scanned, not the postings, and what comes back is bounded."""
+    word, most = leaf.text, leaf.edits
+    near = [F.levenshtein("term", F.lit(word))] + [F.levenshtein("term", F.lit(v)) + 1 for v in grammar.swapped(word, 1)]
+    near += [F.when(F.col("term").isin(twice), 2)] if most > 1 and (twice := grammar.swapped(word, 2)) else []
+    edits = F.least(*near) if len(near) > 1 else near[0]
+    length = F.char_length("term")
+    rows = index.df.filter(length.between(len(word) - most, len(word) + most)).select("field", "term", "df", edits.alias("edits")).filter(F.col("edits") <= most)
+    likeness = 1 - F.col("edits") / F.least(F.char_length("term"), F.lit(len(word)))
+    best = Window.partitionBy("field").orderBy(F.desc("likeness"), "term")
+    rows = rows.withColumn("likeness", likeness).filter("likeness > 0").withColumn("k", F.row_number().over(best)).filter(F.col("k") <= EXPANSIONS).collect()
+    df = {f: max(r["df"] for r in rows if r["field"] == f) for f in {r["field"] for r in rows}}
+    return [(number, r["field"], r["term"], df[r["field"]], r["likeness"] * leaf.boost) for r in rows]
+
+
+def moved_back(places: Column, by: int) -> Column:
+    return F.transform(places, lambda p: p - by)
+
+
+def leaf_scores(index: FieldIndex, leaves: list[grammar.Leaf]) -> DataFrame:
+    """leaf, field, doc_id, score of the leaves, by their place in the list; a wildcard scores its boost for each term."""
+    spark, stats = index.postings.sparkSession, F.broadcast(index.stats)
+    saturated = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (F.col("total") / F.col("docs"))))
+    numbered, parts = list(enumerate(leaves)), []
+    words = [(i, x.text, x.boost) for i, x in numbered if x.kind == "word"]
+    if words:
+        each = F.broadcast(spark.createDataFrame(words, "leaf int, term string, weight double"))
+        terms = [*{t for _, t, _ in words}]
+        weights = F.broadcast(index.df.filter(F.col("term").isin(terms)).join(each, "term"))
+        hits = index.postings.filter(F.col("term").isin(terms)).join(weights, ["field", "term"]).join(stats, "field")
+        parts.append(hits.select("leaf", "field", "doc_id", (F.col("weight") * idf_of() * saturated).alias("score")))
+    similar = [r for i, x in numbered if x.kind == "fuzzy" for r in similar_terms(index, i, x)]
+    if similar:
+        weights = F.broadcast(spark.createDataFrame(similar, "leaf int, field string, term string, df long, weight double"))
+        hits = index.postings.filter(F.col("term").isin([*{r[2] for r in similar}])).join(weights, ["field", "term"]).join(stats, "field")
+        parts.append(hits.select("leaf", "field", "doc_id", (F.col("weight") * idf_of() * saturated).alias("score")))
+    for i, x in numbered:
+        if x.kind == "wildcard":
+            start, pattern = grammar.wildcard(x.text)
+            fits = F.col("term").startswith(start) & (F.col("term").rlike(pattern) if pattern else F.lit(True))
+            parts.append(index.postings.filter(fits).select(F.lit(i).alias("leaf"), "field", "doc_id", F.lit(x.boost).alias("score")))
+        elif x.kind == "phrase":
+            own = x.text.split(" ")
+            times = F.broadcast(spark.createDataFrame([*Counter(own).items()], "term string, times long"))
+            weight = F.broadcast(index.df.filter(F.col("term").isin(own)).join(times, "term").join(stats, "field").groupBy("field").agg(F.sum(F.col("times") * idf_of()).alias("weight")))
+            # Of each document: its places of each word, then places of the first word that all others follow.
+            places = {w: F.max(F.when(F.col("term") == w, F.col("positions"))) for w in dict.fromkeys(own)}
+            rows = index.postings.filter(F.col("term").isin(own)).groupBy("field", "doc_id", "dl").agg(*[c.alias(f"p{k}") for k, c in enumerate(places.values())])
+            at = {w: F.col(f"p{k}") for k, w in enumerate(places)}
+            starts = reduce(F.array_intersect, [moved_back(at[w], k) for k, w in enumerate(own)])
+            hits = rows.withColumn("tf", F.size(starts)).filter("tf > 0").join(weight, "field").join(stats, "field")
+            parts.append(hits.select(F.lit(i).alias("leaf"), "field", "doc_id", (F.lit(x.boost) * F.col("weight") * saturated).alias("score")))
+    return reduce(DataFrame.unionByName, parts) if parts else index.postings.limit(0).select(F.lit(0).alias("leaf"), "field", "doc_id", F.lit(0.0).alias("score"))
+
+
+def matched(node: grammar.Group | grammar.Leaf, places: Iterator[int]) -> Column:
+    """Whether a field of a document matches node; s0, s1, ... are the scores of all leaves in order, null where one
+    doesn't match."""
+    if isinstance(node, grammar.Leaf):
+        return F.col(f"s{next(places)}").isNotNull()
+    each = [(must, matched(x, places)) for must, x in node.clauses]
+    musts = [c for must, c in each if must]
+    return reduce(lambda a, b: a & b, musts) if musts else reduce(lambda a, b: a | b, [c for _, c in each])
+
+
+def total(node: grammar.Group | grammar.Leaf, places: Iterator[int]) -> Column:
+    """The score of node where it matches: that of a group that doesn't match isn't counted."""
+    if isinstance(node, grammar.Leaf):
+        return F.coalesce(f"s{next(places)}", F.lit(0.0))
+    out = F.lit(0.0)
+    for _, x in node.clauses:
+        first = next(places)
+        size = len([*x.leaves()]) if isinstance(x, grammar.Group) else 1
+        own = [first, *islice(places, size - 1)]
+        out = out + F.when(matched(x, iter(own)), total(x, iter(own))).otherwise(0.0)
+    return out
+
 
 def bm25(index: FieldIndex, docs: DataFrame, command: str, k: int = 5, boosts: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, score: k best of docs (doc_id and filter columns) by the sum of BM25 over fields and terms; filters don't score."""
+    """doc_id, score: k best of docs (doc_id and filter columns) for a command of filters and free text.
+
+    Text is read by the grammar, against each field by itself: a document matches where one of its fields matches the
+    whole tree, and scores the sum over such fields. Filters don't score. Without text every document scores 1.
+    """
     parsed = parse(command)
     held = docs.filter(parsed.predicate()).select("doc_id")
-    text = docs.sparkSession.range(1).select(analyze(norm_query(F.lit(parsed.text))).alias("t")).first()["t"]
+    spark = docs.sparkSession
+    text = spark.range(1).select(norm_query(F.lit(parsed.text)).alias("t")).first()["t"]
     if not text:
         return held.select("doc_id", F.lit(1.0).alias("score")).orderBy("doc_id").limit(k)
-    counts = Counter(text)
-    hits = index.postings.filter(F.col("term").isin([*counts])).join(query_terms(docs, counts), "term")
-    hits = hits.join(F.broadcast(index.df.filter(F.col("term").isin([*counts]))), ["field", "term"]).join(F.broadcast(index.stats), "field")
-    weight = F.ln(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("qtf")
-    if boosts:
-        weight = weight * F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in boosts.items() for x in p]), F.col("field")), F.lit(1.0))
-    length = K1 * (1 - B + B * F.col("dl") / (F.col("total") / F.col("docs")))
-    scores = hits.groupBy("doc_id").agg(F.sum(weight * F.col("tf") / (F.col("tf") + length)).alias("score"))
+    tree = analyzed(spark, grammar.parse(text))
+    leaves = [*tree.leaves()] if tree else []
+    scores = leaf_scores(index, leaves)
+    if tree and (tree.has_must() or any(x.kind == "wildcard" for x in leaves)):
+        # A wildcard counts once, however many terms fit.
+        each = [(F.max if x.kind == "wildcard" else F.sum)(F.when(F.col("leaf") == i, F.col("score"))).alias(f"s{i}") for i, x in enumerate(leaves)]
+        scores = scores.groupBy("field", "doc_id").agg(*each).filter(matched(tree, iter(range(len(leaves))))).select("field", "doc_id", total(tree, iter(range(len(leaves)))).alias("score"))
+    weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in boosts.items() for x in p]), F.col("field")), F.lit(1.0)) if boosts else F.lit(1.0)
+    scores = scores.groupBy("doc_id").agg(F.sum(F.col("score") * weight).alias("score"))
     scores = scores.join(held, "doc_id", "left_semi") if parsed.filters else scores
     return scores.orderBy(F.desc(F.round("score", 12)), "doc_id").limit(k)
 

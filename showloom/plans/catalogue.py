@@ -178,6 +178,45 @@ def search_filters(spark, sf_dir):
     return filtered(spark, sf_dir, "hation country:EN genre:src1 year>=1960 year<=2010 the year>=abc")
 
 
+PLACED = (
+    "raw AS (SELECT doc_id, field, unnest(l) AS term, unnest(range(len(l))) AS pos FROM (SELECT doc_id, field, regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+') AS l FROM (SELECT doc_id, 'text' AS field, text AS t FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents))), "
+    "dl AS (SELECT field, doc_id, count(*) AS dl FROM raw GROUP BY ALL), st AS (SELECT field, count(*) AS n, avg(dl) AS a FROM dl GROUP BY field), post AS (SELECT field, term, doc_id, count(*) AS tf FROM raw GROUP BY ALL), "
+    "df AS (SELECT field, term, count(*) AS df FROM post GROUP BY ALL), idf AS (SELECT field, term, df, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM df JOIN st USING (field)), "
+    "sat AS (SELECT field, doc_id, 1.2 * (1 - 0.75 + 0.75 * dl / a) AS k FROM dl JOIN st USING (field)), word AS (SELECT field, doc_id, term, tf / (tf + k) AS part, idf * tf / (tf + k) AS s FROM post JOIN sat USING (field, doc_id) JOIN idf USING (field, term)), "
+)
+BEST = " SELECT doc_id, round(sum(s), 6) AS score FROM hits GROUP BY doc_id ORDER BY round(sum(s), 12) DESC, doc_id LIMIT 5"
+
+
+@query(
+    "WITH " + PLACED + "phrase AS (SELECT x.field, x.doc_id, count(*) AS tf FROM raw x JOIN raw y ON x.field = y.field AND x.doc_id = y.doc_id AND y.pos = x.pos + 1 WHERE x.term = 'anea' AND y.term = 'eriner' GROUP BY ALL), "
+    "hits AS (SELECT doc_id, (SELECT sum(idf) FROM idf i WHERE i.field = phrase.field AND i.term IN ('anea', 'eriner')) * tf / (tf + k) AS s FROM phrase JOIN sat USING (field, doc_id) UNION ALL SELECT doc_id, 2 * s FROM word WHERE term = 'hation')" + BEST
+)
+def search_phrase(spark, sf_dir):
+    return filtered(spark, sf_dir, '"Anea Eriner" hation^2')
+
+
+@query("WITH " + PLACED + "hits AS (SELECT DISTINCT doc_id, field, 3.0::DOUBLE AS s FROM post WHERE term LIKE 'hati%n' UNION ALL SELECT doc_id, field, s FROM word WHERE term = 'hation')" + BEST)
+def search_wildcard(spark, sf_dir):
+    return filtered(spark, sf_dir, "hati*n^3 hation")
+
+
+@query(
+    "WITH " + PLACED + "near AS (SELECT field, term, df, 1 - damerau_levenshtein(term, 'hatoin') / least(length(term), 6) AS w FROM df WHERE damerau_levenshtein(term, 'hatoin') <= 2), "
+    "top AS (SELECT *, max(df) OVER (PARTITION BY field) AS top FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY w DESC, term) AS r FROM near WHERE w > 0) WHERE r <= 50), "
+    "hits AS (SELECT doc_id, w * ln(1 + (n - top + 0.5) / (top + 0.5)) * part AS s FROM top JOIN word USING (field, term) JOIN st USING (field))" + BEST
+)
+def search_fuzzy(spark, sf_dir):
+    return filtered(spark, sf_dir, "hatoin~")
+
+
+@query(
+    "WITH " + PLACED + "each AS (SELECT field, doc_id, sum(s) FILTER (term = 'hation') AS a, sum(s) FILTER (term = 'the') AS b, sum(2 * s) FILTER (term = 'and') AS c, sum(s) FILTER (term = 'onsh') AS d FROM word GROUP BY ALL), "
+    "hits AS (SELECT doc_id, a + coalesce(b, 0) + coalesce(c, 0) + coalesce(d, 0) AS s FROM each WHERE a IS NOT NULL AND (b IS NOT NULL OR c IS NOT NULL))" + BEST
+)
+def search_must(spark, sf_dir):
+    return filtered(spark, sf_dir, "+hation && (the || and^2) onsh")
+
+
 @query("SELECT doc_id, 1.0::DOUBLE AS score FROM documents WHERE lang = 'de' ORDER BY doc_id LIMIT 5")
 def search_match_all(spark, sf_dir):
     return filtered(spark, sf_dir, "country:de").select("doc_id", F.col("score").cast("double").alias("score"))

@@ -1,12 +1,13 @@
 """Catalog operators: page extraction, text functions, index, search and the rest, on small hand-made cases."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from showloom.functions import dates, html, text, urls, wiki
-from showloom.operators import catalog, crawl, events, quality, search
+from showloom.operators import catalog, crawl, events, grammar, quality, search
 from showloom.operators.index import Index
 from showloom.sources import tables
 
@@ -131,6 +132,39 @@ def test_mini_language(spark):
     assert search.bm25(index, docs, "city", boosts={"content": 2.0}).first()["score"] == pytest.approx(2 * score)
 
 
+def test_grammar():
+    def shape(node):
+        return [("+" if must else "") + (x.text + f"^{x.boost:g}" * (x.boost != 1) + f"~{x.edits}" * bool(x.edits) if isinstance(x, grammar.Leaf) else str(shape(x))) for must, x in node.clauses]
+
+    assert shape(grammar.parse('a +b "c d"^3 e~1 f~9')) == ["a", "+b", "c d^3", "e~1", "f~2"]
+    assert shape(grammar.parse("a b && c || d")) == ["a", "+b", "+c", "d"]
+    assert shape(grammar.parse("(a +(b c^2))^3 c++ r&b")) == ["['a^3', \"+['b^3', 'c^6']\"]", "c++", "r&b"]
+    assert [x.kind for x in grammar.parse(r'x* a\*b a\\* "q"').leaves()] == ["wildcard", "word", "wildcard", "phrase"]
+    assert grammar.wildcard("ab*") == ("ab", None) and re.match(grammar.wildcard("a*b")[1].replace(r"\x{61}", "a").replace(r"\x{62}", "b"), "axxb")
+    assert grammar.swapped("abcd", 1) == ["abdc", "acbd", "bacd"] and grammar.swapped("abcd", 2) == ["badc"] and grammar.swapped("a", 1) == []
+    for bad in ('"open', "(a", "a)", "()", "&& a", "a &&", "+", "^2", "*a", "(a)~", '"a b"~3', "[a to b]", "a ^2^3"):
+        with pytest.raises(ValueError):
+            grammar.parse(bad)
+
+
+def test_bm25_grammar(spark, tmp_path):
+    rows = [(1, "red green blue"), (2, "green red"), (3, "red blue green red green"), (4, "rde"), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, content string")
+    built = search.FieldIndex.build(docs, ["content"])
+    built.save(str(tmp_path))
+    for index in (built, search.FieldIndex.load(spark, str(tmp_path))):
+        ids = lambda q, index=index: sorted(r["doc_id"] for r in search.bm25(index, docs, q).collect())
+        assert ids('"red green"') == [1, 3] and ids('"green red green"') == [3] and ids('"red red"') == []
+        assert ids("gre*") == [1, 2, 3] and ids("b*e") == [1, 3] and ids("red~") == [1, 2, 3, 4] and ids("rde~1") == [1, 2, 3, 4] and ids("dre~0") == []
+        assert ids("+red +blue") == [1, 3] and ids("red && (blue || rde)") == [1, 3] and ids("+blue rde") == [1, 3] and ids("rde blue") == [1, 3, 4]
+        assert ids("%") == [] and ids("absent") == [] and ids('"%" red') == [1, 2, 3]
+        assert [r["score"] for r in search.bm25(index, docs, "r*^3").collect()] == [3.0] * 4
+        # "red green" is once in each: document 3 has it at its end.
+        scores = {r["doc_id"]: r["score"] for r in search.bm25(index, docs, '"red green"').collect()}
+        idf, tf = math.log(1 + (4 - 3 + 0.5) / (3 + 0.5)), {1: (1, 3), 3: (1, 5)}
+        assert scores == pytest.approx({i: 2 * idf * n / (n + 1.2 * (0.25 + 0.75 * dl / 2.75)) for i, (n, dl) in tf.items()})
+
+
 def test_quality(spark, shows):
     found = {(r["table"], r["url"], r["rule"]) for r in quality.validate(shows).collect()}
     assert ("shows", "u1", "missing or invalid end date") in found and ("shows", "u2", "without credits") in found and ("shows", "u2", "missing status") in found
