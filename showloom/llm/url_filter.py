@@ -6,7 +6,8 @@ together; of equally long ones a blocking rule, then the first by name). Where n
 
 Features are expressions over the URL, and so are the trained trees: nested CASE expressions over the feature columns.
 Training takes labelled URLs, at most SAMPLE of them (those that hash least), on the driver; seed_urls() makes a set
-from word lists and a fixed mixing rule, for use where no labelled URLs are at hand. Suffix statistics are counts of
+from word lists and a fixed mixing rule, for use where no labelled URLs are at hand; both of its classes have hosts with
+and without hyphens, and several features together tell them apart. Suffix statistics are counts of
 the training set by last host label, at most SUFFIXES of them, the rest at the prior.
 
 Defined results: a null URL, or one without "://", has empty host and path, fits no rule, and is scored as it is (null
@@ -31,9 +32,12 @@ PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: host, path, whether URLs under it are allowed.
 RULES = [("com", "/en/", False), ("example.com", "/en/7", True), ("net", "/de/", True), ("example.net", "/de/8", False), ("org", "/es/", False)]
 #: Parts of host names for seed_urls(), of sites to block and of plain ones.
-BLOCK_WORDS = "casino bet bets poker win slots pills pharma cheap deals spam farm adult cam xxx free prize loan cash click ads track tracker banner pop warez crack torrent hack miner".split()
+BLOCK_WORDS = "poker slots roulette pharma deals loot warez crack torrent hack miner xxx prize loan cash clicks banner popup jackpot bonus vegas diet viagra replica".split()
 PLAIN_WORDS = "garden river library museum school news weather cooking travel music science history letters market bridge forest island castle morning paper village stone maple harbor studio journal market museum clinic theatre".split()
 PATH_WORDS = "en de fr es news article page post item about help guide story topic archive".split()
+PARAMETERS = "id q sid cat sort lang click aff src sess view size".split()
+#: Ends of hosts that both classes have, and those that one has more often; half of the hosts have one of either.
+SUFFIX_WORDS, BLOCK_SUFFIXES, PLAIN_SUFFIXES = "com net org info eu".split(), "top xyz click bid win".split(), "edu museum city coop gov".split()
 
 
 def whole(url: Column) -> Column:
@@ -161,13 +165,38 @@ def mixed(k: int, n: int) -> int:
 
 
 def seed_urls(spark: SparkSession, n: int = 3000) -> DataFrame:
-    """url, blocked: n URLs put together from word lists, half of them of hosts as spam has them."""
+    """url, blocked: n URLs put together from word lists, every other one of a site to block.
+
+    Both classes draw from the same forms, in other shares: sites to block are landing pages of hyphenated hosts, hosts
+    with digits, or deep tracking links with parameters; plain ones are short sites, hyphenated names with slugs or
+    dated paths, or shops with parameters. No feature alone tells the classes apart.
+    """
     rows = []
     for k in range(n):
-        pick = lambda i, of, k=k: of[mixed(8 * k + i, len(of))]
-        blocked = k % 2
-        word = pick(0, BLOCK_WORDS) + pick(6, ["-", "-", "-", "--"]) + pick(1, BLOCK_WORDS) + pick(2, ["", "", "24", "-x"]) if blocked else pick(0, PLAIN_WORDS) + pick(1, ["", "", *PLAIN_WORDS[:12]])
-        lead, end = pick(2, ["", "", "www.", "blog.", "m."]), pick(3, [".example.com", ".example.net", ".example.org"])
-        tail = f"/{pick(4, PATH_WORDS)}/{mixed(8 * k + 5, 50_000)}" + pick(7, ["", "/", ".html", "#top", "?page=2&ref=x", "?utm_source=feed"])
-        rows.append((f"{pick(5, ['http', 'https'])}://{lead}{word}{end}{tail}", blocked))
+        draw = lambda i, m, k=k: mixed(32 * k + i, m)
+        pick = lambda i, of, draw=draw: of[draw(i, len(of))]
+        chance = lambda i, percent, draw=draw: draw(i, 100) < percent
+        blocked, kind = k % 2, draw(0, 10)
+        words = BLOCK_WORDS if blocked else PLAIN_WORDS
+        one, two = pick(1, words), pick(2, words)
+        slug = "-".join(pick(i, PATH_WORDS + PLAIN_WORDS) for i in range(3, 5 + draw(6, 3)))
+        short = f"/{pick(7, PATH_WORDS)}" + (f"/{draw(8, 900)}" if chance(9, 60) else "")
+        deep = "".join(f"/{pick(i, PATH_WORDS)}" for i in range(10, 12 + draw(13, 3)))
+        query = "?" + "&".join(f"{pick(i, PARAMETERS)}={draw(i + 4, 10**6)}" for i in range(14, 15 + draw(22, 4)))
+        if blocked:
+            if kind < 5:
+                name, tail = f"{one}-{two}" + ("-" + pick(23, words) if chance(24, 30) else ""), (f"/{slug}" if chance(18, 20) else short) + (query if chance(25, 20) else "")
+            elif kind < 8:
+                name, tail = f"{one}{two}{draw(23, 1000)}", (deep if chance(24, 60) else short) + (query if chance(25, 30) else "")
+            else:
+                name, tail = one + two, f"{deep}/{draw(23, 10**8)}{query}"
+        elif kind < 5:
+            name, tail = one + (two if chance(23, 40) else ""), short if chance(24, 60) else f"{deep}/{slug}"
+        elif kind < 8:
+            name, tail = f"{one}-{two}", short if chance(18, 20) else f"/{slug}" if chance(24, 50) else f"/{1995 + draw(25, 30)}/{1 + draw(23, 12)}/{slug}"
+        else:
+            name, tail = one + two + (str(draw(23, 100)) if chance(24, 20) else ""), short + f"?{pick(25, PARAMETERS)}={pick(18, PATH_WORDS)}"
+        lead, end = pick(26, ["", "", "", "shop.", "en."]), pick(27, BLOCK_SUFFIXES if chance(28, 50) else SUFFIX_WORDS) if blocked else pick(27, PLAIN_SUFFIXES if chance(28, 50) else SUFFIX_WORDS)
+        scheme = "http" if chance(29, 65 if blocked else 35) else "https"
+        rows.append((f"{scheme}://{lead}{name}.{end}{tail}", blocked))
     return spark.createDataFrame(rows, "url string, blocked int")

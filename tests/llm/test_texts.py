@@ -6,6 +6,7 @@ import re
 import struct
 import zlib
 
+import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
@@ -188,6 +189,26 @@ def test_url_filter(spark):
     assert "Python" not in url_filter.judge(pages, url_filter.fit(url_filter.seed_urls(spark, 60)))._jdf.queryExecution().toString()
 
 
+def test_seed_urls_need_several_features(spark):
+    rows = url_filter.seed_urls(spark).collect()
+    hyphens = collections.Counter((r["blocked"], "-" in r["url"].split("/")[2]) for r in rows)
+    assert min(hyphens[b, h] for b in (0, 1) for h in (False, True)) > 300
+    trees, suffixes, prior = url_filter.fit(spark.createDataFrame(rows[:2000]))
+    used = collections.Counter(trees.feature[np.isfinite(trees.threshold)].tolist())
+    assert len(used) >= 5 and max(used.values()) < 0.5 * sum(used.values())
+    named = url_filter.features(F.col("url"), url_filter.host(F.col("url")), url_filter.path(F.col("url")), suffixes, prior)
+    x = np.array([r["x"] for r in spark.createDataFrame(rows).select(F.array(*named.values()).alias("x")).collect()])
+    y = np.array([r["blocked"] for r in rows])
+    for values in x.T:  # no feature alone
+        assert all(0.15 < np.mean((values > t) == y) < 0.85 for t in np.unique(values)[:-1])
+    held = spark.createDataFrame([(i, r["url"]) for i, r in enumerate(rows[2000:])], "page_id long, url string")
+    right = collections.defaultdict(list)
+    for r in url_filter.judge(held, (trees, suffixes, prior), []).collect():
+        blocked = rows[2000 + r["page_id"]]["blocked"]
+        right[blocked, "-" in r["host"]].append((r["verdict"] == "block") == bool(blocked))
+    assert len(right) == 4 and all(len(v) > 80 and np.mean(v) > 0.85 for v in right.values()), {k: np.mean(v) for k, v in right.items()}
+
+
 def held_by(doc, item):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
