@@ -2,11 +2,12 @@
 
 Markup is stripped into lines, one per block element in page order; each line weighs as many characters as it has
 outside links. Lines within boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments: by element, class, id or role) weigh nothing, and neither do lines outside the article where the page
-marks one (article, main, itemprop=articleBody); lines in it weigh at least SURGE, so that short ones of a marked
-article are kept. Weights are summed over windows of WIDTH lines; text surges where a window reaches SURGE, dives where
-the line after it and its window fall to nothing, and the weighing lines from a surge to its dive are kept. A page
-where no window surges keeps all lines that weigh something.
+reader comments: by element, class, id or role) weigh nothing; lines in an article that the page marks (article, main,
+itemprop=articleBody) weigh BONUS more, so that links and short lines of an article don't end it. Weights are summed
+over windows of WIDTH lines; text surges where a window reaches SURGE, dives where the line after it and its window fall
+to nothing, and the weighing lines from a surge to its dive are kept. A page where no window surges keeps all lines that
+weigh something. Of what is kept, lines outside marked articles go only if the heaviest article weighs as much as all of
+them together; so an article beside a longer text (a card, a listing) takes nothing from it.
 
 Defined results: a null or empty html gives an empty text; an unclosed element ends with its parent; a page cut off in
 a tag loses that tag. Character references are decoded, white space inside a block (also br) becomes one space, blocks
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame
 from showloom.llm.common import only, python_rows
 
 WIDTH, SURGE = 3, 80
+#: Of a line in a marked article; WIDTH of them reach SURGE.
+BONUS = 27
 TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[/!?a-zA-Z][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Elements by kind, and words of class, id and role.
@@ -59,19 +62,19 @@ def is_bad(name: str, text: str, in_article: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """Text, characters outside links, in boilerplate, in a marked article: of each line that isn't empty."""
-    out: list[tuple[str, int, bool, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
+    """Text, characters outside links, in boilerplate, number of the marked article (0: none): of each line that isn't empty."""
+    out: list[tuple[str, int, bool, int]] = []
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, bool]] = []  # name, starts boilerplate, starts an article
-    bad = marked = links = 0
+    bad = marked = links = articles = 0
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             if text := " ".join(entities.unescape("".join(parts)).split()):
-                out.append((text, max(0, len(text) - linked), bad > 0, marked > 0))
+                out.append((text, max(0, len(text) - linked), bad > 0, articles if marked else 0))
             parts, linked = [], 0
 
     def pop() -> None:
@@ -133,6 +136,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         started_bad = is_bad(name, m[3], marked > 0)
         started_marked = name in MARKED or "articleBody" in m[3]
         stack.append((name, started_bad, started_marked))
+        articles += started_marked and not marked
         bad, marked, links = bad + started_bad, marked + started_marked, links + (name == "a")
     text(at, len(page))
     flush()
@@ -141,8 +145,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
 
 def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
-    article = any(m and not b for _, _, b, m in lines)
-    weights = [0 if b or article and not m else max(n, SURGE) if m else n for _, n, b, m in lines]
+    weights = [0 if b else n + BONUS if m else n for _, n, b, m in lines]
     sums = [sum(weights[i : i + WIDTH]) for i in range(len(weights))]
     kept = [False] * len(lines)
     i = 0
@@ -155,6 +158,12 @@ def main_text(page: str | None) -> str:
             i += 1
     if not any(kept):
         kept = [w > 0 for w in weights]
+    by_article: dict[int, int] = {}
+    for (_, _, _, m), w, k in zip(lines, weights, kept, strict=True):
+        by_article[m] = by_article.get(m, 0) + w * k
+    outside = by_article.pop(0, 0)
+    if max(by_article.values(), default=0) >= outside > 0:
+        kept = [k and m > 0 for (_, _, _, m), k in zip(lines, kept, strict=True)]
     return "\n".join(x[0] for x, k in zip(lines, kept, strict=True) if k)
 
 

@@ -168,6 +168,15 @@ def test_html(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_html_windows_decide_in_marked_pages():
+    story, card = f"<p>{LONG}</p><p>{LONG}</p>", "<article><h3><a href=x>Another story</a></h3><p>A short teaser that leads to it.</p></article>"
+    for page in (f"<div>{story}</div>{card}", f"{card}<div>{story}</div>", f"{card * 9}<div>{story * 2}</div>{card}"):
+        assert html_text.main_text(page).count(LONG.strip()) == page.count(LONG)
+    assert html_text.main_text(f"<article>{story}<p><a href=x>All of it a link</a></p></article><div>{LONG}</div>") == f"{LONG.strip()}\n{LONG.strip()}\nAll of it a link"
+    lone = "<article><p>Two short words</p></article>" + "<ul>" + "<li><a href=x>elsewhere</a></li>" * 4 + f"</ul><div>{LONG}</div>"
+    assert html_text.main_text(lone) == LONG.strip()
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/abp=\"'! -&;divstyle\n", max_size=60))
 def test_html_never_fails(text):
