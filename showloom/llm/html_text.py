@@ -1,12 +1,12 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 Markup is stripped into lines, one per block element in page order; each line weighs as many characters as it has
-outside links. Lines within boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments: by element, class, id or role) weigh nothing; lines in an article that the page marks (article, main,
-itemprop=articleBody) weigh BONUS more, so that links and short lines of an article don't end it. Weights are summed
-over windows of WIDTH lines; text surges where a window reaches SURGE, dives where the line after it and its window fall
-to nothing, and the weighing lines from a surge to its dive are kept. A page where no window surges keeps all lines that
-weigh something. Of what is kept, lines outside marked articles go only if the heaviest article weighs as much as all of
+outside links, a paragraph of links alone 1. Lines within boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
+reader comments: by element, class, id or role) are taken out first, so that they part no text; lines in an article that the page
+marks (article, main, itemprop=articleBody) weigh BONUS more, so that links and short lines of an article don't end it.
+Weights are summed over windows of WIDTH lines; text dives where a window falls to nothing, and is kept where a window
+between two dives surges, that is reaches SURGE: from the first weighing line to the last, short ones before the surge
+and links amid them too. A page where no window surges keeps all lines that weigh something. Of what is kept, lines outside marked articles go only if the heaviest article weighs as much as all of
 them together; so an article beside a longer text (a card, a listing) takes nothing from it.
 
 Defined results: a null or empty html gives an empty text; an unclosed element ends with its parent; a page cut off in
@@ -63,26 +63,27 @@ def is_bad(name: str, text: str, in_article: bool) -> bool:
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
-    """Text, characters outside links, in boilerplate, number of the marked article (0: none): of each line that isn't empty."""
+    """Text, characters outside links (at least 1 in a paragraph), in boilerplate, number of the marked article (0: none): of each line that isn't empty."""
     out: list[tuple[str, int, bool, int]] = []
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, bool]] = []  # name, starts boilerplate, starts an article
-    bad = marked = links = articles = 0
+    bad = marked = links = articles = paragraphs = 0
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             if text := " ".join(entities.unescape("".join(parts)).split()):
-                out.append((text, max(0, len(text) - linked), bad > 0, articles if marked else 0))
+                out.append((text, max(paragraphs > 0, len(text) - linked), bad > 0, articles if marked else 0))
             parts, linked = [], 0
 
     def pop() -> None:
-        nonlocal bad, marked, links
+        nonlocal bad, marked, links, paragraphs
         name, was_bad, was_marked = stack.pop()
         if name in BLOCKS:
             flush()
         bad, marked, links = bad - was_bad, marked - was_marked, links - (name == "a")
+        paragraphs -= name == "p"
 
     def text(start: int, end: int) -> None:
         nonlocal linked
@@ -138,32 +139,35 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
         stack.append((name, started_bad, started_marked))
         articles += started_marked and not marked
         bad, marked, links = bad + started_bad, marked + started_marked, links + (name == "a")
+        paragraphs += name == "p"
     text(at, len(page))
     flush()
     return out
 
 
 def main_text(page: str | None) -> str:
-    lines = lines_of(page or "")
-    weights = [0 if b else n + BONUS if m else n for _, n, b, m in lines]
+    lines = [(x, n + BONUS if m else n, m) for x, n, b, m in lines_of(page or "") if not b]
+    weights = [n for _, n, _ in lines]
     sums = [sum(weights[i : i + WIDTH]) for i in range(len(weights))]
     kept = [False] * len(lines)
     i = 0
     while i < len(lines):
-        if sums[i] >= SURGE:
-            while i < len(lines) and (weights[i] or sums[i]):
-                kept[i] = weights[i] > 0
-                i += 1
-        else:
+        start, last = i, -1
+        while i < len(lines) and sums[i]:
+            last = i if weights[i] else last
             i += 1
+        if last >= 0 and max(sums[start:i]) >= SURGE:
+            first = next(k for k in range(start, i) if weights[k])
+            kept[first : last + 1] = [True] * (last + 1 - first)
+        i += i == start
     if not any(kept):
         kept = [w > 0 for w in weights]
     by_article: dict[int, int] = {}
-    for (_, _, _, m), w, k in zip(lines, weights, kept, strict=True):
+    for (_, w, m), k in zip(lines, kept, strict=True):
         by_article[m] = by_article.get(m, 0) + w * k
     outside = by_article.pop(0, 0)
     if max(by_article.values(), default=0) >= outside > 0:
-        kept = [k and m > 0 for (_, _, _, m), k in zip(lines, kept, strict=True)]
+        kept = [k and m > 0 for (_, _, m), k in zip(lines, kept, strict=True)]
     return "\n".join(x[0] for x, k in zip(lines, kept, strict=True) if k)
 
 

@@ -177,6 +177,17 @@ def test_html_windows_decide_in_marked_pages():
     assert html_text.main_text(lone) == LONG.strip()
 
 
+def test_html_keeps_titles_and_endings():
+    advert, body = "<div class=ad>Buy</div><div class=share><p>one</p><p>two</p><p>three</p></div>", f"<p>{LONG}</p>" * 2
+    text = ["A headline", "By Me", "12 May 2001", LONG.strip(), LONG.strip()]
+    top = "<h1>A headline</h1><div>By Me</div><div>12 May 2001</div>"
+    assert html_text.main_text(f"<div>{top}{body}</div>").split("\n") == text
+    assert html_text.main_text(f"<div>{top}{advert}{body}{advert}<p>The end.</p></div>").split("\n") == [*text, "The end."]
+    assert html_text.main_text(f"<div>{body}<p><a href=x>A paragraph of links</a></p>{body}<p><a href=y>The last one</a></p></div>").split("\n") == [*text[3:], "A paragraph of links", *text[3:], "The last one"]
+    menu = "<ul>" + "<li><a href=x>elsewhere</a></li>" * 4 + "</ul>"
+    assert html_text.main_text(f"{menu}<div>{body}</div>{menu}<div>short</div>{menu}").split("\n") == text[3:]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/abp=\"'! -&;divstyle\n", max_size=60))
 def test_html_never_fails(text):
