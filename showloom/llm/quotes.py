@@ -1,7 +1,8 @@
 """Quotation linking: messages without quotes, linked to what they quote, in reply order; SQL functions alone.
 
 A line's quote level is the number of ">" that it starts with, blanks between them allowed. Runs of lines of one level
-are passages; level 0 is the author's own text, less attribution lines ("... wrote:") before a quote;
+are passages, less the attribution line ("... wrote:") before a passage of a deeper level; a quoted passage that is no
+more than such a line is none. Level 0 is the author's own text;
 what surrounds quotes is trimmed and joined by newlines, a text without quotes stays as it is. A quoted passage
 is normalised (A-Z and all letters in lower case, white space runs to one blank, trimmed) and hashed. Originals are
 the author's own text as a whole, each of its passages and each of their lines, normalised and hashed alike; for each
@@ -55,12 +56,16 @@ def normal(text: Column) -> Column:
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, passages, own (level 0, without attributions) of every row."""
+    """conv_id, turn, role, passages (without attributions), own (those of level 0) of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = F.array(F.struct(F.lit(0).alias("level"), F.translate(text, "\u0001\u0002\r", "").alias("text")))
     rows = messages.select("conv_id", "turn", "role", F.when(quotes_nothing(text), plain).otherwise(passages(text)).alias("passages"))
-    quoted_next = lambda i: F.coalesce(F.get("passages", i + 1)["level"] > 0, F.lit(False))
-    own = F.transform("passages", lambda p, i: F.when(p["level"] == 0, F.btrim(F.when(quoted_next(i), F.regexp_replace(p["text"], ATTRIBUTION, "")).otherwise(p["text"]), F.lit(" \t\n"))))
+    deeper_next = lambda p, i: F.coalesce(F.get("passages", i + 1)["level"] > p["level"], F.lit(False))
+    blank = lambda x: F.btrim(x, F.lit(" \t\n")) == ""
+    bare = F.transform("passages", lambda p, i: F.struct(p["level"].alias("level"), F.when(deeper_next(p, i), F.regexp_replace(p["text"], ATTRIBUTION, "")).otherwise(p["text"]).alias("text"), ((p["level"] > 0) & ~blank(p["text"])).alias("said")))
+    bare = F.filter(bare, lambda p: ~(p["said"] & blank(p["text"])))
+    rows = rows.withColumn("passages", F.when(F.size("passages") > 1, F.transform(bare, lambda p: F.struct(p["level"].alias("level"), p["text"].alias("text")))).otherwise(F.col("passages")))
+    own = F.transform("passages", lambda p: F.when(p["level"] == 0, F.btrim(p["text"], F.lit(" \t\n"))))
     return rows.withColumn("own", F.filter(own, lambda x: x.isNotNull() & (x != "")))
 
 

@@ -131,6 +131,23 @@ def test_quotes(spark):
     assert [r["place"] for r in quotes.link(df).filter("conv_id = 5").collect()] == [1, 1]
 
 
+def linked(spark, *texts):
+    df = spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    return {r["turn"]: r for r in quotes.link(df).collect()}
+
+
+def test_quotes_of_top_posted_threads(spark):
+    quote = lambda t: "\n".join("> " + x if x else ">" for x in t.split("\n"))
+    ann = "Where were you?"
+    bob = f"At the coast.\n\nOn Monday, Ann wrote:\n{quote(ann)}"
+    cid = f"For how long?\n\nOn Tuesday, Bob wrote:\n{quote(bob)}"
+    dan = f"Two weeks.\n\nOn Friday, Cid wrote:\n{quote(cid)}"
+    got = linked(spark, ann, bob, cid, dan, f"Only this.\n> On Monday, Ann wrote:\n> > {ann}")
+    assert [got[t]["parent_turn"] for t in range(5)] == [None, 0, 1, 2, 0]
+    assert [(got[t]["n_quotes"], got[t]["n_linked"], got[t]["max_level"]) for t in range(5)] == [(0, 0, 0), (1, 1, 1), (2, 2, 2), (3, 3, 3), (1, 1, 2)]
+    assert [got[t]["text"] for t in range(5)] == [ann, "At the coast.", "For how long?", "Two weeks.", "Only this."]
+
+
 def test_quotes_with_a_text_that_all_share(spark):
     n = 3000
     df = spark.createDataFrame([(c, t, "user", "Hello there everyone." if t == 0 else f"> Hello there everyone.\nreply {c}") for c in range(n) for t in (0, 1)], "conv_id long, turn long, role string, text string")
