@@ -5,8 +5,11 @@ are passages, less the attribution line ("... wrote:") before a passage of a dee
 more than such a line is none. Level 0 is the author's own text;
 what surrounds quotes is trimmed and joined by newlines, a text without quotes stays as it is. A quoted passage
 is normalised (A-Z and all letters in lower case, white space runs to one blank, trimmed) and hashed. Originals are
-the author's own text as a whole, each of its passages and each of their lines, normalised and hashed alike; for each
-hash the earliest original is kept, within each conversation and over all, so a text that a third of all messages share
+the author's own text as a whole, each of its passages, each of their paragraphs (parted by blank lines) and lines,
+normalised and hashed alike. A quoted passage of several lines is also held by a message whose own lines are, in order,
+the quoted ones with any others between; blank lines and marks of a cut ("...", "[...]", "[snip]") aren't compared. Such
+messages are sought by the quote's rarest line alone, then compared line by line. For each
+quote the earliest original is kept, within each conversation and over all, so a text that a third of all messages share
 is one row before anything is joined. A quoted passage links to the earliest message of its own conversation that comes
 before it and holds the passage, else to the first message of any other conversation that does.
 
@@ -27,6 +30,9 @@ from pyspark.sql.window import Window
 from showloom.llm.common import cut
 
 PREFIX = r"^[ \t]*((?:>[ \t]?)+)"
+#: Lines that stand for what a quote leaves out.
+CUT_OUT = r"^[\[(<]*(\.{2,}|…|snip(ped)?)[\])>]*$"
+PARAGRAPHS = r"\n[ \t]*\n\s*"
 ATTRIBUTION = r"(?i)(^|\n)[^\n]{0,200}(wrote|writes|schrieb|écrit|escribió)\s*:\s*$"
 #: Turns of a conversation that are counted in one window.
 TURNS = 1024
@@ -55,6 +61,27 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[\s ]+", " "))
 
 
+def line_hashes(text: Column) -> Column:
+    """array<string>: hashes of the normalised lines of text, without blank ones and marks of a cut."""
+    lines = F.filter(F.transform(F.split(text, "\n"), normal), lambda x: (x != "") & ~F.rlike(x, F.lit(CUT_OUT)))
+    return F.transform(lines, F.md5)
+
+
+def holding_lines(asked: DataFrame, messages: DataFrame) -> DataFrame:
+    """key, conv_id, first: of each asked (key, lines) the first turn in each conversation of messages (conv_id, turn,
+    lines) whose lines hold the asked ones in order."""
+    of_quotes = cut(asked.select("key", "lines", F.explode(F.array_distinct("lines")).alias("line")))
+    of_messages = messages.select("conv_id", "turn", F.explode(F.array_distinct("lines")).alias("line"))
+    hits = cut(of_messages.join(cut(of_quotes.select("line").distinct()), "line", "left_semi"))
+    counts = cut(hits.groupBy("line").agg(F.count("*").alias("n")))
+    rarest = of_quotes.join(counts, "line").groupBy("key").agg(F.count("*").alias("known"), F.min(F.struct("n", "line", "lines")).alias("r"))
+    rarest = cut(rarest.filter(F.col("known") == F.size(F.array_distinct("r.lines"))).select("key", "r.line", F.col("r.lines").alias("asked")))
+    able = cut(hits.join(rarest, "line").select("key", "asked", "conv_id", "turn"))
+    reached = F.aggregate("lines", F.lit(0), lambda at, x: F.when(F.get("asked", at) == x, at + 1).otherwise(at))
+    found = able.join(messages, ["conv_id", "turn"]).filter(reached == F.size("asked"))
+    return found.groupBy("key", "conv_id").agg(F.min("turn").alias("first"))
+
+
 def parsed(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, passages (without attributions), own (those of level 0) of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -77,22 +104,30 @@ def link(messages: DataFrame) -> DataFrame:
         rows.filter(usable & F.exists("passages", lambda p: p["level"] > 0))
         .select("conv_id", "turn", F.posexplode("passages").alias("at", "p"))
         .filter("p.level > 0")
-        .select("conv_id", "turn", "at", F.col("p.level").alias("level"), F.md5(normal(F.col("p.text"))).alias("hash"), normal(F.col("p.text")).alias("normal"))
+        .select("conv_id", "turn", "at", F.col("p.level").alias("level"), normal(F.col("p.text")).alias("normal"), line_hashes(F.col("p.text")).alias("lines"))
         .filter("normal <> ''")
+        .withColumn("hash", F.md5("normal"))
+        .withColumn("key", F.md5(F.concat_ws(" ", "hash", "lines")))
         .drop("normal")
     )
-    units = F.array_distinct(F.transform(F.flatten(F.array(F.array(F.array_join("own", "\n")), F.col("own"), F.flatten(F.transform("own", lambda x: F.split(x, "\n"))))), normal))
+    paragraphs = F.flatten(F.transform("own", lambda x: F.split(x, PARAGRAPHS)))
+    units = F.array_distinct(F.transform(F.flatten(F.array(F.array(F.array_join("own", "\n")), F.col("own"), paragraphs, F.flatten(F.transform("own", lambda x: F.split(x, "\n"))))), normal))
     # Only hashes that are quoted matter: each is one row here, and what joins it is pre-aggregated.
-    asked = cut(quotes.select("hash").distinct())
+    asked = cut(quotes.select("key", "hash", "lines").distinct())
     held = rows.filter(usable).select("conv_id", "turn", F.explode(units).alias("unit")).filter("unit <> ''").select(F.md5("unit").alias("hash"), "conv_id", "turn")
-    inside = cut(held.groupBy("hash", "conv_id").agg(F.min("turn").alias("first")).join(asked, "hash", "left_semi"))
-    # The two first conversations that hold a passage: one of them is another than the quoting one, if any is.
-    first = inside.groupBy("hash").agg(F.min(F.struct("conv_id", "first")).alias("a"))
-    second = inside.join(first.select("hash", F.col("a.conv_id").alias("taken")), "hash").filter("conv_id <> taken").groupBy("hash").agg(F.min(F.struct("conv_id", "first")).alias("b"))
-    outside = cut(first.join(second, "hash", "left"))
-    found = quotes.join(inside.withColumnRenamed("first", "own_first"), ["hash", "conv_id"], "left")
+    inside = held.groupBy("hash", "conv_id").agg(F.min("turn").alias("first")).join(asked.select("hash").distinct(), "hash", "left_semi")
+    inside = cut(cut(inside).join(asked.select("key", "hash"), "hash").select("key", "conv_id", "first"))
+    several = cut(asked.filter((F.size("lines") > 0) & (F.array_join("lines", " ") != F.col("hash"))).select("key", "lines"))
+    if not several.isEmpty():
+        own_lines = rows.filter(usable).select("conv_id", "turn", line_hashes(F.array_join("own", "\n")).alias("lines"))
+        inside = cut(inside.unionByName(holding_lines(several, own_lines)).groupBy("key", "conv_id").agg(F.min("first").alias("first")))
+    # The two first conversations that hold a quote: one of them is another than the quoting one, if any is.
+    first = inside.groupBy("key").agg(F.min(F.struct("conv_id", "first")).alias("a"))
+    second = inside.join(first.select("key", F.col("a.conv_id").alias("taken")), "key").filter("conv_id <> taken").groupBy("key").agg(F.min(F.struct("conv_id", "first")).alias("b"))
+    outside = cut(first.join(second, "key", "left"))
+    found = quotes.join(inside.withColumnRenamed("first", "own_first"), ["key", "conv_id"], "left")
     found = found.withColumn("same", F.when(F.col("own_first") < F.col("turn"), F.struct(F.col("conv_id"), F.col("own_first").alias("first"))))
-    found = cut(found).join(outside, "hash", "left")
+    found = cut(found).join(outside, "key", "left")
     other = F.when(F.col("a.conv_id") != F.col("conv_id"), F.col("a")).otherwise(F.col("b"))
     found = found.withColumn("target", F.coalesce("same", other)).select("conv_id", "turn", "at", "level", "target")
     linked = F.col("target").isNotNull()

@@ -148,6 +148,17 @@ def test_quotes_of_top_posted_threads(spark):
     assert [got[t]["text"] for t in range(5)] == [ann, "At the coast.", "For how long?", "Two weeks.", "Only this."]
 
 
+def test_partial_quotes(spark):
+    first = "Rivers rise in\nthe far hills.\n\nThey run to the sea,\npast the old mills,\nunder nine bridges.\n\nAnd so on."
+    parts = ["Rivers rise in\n> the far hills.", "Rivers rise\n> in the far hills.", "they run to the sea,\n> past the old mills,", "past the old mills,\n> under nine bridges.\n>\n> And so on.", "Rivers rise in\n> [...]\n> under nine bridges."]
+    none = ["past the old mills,\n> They run to the sea,", "Rivers rise in\n> the far mountains.", "And so on.\n> And so on."]
+    later = "They run to the sea,\nfar away,\npast the old mills,"
+    got = linked(spark, first, *[f"> {p}\nYes." for p in parts], *[f"> {p}\nNo." for p in none], later, "> far away,\n> past the old mills,\nOh.")
+    assert [got[t]["parent_turn"] for t in range(1, 6)] == [0] * 5
+    assert [got[t]["n_linked"] for t in range(6, 9)] == [0] * 3
+    assert got[10]["parent_turn"] == 9
+
+
 def test_quotes_with_a_text_that_all_share(spark):
     n = 3000
     df = spark.createDataFrame([(c, t, "user", "Hello there everyone." if t == 0 else f"> Hello there everyone.\nreply {c}") for c in range(n) for t in (0, 1)], "conv_id long, turn long, role string, text string")
