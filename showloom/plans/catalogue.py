@@ -350,7 +350,7 @@ def link_graph(spark, sf_dir):
 @query(SITE_LINKS.replace("WITH", "WITH RECURSIVE") + ", seed AS (SELECT min(src) AS url FROM g), b AS (SELECT url, 0 AS level FROM seed UNION SELECT dst, level + 1 FROM b JOIN g ON src = url WHERE level < 3) SELECT url, CAST(min(level) AS INTEGER) AS level FROM b GROUP BY url")
 def link_graph_bfs(spark, sf_dir):
     graph = crawl.link_graph(site_pages(spark, sf_dir), SITE)
-    return crawl.breadth_first(graph, graph.agg(F.min("src").alias("url")), depth=3)
+    return crawl.breadth_first(graph, graph.agg(F.min("src").alias("url")))
 
 
 @query()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from showloom.functions import dates, html, text, urls, wiki
 from showloom.operators import catalog, crawl, events, grammar, quality, search
 from showloom.operators.index import Index
+from showloom.plans import catalogue
 from showloom.sources import tables
 
 
@@ -176,6 +177,20 @@ def test_quality(spark, shows):
     assert len(quality.show_rules()) == 14
 
 
+def test_link_graph_bfs_follows_all_links(spark, tmp_path):
+    chain = {f"/p{k}": [f"/p{k}", f"/p{k + 1}"] for k in range(7)} | {"/p7": ["/p7", "/p2", "/p0"], "/z": ["/z", "/p1"]}
+    pages = [(i, f"u{i}", "".join(f'<a href="{x}">x</a>' for x in found)) for i, found in enumerate(chain.values())]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    level, todo = {"/p0": 0}, ["/p0"]
+    for at in todo:
+        for x in chain[at]:
+            if x not in level:
+                level[x] = level[at] + 1
+                todo.append(x)
+    got = catalogue.QUERIES["link_graph_bfs"](spark, str(tmp_path)).collect()
+    assert sorted((r["url"], r["level"]) for r in got) == sorted((catalogue.SITE[:-1] + x, k) for x, k in level.items()) and max(level.values()) == 7
+
+
 def test_urls_and_crawl(spark):
     root = "http://s.com/"
     assert column(spark, ["/a", "b", "//t.com/x", "https://q.com", "", "http://s.com/z#f"], lambda c: urls.resolve(c, root)) == ["http://s.com/a", "http://s.com/b", "http://t.com/x", "https://q.com", root, "http://s.com/z#f"]
