@@ -1,4 +1,4 @@
-"""Quotation linking: messages without quotes, linked to what they quote, in reply order; SQL functions alone.
+"""Quotation linking: messages without quotes, linked to what they quote, placed by turn; SQL functions alone.
 
 A line's quote level is the number of ">" that it starts with, blanks between them allowed. Runs of lines of one level
 are passages, less the attribution line ("... wrote:") before a passage of a deeper level; a quoted passage that is no
