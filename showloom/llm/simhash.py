@@ -59,15 +59,17 @@ def fingerprint(text: str | None, n: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (64 bits as a long) of every row of docs (doc_id, text)."""
+def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, fp (64 bits as a long) of every row of docs (doc_id, text), and more columns of longs."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, (texts,) in python_rows(batches, "text"):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))], ["doc_id", "fp"])
+            found = pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), found, *part.columns[2:]], ["doc_id", "fp", *part.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "fp long", *[f"{name} long" for name in rows.columns[2:]]]))
 
 
 def gray_rank(fp: Column) -> Column:
@@ -252,19 +254,28 @@ def find_edges(classes: DataFrame) -> DataFrame:
     return rows.select("key", "low", "high", "fp", "rep", F.col("side").cast("long"), F.col("tells_low").cast("long"), F.col("tells_high").cast("long")).mapInArrow(run, EDGES)
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 lower-case hex digits), component_id of every row of docs (doc_id, text)."""
-    prints = cut(fingerprints(docs))
+def with_components(prints: DataFrame) -> DataFrame:
+    """component_id with every row of prints (doc_id, fp), which is written already."""
     classes = cut(prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
     roots = cut(components(find_edges(classes)))
     named = cut(classes.join(roots, classes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id")))
-    joined = prints.join(named, "fp", "left")
+    return prints.join(named, "fp", "left")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 lower-case hex digits), component_id of every row of docs (doc_id, text)."""
     component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), component.alias("component_id"))
+    return with_components(cut(fingerprints(docs))).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each component of docs, the row with its least doc_id (one of rows that repeat it); all rows without an id."""
-    kept = deduplicate(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    with_id = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Of each component of docs, the row with its least doc_id; all rows without an id. Of rows of that id, only those
+    whose text is in the component count, and of these the text that hashes least stays (any of rows alike in both)."""
+    text_hash = F.xxhash64("text")
+    prints = with_components(cut(fingerprints(docs, text_hash.alias("text_hash"))))
+    kept = prints.filter("doc_id = component_id").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
+    own = "k" * (1 + max(map(len, docs.columns)))  # a name that docs doesn't have
+    kept = kept.select(F.struct("doc_id", "text_hash").alias(own))
+    same = (F.col("doc_id") == F.col(own)["doc_id"]) & (text_hash == F.col(own)["text_hash"])
+    with_id = docs.join(kept, same, "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
     return with_id.unionByName(docs.filter("doc_id is null"))

@@ -111,6 +111,14 @@ def test_deduplicate(spark):
     assert simhash.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_keep_one_of_ids_with_several_texts(spark):
+    lone = {5 + k: f"a text of its own numbered {k} and " + " ".join(f"w{k}x{i}" for i in range(40)) for k in range(12)}
+    shared = "the copy that a smaller id has too " * 9
+    rows = [(3, shared)] + [r for i, t in lone.items() for r in ([(i, shared), (i, t)] if i % 2 else [(i, t), (i, shared)])]
+    got = simhash.keep_one(spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, kept string").repartition(4)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted([(3, shared), *lone.items()])
+
+
 def test_quotes(spark):
     a0 = "First question about rivers.\n\nSecond thought on bridges."
     a1 = "Bob wrote:\n> First question about  RIVERS.\nThey flow."
