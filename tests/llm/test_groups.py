@@ -136,7 +136,8 @@ def test_quotes(spark):
     assert got[3, 0]["text"] == "" and got[3, 0]["place"] == 1 and got[None, 1]["place"] is None and got[4, None]["place"] is None
     assert got[6, 3]["text"] == "a > b is" and got[1, 2]["place"] == 3
     assert quotes.link(df).count() == len(rows) and quotes.link(df.limit(0)).count() == 0
-    assert [r["place"] for r in quotes.link(df).filter("conv_id = 5").collect()] == [1, 1]
+    # Both rows answer (2, 2), which answers (2, 0).
+    assert [(r["thread_conv_id"], r["depth"], r["place"]) for r in quotes.link(df).filter("conv_id = 5").collect()] == [(2, 2, 3)] * 2
 
 
 def linked(spark, *texts):
@@ -167,6 +168,151 @@ def test_partial_quotes(spark):
     assert got[10]["parent_turn"] == 9
 
 
+def squeeze(text):
+    return re.sub("[\\s ]+", " ", text.lower()).strip(" ")
+
+
+def parse_by_hand(text):
+    """(level, text) of each passage, without attributions."""
+    runs = []
+    for line in (text or "").split("\n"):
+        m = re.match(r"[ \t]*((?:>[ \t]?)+)", line)
+        n, rest = (m[1].count(">"), line[m.end() :]) if m else (0, line)
+        if runs and runs[-1][0] == n:
+            runs[-1][1].append(rest)
+        else:
+            runs.append((n, [rest]))
+    out = []
+    for i, (n, lines) in enumerate(runs):
+        whole = "\n".join(lines)
+        if i + 1 < len(runs) and runs[i + 1][0] > n:
+            bare = re.sub(r"(?i)(^|\n)[^\n]*(wrote|writes|schrieb|écrit|escribió)\s*:\s*$", "", whole)
+            if n and whole.strip(" \t\r\n") and not bare.strip(" \t\r\n"):
+                continue
+            whole = bare
+        out.append((n, whole))
+    return out
+
+
+def lines_by_hand(text):
+    return [x for x in map(squeeze, text.split("\n")) if x and not re.fullmatch(r"[\[(<]*(\.{2,}|…|snip(ped)?)[\])>]*", x)]
+
+
+def link_by_hand(rows):
+    """All columns but role of quotes.link, for rows (conv_id, turn, text)."""
+    parsed, units, lines = [], [], []
+    for _, _, text in rows:
+        found = parse_by_hand(text)
+        own = [t for t in (p.strip(" \t\r\n") for n, p in found if n == 0) if t]
+        parsed.append((found, own))
+        every = {"\n".join(own), *own} | {x for p in own for x in re.split(r"\n[ \t\r]*\n\s*", p) + p.split("\n")}
+        units.append({squeeze(x) for x in every})
+        lines.append(lines_by_hand("\n".join(own)))
+
+    def holds(k, quote, asked):
+        rest = iter(lines[k])
+        return quote in units[k] or bool(asked) and all(x in rest for x in asked)
+
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None or rows[k][1] is None, rows[k][0] or 0, rows[k][1] or 0))
+    known = [k for k in order if None not in rows[k][:2]]
+    where, counted, best = {}, collections.Counter(), {}
+    for k in known:
+        conv, turn = key = rows[k][:2]
+        for at, (n, text) in enumerate(parsed[k][0]):
+            quote = squeeze(text)
+            if not n or not quote:
+                continue
+            if quote not in where:
+                asked = lines_by_hand(text)
+                where[quote] = {}
+            asked = tuple(lines_by_hand(text))
+            if asked not in where[quote]:
+                where[quote][asked] = [rows[j][:2] for j in known if holds(j, quote, asked)]
+            found = where[quote][asked]
+            target = next((m for m in found if m[0] == conv), None)
+            if target is None or target[1] >= turn:
+                target = found[0] if found and found[0][0] < conv else None
+            if target:
+                counted[key] += 1
+                best[key] = min(best.get(key, (n, at, target)), (n, at, target))
+
+    def top(key):
+        depth = 0
+        while key in best:
+            key, depth = best[key][2], depth + 1
+        return key, depth
+
+    threads = {rows[k][:2]: top(rows[k][:2]) for k in known}
+    sorted_by = lambda key: (threads[key][0][1], threads[key][1], *key)
+    by_conv = collections.defaultdict(list)
+    for k in known:
+        by_conv[threads[rows[k][:2]][0][0]].append(sorted_by(rows[k][:2]))
+    out = []
+    for k, (conv, turn, _) in enumerate(rows):
+        found, own = parsed[k]
+        levels, key = [n for n, _ in found], (conv, turn)
+        base = (conv, turn, found[0][1] if max(levels) == 0 else "\n".join(own), sum(n > 0 for n in levels), counted[key], max(levels))
+        if None in key:
+            out.append((*base, *[None] * 6))
+        else:
+            (a, b), depth = threads[key]
+            out.append((*base, *(best[key][2] if key in best else (None, None)), a, b, depth, 1 + sum(x < sorted_by(key) for x in by_conv[a])))
+    return out
+
+
+def same_as_by_hand(spark, rows):
+    df = spark.createDataFrame([(c, t, "user", x, "k", "k") for c, t, x in rows], "conv_id long, turn long, role string, text string, place string, passages string")
+    got = quotes.link(df.repartition(3)).drop("role").collect()
+    want = link_by_hand(rows)
+    assert collections.Counter(map(tuple, got)) == collections.Counter(want)
+    return want
+
+
+def test_quotes_of_mail_equal_brute_force(spark, sf):
+    table = spark.read.parquet(f"{sf}/conversations.parquet")
+    plain = {(r["conv_id"], r["turn"]): r["text"] for r in table.collect()}
+    rows = [(r["conv_id"], r["turn"], r["text"]) for r in quotes.as_mail(table).collect()]
+    assert len(rows) == len(plain) and sum(">" in t for _, _, t in rows) > 0.4 * len(rows)
+    want = same_as_by_hand(spark, rows)
+    assert sum(r[6] is not None for r in want) > 0.4 * len(rows) and max(r[10] for r in want) > 3
+    for r in want:  # what was added is taken off again
+        assert r[2].strip() == plain[r[0], r[1]].strip()
+    at = {r[:2]: r for r in want}
+    for r in want:  # parents lead back, and replies come after what they answer
+        if r[6] is not None:
+            up = at[r[6], r[7]]
+            assert up[:2] < r[:2] and up[8:10] == r[8:10] and up[10] + 1 == r[10] and up[11] < r[11]
+
+
+def test_quotes_of_odd_messages_equal_brute_force(spark):
+    random.seed(11)
+    words = ["so it is", "no.", "Yes, yes", "a > b", "", " ", "\r", "On Monday, Ann wrote:", "...", "one line\nand another", "one line", "and another\n\nlast", "x" * 300 + " wrote:"]
+    rows = []
+    for c in range(12):
+        for t in range(7):
+            parts = [random.choice(words) for _ in range(random.randrange(1, 5))]
+            parts += ["\n".join(random.choice(["> ", ">", "> > ", ">>>"]) + x for x in random.choice(words).split("\n")) for _ in range(random.randrange(4))]
+            random.shuffle(parts)
+            rows.append((c, t, "\n".join(parts)))
+    deep = "\n".join(">" * k + f" level {k}" for k in range(300))
+    rows += [(1, 2, "twice"), (1, 2, None), (3, 1, rows[22][2]), (None, 4, "> no."), (5, None, "> no."), (None, None, None), (20, 0, "aa\rbb\x01\x02"), (20, 1, "> aa bb"), (20, 2, deep), (20, 3, "line\n" * 5000), (20, 4, "> line\n" * 4000)]
+    same_as_by_hand(spark, rows)
+
+
+def test_quotes_never_point_in_circles(spark):
+    got = linked(spark, "> second\nfirst", "> first\nsecond")
+    assert (got[0]["parent_turn"], got[1]["parent_turn"]) == (None, 0)
+    df = spark.createDataFrame([(4, 0, "user", "> fifth\nfourth"), (5, 0, "user", "> fourth\nfifth")], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in quotes.link(df).collect()}
+    assert (got[4]["parent_conv_id"], got[5]["parent_conv_id"]) == (None, 4) and (got[5]["thread_conv_id"], got[5]["place"]) == (4, 2)
+
+
+def test_long_threads(spark):
+    n = 70
+    got = linked(spark, *[f"> message {t - 1}\nmessage {t}" for t in range(n)])
+    assert [(got[t]["depth"], got[t]["thread_turn"], got[t]["place"]) for t in range(n)] == [(t, 0, t + 1) for t in range(n)]
+
+
 def test_quotes_with_a_text_that_all_share(spark):
     n = 3000
     df = spark.createDataFrame([(c, t, "user", "Hello there everyone." if t == 0 else f"> Hello there everyone.\nreply {c}") for c in range(n) for t in (0, 1)], "conv_id long, turn long, role string, text string")
