@@ -6,23 +6,28 @@ the whole sequence; none: fingerprint zero, linked like any other). A bit is 1 i
 
 1. Texts become fingerprints where they are read; equal fingerprints become one class with its least doc_id. From here
    on only classes move, so a group of exact copies counts once, however large.
-2. With the 64 bits in m runs, two fingerprints within MOST bits agree in m - MOST runs at least. Each class goes to a
-   bucket for each choice of m - MOST runs; m is the least that makes random buckets of BUCKET classes at most. No
-   link can be missed, whatever m is.
-3. A bucket over CAP classes is dealt to chunks by hash, and each pair of chunks is searched by itself: a hot bucket
-   becomes many searches of bounded size that find all its links.
-4. A search sorts its fingerprints by Gray rank, so neighbours share bits. Leaves are runs of LEAF fingerprints, nodes
-   runs of FAN children; a node keeps the bits that all below it share, less those its parent keeps. Differences from
-   the shared bits add up on the way down, and a node where they exceed MOST is dropped with all below it; in a leaf
-   that is reached every fingerprint is compared. A search returns a spanning forest of its links, not its pairs.
-5. Components of the forests' edges by large and small stars; the least doc_id of a component names it.
-
-Defined results: a null text is an empty one; rows that repeat a doc_id are each fingerprinted, and link; a row with a
-null doc_id gets its fingerprint, links nothing, and has no component.
+2. The index's first level is by whole bit runs: with the 64 bits in m runs, two fingerprints within MOST bits agree in
+   m - MOST runs at least, so each class goes to a bucket for each choice of m - MOST runs, and no link is missed,
+   whatever m is. m is the least that makes random buckets of BUCKET classes at most. Classes of buckets above CAP are
+   dealt again by choices of RUNS runs; what is still above CAP then goes to chunks by hash, of which each pair is
+   searched by itself. So a hot bucket becomes many searches of bounded size that find all its links.
+3. Buckets, each in Gray order, are ranges of what a task reads. All its links are found by one Gray-order index over
+   some thousands of rows: leaves are runs of LEAF fingerprints, nodes runs of FAN children; a node keeps the bits that
+   all below it share, less those its parent keeps, and the range of its buckets. Differences from the shared bits add
+   up on the way down, and a node where they exceed MOST, or that has nothing of the asked bucket, is dropped with all
+   below it; in a leaf that is reached every fingerprint is compared. There is no other search, at any size. A search
+   returns a spanning forest of its links, not its pairs.
+4. Components of the forests' edges by large and small stars; the least doc_id of a component names it.
+
+Defined results: a null text is an empty one; very long texts are read whole; a bit set in just half of the hashes is 0;
+rows that repeat a doc_id, with the same or another text, are each fingerprinted, and link; a row with a null doc_id
+gets its fingerprint, links nothing, and has no component; an empty table gives no rows; other columns, whatever their
+names, aren't read, and keep_one() returns them as they are.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -37,7 +42,9 @@ from showloom.llm.common import cut, python_rows, small_batches, words_of
 from showloom.llm.components import components
 
 SHINGLE, SEED, MOST = 4, 42, 4
-BUCKET, CAP, LEAF, FAN = 64, 1024, 64, 8
+BUCKET, CAP, LEAF, FAN = 64, 1 << 14, 8, 8
+#: Runs of the second dealing; rows of one index, at least; queries that descend together; rows of a shuffle partition.
+RUNS, ROWS, QUERIES, PARTITION = 8, 1 << 15, 1024, 1 << 22
 EDGES = "a long, b long"
 
 
@@ -93,7 +100,7 @@ def bucket_keys(fp: Column, runs: int) -> Column:
 
 def runs_for(classes: int) -> int:
     """The least number of runs at which random buckets hold BUCKET classes at most; 8 runs make 32-bit buckets."""
-    return next((m for m in range(MOST + 1, 2 * MOST) if classes <= BUCKET << 64 * (m - MOST) // m), 2 * MOST)
+    return next((m for m in range(MOST + 1, RUNS) if classes <= BUCKET << 64 * (m - MOST) // m), RUNS)
 
 
 class Forest:
@@ -126,132 +133,123 @@ class Forest:
 
 
 class GrayIndex:
-    """An index of fingerprints (uint64) that are sorted by Gray rank."""
+    """An index of fingerprints (uint64) in buckets (ascending numbers), each bucket in Gray order."""
 
-    def __init__(self, fps: np.ndarray):
-        self.fps = fps
+    def __init__(self, fps: np.ndarray, buckets: np.ndarray):
+        self.fps, self.buckets, self.compared = fps, buckets, 0
         starts = np.arange(0, len(fps), LEAF)
-        common, any_bit = np.bitwise_and.reduceat(fps, starts), np.bitwise_or.reduceat(fps, starts)
-        levels = [(common, ~(common ^ any_bit))]
-        while len(levels[-1][0]) > FAN:
+        ends = np.append(starts[1:], len(fps)) - 1
+        common, any_bit, low, high = np.bitwise_and.reduceat(fps, starts), np.bitwise_or.reduceat(fps, starts), buckets[starts], buckets[ends]
+        levels = [(common, ~(common ^ any_bit), low, high)]
+        while len(common) > FAN:
             at = np.arange(0, len(common), FAN)
-            common, any_bit = np.bitwise_and.reduceat(common, at), np.bitwise_or.reduceat(any_bit, at)
-            levels.append((common, ~(common ^ any_bit)))
-        #: from the top: patterns, and the shared bits that the parent doesn't share
+            ends = np.append(at[1:], len(common)) - 1
+            common, any_bit, low, high = np.bitwise_and.reduceat(common, at), np.bitwise_or.reduceat(any_bit, at), low[at], high[ends]
+            levels.append((common, ~(common ^ any_bit), low, high))
+        #: from the top: patterns, the shared bits that the parent doesn't share, first and last bucket
         self.levels = []
         for depth in range(len(levels) - 1, -1, -1):
-            pattern, shared = levels[depth]
+            pattern, shared, low, high = levels[depth]
             above = levels[depth + 1][1][np.arange(len(pattern)) // FAN] if depth + 1 < len(levels) else np.uint64(0)
-            self.levels.append((pattern, shared & ~above))
-
-    def links(self, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places of queries and of fingerprints within MOST bits of each other, a part at a time."""
-        for start in range(0, len(queries), 512):
-            block = queries[start : start + 512]
-            pattern, shared = self.levels[0]
-            q, node = (x.ravel() for x in np.indices((len(block), len(pattern))))
-            differ = np.bitwise_count((block[q] ^ pattern[node]) & shared[node])
-            for depth, level in enumerate(self.levels):
+            self.levels.append((pattern, shared & ~above, low, high))
+
+    def links(self, queries: np.ndarray, asked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of queries and of fingerprints in their asked bucket within MOST bits of each other, in parts."""
+        for start in range(0, len(queries), QUERIES):
+            block, bucket = queries[start : start + QUERIES], asked[start : start + QUERIES]
+            q, node = (x.ravel() for x in np.indices((len(block), len(self.levels[0][0]))))
+            differ = np.zeros(len(q), np.uint8)
+            for depth, (pattern, shared, low, high) in enumerate(self.levels):
                 if depth:
-                    pattern, shared = level
                     q, differ = np.repeat(q, FAN), np.repeat(differ, FAN)
                     node = (node[:, None] * FAN + np.arange(FAN)).ravel()
                     real = node < len(pattern)
                     q, node, differ = q[real], node[real], differ[real]
-                    differ = differ + np.bitwise_count((block[q] ^ pattern[node]) & shared[node])
+                own = bucket[q]
+                near = (low[node] <= own) & (own <= high[node])
+                q, node, differ = q[near], node[near], differ[near]
+                differ = differ + np.bitwise_count((block[q] ^ pattern[node]) & shared[node])
                 near = differ <= MOST
                 q, node, differ = q[near], node[near], differ[near]
             for k in range(0, len(q), 4096):
+                own = q[k : k + 4096, None]
                 place = node[k : k + 4096, None] * LEAF + np.arange(LEAF)
                 real = place < len(self.fps)
                 place = np.minimum(place, len(self.fps) - 1)
-                row, column = np.nonzero(real & (np.bitwise_count(block[q[k : k + 4096], None] ^ self.fps[place]) <= MOST))
+                self.compared += place.size
+                row, column = np.nonzero(real & (self.buckets[place] == bucket[own]) & (np.bitwise_count(block[own] ^ self.fps[place]) <= MOST))
                 yield q[k : k + 4096][row] + start, place[row, column]
 
 
-def forest_of(fps: np.ndarray) -> np.ndarray:
-    """Of fingerprints in Gray order: for each the first one that its links reach."""
+def search(fps: np.ndarray, reps: np.ndarray, groups: np.ndarray, across: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that span the links of each group, by representatives. Rows come by group, side and Gray rank; in a group
+    that is across, links are those between its sides 0 and 1, else all."""
+    buckets = 2 * groups + side
+    asking = np.flatnonzero(~across | (side == 1))
     forest = Forest(len(fps))
-    if len(fps) <= LEAF:  # one leaf, one node
-        a, b = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= MOST, 1))
-        forest.join(a, b)
-    else:
-        for a, b in GrayIndex(fps).links(fps):
-            forest.join(a, b)
-    return forest.label
-
-
-def search(fps: np.ndarray, reps: np.ndarray, side: np.ndarray, tells: tuple[bool, bool]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Edges of a bucket, or of two of its chunks (side 0, 1), by representatives. tells: of each side, whether this
-    search is the one that returns the links within it; links across are returned between trees of the two sides."""
-    if not side.any():
-        label = forest_of(fps)
-        child = label != np.arange(len(fps))
-        yield reps[child], reps[label[child]]
-        return
-    places = [np.flatnonzero(side == s) for s in (0, 1)]
-    labels = [forest_of(fps[p]) if len(p) else p for p in places]
-    for s in (0, 1):
-        if tells[s]:
-            child = labels[s] != np.arange(len(places[s]))
-            yield reps[places[s][child]], reps[places[s][labels[s][child]]]
-    if not len(places[0]) or not len(places[1]):
-        return
-    across = Forest(len(fps))
-    for s in (0, 1):
-        across.join(places[s], places[s][labels[s]])
-    before = across.label
-    for a, b in GrayIndex(fps[places[0]]).links(fps[places[1]]):
-        across.join(places[1][a], places[0][b])
-    roots = np.unique(before)
-    moved = roots[across.label[roots] != roots]
-    yield reps[moved], reps[across.label[moved]]
+    for a, b in GrayIndex(fps, buckets).links(fps[asking], np.where(across, buckets - 1, buckets)[asking]):
+        forest.join(asking[a], b)
+    child = forest.label != np.arange(len(fps))
+    return reps[child], reps[forest.label[child]]
+
+
+def keyed(classes: DataFrame, runs: int) -> DataFrame:
+    """key, fp, rep: each class in all of its buckets. Keys of different numbers of runs differ."""
+    return classes.select("fp", "rep", F.explode(bucket_keys(F.col("fp"), runs)).alias("key")).select(F.col("key").bitwiseOR(F.lit(runs << 56)).alias("key"), "fp", "rep")
+
+
+def hot_keys(rows: DataFrame) -> DataFrame:
+    """key, n: buckets above CAP, and the chunks that each is dealt to."""
+    return cut(rows.groupBy("key").count().filter(F.col("count") > CAP).select("key", F.ceil(F.col("count") / CAP).cast("long").alias("n")))
+
+
+def grouped(classes: DataFrame) -> DataFrame:
+    """key, low, high, side, fp, rep: the rows of each group that is searched by itself."""
+    plain = [F.lit(0).cast("long").alias(x) for x in ("low", "high", "side")]
+    rows = keyed(classes, runs_for(classes.count()))
+    hot = hot_keys(rows)
+    if hot.isEmpty():
+        return rows.select("key", *plain, "fp", "rep")
+    out = rows.join(hot, "key", "left_anti").select("key", *plain, "fp", "rep")
+    rows = keyed(cut(rows.join(hot, "key", "left_semi").select("fp", "rep").distinct()), RUNS)
+    hot = hot_keys(rows)
+    if hot.isEmpty():
+        return out.unionByName(rows.select("key", *plain, "fp", "rep"))
+    n = F.coalesce("n", F.lit(1).cast("long"))
+    dealt = rows.join(hot, "key", "left").select("key", "fp", "rep", n.alias("n"), F.pmod(F.xxhash64("fp"), n).alias("own"))
+    dealt = dealt.select("key", "fp", "rep", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    return out.unionByName(dealt.select("key", low.alias("low"), high.alias("high"), (F.col("own") > low).cast("long").alias("side"), "fp", "rep"))
 
 
 def find_edges(classes: DataFrame) -> DataFrame:
     """a, b of classes (fp, rep): edges that join the representatives of all fingerprints within MOST bits."""
-    runs = runs_for(classes.count())
-    rows = classes.select("fp", "rep", F.explode(bucket_keys(F.col("fp"), runs)).alias("key"))
-    hot = cut(rows.groupBy("key").count().filter(F.col("count") > CAP).select("key", F.ceil(F.col("count") / CAP).cast("long").alias("chunks")))
-    n = F.coalesce("chunks", F.lit(1).cast("long"))
-    dealt = rows.join(hot, "key", "left").select("key", "fp", "rep", n.alias("n"), F.pmod(F.xxhash64("fp"), n).alias("own"))
-    other = F.explode(F.when(F.col("n") == 1, F.array(F.col("own"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda x: x != F.col("own"))))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    pairs = dealt.select("key", "fp", "rep", "n", "own", other.alias("other")).select("key", "fp", "rep", low.alias("low"), high.alias("high"), (F.col("own") != low).alias("side"), (low + 1 == high).alias("tells_low"), ((low == 0) & (high == F.col("n") - 1)).alias("tells_high"))
-    group = ["key", "low", "high"]
-    dealt_out = pairs.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group)
+    rows, group = cut(grouped(classes)), ["key", "low", "high"]
+    n = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / PARTITION))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
-        def table(batch: pa.RecordBatch) -> np.ndarray:
-            """A row for each column: group columns, fp, rep, side and tells."""
-            return np.stack([np.asarray(batch.column(i).cast(pa.int64())) for i in range(8)])
-
         def edges(rows: np.ndarray) -> pa.RecordBatch:
-            change = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0)) + 1
-            starts, ends = np.r_[0, change], np.r_[change, rows.shape[1]]
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-                for x, y in search(rows[3, s:e].view(np.uint64), rows[4, s:e], rows[5, s:e], (bool(rows[6, s]), bool(rows[7, s]))):
-                    a.append(x)
-                    b.append(y)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
-        for batch in batches:  # a group is CAP or two chunks of about CAP rows, so what is held over is small
-            rows = np.concatenate([*held, table(batch)], axis=1)
-            last = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0))
-            cut_at = int(last[-1]) + 1 if len(last) else 0
-            held = [rows[:, cut_at:]]
-            if cut_at:
-                yield edges(np.ascontiguousarray(rows[:, :cut_at]))
-        if held and held[0].shape[1]:
-            yield edges(np.ascontiguousarray(held[0]))
-
-    rank = gray_rank(F.col("fp"))
+            number = np.cumsum(np.append(False, (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)))
+            found = search(rows[4].view(np.uint64), rows[5], number, rows[1] != rows[2], rows[3])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b"])
+
+        for batch in batches:  # a group is of one or two chunks of about CAP rows, so what is held over is small
+            held.append(np.stack([np.asarray(batch.column(i)) for i in range(6)]))
+            if sum(x.shape[1] for x in held) >= ROWS:
+                rows = np.concatenate(held, axis=1)
+                last = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0))
+                cut_at = int(last[-1]) + 1 if len(last) else 0
+                held = [rows[:, cut_at:]]
+                if cut_at:
+                    yield edges(np.ascontiguousarray(rows[:, :cut_at]))
+        if sum(x.shape[1] for x in held):
+            yield edges(np.ascontiguousarray(np.concatenate(held, axis=1)))
+
     # By unsigned rank: the sign bit is flipped.
-    rows = dealt_out.sortWithinPartitions(*group, rank.bitwiseXOR(F.lit(-(1 << 63))))
-    return rows.select("key", "low", "high", "fp", "rep", F.col("side").cast("long"), F.col("tells_low").cast("long"), F.col("tells_high").cast("long")).mapInArrow(run, EDGES)
+    rank = gray_rank(F.col("fp")).bitwiseXOR(F.lit(-(1 << 63)))
+    return rows.repartition(n, *group).sortWithinPartitions(*group, "side", rank).mapInArrow(run, EDGES)
 
 
 def with_components(prints: DataFrame) -> DataFrame:

@@ -73,22 +73,47 @@ def gray(fps):
     return fps
 
 
-@pytest.mark.parametrize("sizes", [(0, 1, 3000), (1200, 4, 300), (500, 200, 3)])
+@pytest.mark.parametrize("sizes", [(0, 1, 3000), (1200, 4, 300), (500, 200, 3), (0, 1, 2), (2, 0, 0), (0, 1, 9), (1, 1, 70)])
 def test_gray_index_finds_all_links(sizes):
     fps = near_sets(*sizes)
     fps = fps[np.argsort(gray(fps))]
-    got = {(int(a), int(b)) for x, y in simhash.GrayIndex(fps).links(fps) for a, b in zip(x, y, strict=True) if a < b}
+    index = simhash.GrayIndex(fps, np.zeros(len(fps), np.int64))
+    got = {(int(a), int(b)) for x, y in index.links(fps, index.buckets) for a, b in zip(x, y, strict=True) if a < b}
     assert got == set(links_by_hand(fps))
 
 
-@pytest.mark.parametrize("runs,cap", [(5, 1024), (5, 40), (6, 64), (8, 1024)])
+def test_gray_index_prunes():
+    fps = near_sets(4000, 0, 0)
+    fps = fps[np.lexsort((gray(fps), fps >> np.uint64(58)))]  # 64 buckets
+    index = simhash.GrayIndex(fps, (fps >> np.uint64(58)).astype(np.int64))
+    assert {int(b) for _, y in index.links(fps, index.buckets) for b in y} == set(range(len(fps)))  # each finds itself
+    assert index.compared < 0.02 * len(fps) ** 2
+    clustered = np.sort(near_sets(0, 400, 10))
+    clustered = clustered[np.argsort(gray(clustered))]
+    index = simhash.GrayIndex(clustered, np.zeros(len(clustered), np.int64))
+    assert sum(len(x) for x, _ in index.links(clustered, index.buckets)) > 5 * len(clustered)
+    assert index.compared < 0.7 * len(clustered) ** 2
+
+
+@pytest.mark.parametrize("n", [2, 3, 9, 300])
+def test_search_is_by_the_gray_index_at_any_size(n, monkeypatch):
+    made = []
+    monkeypatch.setattr(simhash, "GrayIndex", lambda *x, make=simhash.GrayIndex: made.append(make(*x)) or made[-1])
+    fps = np.sort(near_sets(0, 1, 500))[:n]
+    fps, zero = fps[np.argsort(gray(fps))], np.zeros(len(fps), np.int64)
+    a, b = simhash.search(fps, np.arange(len(fps)), zero, zero > 0, zero)
+    assert roots_by_hand(zip(a.tolist(), b.tolist(), strict=True), range(len(fps))) == roots_by_hand(links_by_hand(fps), range(len(fps)))
+    assert len(made) == 1 and made[0].compared >= len(fps)
+
+
+@pytest.mark.parametrize("runs,cap", [(5, 1024), (5, 40), (6, 64), (8, 1024), (8, 20)])
 def test_edges_connect_all_links(spark, runs, cap, monkeypatch):
     monkeypatch.setattr(simhash, "CAP", cap)
+    monkeypatch.setattr(simhash, "ROWS", 64)
     monkeypatch.setattr(simhash, "runs_for", lambda n: runs)
     fps = near_sets(600, 3, 150)
     rows = [(int(f), i) for i, f in enumerate(fps.view(np.int64))]
     edges = [tuple(r) for r in simhash.find_edges(spark.createDataFrame(rows, "fp long, rep long")).collect()]
-    assert all(np.bitwise_count(fps[a] ^ fps[b]) <= 64 for a, b in edges)
     assert roots_by_hand(edges, range(len(fps))) == roots_by_hand(links_by_hand(fps), range(len(fps)))
 
 
