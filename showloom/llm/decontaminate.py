@@ -1,38 +1,46 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, verified by exact shingle containment.
 
-An item's shingles are the runs of SHINGLE words (words ``[^\x20\x09-\x0D]+`` in lower case; fewer words: the whole
-sequence). Items are put into partitions by their number of distinct shingles, each a power of two wide, so that a
-short item isn't searched at a long one's sketch size. The sketch of an item is its bottom-k MinHash: the k least
-hashes of its shingles, with k = n - ceil(threshold * n) + 1 for n distinct shingles. A document that holds the
-threshold's share of an item lacks at most n - ceil(threshold * n) of its shingles, hence holds one of any k: it is
-found whatever its own length, and the search misses nothing. Candidates are then verified: the share of the item's
-distinct shingles that the document holds, counted exactly, has to reach the threshold.
-
-The benchmark is the side of bounded size: it is collected after its size is checked against MOST bytes, and sent to
-the tasks; a larger one is searched in blocks, each a pass over the documents. Documents are read once a block, never
-shuffled and never compared with each other.
+An item's shingles are the distinct runs of SHINGLE words (words ``[^\x20\x09-\x0D]+`` in lower case; fewer words: the
+whole sequence). A shingle's hash is a mix of its words' numbers. The sketch of an item of n shingles is its bottom-k
+MinHash, the k least hashes, with k = n - ceil(threshold * n) + 1: who holds the threshold's share of the item lacks at
+most n - ceil(threshold * n) of its shingles, hence holds one of any k. So the search misses nothing, whatever a
+document's length (its recall is 1, which tests measure against brute force).
+
+Items are put into partitions by n, each a power of two wide, and each partition is searched with sketches of its own: a
+document's sketch for a partition is what it has up to the greatest hash in the partition's item sketches, which for
+long items is a fifth of its shingles, and for the shortest ones nearly all. Partitions of items that need more shingles
+than a document has are left out. Candidates are then verified word by word: the share of the item's distinct shingles
+that the document holds, counted without hashes, has to reach the threshold.
+
+The benchmark is the side of bounded size: it is read in blocks of MOST bytes of text, whose number is known from one
+aggregate; one block at a time is on the driver, and each is a pass over the documents. Documents are read once a block,
+never shuffled and never compared with each other.
 
 Defined results: null or empty texts hold nothing, items without words are held by nothing; an item of fewer than
-SHINGLE words is held only by a document of just these words; repeated rows give repeated results.
+SHINGLE words is held only by a document of just these words; items with a null id are left out; a share of just the
+threshold counts; rows repeated in either table give repeated results; very long texts are searched whole; without
+documents or items there are no pairs, and clean() keeps every row; other columns, whatever their names, are kept by
+clean() and not read.
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from showloom.llm.common import python_rows, small_batches, words_of
+from showloom.llm.common import cut, python_rows, small_batches, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: UTF-8 bytes of benchmark text in a block.
-MOST = 64 << 20
+#: UTF-8 bytes of benchmark text in a block: about ten times as much in a worker.
+MOST = 8 << 20
 PAIRS = "doc_id long, item_id long, containment double"
 
 
@@ -40,91 +48,111 @@ def words(text: str | None) -> list[bytes]:
     return words_of(text.lower() if text else text)
 
 
+def hashed(runs: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of runs (uint32)."""
+    out = np.full(len(runs), 0x9E3779B97F4A7C15, np.uint64)
+    for column in runs.T:
+        out = (out ^ column) * np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def partition_of(size: int) -> int:
+    return int(math.log2(size))
+
+
+@dataclass
+class Partition:
+    """Sketches of items of like sizes: sorted hashes, where each one's owners start among owners, the least size."""
+
+    hashes: np.ndarray
+    starts: np.ndarray
+    owners: np.ndarray
+    least: int
+
+
 class Items:
     """Sketches of benchmark items by size partition, and their shingles for verification."""
 
     def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, n: int = SHINGLE):
         self.threshold, self.n = threshold, n
         self.vocabulary: dict[bytes, int] = {}
-        each = [(i, w) for i, t in items if i is not None and (w := words(t))]
-        for _, w in each:
-            for x in w:
-                self.vocabulary.setdefault(x, len(self.vocabulary) + 1)
-        self.size = np.uint64(len(self.vocabulary) + 1)
         self.short: dict[bytes, list[int]] = {}
-        self.items: list[tuple[int, int]] = []  # id, distinct shingles
-        coded: list[np.ndarray] = []
-        for i, w in each:
+        self.ids: list[int] = []
+        self.runs: list[np.ndarray] = []  # of each item: its distinct shingles
+        #: hashes that search() has looked up
+        self.looked = 0
+        sketches: dict[int, list[np.ndarray]] = defaultdict(list)
+        owners: dict[int, list[int]] = defaultdict(list)
+        for i, text in items:
+            if i is None or not (w := words(text)):
+                continue
             if len(w) < n:
                 self.short.setdefault(b" ".join(w), []).append(i)
-            else:
-                self.items.append((i, len(codes := np.unique(self.codes(w)))))
-                coded.append(codes)
-        #: partition (floor of log2 of an item's size) -> sorted shingle codes of its sketches
-        self.partitions: dict[int, np.ndarray] = {}
-        for p in {int(math.log2(size)) for _, size in self.items}:
-            sketches = [self.sketch(c) for c in coded if int(math.log2(len(c))) == p]
-            self.partitions[p] = np.unique(np.concatenate(sketches))
-        self.all = np.unique(np.concatenate(coded)) if coded else np.zeros(0, np.uint64)
-        #: of each shingle in all: the items that have it
-        self.owners: list[list[int]] = [[] for _ in self.all]
-        for k, c in enumerate(coded):
-            for at in np.searchsorted(self.all, c):
-                self.owners[at].append(k)
-
-    def codes(self, w: list[bytes]) -> np.ndarray:
-        """A code for each run of n words that the vocabulary covers, equal for equal runs only if it fits 64 bits."""
-        ids = np.fromiter(map(self.vocabulary.get, w, [0] * len(w)), np.uint64, len(w))
+                continue
+            for x in w:
+                self.vocabulary.setdefault(x, len(self.vocabulary) + 1)
+            runs = np.unique(self.numbered(w), axis=0)
+            sketches[p := partition_of(len(runs))].append(np.sort(np.unique(hashed(runs)))[: len(runs) - self.needed(len(runs)) + 1])
+            owners[p].append(len(self.ids))
+            self.ids.append(i)
+            self.runs.append(runs)
+        self.partitions = []
+        for p, of in sorted(sketches.items()):
+            every = np.concatenate(of)
+            order = np.argsort(every, kind="stable")
+            hashes, starts = np.unique(every[order], return_index=True)
+            self.partitions.append(Partition(hashes, np.append(starts, len(every)), np.repeat(owners[p], [len(x) for x in of])[order], min(len(self.runs[k]) for k in owners[p])))
+
+    def needed(self, size: int) -> int:
+        """Shingles of an item of this size that reach the threshold."""
+        return math.ceil(self.threshold * size - 1e-9)
+
+    def numbered(self, w: list[bytes]) -> np.ndarray:
+        """The runs of n words that the vocabulary covers, as numbers of words."""
+        ids = np.fromiter(map(self.vocabulary.get, w, [0] * len(w)), np.uint32, len(w))
         runs = np.lib.stride_tricks.sliding_window_view(ids, self.n)
-        runs = runs[runs.all(axis=1)]
-        if int(self.size) ** self.n < 1 << 64:
-            out = np.zeros(len(runs), np.uint64)
-            for k in range(self.n):
-                out = out * self.size + runs[:, k]
-            return out
-        return np.array([xxhash.xxh64_intdigest(r.tobytes()) for r in runs], np.uint64)
-
-    def sketch(self, codes: np.ndarray) -> np.ndarray:
-        k = len(codes) - math.ceil(self.threshold * len(codes) - 1e-9) + 1
-        hashes = codes * np.uint64(0x9E3779B97F4A7C15)
-        hashes ^= hashes >> np.uint64(29)
-        return codes[np.argsort(hashes * np.uint64(0xBF58476D1CE4E5B9), kind="stable")[:k]]
+        return runs[runs.all(axis=1)]
+
+    def candidates(self, runs: np.ndarray, hashes: np.ndarray) -> set[int]:
+        """Items of whose sketch a document with these shingles has a hash (hashes ascend, none twice)."""
+        found: set[int] = set()
+        for p in self.partitions:
+            if len(runs) < self.needed(p.least):
+                continue
+            own = hashes[: np.searchsorted(hashes, p.hashes[-1], side="right")]
+            self.looked += len(own)
+            at = np.searchsorted(p.hashes, own)
+            for k in at[p.hashes[at] == own]:
+                found.update(p.owners[p.starts[k] : p.starts[k + 1]].tolist())
+        return found
 
     def search(self, text: str | None) -> list[tuple[int, float]]:
         """(item, containment) of each item that the text holds at the threshold."""
         w = words(text)
         if len(w) < self.n:
             return [(i, 1.0) for i in self.short.get(b" ".join(w), [])] if w else []
-        if not len(self.all):
-            return []
-        codes = np.unique(self.codes(w))
-        if not len(codes):
+        runs = self.numbered(w)
+        if not len(runs) or not (found := self.candidates(runs, np.unique(hashed(runs)))):
             return []
-        candidates: set[int] = set()
-        for sketches in self.partitions.values():
-            at = np.minimum(np.searchsorted(sketches, codes), len(sketches) - 1)
-            for x in codes[sketches[at] == codes]:
-                candidates.update(self.owners[np.searchsorted(self.all, x)])
-        if not candidates:
-            return []
-        at = np.minimum(np.searchsorted(self.all, codes), len(self.all) - 1)
-        held = dict.fromkeys(candidates, 0)
-        for x in at[self.all[at] == codes]:
-            for k in self.owners[x]:
-                if k in held:
-                    held[k] += 1
-        shares = ((self.items[k][0], c / self.items[k][1]) for k, c in held.items())
-        return sorted((i, s) for i, s in shares if s >= self.threshold - 1e-12)
-
-
-def blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The benchmark in blocks of MOST bytes. Their number is known from one aggregate before anything is collected."""
+        held = set(map(bytes, np.ascontiguousarray(runs).view(f"V{4 * self.n}").ravel()))
+        out = []
+        for k in found:
+            own = np.ascontiguousarray(self.runs[k]).view(f"V{4 * self.n}").ravel()
+            if (n := sum(map(held.__contains__, map(bytes, own)))) >= self.needed(len(own)):
+                out.append((self.ids[k], n / len(own)))
+        return sorted(out)
+
+
+def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark in blocks of about MOST bytes, one by one. Their number is known before anything is collected."""
     small_batches(benchmark.sparkSession)
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter("item_id is not null and text is not null")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, math.ceil(total / MOST))
     deal = F.pmod(F.xxhash64("item_id"), F.lit(n))
-    return [[(r["item_id"], r["text"]) for r in (rows if n == 1 else rows.filter(deal == k)).collect()] for k in range(n)]
+    for k in range(n):
+        yield [(r["item_id"], r["text"]) for r in (rows if n == 1 else rows.filter(deal == k)).collect()]
 
 
 def find_pairs(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -147,7 +175,8 @@ def find_pairs(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that hold no benchmark item, all their columns."""
-    for block in blocks(benchmark):
+    for k, block in enumerate(blocks(benchmark)):
+        docs = cut(docs) if k else docs  # so that a task holds one block
         sent = docs.sparkSession.sparkContext.broadcast(Items(block, threshold))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

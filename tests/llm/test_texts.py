@@ -253,6 +253,65 @@ def test_decontamination(spark, sf, texts, most, monkeypatch):
     assert decontaminate.find_pairs(docs, benchmark.limit(0)).count() == 0
 
 
+def made_items(n, seed=3):
+    """n items of 5 to 400 words out of a vocabulary of 9,000."""
+    draw = np.random.default_rng(seed)
+    return [(i, " ".join(f"w{k}" for k in draw.integers(0, 9000, int(5 * 1.06 ** (i % 75))))) for i in range(n)]
+
+
+def test_decontamination_finds_all_of_a_large_vocabulary():
+    items = made_items(600)
+    index, draw = decontaminate.Items(items), np.random.default_rng(4)
+    assert len(index.vocabulary) > 7200 and len(index.partitions) > 5
+    found = wanted = 0
+    for k in range(40):
+        parts = [t.split() for _, t in (items[j] for j in draw.integers(0, len(items), 3))]
+        parts[0] = parts[0][: max(4, int(len(parts[0]) * draw.uniform(0.7, 1)))]
+        doc = " ".join([" ".join(f"w{x}" for x in draw.integers(0, 9000, 200)), *[" ".join(p) for p in parts]])
+        want = {(i, round(s, 9)) for i, t in items if (s := held_by(doc, t)) >= 0.8}
+        got = {(i, round(s, 9)) for i, s in index.search(doc)}
+        assert got <= want
+        found, wanted = found + len(got), wanted + len(want)
+    assert found == wanted > 50  # a recall of 1
+
+
+def test_decontamination_partitions_save_work(monkeypatch):
+    items = [x for x in made_items(600) if len(x[1].split()) > 8]
+    doc = " ".join(t for _, t in items[100:130])
+    looked, found = [], []
+    for one in (False, True):
+        if one:
+            monkeypatch.setattr(decontaminate, "partition_of", lambda size: 0)
+        index = decontaminate.Items(items)
+        found.append(index.search(doc))
+        looked.append(index.looked / (len(index.partitions) * len(doc.split())))
+        index.looked = 0
+        index.search(" ".join(items[0][1].split()))  # a short one: few partitions are looked at
+        looked.append(index.looked / len(items[0][1].split()))
+    assert found[0] == found[1] and len(found[0]) >= 30
+    assert looked[0] < 0.6 < looked[2] and looked[1] <= 2
+
+
+def test_decontamination_is_exact_when_hashes_collide(monkeypatch):
+    monkeypatch.setattr(decontaminate, "hashed", lambda runs: (runs.sum(axis=1) % 7).astype(np.uint64))
+    items = made_items(40)
+    index = decontaminate.Items(items)
+    for doc in (items[20][1], " ".join(reversed(items[30][1].split())), items[1][1] + " " + items[39][1]):
+        assert {(i, round(s, 9)) for i, s in index.search(doc)} == {(i, round(s, 9)) for i, t in items if (s := held_by(doc, t)) >= 0.8}
+
+
+def test_benchmark_blocks_come_one_by_one(spark, sf, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MOST", 3000)
+    made = []
+    benchmark = spark.read.parquet(f"{sf}/benchmark.parquet")
+    parts = decontaminate.blocks(benchmark)
+    assert iter(parts) is parts and sum(map(len, parts)) == benchmark.count()
+    blocks = decontaminate.blocks
+    monkeypatch.setattr(decontaminate, "blocks", lambda b: (made.append(len(x)) or x for x in blocks(b)))
+    decontaminate.find_pairs(spark.read.parquet(f"{sf}/documents.parquet"), benchmark)
+    assert len(made) > 3 and sum(made) == benchmark.count()
+
+
 def test_warc(spark, sf):
     base = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     same = base[3][2]
