@@ -10,14 +10,18 @@ and links amid them too. A page where no window surges keeps all lines that weig
 them together; so an article beside a longer text (a card, a listing) takes nothing from it.
 
 Defined results: a null or empty html gives an empty text; an unclosed element ends with its parent; a page cut off in
-a tag loses that tag. Character references are decoded, white space inside a block (also br) becomes one space, blocks
-are joined by one newline, nothing is capped.
+a tag loses that tag; an element whose text isn't shown (script, svg ...) ends at its end tag, or, but for those that
+hold no markup, at once where it is self-closed or has no end tag. Character references are decoded, white space inside
+a block (also br) becomes one space, blocks are joined by one newline, nothing is capped; very long and deeply nested
+pages take time in proportion to their length. Of equally heavy articles and outsides the articles stay. Repeated rows
+give repeated results, an empty table gives none, and other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,21 +36,41 @@ TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Elements by kind, and words of class, id and role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object select xmp noembed".split())
-BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+RAW = frozenset("script style noscript template iframe textarea title svg select noembed annotation annotation-xml".split())
+#: Of RAW, those that hold no markup: without an end tag the rest of the page is theirs.
+NO_MARKUP = frozenset("script style textarea title".split())
+RAW_ENDS = {name: re.compile(f"</{name}\\b[^>]*>", re.I) for name in RAW}
+BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul xmp".split())
 BOILERPLATE = frozenset("aside button dialog fieldset footer form head header label menu nav".split())
 MARKED = frozenset(["article", "main"])
 BAD_WORDS = frozenset(
-    "ad ads adbox adslot advert advertisement advertisements adverts adsense advertising alert banner breadcrumb breadcrumbs captcha comment comments commentlist complementary "
-    "consent contentinfo cookie cookies copyright dialog disclaimer disqus discussion footer form gdpr header legal login masthead menu menubar modal nav navbar navigation newsletter "
-    "notice notices notification outbrain overlay pager pagination paywall popup promo promoted promotion promotions recommended recommendations related reply replies respond responses "
-    "search searchbox share sharing sidebar signin signup social sponsor sponsored sponsors subscribe subscription taboola toolbar topbar widget widgets".split()
+    "ad ads adbox adslot advert advertisement advertisements adverts adsense banner breadcrumb breadcrumbs captcha commentlist contentinfo cookie cookies disqus footer gdpr header masthead "
+    "menubar nav navbar newsletter outbrain pager pagination paywall popup promo searchbox sidebar signin signup taboola toolbar topbar".split()
+)
+#: Words that name boilerplate alone or with words of parts of pages, and a subject with others ("related-work").
+VAGUE_WORDS = frozenset(
+    "advertising alert comment comments complementary consent copyright dialog disclaimer discussion form legal login menu modal navigation notice notices notification overlay promoted promotion "
+    "promotions recommended recommendations related reply replies respond response responses search share sharing social sponsor sponsored sponsors subscribe subscription widget widgets".split()
+)
+PART_WORDS = frozenset(
+    "a all area article articles author bar block body bottom box btn button buttons center col column container content contents count div entry field footer for form group has head header heading "
+    "icon icons id inline inner input is item items js label left link links list main message messages meta module more my news of on outer page pages panel post posts reader right row section sections site small "
+    "stories story text the thread title to top ui user users view visitor wrap wrapper your".split()
 )
 #: Elements that a class never turns into boilerplate, and those that an end tag of another name closes.
 WHOLE = frozenset(["html", "body", "main", "article"])
 CLOSED_BY = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 
 
+def names_boilerplate(value: str, in_article: bool) -> bool:
+    """Whether a name (a class, an id, a role, a label; lower case) is one of boilerplate."""
+    words = set(re.split(r"[^a-z0-9]+", value)) - {""}
+    strong, vague = words & BAD_WORDS, words & VAGUE_WORDS
+    if in_article:
+        strong, vague = strong - {"header"}, vague - {"discussion"}
+    return bool(strong) or bool(vague) and all(w in VAGUE_WORDS or w in PART_WORDS or w.isdigit() for w in words)
+
+
 def is_bad(name: str, text: str, in_article: bool) -> bool:
     """Whether an element of this name and these attributes holds boilerplate."""
     if name in BOILERPLATE and not (name in ("header", "label") and in_article):
@@ -57,7 +81,8 @@ def is_bad(name: str, text: str, in_article: bool) -> bool:
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if key in ("class", "id", "role", "aria-label") and not BAD_WORDS.isdisjoint(words := re.split(r"[^a-z0-9]+", value)) and not (in_article and "header" in words and BAD_WORDS.intersection(words) == {"header"}):
+        names = value.split() if key == "class" else [value] if key in ("id", "role", "aria-label") else []
+        if any(names_boilerplate(x, in_article) for x in names):
             return True
     return False
 
@@ -68,6 +93,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, bool]] = []  # name, starts boilerplate, starts an article
+    open_names: dict[str, int] = defaultdict(int)
+    blocks: list[int] = []  # places of block elements in the stack
+    endless: set[str] = set()
     bad = marked = links = articles = paragraphs = 0
 
     def flush() -> None:
@@ -80,7 +108,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
     def pop() -> None:
         nonlocal bad, marked, links, paragraphs
         name, was_bad, was_marked = stack.pop()
+        open_names[name] -= 1
         if name in BLOCKS:
+            blocks.pop()
             flush()
         bad, marked, links = bad - was_bad, marked - was_marked, links - (name == "a")
         paragraphs -= name == "p"
@@ -101,7 +131,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
         if m[1]:
             if name == "br":
                 parts.append(" ")
-            elif any(x[0] == name for x in stack):
+            elif open_names.get(name):
                 while stack[-1][0] != name:
                     pop()
                 pop()
@@ -109,15 +139,16 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
                 flush()
             continue
         if name in RAW:
-            end = re.compile(f"</{re.escape(name)}\\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if name in NO_MARKUP or not (m[3].endswith("/") or name in endless):
+                end = RAW_ENDS[name].search(page, at)
+                at = end.end() if end else len(page) if name in NO_MARKUP else at
+                endless.update(() if end else (name,))
             continue
         if name in BLOCKS:
             while stack and name in CLOSED_BY.get(stack[-1][0], ()):
                 pop()
-            open_p = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-            if open_p is not None and all(x[0] not in BLOCKS for x in stack[open_p + 1 :]):
-                while len(stack) > open_p:  # a block ends the paragraph and what is left open in it
+            if blocks and stack[blocks[-1]][0] == "p":
+                for _ in range(len(stack) - blocks[-1]):  # a block ends the paragraph and what is left open in it
                     pop()
             if name == "body":
                 while stack and stack[-1][0] != "html":
@@ -128,7 +159,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
         elif name in ("img", "input", "wbr"):
             pass
         elif name == "a":
-            while links and any(x[0] == "a" for x in stack):
+            while links:
                 if stack[-1][0] in BLOCKS:
                     break
                 pop()
@@ -136,7 +167,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
             continue
         started_bad = is_bad(name, m[3], marked > 0)
         started_marked = name in MARKED or "articleBody" in m[3]
+        if name in BLOCKS:
+            blocks.append(len(stack))
         stack.append((name, started_bad, started_marked))
+        open_names[name] += 1
         articles += started_marked and not marked
         bad, marked, links = bad + started_bad, marked + started_marked, links + (name == "a")
         paragraphs += name == "p"
@@ -145,23 +179,26 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    lines = [(x, n + BONUS if m else n, m) for x, n, b, m in lines_of(page or "") if not b]
-    weights = [n for _, n, _ in lines]
+def chosen(weights: list[int]) -> list[bool]:
+    """Which lines stay, by windows alone."""
     sums = [sum(weights[i : i + WIDTH]) for i in range(len(weights))]
-    kept = [False] * len(lines)
+    kept = [False] * len(weights)
     i = 0
-    while i < len(lines):
+    while i < len(weights):
         start, last = i, -1
-        while i < len(lines) and sums[i]:
+        while i < len(weights) and sums[i]:
             last = i if weights[i] else last
             i += 1
         if last >= 0 and max(sums[start:i]) >= SURGE:
             first = next(k for k in range(start, i) if weights[k])
             kept[first : last + 1] = [True] * (last + 1 - first)
         i += i == start
-    if not any(kept):
-        kept = [w > 0 for w in weights]
+    return kept if any(kept) else [w > 0 for w in weights]
+
+
+def main_text(page: str | None) -> str:
+    lines = [(x, n + BONUS if m else n, m) for x, n, b, m in lines_of(page or "") if not b]
+    kept = chosen([n for _, n, _ in lines])
     by_article: dict[int, int] = {}
     for (_, w, m), k in zip(lines, kept, strict=True):
         by_article[m] = by_article.get(m, 0) + w * k

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -188,6 +189,82 @@ def test_html_keeps_titles_and_endings():
     assert html_text.main_text(f"{menu}<div>{body}</div>{menu}<div>short</div>{menu}").split("\n") == text[3:]
 
 
+def test_html_keeps_what_surrounds_foreign_elements():
+    page = lambda x: f"<article><p>one</p>{x}<p>two</p><p>three</p></article>"
+    for x in ("<svg width='1'/>", "<svg><title>t</title></svg>", "<svg>", "<iframe src=x />", "<noscript>", "<object data=x></object>", "<svg/>" * 50, "<math/>"):
+        assert html_text.main_text(page(x)) == "one\ntwo\nthree", x
+    assert html_text.main_text(page("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p>")) == "one\nso x=2 holds\ntwo\nthree"
+
+
+def test_html_names_of_subjects_and_of_boilerplate():
+    of = lambda a: html_text.main_text(f"<div><p>{LONG}</p><div {a}><p>{LONG}More.</p></div><p>{LONG}</p></div>").count("More.")
+    for a in ('id="related-work"', 'class="search-theory"', 'id="reply-to-critics"', 'class="notice-period"', 'class="x legal-history"', 'id=social-contract', 'class="alert-fatigue"', 'class="response-times"'):
+        assert of(a) == 1, a
+    for a in ('class="related"', 'class="related-posts"', 'id="search-box"', 'class="reply-form"', 'class="x notice"', 'id=comments', 'class="comment-body"', 'class="cookie-notice"', 'role=search', 'class="legal-notice"', 'id="comment-17"', 'class="ad ad-300"', 'class="js-share-buttons"'):
+        assert of(a) == 0, a
+
+
+def choose_by_hand(weights):
+    """Lines between the first and the last weighing one of a run of windows that aren't empty, if one of them surges."""
+    n, window = len(weights), lambda i: sum(weights[i : i + 3])
+    kept = set()
+    for a in range(n):
+        for b in range(a, n):
+            if all(window(i) for i in range(a, b + 1)) and max(window(i) for i in range(a, b + 1)) >= 80:
+                own = [i for i in range(a, b + 1) if weights[i]]
+                kept.update(range(own[0], own[-1] + 1) if own else ())
+    return [i in kept if kept else w > 0 for i, w in enumerate(weights)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([0, 0, 0, 1, 5, 26, 27, 40, 79, 80, 200]), max_size=16))
+def test_html_windows_equal_brute_force(weights):
+    assert html_text.chosen(weights) == choose_by_hand(weights)
+
+
+def made_page(k):
+    """A page of divs without any name, and its main text: link lists and short lines stand apart from the story."""
+    draw = np.random.default_rng(k)
+    links = lambda n: "<ul>" + "".join(f"<li><a href=/{i}>Elsewhere {i}</a></li>" for i in range(n)) + "</ul>"
+    story = [f"Paragraph {i} of page {k}. " + "It goes on for a while &amp; then some. " * int(draw.integers(2, 5)) for i in range(int(draw.integers(2, 9)))]
+    notes = "".join(f"<div>Note {i}</div>" for i in range(int(draw.integers(1, 4))))
+    page = f"<div>{links(4)}{notes}{links(5)}<div><h1>Story {k}</h1>" + "".join(f"<p>{x}</p>" for x in story) + f"</div>{links(6)}{notes}{links(3)}</div>"
+    return page, "\n".join([f"Story {k}", *(x.replace("&amp;", "&").strip() for x in story)])
+
+
+def test_html_windows_decide_in_unmarked_pages(monkeypatch):
+    pages = [made_page(k) for k in range(60)]
+    assert [html_text.main_text(p) for p, _ in pages] == [t for _, t in pages]
+    monkeypatch.setattr(html_text, "chosen", lambda weights: [w > 0 for w in weights])
+    assert sum(html_text.main_text(p) != t for p, t in pages) == len(pages)
+
+
+def test_html_of_pages_put_together(sf):
+    """Articles, with boilerplate of all kinds between their blocks, marked or not: the article's blocks come back."""
+    boilerplate = ["<nav><a href=x>Home</a></nav>", f"<aside>{LONG}</aside>", f"<div class='ad'>{LONG}</div>", "<script>if (a < b) { c('</p>') }</script>", f"<form><p>{LONG}</p></form>", f"<!-- {LONG} -->", f"<div id=cookie-notice>{LONG}</div>", f"<footer>{LONG}</footer>", "<style>p{}</style>", f"<ol class=commentlist><li>{LONG}</li></ol>"]
+    for k in range(200):
+        draw = np.random.default_rng(k)
+        blocks, parts = [], []
+        for i in range(int(draw.integers(1, 8))):
+            parts += [boilerplate[j] for j in draw.integers(0, len(boilerplate), int(draw.integers(0, 3)))]
+            text = f"Block {i} says &lt;{k}&gt;: {LONG}"
+            blocks.append(" ".join(text.replace("&lt;", "<").replace("&gt;", ">").split()))
+            kind = ["p", "div", "blockquote", "pre"][int(draw.integers(0, 4))]
+            parts.append(f"<{kind}>{text.replace('. ', '.<br>  ', 1)}</{kind}>")
+        tag = ["div", "article", "main", "section"][k % 4]
+        assert html_text.main_text(f"<html><body><{tag}>{''.join(parts)}</{tag}></body></html>") == "\n".join(blocks)
+
+
+@pytest.mark.parametrize("opened", ["<div>", "<p>", "<b>", "<div></b>", "<svg>", "<a href=x>", "<ul><li>", "<div/>"])
+def test_html_takes_time_in_proportion(opened):
+    took = []
+    for n in (4000, 16000):
+        began = time.process_time()
+        html_text.main_text(opened * n + "words")
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * max(took[0], 0.02)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/abp=\"'! -&;divstyle\n", max_size=60))
 def test_html_never_fails(text):
