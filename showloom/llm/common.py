@@ -70,6 +70,12 @@ def python_rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tupl
             yield part, [part.column(i).to_pylist() for i in at]
 
 
+def offsets(texts: pa.Array) -> np.ndarray:
+    """Where each text starts in the bytes of a string array, and where the last one ends."""
+    kind = np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32
+    return np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[pa.RecordBatch, pa.StringArray]]:
     """Slices of the batches whose texts have about SLICE_BYTES (a longer text is alone), with the texts, null as empty."""
     for batch in batches:
@@ -77,7 +83,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[
             continue
         texts = batch.column(batch.schema.get_field_index(name))
         texts = pc.fill_null(texts, "") if texts.null_count else texts
-        ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        ends = offsets(texts)
         start = 0
         while start < len(texts):
             end = max(start + 1, int(np.searchsorted(ends, ends[start] + SLICE_BYTES)))

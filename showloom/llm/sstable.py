@@ -13,11 +13,17 @@ sparse index keeps one key per block of about BLOCK bytes; it, the filter and on
 
 Rows are dealt to shards by ranges of (id, hash of the text) and written by the task that encodes them; a shard's
 name is the attempt's own and it appears whole by a rename, so a task that runs twice disturbs nothing. Repeated ids are all kept, ordered by the
-text's hash. A null text is an empty one: it has the end id alone.
+text's hash, none twice in a block index; rows alike in both come in any order.
+
+Defined results: a null or empty text has the end id alone; a null id is the least; very long texts are encoded whole
+and have a block of their own; repeated rows are all written and read; an empty table gives shards without documents
+and no rows; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import re
 import struct
 import uuid
@@ -35,12 +41,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from showloom.llm.common import SPACES, TO_BLANK, file_system, put_file, small_batches, text_slices
+from showloom.llm.common import SPACES, TO_BLANK, file_system, offsets, only, put_file, small_batches, text_slices
 
 MAGIC = b"SLSST01\n"
 #: Bytes of values in a block before it is packed; bits of the filter for a document; entries of a task's word table.
 BLOCK, BITS, TABLE = 256 << 10, 10, 160_000
 HASHES = 7
+#: Bytes of text in a shard.
+SHARD = 64 << 20
 FOOTER = struct.Struct("<QQQQI8s")
 SUMMARY = "shard string, n_docs long, n_tokens long"
 
@@ -52,6 +60,19 @@ STOP, ALNUM = np.isin(np.arange(256), [ord("."), ord(",")]), np.isin(np.arange(2
 LATIN = re.compile("[a-zß-öø-ÿ]+")
 
 
+#: The normalizer and pre-tokenizer for which words can be encoded apart.
+SPLITTING = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 def byte_alphabet() -> dict[int, int]:
     """Byte -> character of the byte-level alphabet: printable bytes stand for themselves, the rest follow at 256."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -60,7 +81,8 @@ def byte_alphabet() -> dict[int, int]:
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizers file that drops white space and never looks across it, word by distinct word.
+    """Ids of texts by a tokenizers file. One that drops white space and never looks across it, as SPLITTING says, is
+    applied word by distinct word; any other one to whole texts.
 
     A stop after a letter or digit and before white space is a token of its own, so it is a word of its own here, and
     A-Z go to lower case first as the tokenizer would have them: words repeat more. A slice of texts becomes distinct
@@ -71,6 +93,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        spec = json.loads(self.tokenizer.to_str())
+        self.by_words = all(spec[k] == v for k, v in SPLITTING.items()) and spec["model"]["type"] == "BPE" and not spec["model"]["dropout"] and all("<|" in t["content"] for t in spec["added_tokens"])
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.alphabet = byte_alphabet()
@@ -104,7 +128,10 @@ class WordEncoder:
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (uint32, no end ids), and where each text's end."""
-        at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        if not self.by_words:
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.array([i for ids in each for i in ids], np.uint32), np.cumsum([len(ids) for ids in each], dtype=np.int64)
+        at = offsets(texts)
         raw = bytes(texts.buffers()[2][int(at[0]) : int(at[-1])]) if texts.buffers()[2] else b""
         at -= at[0]
         named = b"<|" in raw  # perhaps a special token's name, which is one in its own case only
@@ -126,8 +153,8 @@ class WordEncoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         packed = data[solid]
-        offsets = np.append((np.cumsum(solid) - 1)[starts], len(packed)).astype(np.int32)
-        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]).dictionary_encode()
+        begins_at = np.append((np.cumsum(solid) - 1)[starts], len(packed)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(begins_at), pa.py_buffer(packed)]).dictionary_encode()
         parts, place = self.ids_of(words.dictionary.to_pylist()), words.indices.to_numpy()
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         flat, begins = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes
@@ -272,12 +299,15 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, shards: i
     """Writes docs (doc_id, text) to shards in folder, which is new and shared; returns SUMMARY, one row a shard.
 
     A row is dealt by a range of (doc_id, hash of text), so shard names ascend with the ids and no single id's rows
-    have to meet in one task. The returned rows are computed: the files are there.
+    have to meet in one task. There are as many shards as the session has shuffle partitions, and more where a shard
+    would have over SHARD bytes of text. The returned rows are computed: the files are there.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, only(docs, "doc_id", "text")
     small_batches(spark)
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(docs["text"], F.lit(""))
+    if not shards:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / SHARD))
     order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +329,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, shards: i
         put_file(folder, name, write)
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["shard", "n_docs", "n_tokens"])
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).repartitionByRange(shards, *order).sortWithinPartitions(*order)
     done = rows.select("doc_id", "text").mapInArrow(run, SUMMARY).collect()  # one small row a shard
     schema = T.StructType([T.StructField("shard", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType())])
     return spark.createDataFrame([tuple(r) for r in done], schema)
