@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import re
 import struct
 import time
@@ -85,6 +86,40 @@ def test_token_shards(spark, texts):
     assert sstable.read_shards(sstable.write_shards(docs.limit(0), empty, P.path("word_bpe_49k.json"), 1), empty).count() == 0
 
 
+def test_word_encoder_of_large_strings_and_other_tokenizers(tmp_path):
+    from tokenizers import Tokenizer
+
+    many = ["First text. It's 12,5", None, "", "zweiter  Text<|endoftext|>", "<|EndOfText|> x"]
+    want = [ENCODER.tokenizer.encode(t or "", add_special_tokens=False).ids for t in many]
+    for kind in (pa.string(), pa.large_string()):
+        (batch,) = [*sstable.text_slices([pa.RecordBatch.from_arrays([pa.array(many, kind)], ["text"])], "text")]
+        ids, ends = ENCODER.encode(batch[1])
+        assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)] == want
+    spec = json.loads(ENCODER.tokenizer.to_str())
+    spec["normalizer"]["normalizers"].pop()  # cases differ now
+    path = str(tmp_path / "other.json")
+    Tokenizer.from_str(json.dumps(spec)).save(path)
+    other = sstable.WordEncoder(path, 1)
+    ids, ends = other.encode(pa.array([t or "" for t in many]))
+    assert ENCODER.by_words and not other.by_words
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)] == [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids for t in many] != want
+
+
+def test_shards_are_sized_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(sstable, "SHARD", 1000)
+    docs = spark.createDataFrame([(i, "word " * 40, "clash") for i in range(60)], "doc_id long, text string, h string")
+    summary = sstable.write_shards(docs, fresh_dir(spark, "shards"), P.path("word_bpe_49k.json"), 1)
+    assert summary.count() == 12 and summary.agg(F.sum("n_docs")).first()[0] == 60
+
+
+def test_codec_of_a_model_that_needs_whole_texts(monkeypatch):
+    many = ["a b", "", None, "  so  it  is "]
+    want = [*CODEC.run(many)]
+    monkeypatch.setattr(piece_codec.Codec, "chunks", lambda self, text: [piece_codec.MARK + x for x in text.split()])
+    other = piece_codec.Codec(P.path("piece_bpe_32k.model"))
+    assert CODEC.by_chunks and not other.by_chunks and [*other.run(many)] == want
+
+
 def test_shard_keeps_repeated_ids(spark):
     folder = fresh_dir(spark, "shards")
     docs = spark.createDataFrame([(3, "a b"), (3, "a b"), (3, "c"), (1, None)], "doc_id long, text string")
@@ -116,6 +151,15 @@ def test_quality_rules(spark, texts):
     assert quality_rules.judge(docs.limit(0)).count() == 0
 
 
+def test_quality_rules_spare_short_texts(spark, sf):
+    refs = quality_rules.references(spark.read.parquet(f"{sf}/documents.parquet"))
+    texts = [" ".join(f"{w}%%{i}" for i in range(n)) for n in (19, 20, 39, 40, 400) for w in ("|", "XY")]
+    got = quality_rules.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), refs).orderBy("doc_id").collect()
+    assert [r["kept"] for r in got] == [False] * 2 + [True] * 4 + [False] * 4
+    assert [r["char_distance"] is None for r in got] == [True] * 6 + [False] * 4
+    assert quality_rules.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).filter("kept").count() == 8  # no references
+
+
 def test_quality_rules_divergence(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     refs = quality_rules.references(docs)
@@ -389,7 +433,10 @@ def test_benchmark_blocks_come_one_by_one(spark, sf, monkeypatch):
     assert len(made) > 3 and sum(made) == benchmark.count()
 
 
-def test_warc(spark, sf):
+@pytest.mark.parametrize("sent,captures,lines", [(warc.SENT, warc.CAPTURES, warc.LINES), (0, 20, 7)])
+def test_warc(spark, sf, sent, captures, lines, monkeypatch):
+    for name, value in (("SENT", sent), ("CAPTURES", captures), ("LINES", lines)):
+        monkeypatch.setattr(warc, name, value)
     base = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     same = base[3][2]
     pages = base + [(1000, "http://x.com/a b\r\nc", same), (1001, None, same), (1002, "u", None), (1003, "u", ""), (1004, "s", "x" * 99), (1005, "s", "x" * 99), (1006, "s", "é" * 50), (1007, "s", "é" * 50), (None, "n", same), (2, "again", same), (2000, "l", "y" * 300_000)]
@@ -410,7 +457,15 @@ def test_warc(spark, sf):
     for page_id, url, h in base[:20]:
         found = [c for c in lookup.captures(url) if c["page_id"] == page_id]
         assert len(found) == 1 and (found[0]["type"] == "revisit" or lookup.payload(found[0]) == h.encode())
-    assert not lookup.captures("http://nowhere.example/zzz")
+    assert not lookup.captures("http://nowhere.example/zzz") and not lookup.captures("http://zzz.zzz/zzz") and [c["page_id"] for c in lookup.captures("")] == [1001]
+    at = lookup.captures(base[3][1])[0]
+    fields, _, _ = warc.parse(lookup.read(at["filename"], at["offset"], at["length"]))
+    assert (fields["Showloom-Page-Id"], fields["Showloom-Refers-To-Page-Id"]) == ("3", "2")
+    files = {c["file"] for c in warc.captures_of(directory, folder).collect()}
+    heads = [warc.gzip.decompress(lookup.read(f, 0, lookup.fs.get_file_info(f"{lookup.path}/{f}").size)) for f in files]
+    assert all(h.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") for h in heads)
+    ids = [x for h in heads for x in re.findall(rb"\r\nWARC-Record-ID: (\S+)", h)]
+    assert len(ids) == len(set(ids)) == len(pages) + len(files)
     assert warc.archive(df.limit(0), fresh_dir(spark, "warc"))[1].count() == 0
 
 
