@@ -21,22 +21,30 @@ def full_year(digits: Column) -> Column:
     return F.when(year < 30, year + 2000).when(year < 100, year + 1900).otherwise(year)
 
 
-def iso(year: Column, month: Column, day: Column) -> Column:
-    """yyyy-mm-dd; null if any part is."""
-    padded = [F.lpad(p.cast("string"), n, "0") for p, n in ((year, 4), (month, 2), (day, 2))]
-    return F.when(year.isNotNull() & month.isNotNull() & day.isNotNull(), F.concat_ws("-", *padded))
+#: How pages write a date, from its start: day, month and year; month and year; year.
+PATTERNS = [r"^(\d{1,2})\s+([A-Za-z]{3,4})\s+(\d{2,4})", r"^()([A-Za-z]{3,4})\s+(\d{2,4})", r"^()()(\d{4})"]
 
 
 def date_to_iso(c: Column) -> Column:
-    """"d Mon yy[yy]", else "Mon yy[yy]" (day 01), else "yyyy" (01-01), at the text's start; days aren't validated."""
-    text = F.trim(F.regexp_replace(c, "[?_]", ""))
-    group = lambda pattern, k: F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
-    full, month, year = r"^(\d{1,2})\s+([A-Za-z]{3,4})\s+(\d{2,4})", r"^([A-Za-z]{3,4})\s+(\d{2,4})", r"^(\d{4})"
-    return F.coalesce(
-        iso(full_year(group(full, 3)), month_number(group(full, 2)), group(full, 1).try_cast("int")),
-        iso(full_year(group(month, 2)), month_number(group(month, 1)), F.lit(1)),
-        iso(group(year, 1).try_cast("int"), F.lit(1), F.lit(1)),
-    )
+    """"d Mon yy[yy]", else "Mon yy[yy]" (day 01), else "yyyy" (01-01), at the text's start; days aren't validated.
+
+    A lambda's variable is evaluated once, so each text is cut to its parts once, and each form adds one text or null.
+    """
+
+    def form(text: Column, k: int) -> Column:
+        def written(p: Column) -> Column:
+            month = month_number(p["m"]) if k < 2 else F.lit(1)
+            year = full_year(p["y"]) if k < 2 else p["y"].try_cast("int")
+            day = p["d"].try_cast("int") if k == 0 else F.lit(1)
+            return year.cast("string"), month.cast("string"), day.cast("string")
+
+        parts = F.array(F.struct(*[F.nullif(F.regexp_extract(text, PATTERNS[k], i + 1), F.lit("")).alias(n) for i, n in enumerate("dmy")]))
+        numbers = F.transform(parts, lambda p: F.array(*written(p)))
+        return F.transform(numbers, lambda n: F.when(~F.exists(n, F.isnull), F.concat_ws("-", F.lpad(n[0], 4, "0"), F.lpad(n[1], 2, "0"), F.lpad(n[2], 2, "0"))))
+
+    texts = F.array(F.trim(F.regexp_replace(c, "[?_]", "")))
+    found = F.transform(texts, lambda t: F.get(F.filter(F.concat(*[form(t, k) for k in range(3)]), F.isnotnull), F.lit(0)))
+    return F.get(found, F.lit(0))
 
 
 def year_of_iso(c: Column) -> Column:

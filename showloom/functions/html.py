@@ -33,21 +33,36 @@ ROW = (
 )
 
 
-def unescape(c: Column) -> Column:
-    """Character references decoded."""
+def unescape_all(c: Column) -> Column:
+    """array<string>: character references of all strings of an array decoded, in one pass through Python."""
     from html import unescape as decode
 
-    @F.pandas_udf("string")
+    @F.pandas_udf("array<string>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield part.map(lambda x: None if x is None else decode(x))
+            yield part.map(lambda row: [x if x is None or "&" not in x else decode(x) for x in row])
 
     return run(c)
 
 
+def unescape(c: Column) -> Column:
+    return unescape_all(F.array(c))[0]
+
+
+def tidy(c: Column) -> Column:
+    """Trimmed, runs of two white space characters or more as one blank."""
+    return F.regexp_replace(F.btrim(c, F.lit(" \t\r\n")), r"\s{2,}", " ")
+
+
 def clean(c: Column) -> Column:
-    """Decoded, trimmed, runs of two white space characters or more as one blank."""
-    return F.regexp_replace(F.btrim(unescape(c), F.lit(" \t\r\n")), r"\s{2,}", " ")
+    """Decoded, then as tidy() does."""
+    return tidy(unescape(c))
+
+
+def cleaned(rows: DataFrame, keep: list[str], parts: dict[str, Column]) -> DataFrame:
+    """The columns keep of rows, and the named parts, clean; all parts go through Python together."""
+    rows = rows.select(*keep, unescape_all(F.array(*parts.values())).alias("_parts"))
+    return rows.select(*keep, *[tidy(F.col("_parts")[i]).alias(name) for i, name in enumerate(parts)])
 
 
 def first(c: Column, pattern: str, group: int = 1) -> Column:
@@ -65,49 +80,47 @@ def runtime(c: Column) -> Column:
 def parse(pages: DataFrame) -> DataFrame:
     """pages (url, html) with the show's fields, cast and episode rows; rows without a title are left out.
 
-    One pass over the pages; the five tables are projections of it, so it is worth persisting.
+    One pass over the pages. The five tables are projections of it, so it is worth writing first where more than one of
+    them is wanted, as write_tables() does.
     """
     page = F.col("html")
-    end = clean(first(page, DATES, 2))
-    rows = pages.select(
-        F.monotonically_increasing_id().alias("pos"),
-        "url",
-        clean(first(page, KEYWORDS)).alias("keywords"),
-        clean(first(page, TITLE)).alias("title"),
-        clean(first(page, DATES, 1)).alias("date_start"),
-        F.when(end != "___ ____", end).alias("date_end"),
-        clean(first(page, STATUS)).alias("status"),
-        clean(first(page, NETWORK, 1)).alias("network"),
-        clean(first(page, NETWORK, 2)).alias("country"),
-        runtime(clean(first(page, RUNTIME))).alias("runtime_minutes"),
-        F.nullif(genres(clean(first(page, GENRES))), F.lit("")).alias("genres"),
-        F.nullif(strip_tags(clean(first(page, BLURB))), F.lit("")).alias("description"),
-        F.regexp_extract_all(clean(first(page, CREDITS)), F.lit(CAST), F.lit(0)).alias("cast_rows"),
-        F.regexp_extract_all(F.coalesce(first(page, EPISODES, 0), page), F.lit(ROW), F.lit(0)).alias("episode_rows"),
-    ).filter("title is not null and title <> ''")
-    return rows.withColumn("date_start_iso", date_to_iso(F.col("date_start"))).withColumn("date_end_iso", date_to_iso(F.col("date_end")))
+    parts = {
+        "keywords": first(page, KEYWORDS), "title": first(page, TITLE), "date_start": first(page, DATES, 1), "date_end": first(page, DATES, 2), "status": first(page, STATUS), "network": first(page, NETWORK, 1),
+        "country": first(page, NETWORK, 2), "runtime": first(page, RUNTIME), "genre_list": first(page, GENRES), "blurb": first(page, BLURB), "credit_block": first(page, CREDITS),
+    }
+    rows = pages.filter(first(page, TITLE).isNotNull()).withColumn("episode_rows", F.regexp_extract_all(F.coalesce(first(page, EPISODES, 0), page), F.lit(ROW), F.lit(0)))
+    rows = cleaned(rows, ["url", "episode_rows"], parts).filter("title <> ''").withColumn("date_end", F.when(F.col("date_end") != "___ ____", F.col("date_end")))
+    return rows.select(
+        "url", "episode_rows", "keywords", "title", "date_start", "date_end", "status", F.nullif("network", F.lit("")).alias("network"), "country", runtime(F.col("runtime")).alias("runtime_minutes"),
+        F.nullif(genres(F.col("genre_list")), F.lit("")).alias("genres"), F.nullif(strip_tags(F.col("blurb")), F.lit("")).alias("description"),
+        F.regexp_extract_all("credit_block", F.lit(CAST), F.lit(0)).alias("cast_rows"), date_to_iso(F.col("date_start")).alias("date_start_iso"), date_to_iso(F.col("date_end")).alias("date_end_iso"),
+    )
 
 
 def cast(parsed: DataFrame) -> DataFrame:
-    """url, pos, at, actor_name, actor_url, roles."""
-    rows = parsed.select("url", "pos", F.posexplode("cast_rows").alias("at", "row"))
-    rows = rows.select("url", "pos", "at", F.trim(clean(first(F.col("row"), CAST, 2))).alias("actor_name"), clean(first(F.col("row"), CAST, 1)).alias("actor_url"), roles(clean(first(F.col("row"), CAST, 3))).alias("roles"))
-    return rows.filter("actor_name is not null and actor_name <> ''")
+    """url, at, actor_name, actor_url, roles."""
+    row = F.col("row")
+    rows = parsed.select("url", F.posexplode("cast_rows").alias("at", "row"))
+    rows = cleaned(rows, ["url", "at"], {"actor_name": first(row, CAST, 2), "actor_url": first(row, CAST, 1), "roles": first(row, CAST, 3)})
+    return rows.select("url", "at", F.trim("actor_name").alias("actor_name"), "actor_url", roles(F.col("roles")).alias("roles")).filter("actor_name is not null and actor_name <> ''")
 
 
 def actors(cast: DataFrame) -> DataFrame:
-    """actor_name (unique) and the URL at its first place in page and cast order."""
-    return cast.groupBy("actor_name").agg(F.min_by(F.struct("actor_url"), F.struct("pos", "at")).alias("a")).select("actor_name", "a.actor_url")
+    """actor_name (unique) and the URL at its first place, by the page's URL and then the place in the cast."""
+    return cast.groupBy("actor_name").agg(F.min_by(F.struct("actor_url"), F.struct("url", "at")).alias("a")).select("actor_name", "a.actor_url")
 
 
 def credits(cast: DataFrame) -> DataFrame:
-    return cast.select(F.col("url").alias("show_url"), "actor_name", F.explode("roles").alias("role"))
+    """show_url, actor_name, role and position, the place of the row among those of its show."""
+    rows = cast.select(F.col("url").alias("show_url"), "at", "actor_name", F.posexplode("roles").alias("k", "role"))
+    return rows.select("show_url", "actor_name", "role", (F.col("at").cast("long") * (1 << 20) + F.col("k")).alias("position"))
 
 
 def episode_rows(parsed: DataFrame) -> DataFrame:
     """Every row of the episode lists: url, at, season_number, episode_number_in_season, title, airdate, iso, link."""
     either = lambda a, b: F.coalesce(first(F.col("row"), ROW, a), first(F.col("row"), ROW, b))
-    rows = parsed.select("url", F.posexplode("episode_rows").alias("at", "row")).select("url", "at", either(2, 7).alias("key"), clean(either(3, 8)).alias("airdate"), F.trim(clean(either(4, 9))).alias("episode_url"), clean(either(5, 10)).alias("episode_title"))
+    rows = parsed.select("url", F.posexplode("episode_rows").alias("at", "row"))
+    rows = cleaned(rows, ["url", "at"], {"key": either(2, 7), "airdate": either(3, 8), "episode_url": either(4, 9), "episode_title": either(5, 10)}).withColumn("episode_url", F.trim("episode_url"))
     number = lambda k: F.regexp_extract("key", r"(\d+)\s*-\s*(\d+)", k).try_cast("int")
     return rows.select("url", "at", number(1).alias("season_number"), number(2).alias("episode_number_in_season"), "episode_title", "airdate", date_to_iso(F.col("airdate")).alias("airdate_iso"), "episode_url")
 
@@ -135,13 +148,22 @@ def shows(parsed: DataFrame, rows: DataFrame) -> DataFrame:
     return parsed.join(counts, "url", "left").select(*fields, zero("episode_count"), "genres", "description", zero("season_count"))
 
 
-def extract(pages: DataFrame) -> dict[str, DataFrame]:
-    """The five tables of pages (url, html)."""
-    parsed = parse(pages).persist()
+def tables_of(parsed: DataFrame) -> dict[str, DataFrame]:
+    """The five tables of parsed pages."""
     people, rows = cast(parsed), episode_rows(parsed)
     return {"shows": shows(parsed, rows), "actors": actors(people), "credits": credits(people), "seasons": seasons(rows), "episodes": episodes(rows)}
 
 
+def extract(pages: DataFrame) -> dict[str, DataFrame]:
+    """The five tables of pages (url, html)."""
+    return tables_of(parse(pages))
+
+
+def outcomes(statuses: DataFrame) -> DataFrame:
+    """status, n."""
+    return statuses.groupBy("status").agg(F.count("*").alias("n"))
+
+
 def status(pages: DataFrame) -> DataFrame:
     """url, status: success, no_data, or an error for a page that couldn't be read."""
     title = first(F.col("html"), TITLE)

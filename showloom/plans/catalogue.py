@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,31 +9,13 @@ from pyspark.sql.window import Window
 from showloom.functions import dates, html, text, urls, wiki
 from showloom.operators import crawl, events, quality, search
 from showloom.operators.index import MODES, Index, postings
+from showloom.plans import shows  # noqa: F401
+from showloom.plans.shared import ORACLES, QUERIES, fresh, query, r6, table  # noqa: F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 WEIGHTS = {"text": 1.0, "lang": 0.5, "source": 2.1}
 WORDS, SITE = "the hation and onsh river", "http://site.example/"
 
 
-def query(sql: str | None = None, name: str | None = None):
-    def add(function: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name or function.__name__] = function
-        if sql:
-            ORACLES[name or function.__name__] = sql
-        return function
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def r6(c):
-    return F.round(c, 6)
-
-
 TERMS = "unnest(regexp_extract_all(lower({}), '[a-z0-9]+'))"
 POSTINGS = (
     "raw AS (" + " UNION ALL ".join(f"SELECT doc_id, CAST({w} AS DOUBLE) AS w, {TERMS.format(f)} AS term FROM documents" for f, w in WEIGHTS.items()) + "), "

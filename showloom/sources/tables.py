@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from showloom.functions.text import limited
 from showloom.functions.wiki import categories, category_matches, description, has_television_infobox, infobox, is_redirect, plain_text
 from showloom.functions.dates import start_year
+from showloom.functions.html import parse, tables_of
 from showloom.functions.text import norm_title
 from showloom.operators.catalog import INFO, RENAMED
 
@@ -41,6 +42,15 @@ def write_tsv(df: DataFrame, path: str, rows_a_file: int = 2000) -> None:
     text.write.mode("overwrite").options(header=True, sep="\t", quote='"', escape='"', emptyValue="", maxRecordsPerFile=rows_a_file).csv(path)
 
 
+def write_tables(pages: DataFrame, folder: str) -> None:
+    """The five tables of show pages (url, html) as tab-separated text; the parsed pages are written once before them."""
+    parse(pages).write.mode("overwrite").parquet(f"{folder}/_parsed")
+    parsed = pages.sparkSession.read.parquet(f"{folder}/_parsed")
+    for name, rows in tables_of(parsed).items():
+        names = [c.strip().split(" ")[0].strip("`") for c in SCHEMAS[name].split(",")]
+        write_tsv(rows.select(*names), f"{folder}/{name}")
+
+
 def read_pages(spark: SparkSession, mapping: DataFrame, folder: str) -> DataFrame:
     """url, path, html: a URL map joined with the stored pages; a page that isn't stored has null."""
     files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder).select(F.col("value").alias("html"), F.col("_metadata.file_path").alias("file"))
