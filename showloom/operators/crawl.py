@@ -16,22 +16,22 @@ def link_graph(pages: DataFrame, root: str, allowed: Column | None = None) -> Da
 
 
 def breadth_first(graph: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
-    """url, level of all that seeds (url) reach; a level is the frontier's links less what is visited, written each time."""
-    visited = seeds.select("url").distinct().withColumn("level", F.lit(0)).checkpoint()
-    frontier, level = visited, 0
+    """url, level of all that seeds (url) reach; a level is the frontier's links less the levels before it, and is written."""
+    frontier, level = seeds.select("url").distinct().withColumn("level", F.lit(0)).checkpoint(), 0
+    visited = frontier
     while depth is None or level < depth:
         level += 1
         found = graph.join(frontier.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).distinct()
         frontier = found.join(visited, "url", "left_anti").withColumn("level", F.lit(level)).checkpoint()
         if frontier.isEmpty():
             break
-        visited = visited.unionByName(frontier).checkpoint()
+        visited = visited.unionByName(frontier)  # of written levels; none is written again
     return visited
 
 
 def crawl(pages: DataFrame, seeds: DataFrame, root: str, depth: int | None = None, allowed: Column | None = None) -> DataFrame:
     """url, level, fetched (the store has content for it), n_links of a crawl; a page without content is visited once."""
-    graph = link_graph(pages.filter("html is not null and html <> ''"), root, allowed).persist()
+    graph = link_graph(pages.filter("html is not null and html <> ''"), root, allowed).checkpoint()
     reached = breadth_first(graph, seeds, depth)
     counts = graph.groupBy(F.col("src").alias("url")).agg(F.count("*").alias("n_links"))
     stored = pages.select("url", (F.coalesce("html", F.lit("")) != "").alias("fetched")).groupBy("url").agg(F.max("fetched").alias("fetched"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from showloom.functions.text import STOP_WORDS, analyze, norm_query
+from showloom.functions.text import STOP_WORDS, analyze, norm_query, snippet
 from showloom.operators import grammar
 from showloom.operators.index import Index, tf_weight
 
@@ -214,7 +214,9 @@ def leaf_scores(index: FieldIndex, leaves: list[grammar.Leaf]) -> DataFrame:
         if x.kind == "wildcard":
             start, pattern = grammar.wildcard(x.text)
             fits = F.col("term").startswith(start) & (F.col("term").rlike(pattern) if pattern else F.lit(True))
-            parts.append(index.postings.filter(fits).select(F.lit(i).alias("leaf"), "field", "doc_id", F.lit(x.boost).alias("score")))
+            # The dictionary is matched, and its few rows go to the postings.
+            known = index.df.filter(fits).select("field", "term")
+            parts.append(index.postings.filter(F.col("term").startswith(start)).join(known, ["field", "term"], "left_semi").select(F.lit(i).alias("leaf"), "field", "doc_id", F.lit(x.boost).alias("score")))
         elif x.kind == "phrase":
             own = x.text.split(" ")
             times = F.broadcast(spark.createDataFrame([*Counter(own).items()], "term string, times long"))
@@ -277,6 +279,23 @@ def bm25(index: FieldIndex, docs: DataFrame, command: str, k: int = 5, boosts: d
     return scores.orderBy(F.desc(F.round("score", 12)), "doc_id").limit(k)
 
 
+def bm25_many(index: FieldIndex, queries: DataFrame, k: int = 5) -> DataFrame:
+    """query_id, doc_id, rank, score of many queries (query_id, text), as bm25() scores plain words: no filters, no grammar."""
+    words = queries.select("query_id", F.explode(analyze(norm_query(F.col("text")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    weights = words.join(index.df, "term").join(F.broadcast(index.stats), "field").select("query_id", "field", "term", "docs", "total", (F.col("times") * idf_of()).alias("weight"))
+    saturated = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (F.col("total") / F.col("docs"))))
+    scores = index.postings.join(weights, ["field", "term"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * saturated).alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "doc_id")
+    return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "doc_id", "rank", "score")
+
+
+def hits(found: DataFrame, docs: DataFrame, *columns: str, description: str | None = None, key: str = "doc_id") -> DataFrame:
+    """found (the best by doc_id and score: a few rows) with columns of docs, and the description cut to a snippet, best first."""
+    kept = [F.col(c) for c in columns] + ([snippet(F.col(description)).alias("snippet")] if description else [])
+    rows = docs.select(F.col(key).alias("doc_id"), *[c for c in kept])
+    return rows.join(F.broadcast(found.select("doc_id", "score")), "doc_id").orderBy(F.desc(F.round("score", 12)), "doc_id")
+
+
 def dense(rows: DataFrame, query: list[float], k: int = 10) -> DataFrame:
     """vec_id, score: cosine of a dense vector with each row's (vec_id, embedding)."""
     q = F.array(*[F.lit(float(x)) for x in query])

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from showloom.functions import dates, html, text, urls, wiki
-from showloom.operators import crawl, events, quality, search
+from showloom.operators import catalog, crawl, events, quality, search
 from showloom.operators.index import MODES, Index, postings
+from showloom.operators.vectors import Vectors
 from showloom.plans import shows  # noqa: F401
 from showloom.plans.shared import ORACLES, QUERIES, fresh, query, r6, table  # noqa: F401
 
@@ -25,8 +28,42 @@ POSTINGS = (
 IDF = {"classic": "ln(n / df)", "smooth": "ln((n + 1.0) / (df + 1.0)) + 1", "prob": "ln((n - df + 0.5) / (df + 0.5))", "invdf": "1.0 / (df + 1)"}
 
 
+#: Folders of indexes that this process has saved: a session, a folder of tables and a kind of index -> where.
+_SAVED: dict[tuple[str, str, str], str] = {}
+
+
+def saved(spark: SparkSession, sf_dir: str, kind: str, build: Callable[[], Any]) -> str:
+    """The folder of an index that is built and saved when it is first asked for, then searched from its files."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _SAVED:
+        folder = fresh(spark, kind)
+        build().save(folder)
+        _SAVED[key] = folder
+    return _SAVED[key]
+
+
+def built(spark: SparkSession, sf_dir: str) -> Index:
+    return Index.build(table(spark, sf_dir, "documents"), WEIGHTS, title="source")
+
+
 def index(spark: SparkSession, sf_dir: str) -> Index:
-    return Index.build(table(spark, sf_dir, "documents"), WEIGHTS, title="source").persist()
+    return Index.load(spark, saved(spark, sf_dir, "index", lambda: built(spark, sf_dir)))
+
+
+def fields(spark: SparkSession, sf_dir: str) -> search.FieldIndex:
+    build = lambda: search.FieldIndex.build(table(spark, sf_dir, "documents"), ["text", "source"])
+    return search.FieldIndex.load(spark, saved(spark, sf_dir, "fields", build))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> Vectors:
+    """The vector store; its documents are those of even ids, others have what came with the vector."""
+
+    def build() -> Vectors:
+        found = Vectors.build(table(spark, sf_dir, "documents"), "text", url="lang", title="source")
+        found.docs = found.docs.filter("doc_id % 2 = 0").withColumn("title", F.concat(F.lit("doc "), "doc_id"))
+        return found
+
+    return Vectors.load(spark, saved(spark, sf_dir, "vectors", build))
 
 
 @query(f"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, {TERMS.format('text')} AS term FROM documents) GROUP BY doc_id, term")
@@ -84,7 +121,11 @@ for _mode in MODES:
     by_mode(_mode)
 
 
-@query()
+@query(
+    f"WITH {POSTINGS}, {NORMS.format(IDF['smooth'])}, qt AS (SELECT query_id, term, count(*) AS c FROM (SELECT item_id AS query_id, {TERMS.format('text')} AS term FROM benchmark) GROUP BY ALL), q AS (SELECT query_id, term, idf, idf * (1 + ln(c)) AS wq FROM qt JOIN w USING (term)), "
+    "qn AS (SELECT query_id, sqrt(sum(wq * wq)) AS qn FROM q GROUP BY query_id), dots AS (SELECT query_id, doc_id, sum((1 + ln(tf)) * idf * wq) AS dot FROM post JOIN q USING (term) GROUP BY ALL), s AS (SELECT query_id, doc_id, dot / (norm * qn) AS s FROM dots JOIN norms USING (doc_id) JOIN qn USING (query_id)), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, doc_id) AS r FROM s) SELECT query_id, doc_id, CAST(r AS INTEGER) AS rank, round(s, 6) AS score FROM r WHERE r <= 5"
+)
 def search_many(spark, sf_dir):
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return search.cosine_many(index(spark, sf_dir), queries, k=5).select("query_id", "doc_id", "rank", r6("score").alias("score"))
@@ -117,11 +158,7 @@ VECTOR = "hation onsh thing"
     "s AS (SELECT doc_id, coalesce(dot, 0) / ((CASE WHEN norm = 0 THEN 1e-12 ELSE norm END) * (SELECT sqrt(sum(wq * wq)) FROM q)) AS s FROM norms LEFT JOIN dots USING (doc_id)) SELECT doc_id, round(s, 6) AS score FROM s ORDER BY round(s, 12) DESC, doc_id LIMIT 10"
 )
 def search_vector_tfidf(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    counts = docs.select("doc_id", F.explode(text.tokenize_for_vectors(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    n = F.broadcast(docs.agg(F.count("*").alias("n")))
-    idf = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(n).select("term", F.ln((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))
-    return search.vector_search(search.vectors(counts, idf), docs, idf, VECTOR).select("doc_id", r6("score").alias("score"))
+    return vectors(spark, sf_dir).search(VECTOR).select("doc_id", r6("score").alias("score"))
 
 
 @query(
@@ -145,7 +182,7 @@ BM25 = (
 def filtered(spark, sf_dir, command: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     columns = docs.select("doc_id", "text", "source", F.col("lang").alias("country"), F.array("source").alias("genres_exact"), (1950 + F.col("doc_id") % 75).cast("int").alias("start_year"))
-    return search.bm25(search.FieldIndex.build(docs, ["text", "source"]), columns, command).select("doc_id", r6("score").alias("score"))
+    return search.bm25(fields(spark, sf_dir), columns, command).select("doc_id", r6("score").alias("score"))
 
 
 @query("WITH " + BM25.replace("{q}", "'hation', 'src3', 'thing'").replace("{p}", "true"))
@@ -206,40 +243,52 @@ def search_match_all(spark, sf_dir):
     "SELECT CAST(c_custkey AS VARCHAR) AS customer, c_name, CAST(s_suppkey AS VARCHAR) AS supplier, s_name FROM (SELECT *, CAST(regexp_extract(c_name, '([0-9]+)', 1) AS BIGINT) AS k FROM customer) c FULL OUTER JOIN (SELECT *, CAST(regexp_extract(s_name, '([0-9]+)', 1) AS BIGINT) AS k FROM supplier) s ON c.k = s.k AND c_nationkey = s_nationkey"
 )
 def full_outer_two_key(spark, sf_dir):
-    number = lambda c: F.regexp_extract(c, "([0-9]+)", 1).try_cast("long")
-    left, right = table(spark, sf_dir, "customer").withColumn("k", number("c_name")), table(spark, sf_dir, "supplier").withColumn("sk", number("s_name"))
-    return left.join(right, (F.col("k") == F.col("sk")) & (F.col("c_nationkey") == F.col("s_nationkey")), "full_outer").select(F.col("c_custkey").cast("string").alias("customer"), "c_name", F.col("s_suppkey").cast("string").alias("supplier"), "s_name")
+    number = lambda c: F.concat(F.lit("Show "), F.regexp_extract(c, "([0-9]+)", 1))
+    year = lambda c: (1950 + F.col(c)).cast("string")
+    left = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("url"), number("c_name").alias("title"), F.concat(year("c_nationkey"), F.lit("-01-01")).alias("date_start_iso"), "c_name")
+    names = {"page_id": F.col("s_suppkey").cast("string"), "norm_title": F.lower(number("s_name")), "page_start_year": year("s_nationkey"), "description": F.col("s_name")}
+    right = table(spark, sf_dir, "supplier").select(*[names.get(c, F.lit("")).alias(c) for c in catalog.WIKI])
+    return catalog.join_wiki(left, right).select(F.col("url").alias("customer"), "c_name", F.col("wiki_page_id").alias("supplier"), F.col("wiki_description").alias("s_name"))
 
 
 @query(
     "SELECT o_orderkey, coalesce(string_agg(l_linenumber || ' (' || strftime(l_shipdate, '%Y-%m-%d') || ')', chr(10) ORDER BY l_linenumber, strftime(l_shipdate, '%Y-%m-%d')), '') AS episodes FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey"
 )
 def left_join_agg_lists(spark, sf_dir):
-    day = F.date_format("l_shipdate", "yyyy-MM-dd")
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", day.alias("day")))).alias("x"))
-    label = F.array_join(F.transform("x", lambda e: text.episode_label(e["l_linenumber"].cast("string"), e["day"])), "\n")
-    return table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.coalesce(label, F.lit("")).alias("episodes"))
+    return order_docs(spark, sf_dir).select("o_orderkey", "episodes")
+
+
+def order_docs(spark, sf_dir) -> DataFrame:
+    """Index documents of orders as shows, their lines as episodes and credits."""
+    blank = "title genres description status network country keywords".split()
+    shows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("url"), *[F.lit("").alias(c) for c in blank])
+    lines = table(spark, sf_dir, "lineitem").withColumn("show_url", F.col("l_orderkey").cast("string"))
+    episodes = lines.select("show_url", F.col("l_linenumber").cast("string").alias("episode_title"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("airdate_iso"), F.col("l_linenumber").alias("episode_number_overall"))
+    credits = lines.select("show_url", F.concat("l_returnflag", "l_linestatus").alias("actor_name"), F.lit("").alias("role"))
+    return catalog.show_docs(shows, episodes, credits).withColumn("o_orderkey", F.col("url").cast("long"))
 
 
 @query("SELECT o_orderkey, coalesce(string_agg(DISTINCT l_returnflag || l_linestatus, ', ' ORDER BY l_returnflag || l_linestatus), '') AS names FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
 def distinct_sorted_list(spark, sf_dir):
-    names = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set(F.concat("l_returnflag", "l_linestatus"))), ", ").alias("x"))
-    return table(spark, sf_dir, "orders").join(names, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.coalesce("x", F.lit("")).alias("names"))
+    return order_docs(spark, sf_dir).select("o_orderkey", F.col("cast").alias("names"))
 
 
 @query("SELECT user_id, arg_min(event_type, event_id) AS first_type FROM events GROUP BY user_id")
 def first_wins_dedupe(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("first_type"))
+    people = table(spark, sf_dir, "events").select(F.lit("").alias("url"), F.col("event_id").alias("at"), F.col("user_id").alias("actor_name"), F.col("event_type").alias("actor_url"))
+    return html.actors(people).select(F.col("actor_name").alias("user_id"), F.col("actor_url").alias("first_type"))
 
 
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY (role = 'system'), turn) AS overall FROM conversations")
 def overall_numbering(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("role") == "system", "turn")).cast("long").alias("overall"))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("url"), F.col("turn").alias("at"), F.when(F.col("role") == "system", 0).otherwise(1).alias("season_number"), F.col("turn").alias("episode_number_in_season"), *[F.lit("").alias(c) for c in ("episode_title", "airdate", "airdate_iso", "episode_url")])
+    return html.episodes(rows).select(F.col("show_url").alias("conv_id"), F.col("episode_number_in_season").alias("turn"), F.col("episode_number_overall").cast("long").alias("overall"))
 
 
-@query("SELECT DISTINCT l_suppkey, l_returnflag, l_linestatus FROM lineitem")
+@query("SELECT DISTINCT 'supplier ' || l_suppkey AS norm_title, year(l_shipdate)::INTEGER AS start_year, l_returnflag FROM lineitem")
 def row_distinct(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag", "l_linestatus").distinct()
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("Supplier: "), "l_suppkey").alias("title"), F.concat(F.year("l_shipdate"), F.lit("-01-01")).alias("date_start_iso"), "l_returnflag")
+    return catalog.keyed_shows(rows).select("norm_title", "start_year", "l_returnflag")
 
 
 @query(
@@ -261,11 +310,6 @@ def split_clean_list(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(text.split_list(F.concat("p_name", F.lit(";"), "p_type"), "[; ]", lower=True), "|").alias("parts"))
 
 
-@query("SELECT page_id, regexp_extract(html, '(?is)<title>([^<]*)</title>', 1) AS title FROM pages")
-def html_title(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?is)<title>([^<]*)</title>", 1).alias("title"))
-
-
 HREFS = """SELECT page_id, unnest(regexp_extract_all(html, '(?i)href=["''](.*?)["'']', 1)) AS link FROM pages"""
 
 
@@ -274,18 +318,14 @@ def html_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.explode(urls.links(F.col("html"))).alias("link")).groupBy("page_id", "link").agg(F.count("*").alias("n"))
 
 
-@query("SELECT page_id, len(regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1)) AS n_items, coalesce(regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1)[1], '') AS first_item FROM pages")
-def html_list_items(spark, sf_dir):
-    items = F.regexp_extract_all("html", F.lit("(?is)<li[^>]*>(.*?)</li>"), F.lit(1))
-    return table(spark, sf_dir, "pages").select("page_id", F.size(items).cast("long").alias("n_items"), F.coalesce(F.get(items, F.lit(0)), F.lit("")).alias("first_item"))
-
-
 @query("SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s{2,}', ' ', 'g')) AS plain FROM pages")
 def html_strip_tags(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.strip_tags(F.col("html")).alias("plain"))
 
 
-@query()
+@query(
+    "SELECT page_id, regexp_replace(trim(regexp_replace(replace(replace(regexp_replace(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s{2,}', ' ', 'g')), '&quot;?', '\"', 'g'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'), chr(32) || chr(9) || chr(10) || chr(13)), '\\s{2,}', ' ', 'g') AS plain FROM pages"
+)
 def html_unescape(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.clean(text.strip_tags(F.col("html"))).alias("plain"))
 
@@ -327,13 +367,16 @@ def link_graph(spark, sf_dir):
     return crawl.link_graph(site_pages(spark, sf_dir), SITE)
 
 
-@query(SITE_LINKS.replace("WITH", "WITH RECURSIVE") + ", seed AS (SELECT min(src) AS url FROM g), b AS (SELECT url, 0 AS level FROM seed UNION SELECT dst, level + 1 FROM b JOIN g ON src = url WHERE level < 3) SELECT url, CAST(min(level) AS INTEGER) AS level FROM b GROUP BY url")
+@query(SITE_LINKS.replace("WITH", "WITH RECURSIVE") + ", seed AS (SELECT min(src) AS url FROM g), b AS (SELECT url, 0 AS level FROM seed UNION SELECT dst, level + 1 FROM b JOIN g ON src = url WHERE level < (SELECT count(DISTINCT src) FROM g)) SELECT url, CAST(min(level) AS INTEGER) AS level FROM b GROUP BY url")
 def link_graph_bfs(spark, sf_dir):
     graph = crawl.link_graph(site_pages(spark, sf_dir), SITE)
     return crawl.breadth_first(graph, graph.agg(F.min("src").alias("url")))
 
 
-@query()
+@query(
+    "WITH t AS (SELECT doc_id, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) AS t FROM documents), b AS (SELECT doc_id, coalesce(list_filter(list_transform(regexp_split_to_array(t, '\\n\\s*\\n'), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13))), lambda x: length(x) >= 40)[1], t) AS b FROM t) "
+    "SELECT doc_id, nullif(trim(regexp_replace(array_to_string(string_split(regexp_replace(b, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))[1:3], ' '), '\\s+', ' ', 'g')), '') AS paragraph FROM b"
+)
 def first_paragraph(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", wiki.first_paragraph(F.col("text")).alias("paragraph"))
 
@@ -343,7 +386,15 @@ def wikitext(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(*body).alias("raw"))
 
 
-@query()
+def plain_sql() -> str:
+    """What is left of wikitext(): its text, the bold title's letter before it, the category's label after it."""
+    out = "'T ' || text || chr(10) || 'k'"
+    for pattern, by in [(r"(?s)<!--.*?-->", " "), (r"(?is)<ref[^>]*>.*?</ref>", " "), (r"(?i)<ref[^>]*/>", " "), (r"(?s)\{\{.*?\}\}", ""), (r"''+([^'].*?)''+", r"\1"), (r"https?://\S+", " "), (r"={2,}\s*(.*?)\s*={2,}", r" \1 "), (r"<[^>]+>", " "), (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n")]:
+        out = f"regexp_replace({out}, '{pattern.replace(chr(39), chr(39) * 2)}', '{by}', 'g')"
+    return f"SELECT doc_id, trim({out}, chr(32) || chr(9) || chr(10) || chr(13)) AS plain FROM documents"
+
+
+@query(plain_sql())
 def clean_text(spark, sf_dir):
     return wikitext(spark, sf_dir).select("doc_id", wiki.plain_text(F.col("raw")).alias("plain"))
 
@@ -365,14 +416,15 @@ def quality_violations(spark, sf_dir):
     return quality.broken(docs, "documents", "key", rules).unionByName(quality.unmatched(docs, "key", labels, "key", "documents", "without labels"))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+@query("SELECT 'orders' AS \"table\", CAST(o_orderkey AS VARCHAR) AS url, 'without lines' AS rule FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def orphan_checks(spark, sf_dir):
-    return table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+    text = lambda t, c: table(spark, sf_dir, t).select(F.col(c).cast("string").alias("key"))
+    return quality.unmatched(text("orders", "o_orderkey"), "key", text("lineitem", "l_orderkey"), "key", "orders", "without lines")
 
 
 @query(
     "WITH e AS (SELECT CASE WHEN event_type = 'error' THEN 'crawl_error' ELSE 'page_crawled' END AS k, user_id % 7 AS l FROM events) "
-    "SELECT CAST(count(*) FILTER (k = 'page_crawled') AS BIGINT) AS pages, CAST(sum(l) FILTER (k = 'page_crawled') AS BIGINT) AS links, CAST(count(*) FILTER (k = 'crawl_error') AS BIGINT) AS errors, round(count(*) FILTER (k = 'page_crawled') / 60.0, 6) AS rate FROM e"
+    "SELECT CAST(count(*) FILTER (k = 'page_crawled') AS BIGINT) AS pages, CAST(sum(l) FILTER (k = 'page_crawled') AS BIGINT) AS links, CAST(count(*) FILTER (k = 'crawl_error') AS BIGINT) AS errors, CAST(60 AS DOUBLE) AS elapsed, round(count(*) FILTER (k = 'page_crawled') / 60.0, 6) AS rate FROM e"
 )
 def event_stats(spark, sf_dir):
     kind = F.when(F.col("event_type") == "error", "crawl_error").otherwise("page_crawled")
@@ -380,22 +432,24 @@ def event_stats(spark, sf_dir):
     return events.crawl_stats(events.parse(lines), seconds=60).withColumn("rate", r6("rate"))
 
 
-@query("SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
-def json_props(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(F.from_json("props", "k long")["k"].alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+@query("SELECT event_type AS event, CAST(json_extract_string(props, '$.k') AS BIGINT) AS links_found, count(*) AS n FROM events GROUP BY 1, 2")
+def log_lines(spark, sf_dir):
+    """Events written as a log of JSON lines, and read back."""
+    path = fresh(spark, "log")
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("event"), F.from_json("props", "k long")["k"].alias("links_found"))
+    events.write_log(rows, path)
+    return events.read_log(spark, path).groupBy("event", "links_found").agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
+@query("SELECT count(*) AS taken, 0::BIGINT AS again, count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
 def incremental_ingest(spark, sf_dir):
-    import uuid
-
     from showloom.streaming.ingest import ingest
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + f"/ingest-{uuid.uuid4().hex}"
+    base, taken = fresh(spark, "ingest"), []
     schema = table(spark, sf_dir, "events").schema
     for _ in range(2):  # the second run finds nothing new
-        ingest(spark, sf_dir, schema, f"{base}/out", f"{base}/checkpoint", pathGlobFilter="events.parquet")
-    return spark.read.parquet(f"{base}/out").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
+        taken.append(ingest(spark, sf_dir, schema, f"{base}/out", f"{base}/checkpoint", pathGlobFilter="events.parquet"))
+    return spark.read.parquet(f"{base}/out").agg(F.lit(taken[0]).cast("long").alias("taken"), F.lit(taken[1]).cast("long").alias("again"), F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
 
 
 @query("SELECT doc_id, left(text, 200) || CASE WHEN length(text) > 200 THEN '...' ELSE '' END AS snippet FROM documents")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from showloom.functions.text import limited
+from showloom.functions.urls import store_path
 from showloom.functions.wiki import categories, category_matches, description, has_television_infobox, infobox, is_redirect, plain_text
 from showloom.functions.dates import start_year
 from showloom.functions.html import parse, tables_of
 from showloom.functions.text import norm_title
 from showloom.operators.catalog import INFO, RENAMED
+from showloom.operators.vectors import last_wins
 
 
 def strings(*names: str) -> str:
@@ -36,10 +39,31 @@ def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).options(header=True, sep="\t", quote='"', escape='"', multiLine=True).csv(path)
 
 
-def write_tsv(df: DataFrame, path: str, rows_a_file: int = 2000) -> None:
-    """Text columns cut to 4000 characters, null as empty, at most so many rows a file; replaces what was there."""
-    text = df.select(*[limited(F.col(f"`{c}`")).alias(c) for c in df.columns])
-    text.write.mode("overwrite").options(header=True, sep="\t", quote='"', escape='"', emptyValue="", maxRecordsPerFile=rows_a_file).csv(path)
+def write_tsv(df: DataFrame, path: str, rows_a_file: int = 2000, mode: str = "overwrite") -> int:
+    """Text columns cut to 4000 characters, null as empty, at most so many rows a file; replaces what was there, or with
+    mode "append" adds to it. Returns how many rows were written, counted on the way."""
+    seen = Observation()
+    text = df.select(*[limited(F.col(f"`{c}`")).alias(c) for c in df.columns]).observe(seen, F.count(F.lit(1)).alias("n"))
+    text.write.mode(mode).options(header=True, sep="\t", quote='"', escape='"', emptyValue="", maxRecordsPerFile=rows_a_file).csv(path)
+    return seen.get["n"]
+
+
+def store_pages(pages: DataFrame, store: str, mapping: str) -> int:
+    """Adds pages (url, html) to the store, Parquet of path and html, and their URLs to the URL map (url, path)."""
+    rows = pages.select("url", store_path(F.col("url")).alias("path"), "html")
+    rows.select("path", "html").write.mode("append").parquet(store)
+    return write_tsv(rows.select("url", "path"), mapping, mode="append")
+
+
+def stored_pages(spark: SparkSession, store: str, mapping: str) -> DataFrame:
+    """url, path, html of the URL map; a page that isn't stored has null, one that was stored again any of its contents."""
+    urls = read_tsv(spark, mapping, SCHEMAS["url_mapping"]).distinct()
+    return urls.join(spark.read.parquet(store).groupBy("path").agg(F.max("html").alias("html")), "path", "left").select("url", "path", "html")
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, length of the files of a glob, by name; their content isn't read."""
+    return spark.read.format("binaryFile").load(path).select("path", "length").orderBy("path")
 
 
 def write_tables(pages: DataFrame, folder: str) -> None:
@@ -61,9 +85,9 @@ def read_pages(spark: SparkSession, mapping: DataFrame, folder: str) -> DataFram
 
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, title, raw_text of an XML dump (also .bz2, also a glob), by an explicit schema."""
+    """page_id, title, raw_text, chunk (its file) of an XML dump (also .bz2, also a glob), by an explicit schema."""
     rows = spark.read.format("xml").option("rowTag", "page").schema(PAGE).load(path)
-    return rows.select(F.col("id").alias("page_id"), "title", F.col("revision.text._VALUE").alias("raw_text"))
+    return rows.select(F.col("id").alias("page_id"), "title", F.col("revision.text._VALUE").alias("raw_text"), F.col("_metadata.file_name").alias("chunk"))
 
 
 def wiki_shows(pages: DataFrame, keywords: list[str] | None = None) -> DataFrame:
@@ -76,12 +100,22 @@ def wiki_shows(pages: DataFrame, keywords: list[str] | None = None) -> DataFrame
 
 
 def read_keywords(spark: SparkSession, path: str) -> list[str]:
-    """Lines that aren't blank or comments; a list of filter words, so small."""
-    rows = spark.read.text(path).select(F.trim("value").alias("k")).filter("k <> '' and not startswith(k, '#')")
+    """Lines that aren't blank or comments; a list of filter words, so small. Without the file, none: no filter."""
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    rows = lines.select(F.trim("value").alias("k")).filter("k <> '' and not startswith(k, '#')")
     return [r["k"] for r in rows.collect()]
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, url, title; rows whose id isn't a number are dropped, of repeated ids one stays."""
-    rows = read_tsv(spark, path, strings("doc_id", "url", "title")).select(F.col("doc_id").try_cast("long").alias("doc_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("title", F.lit("")).alias("title"))
-    return rows.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("url", "title")).alias("x")).select("doc_id", "x.*")
+    """doc_id, url, title; rows whose id isn't a number are dropped, of repeated ids the last stays, by file and place.
+
+    A file with line breaks in fields is read by one task, so that numbers of rows ascend within it.
+    """
+    place = F.struct("_metadata.file_path", F.monotonically_increasing_id()).alias("place")
+    rows = read_tsv(spark, path, strings("doc_id", "url", "title")).select(F.col("doc_id").try_cast("long").alias("doc_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("title", F.lit("")).alias("title"), place)
+    return last_wins(rows.filter("doc_id is not null"), "doc_id", "place")

@@ -2,19 +2,53 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable
+from threading import Event
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQueryListener
 
 from showloom.sources.tables import PAGE, wiki_shows
 
 
+class Counter(StreamingQueryListener):
+    """Rows of each run of a stream: a query itself remembers its last batches only."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = defaultdict(int)
+        self.ended: dict[str, Event] = defaultdict(Event)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.rows[str(event.progress.runId)] += event.progress.numInputRows
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended[str(event.runId)].set()
+
+    def total(self, run: str) -> int:
+        """Once all events of a run that has ended are here, which come a little later."""
+        if not self.ended[run].wait(60):
+            raise TimeoutError(f"no word of the end of run {run}")
+        return self.rows[run]
+
+
 def ingest(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, kind: str = "parquet", transform: Callable[[DataFrame], DataFrame] = lambda df: df, **options: str) -> int:
     """Appends transform of the files in source that weren't taken before to Parquet in out; returns how many rows."""
     rows = transform(spark.readStream.format(kind).schema(schema).options(**options).load(source))
-    query = rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
-    query.awaitTermination()
-    return sum(p["numInputRows"] for p in query.recentProgress)
+    counter = Counter()
+    spark.streams.addListener(counter)
+    try:
+        query = rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+        query.awaitTermination()
+        return counter.total(str(query.runId))
+    finally:
+        spark.streams.removeListener(counter)
 
 
 def ingest_dump(spark: SparkSession, source: str, out: str, checkpoint: str, keywords: list[str] | None = None) -> int:
