@@ -36,7 +36,7 @@ PAGE = "id long, title string, revision struct<text: struct<_VALUE: string>>"
 
 def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A tab-separated table with a header, doubled quotes and line breaks in quoted fields; empty fields are null."""
-    return spark.read.schema(schema).options(header=True, sep="\t", quote='"', escape='"', multiLine=True).csv(path)
+    return spark.read.schema(schema).options(header=True, sep="\t", quote='"', escape='"', multiLine=True, lineSep="\n").csv(path)
 
 
 def write_tsv(df: DataFrame, path: str, rows_a_file: int = 2000, mode: str = "overwrite") -> int:
@@ -44,7 +44,7 @@ def write_tsv(df: DataFrame, path: str, rows_a_file: int = 2000, mode: str = "ov
     mode "append" adds to it. Returns how many rows were written, counted on the way."""
     seen = Observation()
     text = df.select(*[limited(F.col(f"`{c}`")).alias(c) for c in df.columns]).observe(seen, F.count(F.lit(1)).alias("n"))
-    text.write.mode(mode).options(header=True, sep="\t", quote='"', escape='"', emptyValue="", maxRecordsPerFile=rows_a_file).csv(path)
+    text.write.mode(mode).options(header=True, sep="\t", quote='"', escape='"', emptyValue="", lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, maxRecordsPerFile=rows_a_file).csv(path)
     return seen.get["n"]
 
 
