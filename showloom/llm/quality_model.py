@@ -5,8 +5,11 @@ rows outside the held-out third (crc32 of the id as text, mod 3, is 1), at most
 least; this bound is the only limit, and it holds for what the driver collects. Trees are flattened into arrays and
 all rows of a batch walk them at once.
 
-Defined results: null and empty texts have statistics of zero and so a score; without usable labels every score is
-one half; ids whose labels differ, and null labels or ids, aren't learnt from; repeated rows give repeated results.
+Defined results: null and empty texts, and texts of white space, have statistics of zero and so a score; very long texts
+are read whole; without usable labels every score is one half; a score of just one half predicts 1; ids whose labels
+differ, and null labels or ids, aren't learnt from; a null id isn't held out; rows that repeat an id are all scored, and
+the least of their statistics is learnt from; repeated rows give repeated results, empty tables none; of the table,
+doc_id and text alone are read, whatever other columns are named, and keep_good() returns them as they are.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from showloom.llm.boosting import Trees, train
-from showloom.llm.common import TO_BLANK, python_rows, small_batches
+from showloom.llm.common import TO_BLANK, only, python_rows, small_batches
 
 SAMPLE = 20_000
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
@@ -72,7 +75,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
         for part, (texts,) in python_rows(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([statistics(t) for t in texts], pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, x array<double>")
+    rows = only(docs, "doc_id", "text").join(chosen, "doc_id").select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, x array<double>")
     found = rows.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("x").alias("x")).orderBy("doc_id").collect()  # one row an id: sample rows at most
     return train(np.array([r["x"] for r in found], float).reshape(-1, NAMES), np.array([r["label"] for r in found], float))
 

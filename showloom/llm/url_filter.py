@@ -8,10 +8,13 @@ Features are expressions over the URL, and so are the trained trees: nested CASE
 Training takes labelled URLs, at most SAMPLE of them (those that hash least), on the driver; seed_urls() makes a set
 from word lists and a fixed mixing rule, for use where no labelled URLs are at hand; both of its classes have hosts with
 and without hyphens, and several features together tell them apart. Suffix statistics are counts of
-the training set by last host label, at most SUFFIXES of them, the rest at the prior.
+the training set by last host label; those seen on fewer than SEEN training rows are at the prior, so there are
+SAMPLE / SEEN at most.
 
 Defined results: a null URL, or one without "://", has empty host and path, fits no rule, and is scored as it is (null
-as an empty text); empty tables give empty results; repeated rows give repeated results.
+as an empty text); very long URLs are read whole; a URL whose score is just one half is blocked; empty tables give empty
+results, and a model of an empty table scores one half; repeated rows give repeated results; other columns, whatever
+their names, aren't read.
 """
 
 from __future__ import annotations
@@ -23,9 +26,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from showloom.llm.boosting import Trees, train
-from showloom.llm.common import held
+from showloom.llm.common import held, only
 
-SAMPLE, SUFFIXES, SMOOTH = 20_000, 200, 10.0
+SAMPLE, SEEN, SMOOTH = 20_000, 20, 10.0
 TREES, DEPTH = 20, 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -120,7 +123,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[Trees, dict[str, flo
     rows = labelled.filter("url is not null and blocked in (0, 1)").select("url", "blocked").orderBy(F.xxhash64("url"), "url", "blocked").limit(sample)
     rows = rows.select("url", "blocked", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     base = rows.agg(F.coalesce(F.avg("blocked"), F.lit(0.5))).first()[0]
-    by = rows.groupBy(suffix(F.col("host")).alias("suffix")).agg(F.count("*").alias("n"), F.sum("blocked").alias("b")).orderBy(F.desc("n"), "suffix").limit(SUFFIXES).collect()
+    by = rows.groupBy(suffix(F.col("host")).alias("suffix")).agg(F.count("*").alias("n"), F.sum("blocked").alias("b")).filter(F.col("n") >= SEEN).collect()  # SAMPLE / SEEN rows at most
     suffixes = {r["suffix"]: (r["b"] + SMOOTH * base) / (r["n"] + SMOOTH) for r in by if r["suffix"]}
     named = features(F.col("url"), F.col("host"), F.col("path"), suffixes, float(base))
     found = rows.select("blocked", F.array(*named.values()).alias("x")).orderBy("x", "blocked").collect()  # sample rows at most
@@ -145,7 +148,7 @@ def tree_column(trees: Trees, k: int, columns: list[Column]) -> Column:
 def judge(pages: DataFrame, model: tuple[Trees, dict[str, float], float], rules: list[tuple[str, str, bool]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, block_score of every row of pages (page_id, url)."""
     trees, suffixes, prior = model
-    rows = pages.select("page_id", F.col("url").alias("_url")).withColumn("host", host(F.col("_url"))).withColumn("path", path(F.col("_url")))
+    rows = only(pages, "page_id", "url").select("page_id", F.col("url").alias("_url")).withColumn("host", host(F.col("_url"))).withColumn("path", path(F.col("_url")))
     named = features(F.col("_url"), F.col("host"), F.col("path"), suffixes, prior)
     rows = rows.select("page_id", "host", "path", held(F.array(*named.values())).alias("_x"))
     margin = F.lit(trees.base)

@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from showloom.llm import decontaminate, html_text, piece_codec, quality_model, quality_rules, sstable, url_filter, warc
+from showloom.llm import boosting, decontaminate, html_text, piece_codec, quality_model, quality_rules, sstable, url_filter, warc
 from showloom.llm.common import fresh_dir
 
 ODD = [None, "", " ", "\n\t\x0b\x0c\r", "a", "a b c", "▁ ▁▁x", "  two  spaces ", "Tabs\tand\x0bfeeds\r\n", "é 漢字 😀 ＡＢＣ", "<|endoftext|> <|ENDOFTEXT|> it's I'LL", "x" * 5000, "w " * 3000, "A\u0301 \u0301b \u212b", "ŒUVRE İI", "no\u00a0break\u2028line", "1,234.5 a. b, c.d e..", "\x00nul"]
@@ -318,7 +318,7 @@ def test_html_never_fails(text):
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/725?x#y", "https://a.example.com/en/8", "x://example.com/fr/", "http://b.net/de/1", "http://example.net/de/85", "http://example.net/de/9", "http://notexample.net/de/85", "http://org/es/", "http://a.org?es", "http://casino-win.example.org/fr/1", "http://river.example.org/fr/1", "http://É.com/en/\n#z", "http://" + "a" * 20_000 + ".com/en/"]
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, host string")
-    got = {r["page_id"]: r for r in url_filter.judge(pages.drop("host"), url_filter.fit(url_filter.seed_urls(spark, 600))).collect()}
+    got = {r["page_id"]: r for r in url_filter.judge(pages, url_filter.fit(url_filter.seed_urls(spark, 600))).collect()}
     for i, u in enumerate(urls):
         m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u or "")
         host, path = (re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]) if m else ("", "")
@@ -350,6 +350,100 @@ def test_seed_urls_need_several_features(spark):
     assert len(right) == 4 and all(len(v) > 80 and np.mean(v) > 0.85 for v in right.values()), {k: np.mean(v) for k, v in right.items()}
 
 
+def features_by_hand(url, suffixes, prior):
+    url = url or ""
+    m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url)
+    host, path = (re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]) if m else ("", "")
+    query = (re.match(r"(?s)^[^?#]*\\?([^#]*)", url) or [None, ""])[1]
+    count = lambda t, chars: sum(c in chars for c in t)
+    bits = lambda t: -sum(n / len(t) * np.log2(n / len(t)) for n in collections.Counter(t).values()) if t else 0.0
+    ratio = lambda t, chars: count(t, chars) / len(t) if t else 0.0
+    digits = "0123456789"
+    return [
+        len(url), len(host), len(path), sum(x != "" for x in path.split("/")), host.count(".") + 1, max(map(len, host.split("."))), ratio(url, digits), ratio(host, digits), count(host, "-_"), count(path, "-_"),
+        ratio(host, "aeiou"), count(query, "&;") + 1 if query else 0, query.count("="), len(query), count(url, "%@~"), bits(url), bits(host), suffixes.get(host.split(".")[-1], prior), int(url.startswith("http:")),
+    ]
+
+
+def walk(trees, x):
+    """The margin of one row, node by node."""
+    out = trees.base
+    for feature, threshold, leaf in zip(trees.feature, trees.threshold, trees.leaf, strict=True):
+        node = 0
+        while node < len(feature):
+            node = 2 * node + (2 if x[feature[node]] > threshold[node] else 1)
+        out += leaf[node - len(feature)]
+    return out
+
+
+def test_url_scores_equal_brute_force(spark):
+    rows = url_filter.seed_urls(spark).collect()
+    model = url_filter.fit(spark.createDataFrame(rows[:2000]))
+    trees, suffixes, prior = model
+    assert len(suffixes) > 8 and set(suffixes) <= set(url_filter.SUFFIX_WORDS + url_filter.BLOCK_SUFFIXES + url_filter.PLAIN_SUFFIXES)
+    urls = [r["url"] for r in rows[2000:2300]] + [None, "", "no scheme", "http://", "HTTP://WWW.a-b_c.Info/x//y?z=%41&b;c#d?e", "https://é.top/ü?q", "http://" + "a1." * 3000 + "xyz/" + "p/" * 2000]
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), model, []).orderBy("page_id").collect()
+    for r, u in zip(got, urls, strict=True):
+        want = 1 / (1 + np.exp(-walk(trees, features_by_hand(u, suffixes, prior))))
+        assert abs(r["block_score"] - want) < 1e-9 and r["verdict"] == ("block" if r["block_score"] >= 0.5 else "allow"), u
+    empty = url_filter.fit(spark.createDataFrame(rows[:1]).limit(0))
+    assert {r["block_score"] for r in url_filter.judge(spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string"), empty).collect()} == {0.5}
+
+
+def test_trees_beat_the_best_single_feature(spark):
+    rows = url_filter.seed_urls(spark).collect()
+    trees, suffixes, prior = url_filter.fit(spark.createDataFrame(rows[:2000]))
+    x, y = np.array([features_by_hand(r["url"], suffixes, prior) for r in rows]), np.array([r["blocked"] for r in rows])
+    stumps = [(np.mean((x[:2000, f] > t) == y[:2000]), f, t) for f in range(x.shape[1]) for t in np.unique(np.quantile(x[:2000, f], np.linspace(0, 1, 65)))]
+    best = max(max(stumps), max((1 - a, f, t) for a, f, t in stumps))
+    alone = np.mean((x[2000:, best[1]] > best[2]) == y[2000:])
+    assert np.mean((trees.score(x[2000:]) >= 0.5) == y[2000:]) > max(alone, 1 - alone) + 0.15
+    families = {"length": {0, 1, 2, 5, 13}, "depth": {3, 4}, "digits": {6, 7}, "entropy": {15, 16}, "parameters": {11, 12}, "suffix": {17}}
+    used = set(trees.feature[np.isfinite(trees.threshold)].tolist())
+    assert sum(bool(used & own) for own in families.values()) >= 4
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**6), st.integers(0, 120), st.integers(1, 4))
+def test_boosted_trees_equal_a_scalar_walk(seed, n, depth):
+    draw = np.random.default_rng(seed)
+    x, y = draw.integers(0, 6, (n, 4)).astype(float), draw.integers(0, 2, n).astype(float)
+    trees = boosting.train(x, y, trees=5, depth=depth, least=2)
+    some = np.vstack([x, draw.normal(0, 9, (20, 4))])
+    assert np.allclose(trees.margin(some), [walk(trees, row) for row in some])
+    if n and y.min() != y.max():  # a tree's leaves lower the loss of the rows that it was grown on
+        loss = lambda m: np.mean(np.log1p(np.exp(np.where(y > 0, -m, m))))
+        assert loss(trees.margin(x)) <= loss(np.full(n, trees.base)) + 1e-9
+
+
+def statistics_by_hand(text):
+    data = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    if not words:
+        return [0.0] * quality_model.NAMES
+    groups = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t\x0b\x0c\r", b"\n", b".,;:?'\"()-", b"!", b"#$%&*", b"|<>=_/\\{}[]~^`+@", bytes(range(128, 256))]
+    sizes, n, lines = [len(w) for w in words], len(words), [x for x in data.split(b"\n") if x.strip()]
+    mean = sum(sizes) / n
+    out = [np.log(1 + len(data)), np.log(1 + n), *[sum(b in g for b in data) / len(data) for g in groups], mean, (sum((s - mean) ** 2 for s in sizes) / n) ** 0.5, max(sizes), len(set(words)) / n, len(set(words)) / n**0.5]
+    out += [sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, len(set(lines)) / len(lines), n / len(lines), sum(b in b".!?" for b in data) / n, max(collections.Counter(sizes).values()) / n]
+    lead = [w[0] for w in words]
+    return out + [sum(b in groups[0] for b in lead) / n, sum(b in groups[1] for b in lead) / n, sum(not (b in groups[0] or b in groups[1] or b > 127) for b in lead) / n]
+
+
+def test_statistics_and_scores_equal_brute_force(spark, sf, texts):
+    for t in texts:
+        assert np.allclose(quality_model.statistics(t), statistics_by_hand(t)), t
+    docs = spark.createDataFrame([(i if i != 5 else None, t, 1.0, 2) for i, t in enumerate(texts)], "doc_id long, text string, score double, predicted int")
+    model = quality_model.fit(docs, spark.createDataFrame([(i, (len(t or "") % 1000) // 500) for i, t in enumerate(texts)], "doc_id long, quality int"))
+    assert np.isfinite(model.threshold).any()
+    want = collections.Counter()
+    for i, t in enumerate(texts):
+        score = 1 / (1 + np.exp(-walk(model, statistics_by_hand(t))))
+        want[i if i != 5 else None, zlib.crc32(str(i).encode()) % 3 == 1 and i != 5, round(score, 6), int(score >= 0.5)] += 1
+    got = collections.Counter((r["doc_id"], r["held_out"], round(r["score"], 6), r["predicted"]) for r in quality_model.scores(docs, model).collect())
+    assert got == want
+
+
 def held_by(doc, item):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
