@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from showloom.llm import decontaminate, piece_codec, quality_model, quality_rules, simhash
-from showloom.llm.common import fresh_dir
+from showloom.llm.common import delete, fresh_dir
 from showloom.llm.queries import PIECE_BPE
 
 
@@ -42,9 +42,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; each result is written in the shared folder and read again for the next one."""
-    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), fresh_dir(spark, "pipeline")
+    """The stages over documents; each result is written in the shared folder and read again for the next one, after
+    which the one before it is deleted."""
+    docs, folder, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), fresh_dir(spark, "pipeline"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
