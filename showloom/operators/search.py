@@ -49,14 +49,30 @@ def cosine(index: Index, query: str, mode: str = "smooth", k: int = 20) -> DataF
 
 
 def cosine_many(index: Index, queries: DataFrame, mode: str = "smooth", k: int = 20) -> DataFrame:
-    """query_id, doc_id, score of many queries (query_id, text), without boosts; one pass over the postings."""
+    """query_id, doc_id, score, rank of many queries (query_id, text), without boosts.
+
+    A document that has none of a query's telling terms can't be among its k best: a query's terms are put in order of
+    the most that each can add to a score, and the first of them, while their sum stays below what the k-th best
+    document of some one term has, are left out of the search for candidates. Only candidates get these terms' share.
+    """
     from showloom.functions.text import tokenize
 
     terms = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weighted = terms.join(index.idf(mode), "term").select("query_id", "term", "idf", (tf_weight(F.col("qtf"), index.sublinear) * F.col("idf")).alias("wq"))
+    weighted = terms.join(index.idf(mode), "term").select("query_id", "term", "idf", F.abs(tf_weight(F.col("qtf"), index.sublinear) * F.col("idf")).alias("wq")).filter("wq <> 0").checkpoint()
+    own = index.postings.join(weighted.select("term", "idf").distinct(), "term").join(index.norms(mode), "doc_id")
+    own = own.select("term", "doc_id", F.abs(tf_weight(F.col("tf"), index.sublinear) * F.col("idf") / F.col("norm")).alias("x"))
+    # Ranks up to k are cut before the shuffle, so a term of many documents sends k rows a task.
+    ranked = own.withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("x")))).filter(F.col("r") <= k)
+    impacts = ranked.groupBy("term").agg(F.max("x").alias("top"), F.min("x").alias("low"), F.count("*").alias("n"))
+    of_query = Window.partitionBy("query_id")  # the terms of one query
+    bounds = weighted.join(impacts, "term").withColumn("most", F.col("wq") * F.col("top")).withColumn("sure", F.max(F.when(F.col("n") >= k, F.col("wq") * F.col("low")).otherwise(0.0)).over(of_query))
+    below = F.sum("most").over(of_query.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)) < F.col("sure") * (1 - 1e-9)
+    bounds = bounds.select("query_id", "term", "wq", below.alias("common")).checkpoint()
+    share = F.sum(F.col("wq") * F.col("x"))
+    found = own.join(bounds.filter("not common"), "term").groupBy("query_id", "doc_id").agg(share.alias("dot")).checkpoint()
+    rest = found.select("query_id", "doc_id").join(bounds.filter("common").drop("common"), "query_id").join(own, ["term", "doc_id"]).groupBy("query_id", "doc_id").agg(share.alias("more"))
     norms = weighted.groupBy("query_id").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("q"))
-    dots = index.postings.join(weighted.filter("wq <> 0"), "term").groupBy("query_id", "doc_id").agg(F.sum(tf_weight(F.col("tf"), index.sublinear) * F.col("idf") * F.col("wq")).alias("dot"))
-    scored = dots.join(index.norms(mode), "doc_id").join(norms, "query_id").select("query_id", "doc_id", (F.col("dot") / (F.col("norm") * F.col("q"))).alias("score"))
+    scored = found.join(rest, ["query_id", "doc_id"], "left").join(norms, "query_id").select("query_id", "doc_id", ((F.col("dot") + F.coalesce("more", F.lit(0.0))) / F.col("q")).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "doc_id")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
