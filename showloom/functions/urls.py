@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,7 +18,7 @@ def is_skipped(link: Column) -> Column:
 
 
 def resolve(link: Column, root: str) -> Column:
-    """A link against the site's root (a URL that ends in "/"); paths with dot segments need resolve_exactly()."""
+    """A link against the site's root (a URL that ends in "/"); dot segments stay, but for resolve_exactly()."""
     scheme, host = root.split("://", 1)[0], "/".join(root.split("/", 3)[:3])
     return (
         F.when(F.rlike(link, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")), link)
@@ -32,15 +29,24 @@ def resolve(link: Column, root: str) -> Column:
     )
 
 
-def resolve_exactly(link: Column, root: str) -> Column:
-    from urllib.parse import urljoin
+def without_dots(path: Column) -> Column:
+    """A path from "/" on without its "." and ".." segments."""
+    segments = F.slice(F.split(path, "/"), 2, 1 << 30)
+    kept = F.aggregate(segments, F.array().cast("array<string>"), lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x))))
+    folder = F.when(F.element_at(segments, -1).isin(".", ".."), "/").otherwise("")
+    joined = F.concat(F.lit("/"), F.array_join(kept, "/"))
+    return F.when(F.rlike(path, F.lit(r"/\.\.?(/|$)")), F.when(F.endswith(joined, F.lit("/")), joined).otherwise(F.concat(joined, folder))).otherwise(path)
 
-    @F.pandas_udf("string")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield part.map(lambda x: None if x is None else urljoin(root, x))
 
-    return run(link)
+def resolve_exactly(link: Column, root: str) -> Column:
+    """resolve(), without dot segments in the paths of links that have no host of their own, nor empty ones in relative
+    paths."""
+    whole = resolve(link, root)
+    host, end = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", r"[?#].*$"
+    own = F.rlike(link, F.lit("^([A-Za-z][A-Za-z0-9+.-]*:|//)"))
+    path = F.when(F.startswith(link, F.lit("/")), path_of(whole)).otherwise(F.regexp_replace(path_of(whole), "/{2,}", "/"))
+    plain = F.concat(F.regexp_extract(whole, host, 0), without_dots(path), F.regexp_extract(whole, r"(?s)" + end, 0))
+    return F.when(own | ~F.rlike(link, F.lit(r"\.|//")), whole).otherwise(plain)
 
 
 def path_of(url: Column) -> Column:

@@ -2,12 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from showloom.functions.urls import is_skipped, links, resolve
 
 
+def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str, str]]) -> DataFrame:
+    """url, html of urls (url): what get(url) gives, if its status is 2xx and its type text/html, else null.
+
+    get returns status, content type and text, and may raise OSError; it runs in the tasks, and keeps its own timeout.
+    """
+
+    def page(url: str) -> str | None:
+        try:
+            status, kind, text = get(url)
+        except OSError:
+            return None
+        return text if 200 <= status < 300 and "text/html" in kind.lower() else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for url in batch.column(0).to_pylist():  # a page at a time, as pages may be large
+                yield pa.RecordBatch.from_arrays([pa.array([url], pa.string()), pa.array([None if url is None else page(url)], pa.string())], ["url", "html"])
+
+    return urls.select("url").mapInArrow(run, "url string, html string")
+
+
 def link_graph(pages: DataFrame, root: str, allowed: Column | None = None) -> DataFrame:
     """src, dst: distinct links of pages (url, html) to the root's own site that robots rules (on dst) allow."""
     rows = pages.select(F.col("url").alias("src"), F.explode(links(F.col("html"))).alias("link")).filter(~is_skipped(F.col("link")))

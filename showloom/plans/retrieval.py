@@ -161,3 +161,15 @@ def dump_chunks(spark, sf_dir):
 def index_files(spark, sf_dir):
     """The saved index has a norm of each document for each idf mode."""
     return index(spark, sf_dir).stored.agg(F.countDistinct("idf_mode").cast("int").alias("modes"), F.count("*").alias("norms"))
+
+
+@query(
+    "SELECT p_partkey, CASE CAST(p_partkey % 6 AS INTEGER) WHEN 0 THEN 'http://site.example/b' || p_partkey WHEN 1 THEN 'http://site.example/x/y' || p_partkey || '?a=../b' WHEN 2 THEN 'http://site.example/' || p_partkey || '/' WHEN 3 THEN 'http://other.example/a/../' || p_partkey "
+    "WHEN 4 THEN 'http://site.example/..' || p_partkey ELSE 'http://site.example/p' || p_partkey || '.html#./z' END AS url FROM part"
+)
+def url_resolve_dots(spark, sf_dir):
+    """Links with dot segments; those with a host of their own, and dots within names, stay."""
+    key = F.col("p_partkey").cast("string")
+    forms = [F.concat(F.lit("a/../b"), key), F.concat(F.lit("/x/./z/../y"), key, F.lit("?a=../b")), F.concat(F.lit("../../"), key, F.lit("/c/..")), F.concat(F.lit("http://other.example/a/../"), key), F.concat(F.lit(".."), key), F.concat(F.lit("./p"), key, F.lit(".html#./z"))]
+    link = F.get(F.array(*forms), (F.col("p_partkey") % 6).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", urls.resolve_exactly(link, "http://site.example/").alias("url"))

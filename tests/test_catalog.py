@@ -2,6 +2,7 @@
 
 import math
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -230,3 +231,51 @@ def test_dump_chunks_are_taken_once(spark, tmp_path):
     ingest_dump(spark, *out)
     assert sorted(r["page_id"] for r in spark.read.parquet(out[1]).collect()) == [1, 2]
     assert tables.read_dump(spark, out[0]).count() == 2
+
+
+def test_links_resolve_as_by_urljoin(spark):
+    from urllib.parse import urljoin
+
+    root = "http://s.com/"
+    links = ["a", "./a", "../a", "a/..", "a/.", "a/../b/./c", "/x/../../y", "..a/b..", "a/b/../../..", "/", "", "?q=../x", "#./x", "a?x=./b#../c", "http://t.com/a/../b", "//t.com/../b", "mailto:x@y.z", "a//b/../c", "/a/./", "..", "."]
+    assert column(spark, links, lambda c: urls.resolve_exactly(c, root)) == [urljoin(root, x).replace("http://s.com?", "http://s.com/?") for x in links]
+
+
+def test_fetch(spark):
+    def get(url):
+        if url == "down":
+            raise ConnectionError(url)
+        return {"ok": (200, "text/html; charset=utf-8", "<p>é</p>"), "gone": (404, "text/html", "x"), "image": (200, "image/png", "x")}[url]
+
+    got = crawl.fetch(spark.createDataFrame([("ok",), ("gone",), ("image",), ("down",), (None,)], "url string"), get).collect()
+    assert [tuple(r) for r in got] == [("ok", "<p>é</p>"), ("gone", None), ("image", None), ("down", None), (None, None)]
+
+
+def test_batch_cosine_leaves_nothing_out(spark):
+    import random
+
+    random.seed(3)
+    words = ["the"] * 30 + ["of"] * 20 + [f"w{i}" for i in range(60)]
+    texts = [" ".join(random.choice(words) for _ in range(random.randrange(1, 40))) for _ in range(300)]
+    queries = ["the of w1 w2", "the", "w3 w3 of", "nothing", "the of", "w5 w6 w7 w8 the of of"]
+    built = Index.build(spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], "doc_id long, body string, title string"), {"body": 1.0})
+    counts, n = [Counter(t.split()) for t in texts], len(texts)
+    df = Counter(t for c in counts for t in c)
+    for mode, idf in (("smooth", lambda d: math.log((n + 1) / (d + 1)) + 1), ("prob", lambda d: math.log((n - d + 0.5) / (d + 0.5)))):
+        weights = lambda c: {t: (1 + math.log(k)) * idf(df[t]) for t, k in c.items() if t in df}
+        size = lambda w: math.sqrt(sum(x * x for x in w.values()))
+        own = [weights(c) for c in counts]
+        many = search.cosine_many(built, spark.createDataFrame(list(enumerate(queries)), "query_id long, text string"), mode, k=4).collect()
+        for i, q in enumerate(queries):
+            w = weights(Counter(q.split()))
+            scores = [(-round(sum(w[t] * x[t] for t in w if t in x) / (size(w) * size(x)), 12), d) for d, x in enumerate(own) if any(t in x for t in w)]
+            got = [(r["doc_id"], round(r["score"], 9)) for r in sorted(many, key=lambda r: r["rank"]) if r["query_id"] == i]
+            assert got == [(d, round(-v, 9)) for v, d in sorted(scores)[:4]], (mode, q)
+
+
+def test_numbers_without_gaps(spark):
+    from showloom.operators.numbering import numbered
+
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k")).repartition(5)
+    got = [(r["k"], r["n"]) for r in numbered(rows, "n", "k").orderBy("k").collect()]
+    assert [n for _, n in got] == list(range(1000)) and numbered(rows.limit(0), "n", "k").count() == 0
