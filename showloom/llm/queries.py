@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from showloom.llm import decontaminate, html_text, piece_codec, quality_model, quality_rules, quotes, simhash, sstable, url_filter, warc
-from showloom.llm.common import cut, fresh_dir
+from showloom.llm.common import fresh_dir
 
 WORD_BPE, END_ID, PIECE_BPE = "word_bpe_49k.json", 1, "piece_bpe_32k.model"
 
@@ -38,7 +38,7 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The table has no quotes of its own: its messages are quoted as in mail.
-    return quotes.link(cut(quotes.as_mail(table(spark, sf_dir, "conversations"))))
+    return quotes.link(quotes.as_mail(table(spark, sf_dir, "conversations")))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

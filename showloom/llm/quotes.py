@@ -25,8 +25,8 @@ in the total order: thread after thread, and in a thread replies after all that
 order of turns.
 
 Defined results: a null text is an empty one; a null conversation or turn has its row and links nothing, its thread and
-place null; rows that repeat a conversation and turn share parent, thread and place, whatever their texts, and are all
-counted; empty passages link nothing; ties of a quote go to the earliest message; nothing is dropped from own text, and a carriage return is
+place null; rows that repeat a conversation and turn share parent, thread, place and the number of their different linked
+quotes, whatever their texts, and are all counted in places; empty passages link nothing; ties of a quote go to the earliest message; nothing is dropped from own text, and a carriage return is
 white space; very long texts and quotes of any level are read whole; an empty table gives no rows; other columns of the
 table, whatever their names, aren't read.
 """
@@ -99,13 +99,17 @@ def holding_lines(asked: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, passages (without attributions), own (those of level 0) of every row."""
+    """conv_id, turn, role, passages (without attributions) of every row."""
     rows = with_passages(only(messages, "conv_id", "turn", "role", "text"))
     deeper_next = lambda p, i: F.coalesce(F.get("passages", i + 1)["level"] > p["level"], F.lit(False))
     blank = lambda x: F.btrim(x, F.lit(EDGE)) == ""
     bare = F.transform("passages", lambda p, i: F.struct(p["level"].alias("level"), F.when(deeper_next(p, i), F.regexp_replace(p["text"], ATTRIBUTION, "")).otherwise(p["text"]).alias("text"), ((p["level"] > 0) & ~blank(p["text"])).alias("said")))
     bare = F.filter(bare, lambda p: ~(p["said"] & blank(p["text"])))
-    rows = rows.select("conv_id", "turn", "role", F.when(F.size("passages") > 1, F.transform(bare, lambda p: F.struct(p["level"].alias("level"), p["text"].alias("text")))).otherwise(F.col("passages")).alias("passages")).withColumn("passages", held(F.col("passages")))
+    return rows.select("conv_id", "turn", "role", F.when(F.size("passages") > 1, F.transform(bare, lambda p: F.struct(p["level"].alias("level"), p["text"].alias("text")))).otherwise(F.col("passages")).alias("passages"))
+
+
+def with_own(rows: DataFrame) -> DataFrame:
+    """rows (with passages) and own, the trimmed texts of level 0."""
     own = F.transform("passages", lambda p: F.when(p["level"] == 0, F.btrim(p["text"], F.lit(EDGE))))
     return rows.withColumn("own", held(F.filter(own, lambda x: x.isNotNull() & (x != ""))))
 
@@ -113,7 +117,7 @@ def parsed(messages: DataFrame) -> DataFrame:
 def link(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, text (own, without quotes), n_quotes, n_linked, max_level, parent_conv_id, parent_turn,
     thread_conv_id, thread_turn, depth, place of every row of messages (conv_id, turn, role, text)."""
-    rows = parsed(messages)
+    rows = with_own(cut(parsed(messages)))  # texts are parsed once
     usable = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     quotes = cut(
         rows.filter(usable & F.exists("passages", lambda p: p["level"] > 0))
@@ -142,11 +146,11 @@ def link(messages: DataFrame) -> DataFrame:
     found = cut(found.withColumn("same", same)).join(outside, "key", "left")
     target = F.coalesce("same", F.when(F.col("other.conv_id") < F.col("conv_id"), F.col("other")))
     linked = F.col("target").isNotNull()
-    links = found.select("conv_id", "turn", "at", "level", target.alias("target")).groupBy("conv_id", "turn").agg(F.sum(linked.cast("long")).alias("n_linked"), F.min(F.when(linked, F.struct("level", "at", "target"))).alias("best"))
+    links = found.select("conv_id", "turn", "key", "at", "level", target.alias("target")).groupBy("conv_id", "turn").agg(F.countDistinct(F.when(linked, F.struct("at", "key"))).alias("n_linked"), F.min(F.when(linked, F.struct("level", "at", "target"))).alias("best"))
     links = cut(links.select("conv_id", "turn", "n_linked", F.col("best.target.conv_id").alias("parent_conv_id"), F.col("best.target.first").alias("parent_turn")))
     level_of = F.transform("passages", lambda p: p["level"])
     out = rows.select("conv_id", "turn", "role", F.when(F.array_max(level_of) == 0, F.col("passages")[0]["text"]).otherwise(F.array_join("own", "\n")).alias("text"), F.size(F.filter(level_of, lambda x: x > 0)).alias("n_quotes"), F.array_max(level_of).alias("max_level"))
-    out = out.join(links, ["conv_id", "turn"], "left").join(places(messages, links), ["conv_id", "turn"], "left")
+    out = out.join(links, ["conv_id", "turn"], "left").join(places(rows, links), ["conv_id", "turn"], "left")
     return out.select("conv_id", "turn", "role", "text", "n_quotes", F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"), "max_level", "parent_conv_id", "parent_turn", "thread_conv_id", "thread_turn", "depth", "place")
 
 

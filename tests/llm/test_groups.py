@@ -240,7 +240,7 @@ def link_by_hand(rows):
 
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None or rows[k][1] is None, rows[k][0] or 0, rows[k][1] or 0))
     known = [k for k in order if None not in rows[k][:2]]
-    where, counted, best = {}, collections.Counter(), {}
+    where, counted, best = {}, collections.defaultdict(set), {}
     for k in known:
         conv, turn = key = rows[k][:2]
         for at, (n, text) in enumerate(parsed[k][0]):
@@ -258,7 +258,7 @@ def link_by_hand(rows):
             if target is None or target[1] >= turn:
                 target = found[0] if found and found[0][0] < conv else None
             if target:
-                counted[key] += 1
+                counted[key].add((at, quote, asked))
                 best[key] = min(best.get(key, (n, at, target)), (n, at, target))
 
     def top(key):
@@ -276,7 +276,7 @@ def link_by_hand(rows):
     for k, (conv, turn, _) in enumerate(rows):
         found, own = parsed[k]
         levels, key = [n for n, _ in found], (conv, turn)
-        base = (conv, turn, found[0][1] if max(levels) == 0 else "\n".join(own), sum(n > 0 for n in levels), counted[key], max(levels))
+        base = (conv, turn, found[0][1] if max(levels) == 0 else "\n".join(own), sum(n > 0 for n in levels), len(counted[key]), max(levels))
         if None in key:
             out.append((*base, *[None] * 6))
         else:
