@@ -205,7 +205,7 @@ def test_urls_and_crawl(spark):
 
 def test_events(spark):
     lines = spark.createDataFrame([('2024 - INFO - {"event": "page_crawled", "links_found": 3, "response_time_s": 2.0}',), ('{"event": "crawl_error", "url": "u"}',), ("noise",)], "value string")
-    assert tuple(events.crawl_stats(events.parse(lines)).first()) == (1, 3, 1, 0.5)
+    assert tuple(events.crawl_stats(events.parse(lines)).first()) == (1, 3, 1, 2.0, 0.5)
 
 
 def test_files(spark, tmp_path):
