@@ -274,6 +274,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = prints.filter("doc_id = component_id").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
     own = "k" * (1 + max(map(len, docs.columns)))  # a name that docs doesn't have
     kept = kept.select(F.struct("doc_id", "text_hash").alias(own))
-    same = (F.col("doc_id") == F.col(own)["doc_id"]) & (text_hash == F.col(own)["text_hash"])
+    # Joined by id alone (the hashes are no key as they are compared here), so that rows of an id are together already.
+    same = (F.col("doc_id") == F.col(own)["doc_id"]) & (text_hash.bitwiseXOR(F.col(own)["text_hash"]) == 0)
     with_id = docs.join(kept, same, "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
     return with_id.unionByName(docs.filter("doc_id is null"))
