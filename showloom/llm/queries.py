@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from showloom.llm import decontaminate, html_text, piece_codec, quality_model, quality_rules, quotes, simhash, sstable, url_filter, warc
+from showloom.llm import decontaminate, dominance, html_text, piece_codec, quality_model, quality_rules, quotes, simhash, sstable, url_filter, warc
 from showloom.llm.common import fresh_dir
 
 WORD_BPE, END_ID, PIECE_BPE = "word_bpe_49k.json", 1, "piece_bpe_32k.model"
@@ -62,9 +62,24 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
 
 
+def hours(time: Column, kind: str) -> Column:
+    """Hours since 1970 of a time, which is UTC whatever the session's zone."""
+    if kind == "timestamp_ntz":
+        return F.unix_date(time.cast("date")).cast("long") * 24 + F.hour(time)
+    return F.floor(F.unix_micros(time) / F.lit(3_600_000_000))
+
+
+def op11_dominance_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales = table(spark, sf_dir, "sales")
+    slot = hours(F.col("sold_at"), dict(sales.dtypes)["sold_at"])
+    level = F.floor(F.floor(100 * F.col("total") + 0.5) / 100)
+    rows = sales.select("sale_id", slot.alias("slot"), level.alias("level"), (1 + F.crc32(F.col("sale_id").cast("string")) % 2).alias("rows"))
+    return dominance.count_above(rows, "sale_id", "slot", "level", "rows").withColumnsRenamed({"n_above": "n_sales", "w_above": "n_rows"})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filter, op2_quality_classifier, op3_quality_rules, op4_html_extraction, op5_quotation_linking, op6_decontamination, op7_simhash, op8_token_shards, op9_warc, op10_sentencepiece)
+    for f in (op1_url_filter, op2_quality_classifier, op3_quality_rules, op4_html_extraction, op5_quotation_linking, op6_decontamination, op7_simhash, op8_token_shards, op9_warc, op10_sentencepiece, op11_dominance_counting)
 }
 
 #: Shingles of five words (fewer: the whole sequence) of a table's texts, by its id.
@@ -108,6 +123,17 @@ ORACLES: dict[str, str] = {
         "c AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS c FROM d JOIN b USING (g) GROUP BY d.id, b.id) SELECT doc_id, item_id, c / n AS containment FROM c JOIN n ON n.id = item_id WHERE c >= 0.8 * n"
     ),
     "op3_quality_rules": rules_sql(),
+    # Counts over the grid of all slots and levels: running sums along slots, then along levels. crc32 by its table of bytes.
+    "op11_dominance_counting": (
+        "WITH crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)), "
+        "s AS (SELECT sale_id, epoch_us(sold_at) // 3600000000 - CASE WHEN epoch_us(sold_at) % 3600000000 < 0 THEN 1 ELSE 0 END AS slot, floor(floor(100 * total + 0.5) / 100)::BIGINT AS level, "
+        "1 + xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(sale_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 2 AS m FROM sales, crc), "
+        "cells AS (SELECT slot, level, count(*) AS n, sum(m) AS w FROM s WHERE slot IS NOT NULL AND level IS NOT NULL GROUP BY slot, level), "
+        "grid AS (SELECT slot, level, coalesce(n, 0) AS n, coalesce(w, 0) AS w FROM (SELECT DISTINCT slot FROM cells) CROSS JOIN (SELECT DISTINCT level FROM cells) LEFT JOIN cells USING (slot, level)), "
+        "along AS (SELECT slot, level, sum(n) OVER (PARTITION BY level ORDER BY slot) AS n, sum(w) OVER (PARTITION BY level ORDER BY slot) AS w FROM grid), "
+        "sums AS (SELECT slot, level, coalesce(sum(n) OVER a, 0) AS n, coalesce(sum(w) OVER a, 0) AS w FROM along WINDOW a AS (PARTITION BY slot ORDER BY level DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) "
+        "SELECT sale_id, s.slot, s.level, n::BIGINT AS n_sales, w::BIGINT AS n_rows FROM s LEFT JOIN sums ON s.slot = sums.slot AND s.level = sums.level"
+    ),
     "op9_warc": (
         "WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS s FROM p), f AS (SELECT s, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY s) "
         "SELECT page_id, n AS payload_bytes, s AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM d LEFT JOIN f USING (s)"
