@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from showloom.llm import decontaminate, dominance, html_text, piece_codec, quality_model, quality_rules, quotes, simhash, sstable, url_filter, warc
+from showloom.llm import decontaminate, dominance, html_text, packing, piece_codec, quality_model, quality_rules, quotes, simhash, sstable, url_filter, warc
 from showloom.llm.common import fresh_dir
 
-WORD_BPE, END_ID, PIECE_BPE = "word_bpe_49k.json", 1, "piece_bpe_32k.model"
+WORD_BPE, END_ID, PIECE_BPE, BYTE_BPE = "word_bpe_49k.json", 1, "piece_bpe_32k.model", "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,9 +77,13 @@ def op11_dominance_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dominance.count_above(rows, "sale_id", "slot", "level", "rows").withColumnsRenamed({"n_above": "n_sales", "w_above": "n_rows"})
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pieces(packing.encode(table(spark, sf_dir, "documents"), fresh_dir(spark, "tokens"), public_tokenizers.path(BYTE_BPE), END_ID))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filter, op2_quality_classifier, op3_quality_rules, op4_html_extraction, op5_quotation_linking, op6_decontamination, op7_simhash, op8_token_shards, op9_warc, op10_sentencepiece, op11_dominance_counting)
+    for f in (op1_url_filter, op2_quality_classifier, op3_quality_rules, op4_html_extraction, op5_quotation_linking, op6_decontamination, op7_simhash, op8_token_shards, op9_warc, op10_sentencepiece, op11_dominance_counting, op13_packing)
 }
 
 #: Shingles of five words (fewer: the whole sequence) of a table's texts, by its id.

@@ -1,11 +1,16 @@
 """Dominance counting, collocations and packing against brute force."""
 
+import collections
 import random
+import zlib
 
 import numpy as np
+import public_tokenizers as P
 import pytest
+from tokenizers import Tokenizer
 
-from showloom.llm import dominance
+from showloom.llm import dominance, packing
+from showloom.llm.common import fresh_dir
 
 
 def above_by_hand(rows):
@@ -60,3 +65,67 @@ def test_dominance_over_odd_tables(spark):
     assert dominance.count_above(wide.limit(0), "id", "a.b", "level", "m").count() == 0
     nulls = spark.createDataFrame([(1, None, 2, 1), (2, 1, None, 1)], "id long, x long, y long, w long")
     assert sorted(map(tuple, dominance.count_above(nulls, "id", "x", "y", "w").collect()))[0] == (1, None, 2, None, None)
+
+
+BYTES = P.path("byte_bpe_50k.json")
+TEXTS = ["", None, "One two", "It's 12 <|endoftext|> ...", "é 漢字 😀 " * 900, "x" * 30_000, " " * 200_001, "a b\n\n c " * 4000] + [f"some words of text {i} " * (i % 37) for i in range(300)]
+
+
+def packed_by_hand(spark, texts, size, parts=5):
+    """Checks pieces and sequences of a table against the tokenizer, returns the pieces."""
+    tokenizer = Tokenizer.from_file(BYTES)
+    ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    tokens = packing.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts), fresh_dir(spark, "tokens"), BYTES, 1)
+    rows = sorted((r["sequence_id"], r["offset"], r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in packing.pieces(tokens, size).collect())
+    whole, reach = collections.defaultdict(list), collections.Counter()
+    for s, offset, d, start, length, crc, n in rows:
+        part = ids[d][start : start + length]
+        assert start == reach[d] and length == len(part) > 0 and n == len(ids[d]) and offset == len(whole[s])
+        assert crc == zlib.crc32(np.array(part, "<u4").tobytes())
+        whole[s] += part
+        reach[d] += length
+    assert reach == {d: len(x) for d, x in ids.items()}
+    assert sorted(whole) == list(range(len(whole))) and all(len(whole[s]) == size for s in whole if s + 1 < len(whole))
+    got = {r["sequence_id"]: (r["n_tokens"], r["ids"]) for r in packing.sequences(tokens, size, pad_id=9).collect()}
+    assert got.keys() == whole.keys()
+    for s, (n, found) in got.items():
+        short = 0 if n & (n - 1) == 0 else size - n
+        assert n == len(whole[s]) and found == whole[s] + [9] * short
+    return rows
+
+
+@pytest.mark.parametrize("size, parts", [(2048, 5), (64, 1), (7, 3)])
+def test_packing_equals_brute_force(spark, size, parts):
+    packed_by_hand(spark, TEXTS, size, parts)
+
+
+def test_last_sequence_at_a_power_of_two(spark):
+    assert len(packed_by_hand(spark, [None] * 16, 12, 2)) == 16
+
+
+def test_packing_over_odd_tables(spark):
+    names = ["part", "before", "n", "ids", "at", "block", "first", "length"]
+    rows = [(None if i == 3 else i // 2, t, *["clash"] * len(names)) for i, t in enumerate(TEXTS[:9])] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    run = lambda df: packing.pieces(packing.encode(df, fresh_dir(spark, "tokens"), BYTES, 1))
+    got = run(docs).collect()
+    tokenizer = Tokenizer.from_file(BYTES)
+    want = sum(len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in rows)
+    assert sum(r["length"] for r in got) == want and {r["doc_id"] for r in got} == {r[0] for r in rows}
+    assert run(docs.limit(0)).count() == 0
+
+
+def test_starts_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 4)
+    monkeypatch.setattr(packing, "SENT", 3)
+    packed_by_hand(spark, TEXTS[8:], 100, 11)
+
+
+def test_other_tokenizers(tmp_path):
+    encoder, word = packing.ByteEncoder(BYTES, 1), packing.ByteEncoder(P.path("word_bpe_49k.json"), 1)
+    assert encoder.fast is not None and word.fast is None
+    random.seed(8)
+    odd = [*" \n\t'sdtrevl.,09éß漢😀　\xa0\x85​ \x00\x1c", "<|endoftext|>"]
+    for _ in range(3000):
+        text = "".join(random.choice([random.choice(odd), chr(random.randrange(1, 0x2FFF)), chr(random.randrange(97, 123))]) for _ in range(random.randrange(30)))
+        assert encoder.ids(text) == encoder.whole(text)
