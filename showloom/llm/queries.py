@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from showloom.llm import decontaminate, dominance, html_text, packing, piece_codec, quality_model, quality_rules, quotes, simhash, sstable, url_filter, warc
+from showloom.llm import collocations, decontaminate, dominance, html_text, packing, piece_codec, quality_model, quality_rules, quotes, simhash, sstable, url_filter, warc
 from showloom.llm.common import fresh_dir
 
 WORD_BPE, END_ID, PIECE_BPE, BYTE_BPE = "word_bpe_49k.json", 1, "piece_bpe_32k.model", "byte_bpe_50k.json"
@@ -77,13 +77,17 @@ def op11_dominance_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dominance.count_above(rows, "sale_id", "slot", "level", "rows").withColumnsRenamed({"n_above": "n_sales", "w_above": "n_rows"})
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(packing.encode(table(spark, sf_dir, "documents"), fresh_dir(spark, "tokens"), public_tokenizers.path(BYTE_BPE), END_ID))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filter, op2_quality_classifier, op3_quality_rules, op4_html_extraction, op5_quotation_linking, op6_decontamination, op7_simhash, op8_token_shards, op9_warc, op10_sentencepiece, op11_dominance_counting, op13_packing)
+    for f in (op1_url_filter, op2_quality_classifier, op3_quality_rules, op4_html_extraction, op5_quotation_linking, op6_decontamination, op7_simhash, op8_token_shards, op9_warc, op10_sentencepiece, op11_dominance_counting, op12_collocations, op13_packing)
 }
 
 #: Shingles of five words (fewer: the whole sequence) of a table's texts, by its id.
@@ -138,6 +142,21 @@ ORACLES: dict[str, str] = {
         "sums AS (SELECT slot, level, coalesce(sum(n) OVER a, 0) AS n, coalesce(sum(w) OVER a, 0) AS w FROM along WINDOW a AS (PARTITION BY slot ORDER BY level DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) "
         "SELECT sale_id, s.slot, s.level, n::BIGINT AS n_sales, w::BIGINT AS n_rows FROM s LEFT JOIN sums ON s.slot = sums.slot AND s.level = sums.level"
     ),
+    "op12_collocations": (
+        "WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS t FROM documents), "
+        "w AS (SELECT lang, regexp_extract_all(t, '[^\\x20\\x09]+') AS w FROM p), "
+        "g AS (SELECT lang, array_to_string(s, ' ') AS phrase, len(s) AS m FROM (SELECT lang, unnest(flatten(list_transform(range(1, 6), lambda m: list_transform(range(1, len(w) - m + 2), lambda i: w[i:i + m - 1])))) AS s FROM w)), "
+        "f AS (SELECT lang, phrase, m, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100), n AS (SELECT lang, count(*) AS n FROM g WHERE m = 1 GROUP BY lang), "
+        "c AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS s FROM f WHERE m > 1), "
+        "k AS (SELECT lang, phrase, a, unnest(range(1, m)) AS k, s FROM c), "
+        "x AS (SELECT k.lang, k.phrase, k.a, k.k, l.f AS l, r.f AS r, n.n, ((1000::HUGEINT * k.a * n.n) // (l.f::HUGEINT * r.f))::BIGINT AS score FROM k JOIN n USING (lang) "
+        "JOIN f AS l ON l.lang = k.lang AND l.phrase = array_to_string(k.s[1:k.k], ' ') JOIN f AS r ON r.lang = k.lang AND r.phrase = array_to_string(k.s[k.k + 1:], ' ')), "
+        "best AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1), "
+        "inner_ AS (SELECT lang, a AS longer, array_to_string(v, ' ') AS phrase FROM (SELECT lang, a, unnest(flatten(list_transform(range(2, m), lambda q: list_transform(range(1, m - q + 2), lambda i: s[i:i + q - 1])))) AS v FROM c WHERE m > 2)), "
+        "mx AS (SELECT lang, phrase, max(longer) AS longer FROM inner_ GROUP BY ALL), "
+        "o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score FROM best LEFT JOIN mx USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a) "
+        "SELECT * FROM o WHERE rank <= 2000"
+    ),
     "op9_warc": (
         "WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS s FROM p), f AS (SELECT s, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY s) "
         "SELECT page_id, n AS payload_bytes, s AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM d LEFT JOIN f USING (s)"

@@ -2,14 +2,17 @@
 
 import collections
 import random
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from showloom.llm import dominance, packing
+from showloom.llm import collocations, dominance, packing
 from showloom.llm.common import fresh_dir
 
 
@@ -129,3 +132,70 @@ def test_other_tokenizers(tmp_path):
     for _ in range(3000):
         text = "".join(random.choice([random.choice(odd), chr(random.randrange(1, 0x2FFF)), chr(random.randrange(97, 123))]) for _ in range(random.randrange(30)))
         assert encoder.ids(text) == encoder.whole(text)
+
+
+def collocations_by_hand(rows, min_count, longest, percent, top):
+    f, n = collections.defaultdict(collections.Counter), collections.Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            f[lang].update(tuple(w[i : i + k]) for k in range(1, longest + 1) for i in range(len(w) - k + 1))
+    out = []
+    for lang, count in f.items():
+        found = {p: a for p, a in count.items() if a >= min_count and len(p) > 1}
+        gone = {p[i : i + k] for p, a in found.items() for k in range(2, len(p)) for i in range(len(p) - k + 1) if 100 * a >= percent * found[p[i : i + k]]}
+        best = []
+        for p, a in found.items():
+            score, _, left, right = min((1000 * a * n[lang] // (count[p[:k]] * count[p[k:]]), k, count[p[:k]], count[p[k:]]) for k in range(1, len(p)))
+            if p not in gone:
+                best.append((-score, -a, " ".join(p).encode(), left, right))
+        out += [(lang, k + 1, p.decode(), -a, left, right, n[lang], -s) for k, (s, a, p, left, right) in enumerate(sorted(best)[:top])]
+    return sorted(out)
+
+
+def prose(n):
+    random.seed(n)
+    vocabulary = [f"w{k}" for k in range(30)] + ["The", "of", "é", "漢", "a\x00b", "0"]
+    weights = [1 / (k + 1) for k in range(len(vocabulary))]
+    rows = [(random.choice(["en", "en", "de", None]), random.choice(["", " ", "\t"]).join(w + random.choice([" ", " ", "  ", "\t", ". ", ",", "\n"]) for w in random.choices(vocabulary, weights, k=random.randrange(60)))) for _ in range(n)]
+    return rows + [("en", "one hot line of words that many texts share!")] * 90 + [("en", "of of of of of of of")] * 9 + [("fr", None), ("fr", ""), (None, "w1 w2 " * 3000), ("und", "a"), ("it", "x y")]
+
+
+@pytest.mark.parametrize("min_count, longest, percent, top, buckets, hot, mined", [(12, 5, 100, 2000, 1 << 20, 1 << 20, 6 << 20), (12, 5, 100, 25, 3, 60, 400), (5, 3, 80, 40, 1 << 20, 25, 1), (40, 2, 100, 2000, 64, 1 << 20, 100)])
+def test_collocations_equal_brute_force(spark, monkeypatch, min_count, longest, percent, top, buckets, hot, mined):
+    for name, value in (("BUCKETS", buckets), ("HOT", hot), ("MINED", mined)):
+        monkeypatch.setattr(collocations, name, value)
+    rows = prose(250)
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    got = collocations.collocations(docs, min_count, longest, percent, top)
+    want = collocations_by_hand(rows, min_count, longest, percent, top)
+    assert len(want) > 10 and sorted(map(tuple, got.collect())) == want
+
+
+def test_collocations_over_odd_tables(spark):
+    names = ["word", "phrase", "f", "n", "a", "l", "r", "bucket", "salt", "words", "rank", "score"]
+    rows = [*prose(20), ("en", "x" * 100_000 + " y " + "long text " * 9000)]
+    wide = spark.createDataFrame([(*r, *["clash"] * len(names)) for r in rows] * 2, "lang string, text string, " + ", ".join(f"{c} string" for c in names))
+    got = collocations.collocations(wide, 8)
+    assert sorted(map(tuple, got.collect())) == collocations_by_hand(rows * 2, 8, 5, 100, 2000)
+    none = collocations.collocations(wide.limit(0), 8)
+    assert none.columns == got.columns and none.count() == 0
+    assert collocations.collocations(wide.select("text", F.lit(None).cast("string").alias("lang")), 10**9).count() == 0
+
+
+def test_each_phrase_has_one_owner():
+    texts = pa.array([t or "" for _, t in prose(60)])
+    (_, words), = collocations.by_lang(iter([pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), texts], ["lang", "text"])]))
+    rows = collocations.fragments_of("en", words, np.full(collocations.BUCKETS, 7), 5, 5, 100)
+    got = collections.Counter()
+    for block, lefts, counts in zip(*[rows.column(k).to_pylist() for k in (3, 4, 5)], strict=True):
+        for found, n in collocations.mine([block], [lefts], [counts], [False], 5, 5):
+            got.update(dict(zip([x.decode()[:-1] for x in found.to_pylist()], n.tolist(), strict=True)))
+    want = collections.Counter()
+    for (_, t) in prose(60):
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            want.update(" ".join(w[i : i + k]) for k in range(2, 6) for i in range(len(w) - k + 1))
+    assert got == want
