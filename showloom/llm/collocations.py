@@ -6,11 +6,12 @@ rarest word by that table (the leftmost of several), which depends on nothing bu
 
 A text is rewritten for each of its words as pivot: the fragment around it, cut at pieces' ends, at words that no frequent
 phrase can hold and at rarer words, four words away at most. Equal fragments of a slice of texts become one with their
-number; the fragments are routed to their pivot's bucket. There only phrases that own the pivot are counted, shorter ones
-first, and a longer one only where the phrase inside it is frequent. So every phrase is counted in one place, once.
+number. The NUMBERED most frequent words have numbers of two bytes; other words go along as they are. Fragments are routed
+by their pivot's bucket, buckets of few occurrences several to a route. There only phrases that own the pivot are counted,
+shorter ones first, and a longer one only where the phrase inside it is frequent. So every phrase is counted in one place, once.
 
-A bucket of over HOT occurrences is dealt to several groups by the fragments' words; their counts are sums in part, so all
-of them go on and are added up.
+A bucket of over HOT occurrences has a route of its own and is dealt to several groups by the fragments' words; their
+counts are sums in part, so all of them go on and are added up.
 
 Defined results: a null or empty text has no words; a null lang is ``und``; repeated rows count each; a table without
 rows, or without a phrase that is frequent, gives none; of other columns, whatever their names, nothing is read. Very long
@@ -19,10 +20,13 @@ texts are taken whole.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,19 +35,20 @@ from pyspark.sql.window import Window
 from showloom.llm.common import cut, offsets, text_slices
 
 MIN_COUNT, LONGEST, PERCENT, TOP = 100, 5, 100, 2000
-#: Counts in the table that is broadcast (8 bytes each); occurrences of a bucket in one group; bytes mined at once.
-BUCKETS, HOT, MINED = 1 << 20, 1 << 20, 6 << 20
+#: Counts in the table that is broadcast (8 bytes each), and numbered words (of LONG bytes at most).
+BUCKETS, NUMBERED, LONG = 1 << 20, 60_000, 64
+#: Occurrences of a bucket in one group, of a route on average, and fragments that are mined at once.
+HOT, ROUTE, MINED = 1 << 19, 1 << 18, 1 << 18
 #: Groups of a language's phrases from which the best are taken first.
 SALTS = 64
 BLANK, CUT = 32, 10
 #: bytes.translate: A-Z to lower case, white space to BLANK, what ends a piece to CUT.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else BLANK if b in b" \t" else CUT if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
-FRAGMENT = "lang string, bucket int, salt int, words binary, lefts binary, counts binary"
+FRAGMENTS = "lang string, route int, salt int, codes binary, rare binary, sizes binary, lefts binary, counts binary"
 
 
 class Words:
-    """The words of bytes that are split at BLANK and CUT: codes of distinct words, pieces, and the words in a row with
-    one blank after each."""
+    """The words of texts, as bytes after FOLD: codes of distinct words, and the piece that each word is in."""
 
     def __init__(self, data: np.ndarray, begins: np.ndarray):
         """begins: where texts begin."""
@@ -53,27 +58,34 @@ class Words:
         start = solid.copy()
         start[1:] &= ~solid[:-1] | first[1:-1]
         at = np.flatnonzero(start)
-        self.n = len(at)
-        places = np.cumsum(solid)
-        packed = data[solid]
-        self.ends = np.append(places[at] - 1, len(packed)).astype(np.int32)
+        self.n, packed = len(at), data[solid]
+        ends = np.append(np.cumsum(solid)[at] - 1, len(packed)).astype(np.int32)
         self.piece = np.cumsum((data == CUT) | first[:-1], dtype=np.int32)[at]
-        found = pa.Array.from_buffers(pa.binary(), self.n, [None, pa.py_buffer(self.ends), pa.py_buffer(packed)]).dictionary_encode()
+        found = pa.Array.from_buffers(pa.binary(), self.n, [None, pa.py_buffer(ends), pa.py_buffer(packed)]).dictionary_encode()
         self.codes, self.distinct = found.indices.to_numpy().astype(np.int64), found.dictionary
-        self.row = np.full(len(packed) + self.n, BLANK, np.uint8)
-        self.begin = self.ends[:-1] + np.arange(self.n, dtype=np.int32)  # of each word in row
-        self.end = self.ends[1:] + np.arange(self.n, dtype=np.int32)
-        keep = np.ones(len(self.row), bool)
-        keep[self.end] = False
-        self.row[keep] = packed
-
-    def spans(self, first: np.ndarray, last: np.ndarray) -> pa.Array:
-        """The words from first to last, and a blank, of each pair."""
-        begin = self.begin[first].astype(np.int64)
-        sizes = self.end[last] + 1 - begin
-        ends = np.append(0, np.cumsum(sizes))
-        chars = self.row[np.repeat((begin - ends[:-1]).astype(np.int32), sizes) + np.arange(ends[-1], dtype=np.int32)]
-        return pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(chars)])
+
+
+@dataclass
+class Known:
+    """What tasks know of words: counts of buckets, and the most frequent words with their languages, by number from 1."""
+
+    table: np.ndarray
+    words: list[tuple[str, bytes]]
+    hot: int
+    route: int
+    numbers: dict[str, dict[bytes, int]] = field(default_factory=dict)
+
+    def number(self, lang: str, words: list[bytes]) -> np.ndarray:
+        """Numbers of a language's words, 0 of others."""
+        if not self.numbers:
+            self.numbers = defaultdict(dict)
+            for k, (own, w) in enumerate(self.words):
+                self.numbers[own][w] = k + 1
+        own = self.numbers.get(lang, {})
+        return np.fromiter((own.get(w, 0) for w in words), np.uint16, len(words))
+
+    def routes(self) -> int:
+        return max(1, -(-int(self.table.sum()) // self.route))
 
 
 def by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words]]:
@@ -87,31 +99,62 @@ def by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words]]:
             yield lang, Words(np.frombuffer(raw.translate(FOLD), np.uint8), at[:-1] - at[0])
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """lang, word, f of texts (lang, text)."""
+def word_counts(texts: DataFrame, min_count: int) -> DataFrame:
+    """lang, word, f of the frequent words of texts (lang, text); the empty word stands for all words of a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words in by_lang(batches):
-            n = np.bincount(words.codes, minlength=len(words.distinct))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), words.distinct.cast(pa.string()), pa.array(n)], ["lang", "word", "n"])
+            n = np.append(np.bincount(words.codes, minlength=len(words.distinct)), words.n)
+            every = pa.concat_arrays([words.distinct.cast(pa.string()), pa.array([""])])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), every, pa.array(n)], ["lang", "word", "n"])
 
-    return texts.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("f"))
+    counted = texts.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("f"))
+    return counted.filter((F.col("f") >= min_count) | (F.col("word") == ""))
 
 
-def bucket_table(words: DataFrame, min_count: int) -> np.ndarray:
-    """Occurrences of the frequent words of each bucket: BUCKETS numbers, however many words there are."""
+def known_of(words: DataFrame) -> Known:
+    """Of frequent words (lang, word, f): BUCKETS numbers and NUMBERED words, however many there are."""
     bucket = F.pmod(F.xxhash64(F.concat_ws(" ", "lang", "word")), F.lit(BUCKETS)).cast("int")
-    rows = words.filter(F.col("f") >= min_count).groupBy(bucket.alias("bucket")).agg(F.sum("f").alias("f")).toArrow()
+    rows = words.groupBy(bucket.alias("bucket")).agg(F.sum("f").alias("f")).toArrow()
     table = np.zeros(BUCKETS, np.int64)
     table[rows.column("bucket").to_numpy()] = rows.column("f").to_numpy()
-    return table
-
-
-def fragments_of(lang: str, words: Words, table: np.ndarray, min_count: int, longest: int, hot: int) -> pa.RecordBatch | None:
-    """The fragments of a slice's words, a row for each bucket and salt."""
-    prefix = lang.encode() + b" "
-    buckets = np.array([xxhash.xxh64_intdigest(prefix + w, 42) for w in words.distinct.to_pylist()], np.uint64).view(np.int64) % len(table)
-    hashes = np.array([xxhash.xxh64_intdigest(w) for w in words.distinct.to_pylist()], np.uint64)
+    best = words.filter(F.octet_length("word") <= LONG).orderBy(F.desc("f"), "lang", "word").limit(NUMBERED).select("lang", "word").collect()
+    return Known(table, [(r["lang"], r["word"].encode()) for r in best], HOT, ROUTE)
+
+
+def blocks(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """data cut at these places (of elements), as binary values."""
+    at = (cuts * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data).view(np.uint8))])
+
+
+def spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each of the sizes, one after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def combined(codes: np.ndarray, first: np.ndarray, sizes: np.ndarray, left: np.ndarray, widest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of fragments (their words' codes from first on): one of each kind, and how many there are of it."""
+    with np.errstate(over="ignore"):
+        key = (left * 16 + sizes).astype(np.uint64)
+        for k in range(widest):
+            key = key * np.uint64(0x9E3779B97F4A7C15) + np.where(k < sizes, codes[np.minimum(first + k, len(codes) - 1)] + 1, 0).astype(np.uint64)
+            key ^= key >> np.uint64(29)
+    _, at, kind, number = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    same = (sizes == sizes[at][kind]) & (left == left[at][kind])
+    for k in range(widest):
+        same &= (k >= sizes) | (codes[np.minimum(first + k, len(codes) - 1)] == codes[np.minimum(first[at][kind] + k, len(codes) - 1)])
+    if not same.all():  # two kinds with one key: none are put together
+        return np.arange(len(first)), np.ones(len(first), np.int64)
+    return at, number
+
+
+def fragments_of(lang: str, words: Words, known: Known, min_count: int, longest: int) -> pa.RecordBatch | None:
+    """The fragments of a slice's words, a row for each route and salt."""
+    prefix, table, distinct = lang.encode() + b" ", known.table, words.distinct.to_pylist()
+    hashes = np.array([xxhash.xxh64_intdigest(prefix + w, 42) for w in distinct], np.uint64)
+    buckets = hashes.view(np.int64) % len(table)
     counts = table[buckets][words.codes] if words.n else np.zeros(0, np.int64)
     frequent, n, far = counts >= min_count, words.n, longest - 1
     joined = np.zeros(n + 1, bool)  # word i goes on from word i - 1
@@ -128,43 +171,46 @@ def fragments_of(lang: str, words: Words, table: np.ndarray, min_count: int, lon
     pivots = np.flatnonzero(left + right)
     if not len(pivots):
         return None
-    first, last = pivots - left[pivots], pivots + right[pivots]
-    found = words.spans(first, last).dictionary_encode()
-    kinds, at, number = np.unique(found.indices.to_numpy().astype(np.int64) * longest + left[pivots], return_index=True, return_counts=True)
-    pivots, first, last = pivots[at], first[at], last[at]
+    first, sizes, left = pivots - left[pivots], (left + right)[pivots] + 1, left[pivots]
+    kept, number = combined(words.codes, first, sizes, left, 2 * far + 1)
+    pivots, first, sizes, left = pivots[kept], first[kept], sizes[kept], left[kept]
+    bucket, routes = buckets[words.codes[pivots]], known.routes()
+    groups = np.where(table[bucket] > known.hot, -(-table[bucket] // known.hot), 1)
+    route = np.where(groups > 1, routes + bucket, bucket % routes)
     sums = np.append(np.uint64(0), np.cumsum(hashes[words.codes], dtype=np.uint64))
-    bucket = buckets[words.codes[pivots]]
-    groups = -(-table[bucket] // hot)
-    salt = ((sums[last + 1] - sums[first]) >> np.uint64(33)).astype(np.int64) % groups
-    order = np.lexsort((salt, bucket))
-    rows = found.dictionary.take(pa.array(kinds[order] // longest))
-    ends = np.frombuffer(rows.buffers()[1], np.int64)[: len(rows) + 1]
-    chars = np.frombuffer(rows.buffers()[2], np.uint8)[: ends[-1]].copy()
-    chars[ends[1:] - 1] = CUT
-    key = bucket[order] * (int(groups.max()) + 1) + salt[order]
-    starts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
-
-    def blocks(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
-        return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)])
-
-    heads = order[starts[:-1]]
-    columns = [pa.array([lang] * len(heads), pa.string()), pa.array(bucket[heads].astype(np.int32)), pa.array(salt[heads].astype(np.int32))]
-    columns += [blocks(chars, ends[starts]), blocks(left[pivots][order].astype(np.uint8), starts), blocks(number[order].astype("<u4").view(np.uint8), 4 * starts)]
-    return pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "salt", "words", "lefts", "counts"])
-
-
-def mine(blocks: list[bytes], lefts: list[bytes], counts: list[bytes], whole: list[bool], min_count: int, longest: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """Phrases (a blank after each) and their counts, for each length; whole: whether a block's bucket is all here, so
-    that what is rarer than min_count can go."""
-    data = np.frombuffer(b"".join(blocks), np.uint8)
-    words, number = Words(data, np.zeros(0, np.int64)), np.frombuffer(b"".join(counts), "<u4").astype(np.int64)
-    start = np.flatnonzero(np.append(True, words.piece[1:] != words.piece[:-1]))  # of each fragment
-    end, pivot = np.append(start[1:], words.n), start + np.frombuffer(b"".join(lefts), np.uint8)
-    least = np.repeat(np.where(whole, min_count, 0), [len(x) for x in lefts])
+    salt = ((sums[first + sizes] - sums[first]) >> np.uint64(33)).astype(np.int64) % groups
+    order = np.lexsort((salt, route))
+    route, salt, first, sizes = route[order], salt[order], first[order], sizes[order]
+    starts = np.flatnonzero(np.append(True, (route[1:] != route[:-1]) | (salt[1:] != salt[:-1])))
+    cuts = np.append(starts, len(order))
+    own = words.codes[spread(first, sizes)]
+    codes = known.number(lang, distinct)[own]
+    word_cuts = np.append(0, np.cumsum(sizes))[cuts]
+    lacking = np.append(0, np.cumsum(codes == 0))[word_cuts]
+    rare = pc.binary_join_element_wise(words.distinct.take(pa.array(own[codes == 0])), pa.scalar(b"\n"), pa.scalar(b""))
+    ends = offsets(rare) if len(rare) else np.zeros(1, np.int64)
+    chars = np.frombuffer(rare.buffers()[2], np.uint8) if len(rare) else np.zeros(0, np.uint8)
+    columns = [pa.array([lang] * len(starts), pa.string()), pa.array(route[starts].astype(np.int32)), pa.array(salt[starts].astype(np.int32))]
+    columns += [blocks(codes.astype("<u2"), word_cuts), blocks(chars, ends[lacking]), blocks(sizes.astype(np.uint8), cuts), blocks(left[order].astype(np.uint8), cuts), blocks(number[order].astype("<u4"), cuts)]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in FRAGMENTS.split(", ")])
+
+
+def mine(rows: list[tuple], known: Known, min_count: int, longest: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Phrases and their counts, for each length, of rows of FRAGMENTS; what is rarer than min_count goes if its route is
+    all here."""
+    joined = lambda k, kind: np.frombuffer(b"".join(r[k] for r in rows), kind).astype(np.int64)
+    codes, sizes, left, number = joined(3, "<u2"), joined(5, np.uint8), joined(6, np.uint8), joined(7, "<u4")
+    rare = pa.array(b"".join(r[4] for r in rows).split(b"\n")[:-1], pa.binary()).dictionary_encode()
+    codes[codes == 0] = len(known.words) + 1 + rare.indices.to_numpy().astype(np.int64)
+    names = pa.concat_arrays([pa.array([b"", *[w for _, w in known.words]], pa.binary()), rare.dictionary])
+    end = np.cumsum(sizes)
+    start = end - sizes  # of each fragment
+    pivot, routes = start + left, known.routes()
+    least = np.repeat([min_count if r[1] < routes else 0 for r in rows], [len(r[5]) for r in rows])
     every = np.arange(len(start))
     of = np.concatenate([every[pivot > start], every[pivot + 1 < end]])  # fragment of each window of two words
     first = np.concatenate([pivot[pivot > start] - 1, pivot[pivot + 1 < end]])
-    key = words.codes[first] * len(words.distinct) + words.codes[first + 1]
+    key = codes[first] * len(names) + codes[first + 1]
     for size in range(2, longest + 1):
         if not len(of):
             return
@@ -172,34 +218,33 @@ def mine(blocks: list[bytes], lefts: list[bytes], counts: list[bytes], whole: li
         total = np.bincount(phrase, number[of], len(at)).astype(np.int64)
         frequent = total >= least[of[at]]
         if frequent.any():
-            yield words.spans(first[at[frequent]], first[at[frequent]] + size - 1), total[frequent]
+            begin = first[at[frequent]]
+            yield pc.binary_join_element_wise(*[names.take(pa.array(codes[begin + k])) for k in range(size)], pa.scalar(b" ")), total[frequent]
         held = frequent[phrase]
         of, first, phrase = of[held], first[held], phrase[held]
         on = first + size < end[of]
         back = (first + size - 1 == pivot[of]) & (first > start[of])
-        key = (phrase * len(words.distinct)) * 2
-        key = np.concatenate([key[on] + 2 * words.codes[first[on] + size], key[back] + 2 * words.codes[first[back] - 1] + 1])
+        key = phrase * len(names) * 2
+        key = np.concatenate([key[on] + 2 * codes[first[on] + size], key[back] + 2 * codes[first[back] - 1] + 1])
         of, first = np.concatenate([of[on], of[back]]), np.concatenate([first[on], first[back] - 1])
 
 
 def phrases(texts: DataFrame, words: DataFrame, min_count: int, longest: int) -> DataFrame:
     """lang, phrase, f of the phrases of 2 to longest words that are frequent in texts (lang, text)."""
-    sent, hot, most = texts.sparkSession.sparkContext.broadcast(bucket_table(words, min_count)), HOT, MINED
+    sent, most = texts.sparkSession.sparkContext.broadcast(known_of(words)), MINED
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
         for lang, found in by_lang(batches):
-            if rows := fragments_of(lang, found, table, min_count, longest, hot):
+            if rows := fragments_of(lang, found, sent.value, min_count, longest):
                 yield rows
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held, size, last = sent.value, [], 0, None
+        held, size, last = [], 0, None
 
         def done() -> Iterator[pa.RecordBatch]:
             if held:
-                lang = held[0][0]
-                for found, n in mine([r[3] for r in held], [r[4] for r in held], [r[5] for r in held], [bool(table[r[1]] <= hot) for r in held], min_count, longest):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), found.cast(pa.large_string()).cast(pa.string()), pa.array(n)], ["lang", "phrase", "n"])
+                for found, n in mine(held, sent.value, min_count, longest):
+                    yield pa.RecordBatch.from_arrays([pa.array([held[0][0]] * len(n), pa.string()), found.cast(pa.string()), pa.array(n)], ["lang", "phrase", "n"])
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -207,12 +252,12 @@ def phrases(texts: DataFrame, words: DataFrame, min_count: int, longest: int) ->
                     yield from done()
                     held, size = [], 0
                 held.append(row)
-                size, last = size + len(row[3]), row[:3]
+                size, last = size + len(row[5]), row[:3]
         yield from done()
 
-    routed = texts.mapInArrow(rewrite, FRAGMENT).repartition("lang", "bucket", "salt").sortWithinPartitions("lang", "bucket", "salt")
+    routed = texts.mapInArrow(rewrite, FRAGMENTS).repartition("lang", "route", "salt").sortWithinPartitions("lang", "route", "salt")
     mined = routed.mapInArrow(local, "lang string, phrase string, n long")
-    return mined.groupBy("lang", F.rtrim("phrase").alias("phrase")).agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
+    return mined.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
 
 
 def scored(frequent: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -234,9 +279,9 @@ def scored(frequent: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, percent: int = PERCENT, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first top phrases by score, of docs (lang, text)."""
     texts = docs.select(F.coalesce(docs["lang"], F.lit("und")).alias("lang"), docs["text"])
-    words = cut(word_counts(texts))
-    sizes = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    single = words.filter(F.col("f") >= min_count).select("lang", F.col("word").alias("phrase"), "f")
+    counted = cut(word_counts(texts, min_count))
+    words, sizes = counted.filter("word <> ''"), counted.filter("word = ''").select("lang", F.col("f").alias("n"))
+    single = words.select("lang", F.col("word").alias("phrase"), "f")
     rows = scored(single.unionByName(cut(phrases(texts, words, min_count, longest))), sizes, percent)
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

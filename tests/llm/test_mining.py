@@ -163,9 +163,9 @@ def prose(n):
     return rows + [("en", "one hot line of words that many texts share!")] * 90 + [("en", "of of of of of of of")] * 9 + [("fr", None), ("fr", ""), (None, "w1 w2 " * 3000), ("und", "a"), ("it", "x y")]
 
 
-@pytest.mark.parametrize("min_count, longest, percent, top, buckets, hot, mined", [(12, 5, 100, 2000, 1 << 20, 1 << 20, 6 << 20), (12, 5, 100, 25, 3, 60, 400), (5, 3, 80, 40, 1 << 20, 25, 1), (40, 2, 100, 2000, 64, 1 << 20, 100)])
+@pytest.mark.parametrize("min_count, longest, percent, top, buckets, hot, mined", [(12, 5, 100, 2000, 1 << 20, 1 << 20, 1 << 20), (12, 5, 100, 25, 3, 60, 40), (5, 3, 80, 40, 1 << 20, 25, 1), (40, 2, 100, 2000, 64, 1 << 20, 10)])
 def test_collocations_equal_brute_force(spark, monkeypatch, min_count, longest, percent, top, buckets, hot, mined):
-    for name, value in (("BUCKETS", buckets), ("HOT", hot), ("MINED", mined)):
+    for name, value in (("BUCKETS", buckets), ("HOT", hot), ("MINED", mined), ("ROUTE", hot // 3), ("NUMBERED", 10 if hot < 100 else 60_000)):
         monkeypatch.setattr(collocations, name, value)
     rows = prose(250)
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
@@ -188,11 +188,11 @@ def test_collocations_over_odd_tables(spark):
 def test_each_phrase_has_one_owner():
     texts = pa.array([t or "" for _, t in prose(60)])
     (_, words), = collocations.by_lang(iter([pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), texts], ["lang", "text"])]))
-    rows = collocations.fragments_of("en", words, np.full(collocations.BUCKETS, 7), 5, 5, 100)
+    known = collocations.Known(np.full(collocations.BUCKETS, 7), [("en", b"w0"), ("de", b"w1"), ("en", b"w3")], 100, 1 << 18)
     got = collections.Counter()
-    for block, lefts, counts in zip(*[rows.column(k).to_pylist() for k in (3, 4, 5)], strict=True):
-        for found, n in collocations.mine([block], [lefts], [counts], [False], 5, 5):
-            got.update(dict(zip([x.decode()[:-1] for x in found.to_pylist()], n.tolist(), strict=True)))
+    for row in zip(*[c.to_pylist() for c in collocations.fragments_of("en", words, known, 5, 5).columns], strict=True):
+        for found, n in collocations.mine([(*row[:1], 1 << 30, *row[2:])], known, 5, 5):
+            got.update(dict(zip([x.decode() for x in found.to_pylist()], n.tolist(), strict=True)))
     want = collections.Counter()
     for (_, t) in prose(60):
         for piece in re.split(r"[.,;:!?\x0A-\x0D]", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")):
