@@ -74,17 +74,25 @@ def allowed(url: Column, disallowed: list[str], permitted: list[str] = ()) -> Co
     return length(permitted) >= length(disallowed)
 
 
-def robots_rules(text: str | None, agent: str = "*") -> tuple[list[str], list[str]]:
-    """Disallowed and allowed prefixes for an agent in a robots.txt; of no text, none."""
-    groups: dict[str, tuple[list[str], list[str]]] = {}
+def robots_lines(text: str | None, agent: str = "*") -> list[tuple[bool, str]]:
+    """(allow, path) of a robots.txt's rules for an agent, in order; without a group that names it, those for all. An
+    empty path to disallow says nothing, so it is left out, as is what comes before any agent."""
+    groups: dict[str, list[tuple[bool, str]]] = {}
     agents, in_rules = [], False
     for line in (text or "").splitlines():
         key, _, value = (x.strip() for x in line.split("#")[0].partition(":"))
         if key.lower() == "user-agent":
             agents, in_rules = ([] if in_rules else agents) + [value.lower()], False
+            groups.setdefault(value.lower(), [])
         elif key.lower() in ("allow", "disallow"):
             in_rules = True
             for a in agents:
-                groups.setdefault(a, ([], []))[key.lower() == "allow"].append(value)
-    own = next((g for a, g in groups.items() if a != "*" and a in agent.lower()), None)
-    return own or groups.get("*", ([], []))
+                groups[a].append((key.lower() == "allow", value))
+    own = next((g for a, g in groups.items() if a and a != "*" and a in agent.lower()), groups.get("*", []))
+    return [(allow, path) for allow, path in own if path]
+
+
+def robots_rules(text: str | None, agent: str = "*") -> tuple[list[str], list[str]]:
+    """Disallowed and allowed prefixes for an agent in a robots.txt; of no text, none."""
+    rules = robots_lines(text, agent)
+    return [p for allow, p in rules if not allow], [p for allow, p in rules if allow]

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from showloom.functions import dates, html, text, urls, wiki
-from showloom.operators import catalog, crawl, events, quality, search
+from showloom.operators import catalog, crawl, events, quality, robots, search
 from showloom.operators.index import MODES, Index, postings
 from showloom.operators.vectors import Vectors
 from showloom.plans import shows  # noqa: F401
 from showloom.plans.shared import ORACLES, QUERIES, fresh, query, r6, table  # noqa: F401
+from showloom.sources import tables
 
 WEIGHTS = {"text": 1.0, "lang": 0.5, "source": 2.1}
 WORDS, SITE = "the hation and onsh river", "http://site.example/"
@@ -373,6 +376,45 @@ def link_graph_bfs(spark, sf_dir):
     return crawl.breadth_first(graph, graph.agg(F.min("src").alias("url")))
 
 
+CLOSED = "User-agent: *\nDisallow: /d\nAllow: /de\nDisallow: /*ou$\n"
+
+
+@query(
+    SITE_LINKS.replace("WITH", "WITH RECURSIVE", 1) + f", p AS (SELECT '{SITE[:-1]}' || l[1] AS url, max(html) AS html FROM h JOIN pages USING (page_id) WHERE len(l) > 0 GROUP BY 1), "
+    f"e AS (SELECT DISTINCT p.url AS src, '{SITE[:-1]}' || unnest(regexp_extract_all(html, '(?i)href=[\"''](.*?)[\"'']', 1)) AS dst FROM p), ok AS (SELECT * FROM e WHERE (NOT starts_with(dst, '{SITE}d') OR starts_with(dst, '{SITE}de')) AND NOT regexp_matches(dst, '^{SITE}.*ou$')), "
+    f"b AS (SELECT min(url) AS url, 0 AS level FROM p GROUP BY left(url, {len(SITE) + 1}) UNION SELECT dst, level + 1 FROM b JOIN ok ON src = url WHERE level < (SELECT count(*) FROM p)), f AS (SELECT url, CAST(min(level) AS INTEGER) AS level FROM b GROUP BY url) SELECT url, level, length(html) AS n_chars FROM f LEFT JOIN p USING (url)"
+)
+def crawl_fetched(spark, sf_dir):
+    """A crawl over a site whose pages a stub serves from files, from the first page of each letter, under robots rules, to
+    the end of its links."""
+    base, pages = fresh(spark, "site"), site_pages(spark, sf_dir)
+    tables.write_files(pages.select(F.concat(F.md5("url"), F.lit(".html")).alias("path"), "html"), base)
+
+    def get(url: str) -> tuple[int, str, str]:
+        fs, root = pafs.FileSystem.from_uri(base) if ":/" in base else (pafs.LocalFileSystem(), base)
+        with fs.open_input_stream(f"{root}/{hashlib.md5(url.encode()).hexdigest()}.html") as page:
+            return 200, "text/html; charset=utf-8", page.read().decode()
+
+    rules = robots.rule_table(spark.range(1).select(F.lit("site.example").alias("host"), F.lit(CLOSED).alias("text")))
+    found = crawl.fetch_all(pages.groupBy(F.left("url", F.lit(len(SITE) + 1))).agg(F.min("url").alias("url")), get, f"{base}-crawl", SITE, rules)
+    return found.select("url", "level", F.char_length("html").cast("long").alias("n_chars"))
+
+
+HOSTS = "WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, regexp_extract(url, '://[^/?#]*([^#]*)', 1) AS t FROM pages)"
+
+
+@query(
+    HOSTS + " SELECT page_id, CASE WHEN starts_with(host, 'www.') THEN true WHEN ends_with(host, '.com') THEN NOT starts_with(t, '/en/') OR starts_with(t, '/en/7') WHEN ends_with(host, '.net') THEN NOT regexp_matches(t, '^/.*\\?page=') AND NOT regexp_matches(t, '^/.*html$') "
+    "ELSE NOT starts_with(t, '/en/') END AS allowed FROM p"
+)
+def robots_by_host(spark, sf_dir):
+    """Each host's own robots rules, with wildcards, ends and percent-escapes; hosts without a file allow all."""
+    pages = table(spark, sf_dir, "pages").withColumn("host", robots.host_of(F.col("url")))
+    text = F.when(F.endswith("host", F.lit(".com")), "User-agent: *\nDisallow: /en/\nAllow: /en/7").when(F.endswith("host", F.lit(".net")), "User-agent: *\nAllow: /\nDisallow: /*?page=\nDisallow: /*html$").otherwise("User-agent: x\nDisallow: /\n\nUser-agent: *\nDisallow: /e%6E/")
+    files = pages.filter(~F.startswith("host", F.lit("www."))).select("host", text.alias("text")).distinct()
+    return robots.judged(pages, robots.rule_table(files)).select("page_id", "allowed")
+
+
 @query(
     "WITH t AS (SELECT doc_id, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) AS t FROM documents), b AS (SELECT doc_id, coalesce(list_filter(list_transform(regexp_split_to_array(t, '\\n\\s*\\n'), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13))), lambda x: length(x) >= 40)[1], t) AS b FROM t) "
     "SELECT doc_id, nullif(trim(regexp_replace(array_to_string(string_split(regexp_replace(b, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))[1:3], ' '), '\\s+', ' ', 'g')), '') AS paragraph FROM b"

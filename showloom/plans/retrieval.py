@@ -104,9 +104,16 @@ def documents_last_wins(spark, sf_dir):
     return tables.read_documents(spark, path)
 
 
+#: Pages and where they are stored, in SQL.
+STORED = (
+    "WITH p AS (SELECT page_id, url, html, regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS p0, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS q FROM pages), r AS (SELECT *, CASE WHEN p0 = '' OR ends_with(p0, '/') THEN p0 || 'index.html' ELSE p0 END AS p FROM p), e AS (SELECT *, regexp_extract(p, '[^/.][^/]*?(\\.[^./]*)$', 1) AS e FROM r), "
+    "s AS (SELECT page_id, url, html, 'data/' || regexp_replace(CASE WHEN q <> '' THEN left(p, length(p) - length(e)) || '__q_' || left(sha1(q), 10) || CASE WHEN e = '' THEN '.html' ELSE e END ELSE p END, '^/+', '') AS path FROM e)"
+)
+
+
 @query(
-    "WITH p AS (SELECT url, html, regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS p0, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS q FROM pages), r AS (SELECT *, CASE WHEN p0 = '' OR ends_with(p0, '/') THEN p0 || 'index.html' ELSE p0 END AS p FROM p), e AS (SELECT *, regexp_extract(p, '[^/.][^/]*?(\\.[^./]*)$', 1) AS e FROM r), "
-    "s AS (SELECT url, html, 'data/' || regexp_replace(CASE WHEN q <> '' THEN left(p, length(p) - length(e)) || '__q_' || left(sha1(q), 10) || CASE WHEN e = '' THEN '.html' ELSE e END ELSE p END, '^/+', '') AS path FROM e), c AS (SELECT path, max(html) AS html FROM s GROUP BY path) "
+    STORED
+    + ", c AS (SELECT path, html FROM s QUALIFY row_number() OVER (PARTITION BY path ORDER BY page_id % 2 DESC, html DESC) = 1) "
     "SELECT url, path, length(any_value(c.html)) AS n_chars FROM s JOIN c USING (path) GROUP BY url, path"
 )
 def page_store(spark, sf_dir):
@@ -117,6 +124,17 @@ def page_store(spark, sf_dir):
     return tables.stored_pages(spark, f"{base}/pages", f"{base}/map").select("url", "path", F.char_length("html").cast("long").alias("n_chars"))
 
 
+@query(STORED + ", c AS (SELECT path, html FROM s WHERE page_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY path ORDER BY page_id DESC) = 1), d AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c AS o WHERE starts_with(o.path, c.path || '/'))) SELECT page_id, url, path, length(d.html) AS n_chars, md5(d.html) AS digest FROM s LEFT JOIN d USING (path)")
+def mapped_pages(spark, sf_dir):
+    """Two thirds of the pages stored as files of their own, then every page of the URL map with its file, if there is one."""
+    base, pages = fresh(spark, "files"), table(spark, sf_dir, "pages").withColumn("path", urls.store_path(F.col("url")))
+    tables.write_files(pages.filter("page_id % 3 <> 0"), base, "page_id")
+    tables.write_tsv(pages.select("url", "path"), f"{base}-map")
+    read = tables.read_pages(spark, tables.read_tsv(spark, f"{base}-map", tables.SCHEMAS["url_mapping"]), base)
+    named = pages.select("page_id", "url")  # urls are unique
+    return read.join(named, "url").select("page_id", "url", "path", F.char_length("html").cast("long").alias("n_chars"), F.md5("html").alias("digest"))
+
+
 @query("SELECT count(*) AS written, count(*) AS read, sum(least(length(text), 4000))::BIGINT AS chars, (max(length(text)) > 4000) AS was_cut FROM documents")
 def table_written(spark, sf_dir):
     """A table with long fields, quotes and line breaks as tab-separated text, its rows counted on the way, and read back."""

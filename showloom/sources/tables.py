@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +36,8 @@ SCHEMAS = {
     "extracted_mapping": strings("url", "path", "status"),
     "chunks": strings("chunk_file", "rows", "processed_at"),
 }
+#: What a path may start with and mean the same.
+LEADING = r"^(\./|/)+"
 PAGE = "id long, title string, revision struct<text: struct<_VALUE: string>>"
 
 
@@ -49,16 +56,52 @@ def write_tsv(df: DataFrame, path: str, rows_a_file: int = 2000, mode: str = "ov
 
 
 def store_pages(pages: DataFrame, store: str, mapping: str) -> int:
-    """Adds pages (url, html) to the store, Parquet of path and html, and their URLs to the URL map (url, path)."""
+    """Adds pages (url, html) to the store, Parquet of path, html and when they were stored, and their URLs to the URL
+    map (url, path)."""
     rows = pages.select("url", store_path(F.col("url")).alias("path"), "html")
-    rows.select("path", "html").write.mode("append").parquet(store)
+    rows.select("path", "html", F.current_timestamp().alias("stored_at")).write.mode("append").parquet(store)
     return write_tsv(rows.select("url", "path"), mapping, mode="append")
 
 
 def stored_pages(spark: SparkSession, store: str, mapping: str) -> DataFrame:
-    """url, path, html of the URL map; a page that isn't stored has null, one that was stored again any of its contents."""
+    """url, path, html of the URL map; a page that isn't stored has null, one that was stored again what came last (of
+    one run the greatest)."""
     urls = read_tsv(spark, mapping, SCHEMAS["url_mapping"]).distinct()
-    return urls.join(spark.read.parquet(store).groupBy("path").agg(F.max("html").alias("html")), "path", "left").select("url", "path", "html")
+    pages = spark.read.parquet(store).groupBy("path").agg(F.max_by("html", F.struct("stored_at", "html")).alias("html"))
+    return urls.join(pages, "path", "left").select("url", "path", "html")
+
+
+def write_files(pages: DataFrame, folder: str, order: str | None = None) -> None:
+    """Each page (path, html) as a file of its own below folder, which tasks can write to; null html writes none.
+
+    Of pages with one path the last in the order column is written (without one, the greatest html). A page whose path is a
+    folder of another page's isn't written, as no file can be there; a path with a ".." segment would leave the folder and
+    is an error. Files appear whole, by a rename, so a task may run twice.
+    """
+    rows = pages.filter("html is not null").select(F.regexp_replace("path", LEADING, "").alias("path"), "html", (F.col(order) if order else F.col("html")).alias("place"))
+    names = F.split("path", "/")
+    above = F.transform(names, lambda _, k: F.array_join(F.slice(names, 1, k), "/"))  # "" and each folder
+    folders = rows.select(F.explode(above).alias("path"))
+    rows = last_wins(rows, "path", "place").select("path", "html").join(folders.distinct(), "path", "left_anti")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder) if ":/" in folder else (pafs.LocalFileSystem(), folder)
+        made: set[str] = set()
+        for batch in batches:
+            for path, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if ".." in path.split("/"):
+                    raise ValueError(f"{path} is outside the folder")
+                at = f"{root}/{path}"
+                if (parent := at.rsplit("/", 1)[0]) not in made:
+                    fs.create_dir(parent, recursive=True)
+                    made.add(parent)
+                own = f"{parent}/._{uuid.uuid4().hex}"
+                with fs.open_output_stream(own, compression=None) as out:
+                    out.write(html.encode())
+                fs.move(own, at)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    rows.mapInArrow(run, "n long").agg(F.sum("n")).collect()  # one number: the files are there
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
@@ -76,12 +119,18 @@ def write_tables(pages: DataFrame, folder: str) -> None:
 
 
 def read_pages(spark: SparkSession, mapping: DataFrame, folder: str) -> DataFrame:
-    """url, path, html: a URL map joined with the stored pages; a page that isn't stored has null."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder).select(F.col("value").alias("html"), F.col("_metadata.file_path").alias("file"))
-    own = F.regexp_replace("path", "^.*?(?=[^/]+$)", "")
-    found = files.select("html", F.element_at(F.split("file", "/"), -1).alias("name"), "file")
-    rows = mapping.withColumn("name", own).join(found, "name", "left").filter(F.col("file").isNull() | F.endswith("file", F.col("path")))
-    return rows.select("url", "path", "html")
+    """url, path, html of a URL map (url, path): each path's file below folder, decoded as UTF-8; null where there is none.
+
+    A file is found by its whole path below the folder, so files of one name don't meet. Rows of the map stay as they are.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    root = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri().getPath().rstrip("/") + "/"
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("html"), F.col("_metadata.file_path").alias("file"))
+    # A file's path comes as a URI: percent-encoded, with a plus sign as itself.
+    decoded = F.url_decode(F.replace(F.regexp_replace("file", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), F.lit("+"), F.lit("%2B")))
+    found = files.filter(F.startswith(decoded, F.lit(root))).select("html", F.substr(decoded, F.lit(len(root) + 1)).alias("key"))
+    rows = mapping.select("url", "path", F.regexp_replace("path", LEADING, "").alias("key"))
+    return rows.join(found, "key", "left").select("url", "path", "html")
 
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
