@@ -39,8 +39,9 @@ MIN_COUNT, LONGEST, PERCENT, TOP = 100, 5, 100, 2000
 BUCKETS, NUMBERED, LONG = 1 << 20, 60_000, 64
 #: Occurrences of a bucket in one group, of a route on average, and fragments that are mined at once.
 HOT, ROUTE, MINED = 1 << 19, 1 << 18, 1 << 18
-#: Groups of a language's phrases from which the best are taken first.
-SALTS = 64
+#: Groups of a language's phrases from which the best are taken first; languages whose sizes are broadcast at most (past
+#: that they are joined).
+SALTS, LANGS = 64, 10_000
 BLANK, CUT = 32, 10
 #: bytes.translate: A-Z to lower case, white space to BLANK, what ends a piece to CUT.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else BLANK if b in b" \t" else CUT if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
@@ -281,8 +282,9 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LON
     texts = docs.select(F.coalesce(docs["lang"], F.lit("und")).alias("lang"), docs["text"])
     counted = cut(word_counts(texts, min_count))
     words, sizes = counted.filter("word <> ''"), counted.filter("word = ''").select("lang", F.col("f").alias("n"))
+    few = sizes.limit(LANGS + 1).count() <= LANGS
     single = words.select("lang", F.col("word").alias("phrase"), "f")
-    rows = scored(single.unionByName(cut(phrases(texts, words, min_count, longest))), sizes, percent)
+    rows = scored(single.unionByName(cut(phrases(texts, words, min_count, longest))), F.broadcast(sizes) if few else sizes, percent)
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     first = rows.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).withColumn("rank", place("lang", "salt")).filter(F.col("rank") <= top)
