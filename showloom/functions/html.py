@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from showloom.functions.dates import date_to_iso
-from showloom.functions.text import genres, roles, strip_tags
+from showloom.functions.text import genres, let, roles, strip_tags
 
+#: A character reference: by number, or by a name of up to 32 characters.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 LINKED = r"(?:<a[^>]*>)?([^<]+?)(?:</a>)?"
 #: Where pages keep each field (dot matches newlines, case ignored); the wanted group is a number.
 KEYWORDS = r"""(?is)<meta\s+name="keywords"\s+content="([^"]+)"\s*/?>"""
@@ -33,20 +35,49 @@ ROW = (
 )
 
 
-def unescape_all(c: Column) -> Column:
-    """array<string>: character references of all strings of an array decoded, in one pass through Python."""
-    from html import unescape as decode
+def names() -> tuple[dict[str, dict[str, str]], list[str]]:
+    """Named references by their first letter, and those that need no semicolon, the longest first."""
+    by_letter: dict[str, dict[str, str]] = {}
+    for name, text in sorted(html5.items()):
+        by_letter.setdefault(name[0], {})[name] = text
+    return by_letter, sorted((n for n in html5 if n[-1] != ";"), key=lambda n: (-len(n), n))
 
-    @F.pandas_udf("array<string>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield part.map(lambda row: [x if x is None or "&" not in x else decode(x) for x in row])
 
-    return run(c)
+def numbered_character(number: Column) -> Column:
+    """The character of a numeric reference: as browsers have it for Windows' codes, none for what is no character."""
+    windows = {0: "\ufffd", 13: "\r"} | {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+    special = F.element_at(F.create_map(*[F.lit(x) for p in windows.items() for x in p]), number)
+    no_character = number.between(1, 8) | (number == 11) | number.between(14, 31) | (number == 127) | number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(0xFFFE) == 0xFFFE)
+    plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    return F.when(special.isNotNull(), special).when(number.between(0xD800, 0xDFFF) | (number > 0x10FFFF), "\ufffd").when(no_character, "").otherwise(plain)
+
+
+def decoded_reference(reference: Column) -> Column:
+    """What a reference (with its ampersand) stands for; an unknown name stays, but for a known one that it starts with."""
+    by_letter, short = names()
+    # One literal that the optimizer turns into a map; a map of literals would be thousands of expressions.
+    table = F.from_json(F.lit(json.dumps(by_letter)), "map<string, map<string, string>>")
+    name = F.substr(reference, F.lit(2))
+    start = F.regexp_extract(name, f"^(?:{'|'.join(short)})", 0)
+    part = lambda own: F.concat(F.element_at(own, start), F.substr(name, F.char_length(start) + 1))
+    named = let(F.element_at(table, F.substring(name, 1, 1)), lambda own: F.coalesce(F.element_at(own, name), F.when(start != "", part(own))))
+    digits = F.regexp_extract(reference, "^&#0*([0-9]*)", 1)
+    hexes = F.regexp_extract(reference, "^&#[xX]0*([0-9a-fA-F]*)", 1)
+    value = lambda d, base: F.when(F.char_length(d) > 7, F.lit(0x110000)).when(d == "", F.lit(0)).otherwise(F.conv(d, base, 10).cast("int"))
+    number = F.when(F.rlike(reference, F.lit("^&#[xX]")), value(hexes, 16)).otherwise(value(digits, 10))
+    return F.when(F.startswith(reference, F.lit("&#")), let(number, numbered_character)).otherwise(F.coalesce(named, reference))
 
 
 def unescape(c: Column) -> Column:
-    return unescape_all(F.array(c))[0]
+    """c with its character references decoded, in one pass."""
+
+    def decoded(text: Column) -> Column:
+        found = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
+        pieces = F.split(text, REFERENCE)
+        joined = F.zip_with(found, pieces, lambda r, p: F.concat(p, F.when(r.isNotNull(), decoded_reference(r)).otherwise("")))
+        return F.array_join(joined, "")
+
+    return F.when(F.contains(c, F.lit("&")), let(c, decoded)).otherwise(c)
 
 
 def tidy(c: Column) -> Column:
@@ -60,9 +91,10 @@ def clean(c: Column) -> Column:
 
 
 def cleaned(rows: DataFrame, keep: list[str], parts: dict[str, Column]) -> DataFrame:
-    """The columns keep of rows, and the named parts, clean; all parts go through Python together."""
-    rows = rows.select(*keep, unescape_all(F.array(*parts.values())).alias("_parts"))
-    return rows.select(*keep, *[tidy(F.col("_parts")[i]).alias(name) for i, name in enumerate(parts)])
+    """The columns keep of rows, and the named parts, clean."""
+    every = F.transform(F.array(*parts.values()), lambda x: tidy(unescape(x)))
+    rows = rows.select(*keep, every.alias("_parts"))
+    return rows.select(*keep, *[F.col("_parts")[i].alias(name) for i, name in enumerate(parts)])
 
 
 def first(c: Column, pattern: str, group: int = 1) -> Column:
@@ -154,9 +186,9 @@ def tables_of(parsed: DataFrame) -> dict[str, DataFrame]:
     return {"shows": shows(parsed, rows), "actors": actors(people), "credits": credits(people), "seasons": seasons(rows), "episodes": episodes(rows)}
 
 
-def extract(pages: DataFrame) -> dict[str, DataFrame]:
-    """The five tables of pages (url, html)."""
-    return tables_of(parse(pages))
+def extract(pages: DataFrame, kept: bool = False) -> dict[str, DataFrame]:
+    """The five tables of pages (url, html); kept: parsed pages are written first, for uses of more than one table."""
+    return tables_of(parse(pages).checkpoint() if kept else parse(pages))
 
 
 def outcomes(statuses: DataFrame) -> DataFrame:

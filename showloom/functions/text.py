@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ def empty_as_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def null_as_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 

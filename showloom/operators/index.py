@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from showloom.functions.text import tokenize
+from showloom.operators.impacts import Impacts
 
 #: Weights of a show's fields.
 WEIGHTS = {"show_title": 2.1, "genres": 1.4, "description": 1.0, "cast": 0.9, "status": 0.5, "network": 0.5, "country": 0.5, "episodes": 1.0, "characters": 1.0, "keywords": 1.0}
 MODES = ("classic", "smooth", "prob", "invdf")
+#: Norms that are broadcast at most (16 bytes each); past that they are joined.
+SENT = 2_000_000
 
 
 def idf(mode: str, n: Column, df: Column) -> Column:
@@ -39,10 +45,17 @@ def postings(docs: DataFrame, weights: dict[str, float], key: str = "doc_id") ->
         return F.transform(tokenize(F.col(name)), lambda t: F.struct(F.lit(name).alias("field"), t.alias("term")))
 
     pairs = F.flatten(F.array(*[tagged(f) for f, _ in fields]))
-    rows = docs.select(F.col(key).alias("doc_id"), F.explode(pairs).alias("p")).groupBy("doc_id", "p.term", "p.field").count()
-    by_field = F.element_at(F.create_map(*[F.lit(x) for f, w in fields for x in (f, float(w))]), F.col("field"))
-    weighted = F.greatest(F.lit(1).cast("long"), F.rint(F.col("count") * by_field).cast("long"))
-    return rows.groupBy("doc_id", "term").agg(F.sum(weighted).alias("tf"))
+    rows = docs.select(F.col(key).alias("doc_id"), F.explode(pairs).alias("p")).select("doc_id", "p.term", "p.field")
+    # All fields of a term are counted together, so that postings are shuffled once.
+    counts = rows.groupBy("doc_id", "term").agg(*[F.count(F.when(F.col("field") == f, 1)).alias(f"n{i}") for i, (f, _) in enumerate(fields)])
+    weighted = [F.when(F.col(f"n{i}") > 0, F.greatest(F.lit(1).cast("long"), F.rint(F.col(f"n{i}") * float(w)).cast("long"))).otherwise(0) for i, (_, w) in enumerate(fields)]
+    return counts.select("doc_id", "term", reduce(lambda x, y: x + y, weighted).alias("tf"))
+
+
+def by_mode(sums: DataFrame, modes: tuple[str, ...]) -> DataFrame:
+    """doc_id, norm, idf_mode of the sums of squares (doc_id, and a column for each mode)."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("idf_mode"), F.sqrt(F.greatest(F.col(m), F.lit(1e-12))).alias("norm")) for m in modes]))
+    return sums.select("doc_id", each.alias("x")).select("doc_id", "x.norm", "x.idf_mode")
 
 
 @dataclass
@@ -81,27 +94,39 @@ class Index:
     def all_norms(self, modes: tuple[str, ...]) -> DataFrame:
         """doc_id, norm, idf_mode for several modes, in one pass over the postings."""
         w = lambda m: tf_weight(F.col("tf"), self.sublinear) * idf(m, F.col("n"), F.col("df"))
-        sums = self.postings.join(self.terms, "term").groupBy("doc_id").agg(*[F.sum(w(m) * w(m)).alias(m) for m in modes])
-        each = F.explode(F.array(*[F.struct(F.lit(m).alias("idf_mode"), F.sqrt(F.greatest(F.col(m), F.lit(1e-12))).alias("norm")) for m in modes]))
-        return sums.select("doc_id", each.alias("x")).select("doc_id", "x.norm", "x.idf_mode")
+        return by_mode(self.postings.join(self.terms, "term").groupBy("doc_id").agg(*[F.sum(w(m) * w(m)).alias(m) for m in modes]), modes)
+
+    def impacts(self, mode: str) -> Impacts:
+        """Impacts of the cosine with an idf mode, for batches of queries: weights over norms."""
+        x = F.abs(tf_weight(F.col("tf"), self.sublinear) * F.col("idf") / F.col("norm"))
+        return Impacts.build(self.postings.join(self.idf(mode), "term").join(self.norms(mode), "doc_id").select("term", "doc_id", x.alias("x")).filter("x > 0"))
 
-    def save(self, folder: str, modes: tuple[str, ...] = MODES) -> None:
-        """Parquet: postings ranged and sorted by term, so a query's scan prunes to its terms; norms by idf mode.
+    def save(self, folder: str, modes: tuple[str, ...] = MODES, batches: tuple[str, ...] = ("smooth",)) -> None:
+        """Parquet: postings ranged and sorted by term, so a query's scan prunes to its terms; norms by idf mode; impacts of
+        the modes in which batches are searched.
 
-        Postings are written first, and what follows is computed from the files.
+        Postings are written first, each with its term's df, and what follows is computed from the files without a join but
+        that of norms, which are sent to all tasks where they are few.
         """
         spark = self.postings.sparkSession
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
-        saved = Index.of(spark.read.parquet(f"{folder}/postings"), self.titles, self.sublinear)
-        saved.terms.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
-        saved.terms = spark.read.parquet(f"{folder}/terms")
+        # The ranges are by term, so counting by term shuffles nothing.
+        ranged = self.postings.repartitionByRange("term").withColumn("df", F.count("*").over(Window.partitionBy("term")))
+        ranged.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
+        held = spark.read.parquet(f"{folder}/postings")
+        n = held.agg(F.countDistinct("doc_id")).first()[0]
+        held.groupBy("term").agg(F.first("df").alias("df")).select("term", "df", F.lit(n).cast("long").alias("n")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
         self.titles.write.mode("overwrite").parquet(f"{folder}/titles")
-        saved.all_norms(modes).write.mode("overwrite").partitionBy("idf_mode").parquet(f"{folder}/norms")
+        weight = lambda m: tf_weight(F.col("tf"), self.sublinear) * idf(m, F.lit(n), F.col("df"))
+        by_mode(held.groupBy("doc_id").agg(*[F.sum(weight(m) * weight(m)).alias(m) for m in modes]), modes).write.mode("overwrite").partitionBy("idf_mode").parquet(f"{folder}/norms")
+        for mode in batches:
+            norms = spark.read.parquet(f"{folder}/norms").filter(F.col("idf_mode") == mode).select("doc_id", "norm")
+            rows = held.join(F.broadcast(norms) if n <= SENT else norms, "doc_id")
+            Impacts.build(rows.select("term", "doc_id", F.abs(weight(mode) / F.col("norm")).alias("x")).filter("x > 0"), docs=n).save(f"{folder}/impacts-{mode}")
 
     @staticmethod
     def load(spark: SparkSession, folder: str, sublinear: bool = True) -> Saved:
         read = lambda name: spark.read.parquet(f"{folder}/{name}")
-        return Saved(read("postings"), read("terms"), read("titles"), sublinear, read("norms"))
+        return Saved(read("postings").drop("df"), read("terms"), read("titles"), sublinear, read("norms"), folder)
 
 
 @dataclass
@@ -109,6 +134,16 @@ class Saved(Index):
     """An index whose norms were stored by mode."""
 
     stored: DataFrame | None = None
+    folder: str = ""
+
+    def impacts(self, mode: str) -> Impacts:
+        """The stored impacts; those of a mode that has none are computed."""
+        try:
+            return Impacts.load(self.postings.sparkSession, f"{self.folder}/impacts-{mode}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return super().impacts(mode)
 
     def norms(self, mode: str) -> DataFrame:
         return self.stored.filter(F.col("idf_mode") == mode).select("doc_id", "norm")

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from showloom.functions.text import STOP_WORDS, analyze, norm_query, snippet
+from showloom.functions.text import analyze, norm_query, snippet, tokenize
 from showloom.operators import grammar
+from showloom.operators.impacts import Impacts
 from showloom.operators.index import Index, tf_weight
 
 BOOST, K1, B = 1.3, 1.2, 0.75
@@ -49,53 +50,18 @@ def cosine(index: Index, query: str, mode: str = "smooth", k: int = 20) -> DataF
 
 
 def cosine_many(index: Index, queries: DataFrame, mode: str = "smooth", k: int = 20) -> DataFrame:
-    """query_id, doc_id, score, rank of many queries (query_id, text), without boosts.
+    """query_id, doc_id, score, rank of many queries (query_id, text), without boosts, by the index's impacts."""
+    weights = cosine_weights(index, queries, mode)
+    norms = weights.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("q"))
+    unit = weights.join(norms, "query_id").select("query_id", "term", (F.col("w") / F.col("q")).alias("w"))
+    return index.impacts(mode).best(unit, k)
 
-    A document that has none of a query's telling terms can't be among its k best: a query's terms are put in order of
-    the most that each can add to a score, and the first of them, while their sum stays below what the k-th best
-    document of some one term has, are left out of the search for candidates. Only candidates get these terms' share.
-    """
-    from showloom.functions.text import tokenize
 
+def cosine_weights(index: Index, queries: DataFrame, mode: str) -> DataFrame:
+    """query_id, term, w of the known terms of queries (query_id, text); signs go, as a posting's is the same."""
     terms = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weighted = terms.join(index.idf(mode), "term").select("query_id", "term", "idf", F.abs(tf_weight(F.col("qtf"), index.sublinear) * F.col("idf")).alias("wq")).filter("wq <> 0").checkpoint()
-    own = index.postings.join(weighted.select("term", "idf").distinct(), "term").join(index.norms(mode), "doc_id")
-    own = own.select("term", "doc_id", F.abs(tf_weight(F.col("tf"), index.sublinear) * F.col("idf") / F.col("norm")).alias("x"))
-    # Ranks up to k are cut before the shuffle, so a term of many documents sends k rows a task.
-    ranked = own.withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("x")))).filter(F.col("r") <= k)
-    impacts = ranked.groupBy("term").agg(F.max("x").alias("top"), F.min("x").alias("low"), F.count("*").alias("n"))
-    of_query = Window.partitionBy("query_id")  # the terms of one query
-    bounds = weighted.join(impacts, "term").withColumn("most", F.col("wq") * F.col("top")).withColumn("sure", F.max(F.when(F.col("n") >= k, F.col("wq") * F.col("low")).otherwise(0.0)).over(of_query))
-    below = F.sum("most").over(of_query.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)) < F.col("sure") * (1 - 1e-9)
-    bounds = bounds.select("query_id", "term", "wq", below.alias("common")).checkpoint()
-    share = F.sum(F.col("wq") * F.col("x"))
-    found = own.join(bounds.filter("not common"), "term").groupBy("query_id", "doc_id").agg(share.alias("dot")).checkpoint()
-    rest = found.select("query_id", "doc_id").join(bounds.filter("common").drop("common"), "query_id").join(own, ["term", "doc_id"]).groupBy("query_id", "doc_id").agg(share.alias("more"))
-    norms = weighted.groupBy("query_id").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("q"))
-    scored = found.join(rest, ["query_id", "doc_id"], "left").join(norms, "query_id").select("query_id", "doc_id", ((F.col("dot") + F.coalesce("more", F.lit(0.0))) / F.col("q")).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-
-
-def vectors(postings: DataFrame, idf: DataFrame) -> DataFrame:
-    """doc_id, terms and values: tf-idf rows as arrays, in term order."""
-    rows = postings.join(idf, "term").select("doc_id", F.struct("term", (F.col("tf") * F.col("idf")).alias("v")).alias("x")).groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    return rows.select("doc_id", F.col("x.term").alias("terms"), F.col("x.v").alias("values"))
-
-
-def vector_search(rows: DataFrame, docs: DataFrame, idf: DataFrame, query: str, k: int = 10) -> DataFrame:
-    """doc_id, score: cosine of raw tf-idf with every stored vector (doc_id, terms, values); zero scores count too."""
-    tokens = [t.lower() for t in re.split("[^a-zA-Z0-9]+", query or "") if len(t) >= 2]
-    counts = Counter(t for t in tokens if t not in STOP_WORDS)
-    if not counts:
-        return docs.select("doc_id").limit(0).withColumn("score", F.lit(0.0))
-    known = idf.filter(F.col("term").isin([*counts])).join(query_terms(idf, counts), "term").agg(F.map_from_entries(F.collect_list(F.struct("term", (F.col("qtf") * F.col("idf")).alias("w")))).alias("q"))
-    own = F.zip_with("terms", "values", lambda t, v: F.coalesce(F.element_at("q", t), F.lit(0.0)) * v)
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    square = lambda a: F.sqrt(total(F.transform(a, lambda x: x * x)))
-    floor = lambda c: F.when(c == 0, 1e-12).otherwise(c)
-    scored = rows.crossJoin(F.broadcast(known)).filter(F.size("q") > 0).select("doc_id", (total(own) / (floor(square(F.col("values"))) * floor(square(F.map_values("q"))))).alias("score"))
-    return scored.orderBy(F.desc(F.round("score", 12)), "doc_id").limit(k)
+    w = F.abs(tf_weight(F.col("qtf"), index.sublinear) * F.col("idf"))
+    return terms.join(index.idf(mode), "term").select("query_id", "term", w.alias("w")).filter("w > 0")
 
 
 @dataclass
@@ -143,6 +109,7 @@ class FieldIndex:
     postings: DataFrame
     stats: DataFrame
     df: DataFrame
+    folder: str = ""
 
     @staticmethod
     def build(docs: DataFrame, fields: list[str], key: str = "doc_id") -> FieldIndex:
@@ -153,14 +120,29 @@ class FieldIndex:
 
     def save(self, folder: str) -> None:
         """Parquet: postings by field, ranged and sorted by term, so a query's scan prunes to its terms."""
-        self.postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").partitionBy("field").parquet(f"{folder}/postings")
+        # Counted by the ranges' own columns, which shuffles nothing.
+        ranged = self.postings.repartitionByRange("field", "term").withColumn("df", F.count("*").over(Window.partitionBy("field", "term")))
+        ranged.sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").partitionBy("field").parquet(f"{folder}/postings")
         saved = self.postings.sparkSession.read.parquet(f"{folder}/postings")
-        saved.groupBy("field", "term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/df")
+        saved.groupBy("field", "term").agg(F.first("df").alias("df")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/df")
         self.stats.write.mode("overwrite").parquet(f"{folder}/stats")
 
+        stats = saved.sparkSession.read.parquet(f"{folder}/stats")
+        Impacts.build(saved.join(F.broadcast(stats), "field").select("term", "doc_id", (idf_of() * saturated()).alias("x")), once=False).save(f"{folder}/impacts")
+
     @staticmethod
     def load(spark: SparkSession, folder: str) -> FieldIndex:
-        return FieldIndex(*[spark.read.parquet(f"{folder}/{name}") for name in ("postings", "stats", "df")])
+        postings, stats, df = [spark.read.parquet(f"{folder}/{name}") for name in ("postings", "stats", "df")]
+        return FieldIndex(postings.drop("df"), stats, df, folder)
+
+    def computed(self) -> Impacts:
+        """Impacts of BM25: of a term and document, idf times saturated count, summed over fields."""
+        rows = self.postings.join(self.df, ["field", "term"]).join(F.broadcast(self.stats), "field")
+        return Impacts.build(rows.select("term", "doc_id", (idf_of() * saturated()).alias("x")), once=False)
+
+    def impacts(self) -> Impacts:
+        """The stored impacts of BM25; of an index that isn't saved they are computed."""
+        return Impacts.load(self.postings.sparkSession, f"{self.folder}/impacts") if self.folder else self.computed()
 
 
 def analyzed(spark: SparkSession, node: grammar.Group) -> grammar.Group | None:
@@ -185,6 +167,11 @@ def analyzed(spark: SparkSession, node: grammar.Group) -> grammar.Group | None:
     return group(node)
 
 
+def saturated() -> Column:
+    """A word's count in a field, saturated and by the field's length."""
+    return F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (F.col("total") / F.col("docs"))))
+
+
 def idf_of(stats: str = "docs", df: str = "df") -> Column:
     return F.ln(1 + (F.col(stats) - F.col(df) + 0.5) / (F.col(df) + 0.5))
 
@@ -212,7 +199,6 @@ def moved_back(places: Column, by: int) -> Column:
 def leaf_scores(index: FieldIndex, leaves: list[grammar.Leaf]) -> DataFrame:
     """leaf, field, doc_id, score of the leaves, by their place in the list; a wildcard scores its boost for each term."""
     spark, stats = index.postings.sparkSession, F.broadcast(index.stats)
-    saturated = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (F.col("total") / F.col("docs"))))
     numbered, parts = list(enumerate(leaves)), []
     words = [(i, x.text, x.boost) for i, x in numbered if x.kind == "word"]
     if words:
@@ -220,12 +206,12 @@ def leaf_scores(index: FieldIndex, leaves: list[grammar.Leaf]) -> DataFrame:
         terms = [*{t for _, t, _ in words}]
         weights = F.broadcast(index.df.filter(F.col("term").isin(terms)).join(each, "term"))
         hits = index.postings.filter(F.col("term").isin(terms)).join(weights, ["field", "term"]).join(stats, "field")
-        parts.append(hits.select("leaf", "field", "doc_id", (F.col("weight") * idf_of() * saturated).alias("score")))
+        parts.append(hits.select("leaf", "field", "doc_id", (F.col("weight") * idf_of() * saturated()).alias("score")))
     similar = [r for i, x in numbered if x.kind == "fuzzy" for r in similar_terms(index, i, x)]
     if similar:
         weights = F.broadcast(spark.createDataFrame(similar, "leaf int, field string, term string, df long, weight double"))
         hits = index.postings.filter(F.col("term").isin([*{r[2] for r in similar}])).join(weights, ["field", "term"]).join(stats, "field")
-        parts.append(hits.select("leaf", "field", "doc_id", (F.col("weight") * idf_of() * saturated).alias("score")))
+        parts.append(hits.select("leaf", "field", "doc_id", (F.col("weight") * idf_of() * saturated()).alias("score")))
     for i, x in numbered:
         if x.kind == "wildcard":
             start, pattern = grammar.wildcard(x.text)
@@ -243,7 +229,7 @@ def leaf_scores(index: FieldIndex, leaves: list[grammar.Leaf]) -> DataFrame:
             at = {w: F.col(f"p{k}") for k, w in enumerate(places)}
             starts = reduce(F.array_intersect, [moved_back(at[w], k) for k, w in enumerate(own)])
             hits = rows.withColumn("tf", F.size(starts)).filter("tf > 0").join(weight, "field").join(stats, "field")
-            parts.append(hits.select(F.lit(i).alias("leaf"), "field", "doc_id", (F.lit(x.boost) * F.col("weight") * saturated).alias("score")))
+            parts.append(hits.select(F.lit(i).alias("leaf"), "field", "doc_id", (F.lit(x.boost) * F.col("weight") * saturated()).alias("score")))
     return reduce(DataFrame.unionByName, parts) if parts else index.postings.limit(0).select(F.lit(0).alias("leaf"), "field", "doc_id", F.lit(0.0).alias("score"))
 
 
@@ -297,12 +283,8 @@ def bm25(index: FieldIndex, docs: DataFrame, command: str, k: int = 5, boosts: d
 
 def bm25_many(index: FieldIndex, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, doc_id, rank, score of many queries (query_id, text), as bm25() scores plain words: no filters, no grammar."""
-    words = queries.select("query_id", F.explode(analyze(norm_query(F.col("text")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weights = words.join(index.df, "term").join(F.broadcast(index.stats), "field").select("query_id", "field", "term", "docs", "total", (F.col("times") * idf_of()).alias("weight"))
-    saturated = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (F.col("total") / F.col("docs"))))
-    scores = index.postings.join(weights, ["field", "term"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * saturated).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "doc_id")
-    return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "doc_id", "rank", "score")
+    words = queries.select("query_id", F.explode(analyze(norm_query(F.col("text")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").cast("double").alias("w"))
+    return index.impacts().best(words, k).select("query_id", "doc_id", "rank", "score")
 
 
 def hits(found: DataFrame, docs: DataFrame, *columns: str, description: str | None = None, key: str = "doc_id") -> DataFrame:

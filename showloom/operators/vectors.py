@@ -8,9 +8,9 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from showloom.functions.text import empty_as_null, tokenize_for_vectors
+from showloom.functions.text import empty_as_null, let, tokenize_for_vectors
+from showloom.operators.impacts import Impacts
 from showloom.operators.numbering import numbered
 from showloom.operators.search import query_terms
 
@@ -34,12 +34,14 @@ def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 @dataclass
 class Vectors:
-    """vocab(term, term_id), idf(term_id, idf), rows(doc_id, url, title, ids, values), docs(doc_id, url, title)."""
+    """vocab(term, term_id), idf(term_id, idf), rows(doc_id, url, title, ids, values), docs(doc_id, url, title); saved
+    ones have the rows inverted too, by term id, as values over lengths."""
 
     vocab: DataFrame
     idf: DataFrame
     rows: DataFrame
     docs: DataFrame
+    inverted: Impacts | None = None
 
     @staticmethod
     def build(docs: DataFrame, text: str, key: str = "doc_id", url: str | None = None, title: str | None = None) -> Vectors:
@@ -60,6 +62,16 @@ class Vectors:
         self.idf.repartitionByRange("term_id").sortWithinPartitions("term_id").write.mode("overwrite").parquet(f"{folder}/idf")
         self.rows.write.mode("overwrite").parquet(f"{folder}/rows")
         self.docs.write.mode("overwrite").parquet(f"{folder}/docs")
+        spark = self.rows.sparkSession
+        Vectors(self.vocab, self.idf, spark.read.parquet(f"{folder}/rows"), self.docs).impacts().save(f"{folder}/impacts")
+
+    def impacts(self) -> Impacts:
+        """The rows inverted: of a term id and document, the value over the vector's length."""
+        if self.inverted:
+            return self.inverted
+        # The length once a row, not once for each of its values.
+        shares = let(length(F.col("values")), lambda size: F.transform(F.arrays_zip("ids", "values"), lambda p: F.struct(p["ids"].alias("term"), (p["values"] / size).alias("x"))))
+        return Impacts.build(self.rows.select("doc_id", F.explode(shares).alias("p")).select("p.term", "doc_id", "p.x").filter("x > 0"))
 
     @staticmethod
     def load(spark: SparkSession, folder: str) -> Vectors:
@@ -74,7 +86,7 @@ class Vectors:
                 missing.append(name)
         if missing:
             raise FileNotFoundError(f"{folder} has no {', '.join(missing)}")
-        return Vectors(**found)
+        return Vectors(**found, inverted=Impacts.load(spark, f"{folder}/impacts"))
 
     def documents(self) -> DataFrame:
         """doc_id, url, title of every vector: of the documents, else what came with the vector."""
@@ -89,25 +101,29 @@ class Vectors:
         return known.join(self.idf.filter(F.col("term_id").isin(ids)), "term_id").select("term_id", (F.col("qtf") * F.col("idf")).alias("w"))
 
     def search(self, query: str, k: int = 10) -> DataFrame:
-        """doc_id, url, title, score: cosine with every vector, zero scores too; nothing without a known term."""
+        """doc_id, url, title, score: the k best by cosine; nothing without a known term.
+
+        Only postings of the query's terms are read. Documents without any of them have a score of zero: the first by id
+        follow where there are fewer than k others.
+        """
         spark = self.rows.sparkSession
         tokens = spark.range(1).select(tokenize_for_vectors(F.lit(query or "")).alias("t")).first()["t"]
         found = self.weights(Counter(tokens)).collect() if tokens else []
         if not found:
             return self.documents().limit(0).withColumn("score", F.lit(0.0))
-        table = F.create_map(*[F.lit(x) for r in found for x in (r["term_id"], r["w"])])
         size = sum(r["w"] ** 2 for r in found) ** 0.5 or FLOOR
-        own = F.zip_with("ids", "values", lambda i, v: F.coalesce(F.element_at(table, i), F.lit(0.0)) * v)
-        best = self.rows.select("doc_id", (total(own) / (length(F.col("values")) * size)).alias("score")).orderBy(F.desc(F.round("score", 12)), "doc_id").limit(k)
-        return self.documents().join(F.broadcast(best), "doc_id").orderBy(F.desc(F.round("score", 12)), "doc_id").select("doc_id", "url", "title", "score")
+        order = [F.desc(F.round("score", 12)), F.col("doc_id")]
+        best = self.impacts().one({str(r["term_id"]): r["w"] / size for r in found}).filter("score > 0").orderBy(*order).limit(k)
+        hits = spark.createDataFrame(best.collect(), best.schema)  # k rows
+        if (n := hits.count()) < k:
+            rest = self.rows.select("doc_id").join(F.broadcast(hits), "doc_id", "left_anti").orderBy("doc_id").limit(k - n)
+            hits = hits.unionByName(rest.withColumn("score", F.lit(0.0)))
+        return self.documents().join(F.broadcast(hits), "doc_id").orderBy(*order).select("doc_id", "url", "title", "score")
 
     def search_many(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """query_id, doc_id, rank, score of many queries (query_id, text); only documents that share a term."""
         terms = queries.select("query_id", F.explode(tokenize_for_vectors(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-        weighted = terms.join(self.vocab, "term").join(self.idf, "term_id").select("query_id", "term_id", (F.col("qtf") * F.col("idf")).alias("w")).filter("w <> 0")
+        weighted = terms.join(self.vocab, "term").join(self.idf, "term_id").select("query_id", "term_id", (F.col("qtf") * F.col("idf")).alias("w")).filter("w > 0")
         sizes = weighted.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("q"))
-        placed = self.rows.select("doc_id", length(F.col("values")).alias("size"), F.explode(F.arrays_zip("ids", "values")).alias("x")).select("doc_id", "size", F.col("x.ids").alias("term_id"), F.col("x.values").alias("v"))
-        dots = placed.join(weighted, "term_id").groupBy("query_id", "doc_id", "size").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-        scored = dots.join(sizes, "query_id").select("query_id", "doc_id", (F.col("dot") / (F.col("size") * F.col("q"))).alias("score"))
-        best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "doc_id")
-        return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "doc_id", "rank", "score")
+        unit = weighted.join(sizes, "query_id").select("query_id", "term_id", (F.col("w") / F.col("q")).alias("w"))
+        return self.impacts().best(unit.withColumnRenamed("term_id", "term"), k).select("query_id", "doc_id", "rank", "score")

@@ -130,7 +130,7 @@ DOCS = (
     "FROM shows LEFT JOIN labels USING (url) LEFT JOIN names USING (url)"
 )
 def show_documents(spark, sf_dir):
-    t = html.extract(show_pages(spark, sf_dir))
+    t = html.extract(show_pages(spark, sf_dir), kept=True)
     return catalog.show_docs(t["shows"], t["episodes"], t["credits"])
 
 
@@ -182,7 +182,7 @@ JOINED = "j AS (SELECT s.*, w.page_id AS wiki_page_id, w.title AS wiki_title, w.
 
 
 def joined_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
-    t = html.extract(show_pages(spark, sf_dir))
+    t = html.extract(show_pages(spark, sf_dir), kept=True)
     return catalog.join_wiki(t["shows"], tables.wiki_shows(wiki_pages(spark, sf_dir))), t
 
 

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from showloom.functions.text import limited
@@ -38,6 +38,8 @@ SCHEMAS = {
 }
 #: What a path may start with and mean the same.
 LEADING = r"^(\./|/)+"
+#: Rows of a URL map that are broadcast at most.
+SENT = 200_000
 PAGE = "id long, title string, revision struct<text: struct<_VALUE: string>>"
 
 
@@ -125,12 +127,20 @@ def read_pages(spark: SparkSession, mapping: DataFrame, folder: str) -> DataFram
     """
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     root = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri().getPath().rstrip("/") + "/"
-    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("html"), F.col("_metadata.file_path").alias("file"))
-    # A file's path comes as a URI: percent-encoded, with a plus sign as itself.
-    decoded = F.url_decode(F.replace(F.regexp_replace("file", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), F.lit("+"), F.lit("%2B")))
-    found = files.filter(F.startswith(decoded, F.lit(root))).select("html", F.substr(decoded, F.lit(len(root) + 1)).alias("key"))
+
+    def key(uri: Column) -> Column:
+        """A file's path below the folder; it comes as a URI: percent-encoded, with a plus sign as itself."""
+        decoded = F.url_decode(F.replace(F.regexp_replace(uri, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), F.lit("+"), F.lit("%2B")))
+        return F.when(F.startswith(decoded, F.lit(root)), F.substr(decoded, F.lit(len(root) + 1)))
+
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("html"), key(F.col("_metadata.file_path")).alias("key"))
     rows = mapping.select("url", "path", F.regexp_replace("path", LEADING, "").alias("key"))
-    return rows.join(found, "key", "left").select("url", "path", "html")
+    if rows.limit(SENT + 1).count() > SENT:
+        return rows.join(files, "key", "left").select("url", "path", "html")
+    # A map that is small goes to where files are read, so pages aren't shuffled; what isn't there is found by names alone.
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(key(F.col("_metadata.file_path")).alias("key"))
+    lacking = rows.join(names, "key", "left_anti").withColumn("html", F.lit(None).cast("string"))
+    return files.join(F.broadcast(rows), "key").select("url", "path", "html").unionByName(lacking.select("url", "path", "html"))
 
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:

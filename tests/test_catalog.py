@@ -74,10 +74,11 @@ WIKI = "{{short}}{{Infobox television\n| name = X\n| alt_name = \n| alt_name = Y
 
 
 def test_wikitext(spark):
-    info = wiki.infobox_of(WIKI)
+    one = lambda f, t: spark.createDataFrame([(t,)], "t string").select(f(F.col("t"))).first()[0]
+    info = one(wiki.infobox, WIKI)
     assert (info["alt_name"], info["starring"], info["name"], info["_infobox_type"]) == ("Y", "Ann, Bob", "X", "television")
-    assert wiki.infobox_of("no box") == {} and wiki.infobox_of(None) == {} and wiki.infobox_of("{{infobox television\n|a=1\n|b=2")["b"] == "2"
-    assert wiki.without_templates("a {{b {{c}} d}} e }} f {{{x}}} g") == "a  e }} f } g" and wiki.without_templates("a {{b") == "a "
+    assert one(wiki.infobox, "no box") == {} and one(wiki.infobox, None) == {} and one(wiki.infobox, "{{infobox television\n|a=1\n|b=2")["b"] == "2"
+    assert one(wiki.without_templates, "a {{b {{c}} d}} e }} f {{{x}}} g") == "a  e }} f } g" and one(wiki.without_templates, "a {{b") == "a "
     pages = spark.createDataFrame([(1, "Lost (2004 TV series)", WIKI), (2, "r", "#REDIRECT [[x]]"), (3, "n", None), (4, "o", "{{Infobox film}}")], "page_id long, title string, raw_text string")
     row = tables.wiki_shows(pages).collect()
     assert len(row) == 1

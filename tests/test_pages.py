@@ -11,7 +11,9 @@ from showloom.operators import crawl, robots
 from showloom.sources import tables
 
 
-def test_pages_are_read_by_their_whole_path(spark, tmp_path):
+@pytest.mark.parametrize("sent", [200_000, 3])
+def test_pages_are_read_by_their_whole_path(spark, tmp_path, monkeypatch, sent):
+    monkeypatch.setattr(tables, "SENT", sent)
     rows = [("data/a/index.html", "A\r\nline"), ("data/b/index.html", "B"), ("data/c d+e%20é/x.html", "C"), ("data/b", "a folder of another page's"), ("./data/z.html", "old", 1), ("data/z.html", "new", 2), ("data/none.html", None)]
     pages = spark.createDataFrame([(*r[:2], r[2] if len(r) > 2 else 0) for r in rows], "path string, html string, n int")
     tables.write_files(pages, f"file://{tmp_path}/store", "n")
