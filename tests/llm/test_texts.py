@@ -354,7 +354,7 @@ def features_by_hand(url, suffixes, prior):
     url = url or ""
     m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url)
     host, path = (re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]) if m else ("", "")
-    query = (re.match(r"(?s)^[^?#]*\\?([^#]*)", url) or [None, ""])[1]
+    query = (re.match(r"(?s)^[^?#]*\?([^#]*)", url) or [None, ""])[1]
     count = lambda t, chars: sum(c in chars for c in t)
     bits = lambda t: -sum(n / len(t) * np.log2(n / len(t)) for n in collections.Counter(t).values()) if t else 0.0
     ratio = lambda t, chars: count(t, chars) / len(t) if t else 0.0
@@ -566,3 +566,29 @@ def test_warc(spark, sf, sent, captures, lines, monkeypatch):
 def test_url_key():
     assert warc.url_key("HTTP://www.Example.com:80/A?b=C#d") == "com,example,www)/a?b=c"
     assert warc.url_key(None) == "-"
+
+
+#: Pages that are wrapped in an element whose name or kind is boilerplate elsewhere; %s is the article.
+WRAPPED = [
+    '<div class="content has-sidebar">%s</div>', '<div class="page no-sidebar">%s</div>', '<div class="layout right-sidebar">%s<div class="sidebar"><p>{}</p></div></div>', '<div id="page-with-navbar"><div class="navbar">Home News</div>%s</div>',
+    '<div class="has-sticky-header">%s</div>', '<form id="aspnetForm">%s<div class="footer">Rights</div></form>', '<main><fieldset>%s</fieldset></main>', '<form><div class="left-nav wrap"><form class="search"><p>{}</p></form>%s</div></form>',
+    '<div class="paywall">%s</div><footer>{}</footer>', "<header>%s</header>",
+]
+
+
+def test_wrappers_keep_their_article(monkeypatch):
+    article = "".join(f"<p>{LONG}{k}</p>" for k in range(3))
+    want = "\n".join(f"{LONG}{k}" for k in range(3))
+    pages = [f"<html><body>{w.replace('{}', LONG + 'no part of it')}</body></html>" % article for w in WRAPPED]
+    assert [html_text.main_text(p) for p in pages] == [want] * len(pages)
+    # The same elements beside an article that surges are boilerplate, and so are comments and adverts whatever they weigh.
+    for w in WRAPPED[:6]:
+        beside = w.replace("{}", "x") % f"<p>{LONG}no part of it</p>"
+        assert html_text.main_text(f"<html><body><div>{article}</div>{beside}</body></html>") == want
+    for name in ("comments", "advert", "cookie-notice", "related"):
+        assert html_text.main_text(f"<p>Short.</p><div class={name}>{article}</div>") == "Short."
+    # A form that isn't nearly all of the page isn't what the page is wrapped in.
+    assert html_text.main_text(f"<p>{'short text ' * 3}</p><form><p>{LONG}</p></form>") == ("short text " * 3).strip()
+    # Without windows there is nothing to say so, and each of these pages is lost.
+    monkeypatch.setattr(html_text, "surges", lambda weights: True)
+    assert sum(html_text.main_text(p) != want for p in pages) == len(pages)
