@@ -78,7 +78,7 @@ def test_gray_index_finds_all_links(sizes):
     fps = near_sets(*sizes)
     fps = fps[np.argsort(gray(fps))]
     index = simhash.GrayIndex(fps, np.zeros(len(fps), np.int64))
-    got = {(int(a), int(b)) for x, y in index.links(fps, index.buckets) for a, b in zip(x, y, strict=True) if a < b}
+    got = {(int(a), int(b)) for x, y in index.links(fps, index.buckets, np.full(len(fps), -1)) for a, b in zip(x, y, strict=True) if a < b}
     assert got == set(links_by_hand(fps))
 
 
@@ -86,13 +86,19 @@ def test_gray_index_prunes():
     fps = near_sets(4000, 0, 0)
     fps = fps[np.lexsort((gray(fps), fps >> np.uint64(58)))]  # 64 buckets
     index = simhash.GrayIndex(fps, (fps >> np.uint64(58)).astype(np.int64))
-    assert {int(b) for _, y in index.links(fps, index.buckets) for b in y} == set(range(len(fps)))  # each finds itself
-    assert index.compared < 0.02 * len(fps) ** 2
+    assert {int(b) for _, y in index.links(fps, index.buckets, np.full(len(fps), -1)) for b in y} == set(range(len(fps)))  # each finds itself
+    assert index.compared < 3 * len(fps)  # of 63 in a bucket
+    behind = simhash.GrayIndex(fps, index.buckets)
+    assert not [x for x, _ in behind.links(fps, index.buckets, np.arange(len(fps))) if len(x)] and behind.compared < len(fps)
+    off = simhash.GrayIndex(fps, index.buckets)
+    off.levels = [(pattern, np.zeros_like(shared), low, high) for pattern, shared, low, high in off.levels]
+    assert not [x for x, _ in off.links(fps, index.buckets, np.arange(len(fps))) if len(x)]
+    assert off.compared == sum(n * (n - 1) // 2 for n in np.bincount(index.buckets)) > 40 * behind.compared  # patterns do the work
     clustered = np.sort(near_sets(0, 400, 10))
     clustered = clustered[np.argsort(gray(clustered))]
     index = simhash.GrayIndex(clustered, np.zeros(len(clustered), np.int64))
-    assert sum(len(x) for x, _ in index.links(clustered, index.buckets)) > 5 * len(clustered)
-    assert index.compared < 0.7 * len(clustered) ** 2
+    assert sum(len(x) for x, _ in index.links(clustered, index.buckets, np.full(len(clustered), -1))) > 5 * len(clustered)
+    assert index.compared < 0.1 * len(clustered) ** 2
 
 
 @pytest.mark.parametrize("n", [2, 3, 9, 300])
@@ -103,7 +109,7 @@ def test_search_is_by_the_gray_index_at_any_size(n, monkeypatch):
     fps, zero = fps[np.argsort(gray(fps))], np.zeros(len(fps), np.int64)
     a, b = simhash.search(fps, np.arange(len(fps)), zero, zero > 0, zero)
     assert roots_by_hand(zip(a.tolist(), b.tolist(), strict=True), range(len(fps))) == roots_by_hand(links_by_hand(fps), range(len(fps)))
-    assert len(made) == 1 and made[0].compared >= len(fps)
+    assert len(made) == 1 and made[0].tested and made[0].compared >= len(fps) - 1
 
 
 @pytest.mark.parametrize("runs,cap", [(5, 1024), (5, 40), (6, 64), (8, 1024), (8, 20)])
