@@ -42,21 +42,20 @@ class Impacts:
     terms: DataFrame
 
     @staticmethod
-    def build(postings: DataFrame, shards: int | None = None, docs: int | None = None, once: bool = True) -> Impacts:
+    def build(postings: DataFrame, shards: int | None = None, docs: int | None = None, once: bool = True, ranged: bool = False) -> Impacts:
         """Of postings (term, doc_id, x), x > 0. A document comes at most once with a term, or without once its x are added
-        up. docs: how many documents there are, where that is known."""
+        up. docs: how many documents there are, where that is known. ranged: postings are in ranges of terms already, so
+        nothing is shuffled."""
         if not shards:
             docs = docs or postings.agg(F.approx_count_distinct("doc_id")).first()[0]
             shards = max(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(docs / SHARD))
         rows = postings.select(F.col("term").cast("string").alias("term"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "x")
-        # One shuffle, by ranges in which the blocks are written too; what follows is grouped within them.
-        each = rows.repartitionByRange("term", "shard")
-        each = each if once else each.groupBy("term", "shard", "doc_id").agg(F.sum("x").alias("x"))
-        lists = each.groupBy("term", "shard").agg(F.sort_array(F.collect_list(F.struct("x", "doc_id")), asc=False).alias("p"))  # at most a shard's documents
-        rest = F.sequence(F.lit(FIRST + 1), F.greatest(F.size("p"), F.lit(FIRST + 1)), F.lit(BLOCK))
-        cut = F.concat(F.array(F.slice("p", 1, FIRST)), F.filter(F.transform(rest, lambda at: F.slice("p", at, F.lit(BLOCK))), lambda b: F.size(b) > 0))
-        each = lists.select("term", "shard", F.posexplode(cut).alias("block", "p"))
-        blocks = each.select("term", "shard", "block", F.get("p", F.lit(0))["x"].alias("top"), F.element_at("p", -1)["x"].alias("low"), F.size("p").alias("n"), F.col("p.doc_id").alias("docs"), F.col("p.x").alias("xs"))
+        rows = rows if ranged else rows.repartitionByRange("term", "shard")
+        rows = rows if once else rows.groupBy("term", "shard", "doc_id").agg(F.sum("x").alias("x"))  # within the ranges
+        kind = dict(rows.dtypes)["doc_id"]
+        first, block = FIRST, BLOCK
+        cut = lambda batches: blocks_of(batches, first, block)
+        blocks = rows.sortWithinPartitions("term", "shard", F.desc("x")).mapInArrow(cut, f"term string, shard int, block int, top double, low double, n int, docs array<{kind}>, xs array<double>")
         return Impacts(blocks, Impacts.bounds(blocks))
 
     @staticmethod
@@ -66,7 +65,7 @@ class Impacts:
 
     def save(self, folder: str) -> None:
         """Parquet, ranged and sorted by term, so that a search's scan prunes to its terms."""
-        self.blocks.sortWithinPartitions("term", "shard", "block").write.mode("overwrite").parquet(f"{folder}/blocks")
+        self.blocks.write.mode("overwrite").parquet(f"{folder}/blocks")
         saved = self.blocks.sparkSession.read.parquet(f"{folder}/blocks")
         Impacts.bounds(saved).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/bounds")
 
@@ -129,6 +128,26 @@ class Impacts:
         return dealt.mapInArrow(run, schema)
 
 
+def blocks_of(batches: Iterator[pa.RecordBatch], first: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows (term, shard, doc_id, x) that are sorted by term, shard and falling x. Where a batch ends so does a
+    block, and the next one counts as a first one again."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        terms, shards, docs, xs = batch.columns
+        codes, shard, x = terms.dictionary_encode().indices.to_numpy(), shards.to_numpy(), xs.to_numpy()
+        new = np.append(True, (codes[1:] != codes[:-1]) | (shard[1:] != shard[:-1]))
+        at = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))  # place in the term's list
+        starts = np.flatnonzero(new | (at >= first) & ((at - first) % size == 0))
+        ends = np.append(starts[1:], n)
+        number = np.where(at[starts] < first, 0, 1 + (at[starts] - first) // size)
+        cuts = pa.array(np.append(starts, n).astype(np.int32))
+        columns = [terms.take(pa.array(starts)), pa.array(shard[starts]), pa.array(number.astype(np.int32)), pa.array(x[starts]), pa.array(x[ends - 1]), pa.array((ends - starts).astype(np.int32))]
+        columns += [pa.ListArray.from_arrays(cuts, docs), pa.ListArray.from_arrays(cuts, xs)]
+        yield pa.RecordBatch.from_arrays(columns, ["term", "shard", "block", "top", "low", "n", "docs", "xs"])
+
+
 class Shard:
     """A shard's blocks of a batch's terms: of each term its documents (as places among all of them) and impacts, the
     greatest first, and where its blocks start."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from showloom.functions.text import tokenize
+from showloom.functions.text import let, tokenize
 from showloom.operators.impacts import Impacts
 
 #: Weights of a show's fields.
@@ -37,8 +38,31 @@ def tf_weight(tf: Column, sublinear: bool = True) -> Column:
     return (1 + F.ln(tf)) if sublinear else tf.cast("double")
 
 
+def shares(docs: DataFrame, weights: dict[str, float], key: str = "doc_id") -> DataFrame:
+    """doc_id, term, tf: for each row of docs, term and field the weighted count, without a shuffle. A row's tokens are
+    sorted, and a term's count is the length of its run."""
+    fields = [(f, w) for f, w in weights.items() if w > 0]
+
+    def tagged(number: int, name: str) -> Column:  # a token, and two characters that say its field
+        return F.transform(tokenize(F.col(name)), lambda t: F.concat(t, F.lit("\x01" + chr(65 + number))))
+
+    def runs(tokens: Column) -> Column:
+        new = lambda i: (i == 0) | (F.get(tokens, i) != F.get(tokens, F.greatest(i - 1, F.lit(0))))
+        starts = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), new)
+        lengths = let(starts, lambda s: F.zip_with(s, F.slice(s, 2, F.size(s)), lambda a, b: F.struct(a.alias("at"), (F.coalesce(b, F.size(tokens)) - a).alias("n"))))
+        return F.transform(lengths, lambda r: F.struct(F.get(tokens, r["at"]).alias("token"), r["n"].alias("n")))
+
+    every = F.sort_array(F.flatten(F.array(*[tagged(i, f) for i, (f, _) in enumerate(fields)])))
+    rows = docs.select(F.col(key).alias("doc_id"), every.alias("tokens")).filter(F.size("tokens") > 0)
+    each = rows.select("doc_id", F.explode(let(F.col("tokens"), runs)).alias("r"))
+    weight = F.get(F.array(*[F.lit(float(w)) for _, w in fields]), F.ascii(F.right("r.token", F.lit(1))) - 65)
+    term = F.substr("r.token", F.lit(1), F.char_length("r.token") - 2)
+    return each.select("doc_id", term.alias("term"), F.greatest(F.lit(1).cast("long"), F.rint(F.col("r.n") * weight).cast("long")).alias("tf"))
+
+
 def postings(docs: DataFrame, weights: dict[str, float], key: str = "doc_id") -> DataFrame:
-    """doc_id, term, tf: over fields the sum of tf times weight, rounded half to even, 1 at least."""
+    """doc_id, term, tf: over fields the sum of tf times weight, rounded half to even, 1 at least. Rows of one id are one
+    document."""
     fields = [(f, w) for f, w in weights.items() if w > 0]
 
     def tagged(name: str) -> Column:
@@ -66,12 +90,15 @@ class Index:
     terms: DataFrame
     titles: DataFrame
     sublinear: bool = True
+    parts: Callable[[], DataFrame] | None = None  # doc_id, term, tf that add up to postings
 
     @staticmethod
     def build(docs: DataFrame, weights: dict[str, float], key: str = "doc_id", title: str | None = None, url: str | None = None, sublinear: bool = True) -> Index:
         found = postings(docs, weights, key)
         text = lambda c: (F.col(c) if c else F.lit(None)).cast("string")
-        return Index.of(found, docs.select(F.col(key).alias("doc_id"), text(url).alias("url"), text(title).alias("title")), sublinear)
+        out = Index.of(found, docs.select(F.col(key).alias("doc_id"), text(url).alias("url"), text(title).alias("title")), sublinear)
+        out.parts = lambda: shares(docs, weights, key) if docs.groupBy(key).count().filter("count > 1").isEmpty() else found
+        return out
 
     @staticmethod
     def of(found: DataFrame, titles: DataFrame, sublinear: bool = True) -> Index:
@@ -109,9 +136,14 @@ class Index:
         that of norms, which are sent to all tasks where they are few.
         """
         spark = self.postings.sparkSession
-        # The ranges are by term, so counting by term shuffles nothing.
-        ranged = self.postings.repartitionByRange("term").withColumn("df", F.count("*").over(Window.partitionBy("term")))
+        # Written before they are ranged, as ranges are found by reading twice. They are by term, so adding up and counting
+        # by term shuffle nothing.
+        (self.parts() if self.parts else self.postings).write.mode("overwrite").parquet(f"{folder}/_parts")
+        rows = spark.read.parquet(f"{folder}/_parts").repartitionByRange("term")
+        ranged = rows.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf")).select("doc_id", "term", "tf").withColumn("df", F.count("*").over(Window.partitionBy("term")))
         ranged.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_parts")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
         held = spark.read.parquet(f"{folder}/postings")
         n = held.agg(F.countDistinct("doc_id")).first()[0]
         held.groupBy("term").agg(F.first("df").alias("df")).select("term", "df", F.lit(n).cast("long").alias("n")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
@@ -121,12 +153,12 @@ class Index:
         for mode in batches:
             norms = spark.read.parquet(f"{folder}/norms").filter(F.col("idf_mode") == mode).select("doc_id", "norm")
             rows = held.join(F.broadcast(norms) if n <= SENT else norms, "doc_id")
-            Impacts.build(rows.select("term", "doc_id", F.abs(weight(mode) / F.col("norm")).alias("x")).filter("x > 0"), docs=n).save(f"{folder}/impacts-{mode}")
+            Impacts.build(rows.select("term", "doc_id", F.abs(weight(mode) / F.col("norm")).alias("x")).filter("x > 0"), docs=n, ranged=True).save(f"{folder}/impacts-{mode}")
 
     @staticmethod
     def load(spark: SparkSession, folder: str, sublinear: bool = True) -> Saved:
         read = lambda name: spark.read.parquet(f"{folder}/{name}")
-        return Saved(read("postings").drop("df"), read("terms"), read("titles"), sublinear, read("norms"), folder)
+        return Saved(read("postings").drop("df"), read("terms"), read("titles"), sublinear, stored=read("norms"), folder=folder)
 
 
 @dataclass

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from showloom.operators import impacts, search
 from showloom.operators.impacts import Impacts
+from showloom.operators.index import Index
 from showloom.operators.vectors import Vectors
 
 
@@ -95,6 +96,25 @@ def test_bm25_batches_equal_single_queries(spark, tmp_path):
         assert {r["query_id"] for r in got} == set(range(6))
 
 
+def test_saved_index_equals_the_one_built(spark, tmp_path):
+    """Counting within rows, and adding up where an id has several rows, give what grouping by document gives."""
+    random.seed(9)
+    texts = [" ".join(random.choices(["a", "b", "c9", "dd", "é"], k=random.randrange(25))) for _ in range(60)] + ["", None]
+    for ids in (range(62), [i // 2 for i in range(62)]):
+        docs = spark.createDataFrame([(i, t, random.choice(["a dd", "x", None])) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, source string")
+        built = Index.build(docs, {"text": 0.5, "source": 2.1, "lang": 0.0})
+        folder = str(tmp_path / str(len({*ids})))
+        built.save(folder)
+        saved = Index.load(spark, folder)
+        rows = lambda df, *c: sorted(tuple(r) for r in df.select(*c).collect())
+        assert rows(saved.postings, "doc_id", "term", "tf") == rows(built.postings, "doc_id", "term", "tf")
+        assert rows(saved.terms, "term", "df", "n") == rows(built.terms, "term", "df", "n")
+        assert rows(saved.norms("prob"), "doc_id", F.round("norm", 9)) == rows(built.norms("prob"), "doc_id", F.round("norm", 9))
+        queries = spark.createDataFrame([(1, "a é dd"), (2, "c9 c9 b")], "query_id long, text string")
+        of = lambda index, mode: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in search.cosine_many(index, queries, mode, 5).collect())
+        assert of(saved, "smooth") == of(built, "smooth") and of(saved, "classic") == of(built, "classic")
+
+
 def test_vector_search_fills_up_with_zero_scores(spark, tmp_path):
     docs = spark.createDataFrame([(d, text) for d, text in enumerate(["apple pie", "apple apple", "pear", "", "plum tart", None])], "doc_id long, text string")
     Vectors.build(docs, "text").save(str(tmp_path))
