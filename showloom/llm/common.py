@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: White space of the word definition ``[^\x20\x09-\x0D]+``.
 SPACES = " \t\n\x0b\x0c\r"
@@ -47,6 +48,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Numbers in a block of running_starts().
+BLOCK_OF_TOTALS = 1024
+
+
+def running_starts(totals: DataFrame, number: str, total: str, block: int | None = None) -> DataFrame:
+    """number, first: the sum of total over all rows with a smaller number, for totals with each number once. In two
+    steps, over blocks of numbers and within each, so that no window has more than a block or a row a block."""
+    rows = totals.select(F.col(number), F.col(total).alias("t"), F.floor(F.col(number) / (block or BLOCK_OF_TOTALS)).alias("b"))
+    before = lambda w: F.coalesce(F.sum("t").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = rows.groupBy("b").agg(F.sum("t").alias("t")).select("b", before(Window.orderBy("b")).alias("ahead"))
+    return rows.withColumn("inside", before(Window.partitionBy("b").orderBy(number))).join(ahead, "b").select(number, (F.col("ahead") + F.col("inside")).alias("first"))
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a folder's URI, and the folder's path there. A bare path is a local one."""
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)

@@ -1,7 +1,7 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, verified by exact shingle containment.
 
-An item's shingles are the distinct runs of SHINGLE words (words ``[^\x20\x09-\x0D]+`` in lower case; fewer words: the
-whole sequence). A shingle's hash is a mix of its words' numbers. The sketch of an item of n shingles is its bottom-k
+An item's shingles are the distinct runs of SHINGLE words (words ``[^\x20\x09-\x0D]+`` in lower case). An item of fewer
+words is one shingle of its own length, looked up among the documents' runs of that length. A shingle's hash is a mix of its words' numbers. The sketch of an item of n shingles is its bottom-k
 MinHash, the k least hashes, with k = n - ceil(threshold * n) + 1: who holds the threshold's share of the item lacks at
 most n - ceil(threshold * n) of its shingles, hence holds one of any k. So the search misses nothing, whatever a
 document's length (its recall is 1, which tests measure against brute force).
@@ -13,11 +13,10 @@ than a document has are left out. Candidates are then verified word by word: the
 that the document holds, counted without hashes, has to reach the threshold.
 
 The benchmark is the side of bounded size: it is read in blocks of MOST bytes of text, whose number is known from one
-aggregate; one block at a time is on the driver, and each is a pass over the documents. Documents are read once a block,
+aggregate and to which rows are dealt by id and text, equal ones as one with their number; one block at a time is on the driver, and each is a pass over the documents. Documents are read once a block,
 never shuffled and never compared with each other.
 
-Defined results: null or empty texts hold nothing, items without words are held by nothing; an item of fewer than
-SHINGLE words is held only by a document of just these words; items with a null id are left out; a share of just the
+Defined results: null or empty texts hold nothing, items without words are held by nothing; items with a null id are left out; a share of just the
 threshold counts; rows repeated in either table give repeated results; very long texts are searched whole; without
 documents or items there are no pairs, and clean() keeps every row; other columns, whatever their names, are kept by
 clean() and not read.
@@ -36,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from showloom.llm.common import cut, python_rows, small_batches, words_of
+from showloom.llm.common import cut, python_rows, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: UTF-8 bytes of benchmark text in a block: about ten times as much in a worker.
@@ -74,21 +73,23 @@ class Partition:
 class Items:
     """Sketches of benchmark items by size partition, and their shingles for verification."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, n: int = SHINGLE):
+    def __init__(self, items: list[tuple], threshold: float = THRESHOLD, n: int = SHINGLE):
         self.threshold, self.n = threshold, n
         self.vocabulary: dict[bytes, int] = {}
-        self.short: dict[bytes, list[int]] = {}
+        self.short: dict[int, dict[bytes, list[int]]] = defaultdict(dict)  # by number of words
         self.ids: list[int] = []
+        self.times: list[int] = []  # rows of each item
         self.runs: list[np.ndarray] = []  # of each item: its distinct shingles
         #: hashes that search() has looked up
         self.looked = 0
         sketches: dict[int, list[np.ndarray]] = defaultdict(list)
         owners: dict[int, list[int]] = defaultdict(list)
-        for i, text in items:
+        for i, text, *rows in items:  # and perhaps how many rows there are of it
+            times = rows[0] if rows else 1
             if i is None or not (w := words(text)):
                 continue
             if len(w) < n:
-                self.short.setdefault(b" ".join(w), []).append(i)
+                self.short[len(w)].setdefault(b" ".join(w), []).extend([i] * times)
                 continue
             for x in w:
                 self.vocabulary.setdefault(x, len(self.vocabulary) + 1)
@@ -96,6 +97,7 @@ class Items:
             sketches[p := partition_of(len(runs))].append(np.sort(np.unique(hashed(runs)))[: len(runs) - self.needed(len(runs)) + 1])
             owners[p].append(len(self.ids))
             self.ids.append(i)
+            self.times.append(times)
             self.runs.append(runs)
         self.partitions = []
         for p, of in sorted(sketches.items()):
@@ -130,29 +132,30 @@ class Items:
     def search(self, text: str | None) -> list[tuple[int, float]]:
         """(item, containment) of each item that the text holds at the threshold."""
         w = words(text)
+        out = [(i, 1.0) for m, known in self.short.items() for run in {b" ".join(w[k : k + m]) for k in range(len(w) - m + 1)} for i in known.get(run, ())]
         if len(w) < self.n:
-            return [(i, 1.0) for i in self.short.get(b" ".join(w), [])] if w else []
+            return sorted(out)
         runs = self.numbered(w)
         if not len(runs) or not (found := self.candidates(runs, np.unique(hashed(runs)))):
-            return []
+            return sorted(out)
         held = set(map(bytes, np.ascontiguousarray(runs).view(f"V{4 * self.n}").ravel()))
-        out = []
         for k in found:
             own = np.ascontiguousarray(self.runs[k]).view(f"V{4 * self.n}").ravel()
             if (n := sum(map(held.__contains__, map(bytes, own)))) >= self.needed(len(own)):
-                out.append((self.ids[k], n / len(own)))
+                out += [(self.ids[k], n / len(own))] * self.times[k]
         return sorted(out)
 
 
-def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks of about MOST bytes, one by one. Their number is known before anything is collected."""
-    small_batches(benchmark.sparkSession)
+def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str, int]]]:
+    """The benchmark (item_id, text and how many rows are alike) in blocks of about MOST bytes, one by one. Their number
+    is known before anything is collected."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter("item_id is not null and text is not null")
+    rows = cut(rows.groupBy("item_id", "text").agg(F.count("*").alias("times")))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, math.ceil(total / MOST))
-    deal = F.pmod(F.xxhash64("item_id"), F.lit(n))
+    deal = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     for k in range(n):
-        yield [(r["item_id"], r["text"]) for r in (rows if n == 1 else rows.filter(deal == k)).collect()]
+        yield [tuple(r) for r in (rows if n == 1 else rows.filter(deal == k)).collect()]
 
 
 def find_pairs(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

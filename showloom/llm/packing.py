@@ -26,13 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from showloom.llm.common import fresh_dir, only, text_slices
+from showloom.llm.common import fresh_dir, only, running_starts, text_slices
 
 SIZE = 2048
-#: Tasks whose starts are broadcast at most (24 bytes each); past that they are joined. Tasks in a block of prefix sums.
-SENT, BLOCK = 200_000, 1024
+#: Tasks whose starts are broadcast at most (24 bytes each); past that they are joined.
+SENT = 200_000
 #: Texts with so much white space in one piece are encoded by the tokenizer itself; the faster splitting recurses there.
 LONG_SPACE = 100_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -109,11 +108,7 @@ def encode(docs: DataFrame, folder: str, path: str, end_id: int) -> DataFrame:
 
 def placed(tokens: DataFrame) -> DataFrame:
     """Pass two: encode()'s rows as doc_id, n, ids, at: where the document starts among all tokens."""
-    totals = tokens.groupBy("part").agg(F.sum("n").alias("total")).withColumn("block", F.floor(F.col("part") / BLOCK))
-    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = totals.groupBy("block").agg(F.sum("total").alias("total")).select("block", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("ahead"))
-    inside = Window.partitionBy("block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.withColumn("inside", F.coalesce(F.sum("total").over(inside), F.lit(0))).join(blocks, "block").select("part", (F.col("ahead") + F.col("inside")).alias("first"))
+    starts = running_starts(tokens.groupBy("part").agg(F.sum("n").alias("total")), "part", "total")
     few = tokens.select("part").distinct().limit(SENT + 1).count() <= SENT
     return tokens.join(F.broadcast(starts) if few else starts, "part").select("doc_id", "n", "ids", (F.col("first") + F.col("before")).alias("at"))
 

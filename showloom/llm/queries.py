@@ -128,7 +128,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 ORACLES: dict[str, str] = {
     "op6_decontamination": (
         f"WITH d AS ({SHINGLES.format(id='doc_id', table='documents')}), b AS ({SHINGLES.format(id='item_id', table='benchmark')}), n AS (SELECT id, count(*) AS n FROM b GROUP BY id), "
-        "c AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS c FROM d JOIN b USING (g) GROUP BY d.id, b.id) SELECT doc_id, item_id, c / n AS containment FROM c JOIN n ON n.id = item_id WHERE c >= 0.8 * n"
+        "w AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+'), ' ') || ' ' AS t FROM documents), "
+        "s AS (SELECT item_id, ' ' || array_to_string(w, ' ') || ' ' AS t FROM (SELECT item_id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark) WHERE len(w) BETWEEN 1 AND 4), "
+        "c AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS c FROM d JOIN b USING (g) GROUP BY d.id, b.id) SELECT doc_id, item_id, c / n AS containment FROM c JOIN n ON n.id = item_id WHERE c >= 0.8 * n AND item_id NOT IN (SELECT item_id FROM s) "
+        "UNION ALL SELECT doc_id, item_id, 1.0 FROM w JOIN s ON contains(w.t, s.t)"
     ),
     "op3_quality_rules": rules_sql(),
     # Counts over the grid of all slots and levels: running sums along slots, then along levels. crc32 by its table of bytes.

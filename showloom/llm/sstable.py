@@ -38,10 +38,8 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from showloom.llm.common import SPACES, TO_BLANK, file_system, offsets, only, put_file, small_batches, text_slices
+from showloom.llm.common import SPACES, TO_BLANK, cut, file_system, offsets, only, put_file, running_starts, small_batches, text_slices
 
 MAGIC = b"SLSST01\n"
 #: Bytes of values in a block before it is packed; bits of the filter for a document; entries of a task's word table.
@@ -50,7 +48,7 @@ HASHES = 7
 #: Bytes of text in a shard.
 SHARD = 64 << 20
 FOOTER = struct.Struct("<QQQQI8s")
-SUMMARY = "shard string, n_docs long, n_tokens long"
+SUMMARY = "number long, shard string, n_docs long, n_tokens long"
 
 
 #: bytes.translate: A-Z to lower case and white space to blanks, or white space alone.
@@ -296,10 +294,10 @@ class Shard:
 
 
 def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, shards: int | None = None) -> DataFrame:
-    """Writes docs (doc_id, text) to shards in folder, which is new and shared; returns SUMMARY, one row a shard.
+    """Writes docs (doc_id, text) to shards in folder, which is new and shared; returns SUMMARY, one row a shard, whose
+    numbers ascend with the ids.
 
-    A row is dealt by a range of (doc_id, hash of text), so shard names ascend with the ids and no single id's rows
-    have to meet in one task. There are as many shards as the session has shuffle partitions, and more where a shard
+    A row is dealt by a range of (doc_id, hash of text), so no single id's rows have to meet in one task. There are as many shards as the session has shuffle partitions, and more where a shard
     would have over SHARD bytes of text. The returned rows are computed: the files are there.
     """
     spark, docs = docs.sparkSession, only(docs, "doc_id", "text")
@@ -313,7 +311,8 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, shards: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        name, found = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.sst", []
+        number = TaskContext.get().partitionId()
+        name, found = f"shard-{number:06d}-{uuid.uuid4().hex}.sst", []
 
         def write(out: pa.NativeFile) -> None:
             encoder = encoder_at(path, end_id)
@@ -324,15 +323,13 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, shards: i
                 for doc_id, start, stop in zip(part.column(0).to_pylist(), np.append(0, ends[:-1]), ends, strict=True):
                     writer.add(doc_id, np.concatenate([ids[start:stop], end]))
             writer.finish()
-            found.append((name, writer.docs, writer.tokens))
+            found.append((number, name, writer.docs, writer.tokens))
 
         put_file(folder, name, write)
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["shard", "n_docs", "n_tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["number", "shard", "n_docs", "n_tokens"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).repartitionByRange(shards, *order).sortWithinPartitions(*order)
-    done = rows.select("doc_id", "text").mapInArrow(run, SUMMARY).collect()  # one small row a shard
-    schema = T.StructType([T.StructField("shard", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    return spark.createDataFrame([tuple(r) for r in done], schema)
+    return cut(rows.select("doc_id", "text").mapInArrow(run, SUMMARY))  # a written table of one small row a shard
 
 
 def read_shards(summary: DataFrame, folder: str) -> DataFrame:
@@ -348,7 +345,6 @@ def read_shards(summary: DataFrame, folder: str) -> DataFrame:
                 for i in range(0, len(rows), 50_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + 50_000], strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = summary.filter("n_docs > 0").select("shard", before.alias("start"))
+    starts = summary.filter("n_docs > 0").join(running_starts(summary, "number", "n_tokens"), "number").select("shard", F.col("first").alias("start"))
     n = max(1, int(summary.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return starts.repartition(n, "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from showloom.llm import collocations, dominance, packing
+from showloom.llm import collocations, common, dominance, packing
 from showloom.llm.common import fresh_dir
 
 
@@ -119,7 +119,7 @@ def test_packing_over_odd_tables(spark):
 
 
 def test_starts_of_many_tasks(spark, monkeypatch):
-    monkeypatch.setattr(packing, "BLOCK", 4)
+    monkeypatch.setattr(common, "BLOCK_OF_TOTALS", 4)
     monkeypatch.setattr(packing, "SENT", 3)
     packed_by_hand(spark, TEXTS[8:], 100, 11)
 

@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from showloom.llm import boosting, decontaminate, html_text, piece_codec, quality_model, quality_rules, sstable, url_filter, warc
+from showloom.llm import boosting, common, decontaminate, html_text, piece_codec, quality_model, quality_rules, sstable, url_filter, warc
 from showloom.llm.common import fresh_dir
 
 ODD = [None, "", " ", "\n\t\x0b\x0c\r", "a", "a b c", "▁ ▁▁x", "  two  spaces ", "Tabs\tand\x0bfeeds\r\n", "é 漢字 😀 ＡＢＣ", "<|endoftext|> <|ENDOFTEXT|> it's I'LL", "x" * 5000, "w " * 3000, "A\u0301 \u0301b \u212b", "ŒUVRE İI", "no\u00a0break\u2028line", "1,234.5 a. b, c.d e..", "\x00nul"]
@@ -445,20 +445,22 @@ def test_statistics_and_scores_equal_brute_force(spark, sf, texts):
 
 
 def held_by(doc, item):
-    def shingles(t):
-        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+    n = min(5, len(words(item)))  # a shorter item is one shingle of its own length
 
-    a, b = shingles(doc), shingles(item)
+    def shingles(w):
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
+
+    a, b = shingles(words(doc)), shingles(words(item))
     return len(a & b) / len(b) if b else 0.0
 
 
 @pytest.mark.parametrize("most", [decontaminate.MOST, 3000])
 def test_decontamination(spark, sf, texts, most, monkeypatch):
     monkeypatch.setattr(decontaminate, "MOST", most)
-    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()] + [(900, "a b c"), (901, None), (902, ""), (None, "a b"), (903, "w w w w w w w")]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()] + [(900, "a b c"), (901, None), (902, ""), (None, "a b"), (903, "w w w w w w w"), (904, "one Two three"), (905, "lonely"), (906, "b c"), (906, "b c"), (906, "other words of this id that are many")] + [(907, "one id with a long text " * 40 + str(k % 3)) for k in range(9)]
     w = items[5][1].split()
-    more = [" ".join(["Prefix"] + w[: int(len(w) * f)] + ["tail"]) for f in (0.3, 0.7, 0.8, 0.85, 0.9, 1)] + [" ".join(w[:9] + ["odd"] + w[9:]), "A  B\tc"]
+    more = [" ".join(["Prefix"] + w[: int(len(w) * f)] + ["tail"]) for f in (0.3, 0.7, 0.8, 0.85, 0.9, 1)] + [" ".join(w[:9] + ["odd"] + w[9:]), "A  B\tc", "x " * 900 + "one\ttwo  THREE" + " y" * 900, "LONELY at the end", "not lone ly", "two three one", items[-1][1], "z" + items[-2][1]]
     docs, benchmark = docs_of(spark, texts + more), spark.createDataFrame(items, "item_id long, text string")
     want = collections.Counter((r["doc_id"], i, round(s, 9)) for r in docs.collect() for i, t in items if i is not None and (s := held_by(r["text"], t)) >= 0.8)
     got = collections.Counter((r["doc_id"], r["item_id"], round(r["containment"], 9)) for r in decontaminate.find_pairs(docs, benchmark).collect())
@@ -592,3 +594,12 @@ def test_wrappers_keep_their_article(monkeypatch):
     # Without windows there is nothing to say so, and each of these pages is lost.
     monkeypatch.setattr(html_text, "surges", lambda weights: True)
     assert sum(html_text.main_text(p) != want for p in pages) == len(pages)
+
+
+def test_running_starts_past_six_digits(spark):
+    numbers = [999_998, 999_999, 1_000_000, 1_000_001, 2_000_000, 5]
+    rows = [(n, 10 * k + 1) for k, n in enumerate(numbers)]
+    got = {r["number"]: r["first"] for r in common.running_starts(spark.createDataFrame(rows, "number long, n_tokens long"), "number", "n_tokens").collect()}
+    assert got == {n: sum(t for m, t in rows if m < n) for n in numbers}
+    names = [f"shard-{n:06d}-x.sst" for n in numbers[1:3]]
+    assert sorted(names) != names  # which is why shards are ordered by number
