@@ -38,13 +38,33 @@ def tf_weight(tf: Column, sublinear: bool = True) -> Column:
     return (1 + F.ln(tf)) if sublinear else tf.cast("double")
 
 
-def shares(docs: DataFrame, weights: dict[str, float], key: str = "doc_id") -> DataFrame:
+def weighed(weights: dict, fields: list[str] | None, by: str | None) -> list[tuple[str, Column]]:
+    """Fields that are indexed, each with its weight.
+
+    Weights are by field, or with by, the name of a column of document types, by type and then field. A field that is
+    listed in fields and has no weight has 1; without fields those of the weights are indexed. One that weighs nothing
+    or less for all documents is left out.
+    """
+    if by is None:
+        return [(f, F.lit(float(weights.get(f, 1.0)))) for f in fields or weights if weights.get(f, 1.0) > 0]
+    names = fields or [*dict.fromkeys(f for own in weights.values() for f in own)]
+
+    def weight(name: str) -> Column:
+        own = {kind: float(w[name]) for kind, w in weights.items() if name in w}
+        table = F.create_map(*[F.lit(x) for p in own.items() for x in p]) if own else None
+        return F.coalesce(F.element_at(table, F.col(by)), F.lit(1.0)) if own else F.lit(1.0)
+
+    return [(f, weight(f)) for f in names]
+
+
+def shares(docs: DataFrame, weights: dict, key: str = "doc_id", fields: list[str] | None = None, by: str | None = None) -> DataFrame:
     """doc_id, term, tf: for each row of docs, term and field the weighted count, without a shuffle. A row's tokens are
-    sorted, and a term's count is the length of its run."""
-    fields = [(f, w) for f, w in weights.items() if w > 0]
+    sorted, and a term's count is the length of its run. Weights are as weighed() says."""
+    chosen = weighed(weights, fields, by)
 
-    def tagged(number: int, name: str) -> Column:  # a token, and two characters that say its field
-        return F.transform(tokenize(F.col(name)), lambda t: F.concat(t, F.lit("\x01" + chr(65 + number))))
+    def tagged(number: int, name: str, weight: Column) -> Column:  # a token, and two characters that say its field
+        found = F.transform(tokenize(F.col(name)), lambda t: F.concat(t, F.lit("\x01" + chr(65 + number))))
+        return F.when(weight > 0, found).otherwise(F.array().cast("array<string>"))
 
     def runs(tokens: Column) -> Column:
         new = lambda i: (i == 0) | (F.get(tokens, i) != F.get(tokens, F.greatest(i - 1, F.lit(0))))
@@ -52,28 +72,31 @@ def shares(docs: DataFrame, weights: dict[str, float], key: str = "doc_id") -> D
         lengths = let(starts, lambda s: F.zip_with(s, F.slice(s, 2, F.size(s)), lambda a, b: F.struct(a.alias("at"), (F.coalesce(b, F.size(tokens)) - a).alias("n"))))
         return F.transform(lengths, lambda r: F.struct(F.get(tokens, r["at"]).alias("token"), r["n"].alias("n")))
 
-    every = F.sort_array(F.flatten(F.array(*[tagged(i, f) for i, (f, _) in enumerate(fields)])))
-    rows = docs.select(F.col(key).alias("doc_id"), every.alias("tokens")).filter(F.size("tokens") > 0)
-    each = rows.select("doc_id", F.explode(let(F.col("tokens"), runs)).alias("r"))
-    weight = F.get(F.array(*[F.lit(float(w)) for _, w in fields]), F.ascii(F.right("r.token", F.lit(1))) - 65)
+    every = F.sort_array(F.flatten(F.array(*[tagged(i, f, w) for i, (f, w) in enumerate(chosen)])))
+    rows = docs.select(F.col(key).alias("doc_id"), every.alias("tokens"), F.array(*[w for _, w in chosen]).alias("weights")).filter(F.size("tokens") > 0)
+    each = rows.select("doc_id", "weights", F.explode(let(F.col("tokens"), runs)).alias("r"))
+    weight = F.get("weights", F.ascii(F.right("r.token", F.lit(1))) - 65)
     term = F.substr("r.token", F.lit(1), F.char_length("r.token") - 2)
     return each.select("doc_id", term.alias("term"), F.greatest(F.lit(1).cast("long"), F.rint(F.col("r.n") * weight).cast("long")).alias("tf"))
 
 
-def postings(docs: DataFrame, weights: dict[str, float], key: str = "doc_id") -> DataFrame:
+def postings(docs: DataFrame, weights: dict, key: str = "doc_id", fields: list[str] | None = None, by: str | None = None) -> DataFrame:
     """doc_id, term, tf: over fields the sum of tf times weight, rounded half to even, 1 at least. Rows of one id are one
-    document."""
-    fields = [(f, w) for f, w in weights.items() if w > 0]
+    document (of rows that differ in type the greatest weight of a field counts). Weights are as weighed() says."""
+    chosen = weighed(weights, fields, by)
 
-    def tagged(name: str) -> Column:
-        return F.transform(tokenize(F.col(name)), lambda t: F.struct(F.lit(name).alias("field"), t.alias("term")))
+    def tagged(number: int, name: str, weight: Column) -> Column:
+        found = F.transform(tokenize(F.col(name)), lambda t: F.struct(F.lit(number).alias("field"), t.alias("term")))
+        return F.when(weight > 0, found).otherwise(F.array().cast("array<struct<field: int, term: string>>"))
 
-    pairs = F.flatten(F.array(*[tagged(f) for f, _ in fields]))
-    rows = docs.select(F.col(key).alias("doc_id"), F.explode(pairs).alias("p")).select("doc_id", "p.term", "p.field")
+    pairs = F.flatten(F.array(*[tagged(i, f, w) for i, (f, w) in enumerate(chosen)]))
+    held = [w.alias(f"w{i}") for i, (_, w) in enumerate(chosen)] if by else []
+    rows = docs.select(F.col(key).alias("doc_id"), *held, F.explode(pairs).alias("p")).select("doc_id", *[f"w{i}" for i in range(len(held))], "p.term", "p.field")
     # All fields of a term are counted together, so that postings are shuffled once.
-    counts = rows.groupBy("doc_id", "term").agg(*[F.count(F.when(F.col("field") == f, 1)).alias(f"n{i}") for i, (f, _) in enumerate(fields)])
-    weighted = [F.when(F.col(f"n{i}") > 0, F.greatest(F.lit(1).cast("long"), F.rint(F.col(f"n{i}") * float(w)).cast("long"))).otherwise(0) for i, (_, w) in enumerate(fields)]
-    return counts.select("doc_id", "term", reduce(lambda x, y: x + y, weighted).alias("tf"))
+    counts = rows.groupBy("doc_id", "term").agg(*[F.count(F.when(F.col("field") == i, 1)).alias(f"n{i}") for i in range(len(chosen))], *[F.max(f"w{i}").alias(f"w{i}") for i in range(len(held))])
+    weight = lambda i: F.col(f"w{i}") if held else chosen[i][1]
+    each = [F.when(F.col(f"n{i}") > 0, F.greatest(F.lit(1).cast("long"), F.rint(F.col(f"n{i}") * weight(i)).cast("long"))).otherwise(0) for i in range(len(chosen))]
+    return counts.select("doc_id", "term", reduce(lambda x, y: x + y, each).alias("tf"))
 
 
 def by_mode(sums: DataFrame, modes: tuple[str, ...]) -> DataFrame:
@@ -93,11 +116,12 @@ class Index:
     parts: Callable[[], DataFrame] | None = None  # doc_id, term, tf that add up to postings
 
     @staticmethod
-    def build(docs: DataFrame, weights: dict[str, float], key: str = "doc_id", title: str | None = None, url: str | None = None, sublinear: bool = True) -> Index:
-        found = postings(docs, weights, key)
+    def build(docs: DataFrame, weights: dict, key: str = "doc_id", title: str | None = None, url: str | None = None, sublinear: bool = True, fields: list[str] | None = None, by: str | None = None) -> Index:
+        """An index of documents of one kind, or with by (a column) of several, each with weights of its own."""
+        found = postings(docs, weights, key, fields, by)
         text = lambda c: (F.col(c) if c else F.lit(None)).cast("string")
         out = Index.of(found, docs.select(F.col(key).alias("doc_id"), text(url).alias("url"), text(title).alias("title")), sublinear)
-        out.parts = lambda: shares(docs, weights, key) if docs.groupBy(key).count().filter("count > 1").isEmpty() else found
+        out.parts = lambda: shares(docs, weights, key, fields, by) if docs.groupBy(key).count().filter("count > 1").isEmpty() else found
         return out
 
     @staticmethod

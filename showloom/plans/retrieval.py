@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from showloom.functions import urls
 from showloom.operators import catalog, search
+from showloom.operators.index import postings
 from showloom.operators.numbering import numbered
 from showloom.operators.vectors import Vectors
 from showloom.plans.catalogue import COSINE, IDF, NORMS, PLACED, POSTINGS, STOPS, VECTOR, WORDS, fields, index, vectors
@@ -70,19 +71,19 @@ def vector_search_many(spark, sf_dir):
     return vectors(spark, sf_dir).search_many(queries, 3).withColumn("score", r6("score"))
 
 
-@query("SELECT 'idf, docs' AS missing")
+@query("SELECT 'idf, docs' AS missing, count(*) AS vectors FROM documents")
 def vector_parts_missing(spark, sf_dir):
     """A store without two of its parts isn't opened, and the error names them."""
     folder = fresh(spark, "vectors")
     store = vectors(spark, sf_dir)
     store.vocab.limit(1).write.parquet(f"{folder}/vocab")
-    store.rows.limit(1).write.parquet(f"{folder}/rows")
+    store.rows.write.parquet(f"{folder}/rows")
     try:
         Vectors.load(spark, folder)
         found = ""
     except FileNotFoundError as e:
         found = str(e).split(" has no ", 1)[1]
-    return spark.createDataFrame([(found,)], "missing string")
+    return spark.read.parquet(f"{folder}/rows").agg(F.lit(found).alias("missing"), F.count("*").alias("vectors"))
 
 
 @query("WITH t AS (SELECT doc_id FROM documents WHERE len(regexp_extract_all(lower(text || ' ' || lang || ' ' || source), '[a-z0-9]+')) > 0) SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS dense_id FROM t")
@@ -91,6 +92,18 @@ def dense_document_ids(spark, sf_dir):
     return numbered(index(spark, sf_dir).postings.select("doc_id").distinct(), "dense_id", "doc_id")
 
 
+BY_TYPE = {"en": {"text": 0.5, "source": 3.0}, "de": {"text": 2.0, "source": 0.0}}
+
+
+@query(
+    "WITH f AS (SELECT doc_id, lang, 'text' AS field, text AS t FROM documents UNION ALL SELECT doc_id, lang, 'source', source FROM documents), w AS (SELECT *, CASE WHEN lang = 'en' THEN CASE field WHEN 'text' THEN 0.5 ELSE 3.0 END WHEN lang = 'de' THEN CASE field WHEN 'text' THEN 2.0 ELSE 0.0 END ELSE 1.0 END AS w FROM f), "
+    "r AS (SELECT doc_id, field, w, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS term FROM w WHERE w > 0), c AS (SELECT doc_id, term, greatest(1, CAST(round_even(count(*) * CAST(any_value(w) AS DOUBLE), 0) AS BIGINT)) AS tf FROM r GROUP BY doc_id, term, field) SELECT doc_id, term, CAST(sum(tf) AS BIGINT) AS tf FROM c GROUP BY doc_id, term"
+)
+def term_freq_by_type(spark, sf_dir):
+    """Weights by a document's type and field; a type or field without one has 1, and weight 0 leaves a field out."""
+    return postings(table(spark, sf_dir, "documents"), BY_TYPE, fields=["text", "source"], by="lang")
+
+
 @query("SELECT doc_id, CAST(doc_id AS VARCHAR) || ':' || lang AS url, CASE WHEN doc_id % 3 = 0 THEN 'again ' || source ELSE source END AS title FROM documents")
 def documents_last_wins(spark, sf_dir):
     """A table with repeated ids, ids that aren't numbers, and line breaks in fields: the last row of an id stays."""

@@ -10,6 +10,7 @@ from showloom.functions import html
 from showloom.operators import catalog, quality
 from showloom.plans.shared import fresh, query, table
 from showloom.sources import tables
+from showloom.streaming.ingest import ingest_chunks, ingest_new, read_manifest
 
 SITE = "http://site.example/shows/"
 
@@ -178,6 +179,34 @@ def dump_scan(spark, sf_dir):
     return tables.wiki_shows(read).select("page_id", "norm_title", "page_start_year", "creator")
 
 
+@query(f"WITH {WIKI} SELECT (SELECT count(*) FROM wiki) AS rows, (SELECT count(*) FROM wiki) AS listed, true AS agree, 0 AS again")
+def chunk_manifest(spark, sf_dir):
+    """Pages ingested in two runs, and a third that finds nothing new: what the manifest says of each chunk is what came of it."""
+    base, pages = fresh(spark, "chunks"), wiki_pages(spark, sf_dir)
+    late = F.col("raw_text").contains("URGENT")
+    run = lambda: ingest_chunks(spark, f"{base}/in", "page_id long, title string, raw_text string", f"{base}/out", f"{base}/manifest", f"{base}/checkpoint", transform=lambda df: tables.wiki_shows(df, kept=["chunk"]).select("page_id", "chunk"))
+    for part in (late, ~late):
+        pages.filter(part).write.mode("append").parquet(f"{base}/in")
+        run()
+    before = read_manifest(spark, f"{base}/manifest").count()
+    run()
+    lines = read_manifest(spark, f"{base}/manifest")
+    counts = spark.read.parquet(f"{base}/out").groupBy("chunk").agg(F.count("*").alias("n"))
+    both = lines.join(counts, lines["chunk_file"] == counts["chunk"], "full")
+    return both.agg(F.sum("n").alias("rows"), F.sum("rows").alias("listed"), F.bool_and(F.coalesce("n", F.lit(0)) == F.col("rows")).alias("agree"), (F.count("chunk_file") - before).cast("int").alias("again"))
+
+
+@query(f"WITH {BASE} SELECT name AS actor_name, count(*) AS n FROM (SELECT DISTINCT name FROM people) GROUP BY name")
+def actors_over_runs(spark, sf_dir):
+    """Actors of pages that come in two runs: each once, whichever run it came with first."""
+    base, pages = fresh(spark, "actors"), show_pages(spark, sf_dir)
+    late = F.crc32("url") > F.lit(1 << 31)
+    for part in (late, ~late):
+        pages.filter(part).write.mode("append").parquet(f"{base}/in")
+        ingest_new(spark, f"{base}/in", "url string, html string", f"{base}/out", f"{base}/checkpoint", ["actor_name"], transform=lambda df: html.cast(html.parse(df)).select("actor_name", "actor_url"))
+    return spark.read.parquet(f"{base}/out").groupBy("actor_name").agg(F.count("*").alias("n"))
+
+
 JOINED = "j AS (SELECT s.*, w.page_id AS wiki_page_id, w.title AS wiki_title, w.creator AS wiki_creator, w.starring AS wiki_starring, w.description AS wiki_description, w.categories AS wiki_categories, w.page_start_year AS wiki_year, w.norm_title AS wiki_norm FROM (SELECT *, lower(title) AS norm_title, year(CAST(date_start_iso AS DATE)) AS start_year FROM shows) s FULL OUTER JOIN wiki w ON s.norm_title = w.norm_title AND s.start_year = w.page_start_year)"
 
 

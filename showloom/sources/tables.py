@@ -149,13 +149,14 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("id").alias("page_id"), "title", F.col("revision.text._VALUE").alias("raw_text"), F.col("_metadata.file_name").alias("chunk"))
 
 
-def wiki_shows(pages: DataFrame, keywords: list[str] | None = None) -> DataFrame:
-    """Rows of pages (page_id, title, raw_text) about television: cheap filters first, then infobox and text."""
+def wiki_shows(pages: DataFrame, keywords: list[str] | None = None, kept: list[str] | None = None) -> DataFrame:
+    """Rows of pages (page_id, title, raw_text) about television, with the columns kept of pages: cheap filters first,
+    then infobox and text."""
     raw = F.col("raw_text")
     rows = pages.filter(~is_redirect(raw)).filter(has_television_infobox(raw)).withColumn("categories", categories(raw)).filter(category_matches(F.col("categories"), keywords or []))
     rows = rows.withColumn("info", infobox(raw)).withColumn("plain", plain_text(raw))
     fields = [F.coalesce(F.element_at("info", F.lit(RENAMED.get(c, c))), F.lit("")).alias(c) for c in INFO]
-    return rows.select("page_id", F.coalesce("title", F.lit("")).alias("title"), norm_title(F.col("title")).alias("norm_title"), start_year(F.col("info")).alias("page_start_year"), *fields, description(F.col("plain")).alias("description"), F.coalesce("categories", F.lit("")).alias("categories"))
+    return rows.select("page_id", F.coalesce("title", F.lit("")).alias("title"), norm_title(F.col("title")).alias("norm_title"), start_year(F.col("info")).alias("page_start_year"), *fields, description(F.col("plain")).alias("description"), F.coalesce("categories", F.lit("")).alias("categories"), *(kept or []))
 
 
 def read_keywords(spark: SparkSession, path: str) -> list[str]:
