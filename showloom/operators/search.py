@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from showloom.functions.text import analyze, norm_query, snippet, tokenize
+from showloom.functions.text import analyze, let, norm_query, snippet, tokenize
 from showloom.operators import grammar
 from showloom.operators.impacts import Impacts
 from showloom.operators.index import Index, tf_weight
@@ -156,6 +156,8 @@ def analyzed(spark: SparkSession, node: grammar.Group) -> grammar.Group | None:
             return x
         own = words[x.text]
         if x.kind == "phrase" and len(own) > 1:
+            if x.edits and len({*own}) < len(own):
+                raise ValueError("a phrase with gaps can't have a word twice")
             return replace(x, text=" ".join(own))
         each = [(False, replace(x, kind="word", text=w)) for w in own]
         return (each[0][1] if len(each) == 1 else grammar.Group(each)) if each else None
@@ -196,6 +198,35 @@ def moved_back(places: Column, by: int) -> Column:
     return F.transform(places, lambda p: p - by)
 
 
+def with_gaps(places: list[Column], most: int) -> Column:
+    """How often words, by their places in a field, are found as a phrase whose words are moved by most places in all: the
+    sum of 1 / (1 + moves) over its windows.
+
+    Places count from where the phrase would begin. A window is the last place of a word before that word's next one
+    would be behind one of the others, and the first place of each other word from there on (of words at one place, those
+    before it in the phrase are behind it already); its moves are what lies between its first and last place.
+    """
+    at = [moved_back(p, k) for k, p in enumerate(places)]
+
+    def windows(w: int) -> Column:
+        def share(x: Column) -> Column:
+            first = [F.array_min(F.filter(p, lambda y: (y > x))) if v < w else F.array_min(F.filter(p, lambda y: (y >= x))) for v, p in enumerate(at) if v != w]
+
+            def value(others: Column) -> Column:
+                whole = ~F.exists(others, lambda y: y.isNull())
+                nearest = F.array_min(others)
+                tied = F.exists(F.slice(others, 1, w), lambda y: y == nearest) if w else F.lit(False)  # with a word before it
+                last = ~F.exists(at[w], lambda y: (y > x) & ((y < nearest) | (y == nearest) & ~tied))
+                moves = F.array_max(others) - x
+                return F.when(whole & last & (moves <= most), 1 / (1 + moves)).otherwise(0.0)
+
+            return let(F.array(*first), value)
+
+        return F.coalesce(F.aggregate(F.transform(at[w], share), F.lit(0.0), lambda s, y: s + y), F.lit(0.0))
+
+    return reduce(lambda a, b: a + b, [windows(w) for w in range(len(at))])
+
+
 def leaf_scores(index: FieldIndex, leaves: list[grammar.Leaf]) -> DataFrame:
     """leaf, field, doc_id, score of the leaves, by their place in the list; a wildcard scores its boost for each term."""
     spark, stats = index.postings.sparkSession, F.broadcast(index.stats)
@@ -228,7 +259,7 @@ def leaf_scores(index: FieldIndex, leaves: list[grammar.Leaf]) -> DataFrame:
             rows = index.postings.filter(F.col("term").isin(own)).groupBy("field", "doc_id", "dl").agg(*[c.alias(f"p{k}") for k, c in enumerate(places.values())])
             at = {w: F.col(f"p{k}") for k, w in enumerate(places)}
             starts = reduce(F.array_intersect, [moved_back(at[w], k) for k, w in enumerate(own)])
-            hits = rows.withColumn("tf", F.size(starts)).filter("tf > 0").join(weight, "field").join(stats, "field")
+            hits = rows.withColumn("tf", with_gaps([at[w] for w in own], x.edits) if x.edits else F.size(starts)).filter("tf > 0").join(weight, "field").join(stats, "field")
             parts.append(hits.select(F.lit(i).alias("leaf"), "field", "doc_id", (F.lit(x.boost) * F.col("weight") * saturated()).alias("score")))
     return reduce(DataFrame.unionByName, parts) if parts else index.postings.limit(0).select(F.lit(0).alias("leaf"), "field", "doc_id", F.lit(0.0).alias("score"))
 

@@ -215,6 +215,21 @@ def search_phrase(spark, sf_dir):
     return filtered(spark, sf_dir, '"Anea Eriner" hation^2')
 
 
+PLACES = "SELECT field, doc_id, pos - {n} AS x FROM raw WHERE term = '{w}'"
+
+
+@query(
+    "WITH " + PLACED + f"a AS ({PLACES.format(n=0, w='the')}), b AS ({PLACES.format(n=1, w='hation')}), wa AS (SELECT a.field, a.doc_id, a.x, min(b.x) AS nx FROM a JOIN b ON a.field = b.field AND a.doc_id = b.doc_id AND b.x >= a.x GROUP BY ALL), "
+    "wb AS (SELECT b.field, b.doc_id, b.x, min(a.x) AS nx FROM b JOIN a ON a.field = b.field AND a.doc_id = b.doc_id AND a.x > b.x GROUP BY ALL), "
+    "win AS (SELECT * FROM wa WHERE NOT EXISTS (SELECT 1 FROM a c WHERE c.field = wa.field AND c.doc_id = wa.doc_id AND c.x > wa.x AND c.x <= wa.nx) UNION ALL SELECT * FROM wb WHERE NOT EXISTS (SELECT 1 FROM b c WHERE c.field = wb.field AND c.doc_id = wb.doc_id AND c.x > wb.x AND c.x < wb.nx)), "
+    "phrase AS (SELECT field, doc_id, sum(1.0 / (1 + nx - x)) AS tf FROM win WHERE nx - x <= 4 GROUP BY ALL), "
+    "hits AS (SELECT doc_id, (SELECT sum(idf) FROM idf i WHERE i.field = phrase.field AND i.term IN ('the', 'hation')) * tf / (tf + k) AS s FROM phrase JOIN sat USING (field, doc_id))" + BEST
+)
+def search_phrase_gaps(spark, sf_dir):
+    """A phrase whose words may be apart or in another order, by how far they are moved."""
+    return filtered(spark, sf_dir, '"the hation"~4')
+
+
 @query("WITH " + PLACED + "hits AS (SELECT DISTINCT doc_id, field, 3.0::DOUBLE AS s FROM post WHERE term LIKE 'hati%n' UNION ALL SELECT doc_id, field, s FROM word WHERE term = 'hation')" + BEST)
 def search_wildcard(spark, sf_dir):
     return filtered(spark, sf_dir, "hati*n^3 hation")

@@ -145,7 +145,7 @@ def test_grammar():
     assert [x.kind for x in grammar.parse(r'x* a\*b a\\* "q"').leaves()] == ["wildcard", "word", "wildcard", "phrase"]
     assert grammar.wildcard("ab*") == ("ab", None) and re.match(grammar.wildcard("a*b")[1].replace(r"\x{61}", "a").replace(r"\x{62}", "b"), "axxb")
     assert grammar.swapped("abcd", 1) == ["abdc", "acbd", "bacd"] and grammar.swapped("abcd", 2) == ["badc"] and grammar.swapped("a", 1) == []
-    for bad in ('"open', "(a", "a)", "()", "&& a", "a &&", "+", "^2", "*a", "(a)~", '"a b"~3', "[a to b]", "a ^2^3"):
+    for bad in ('"open', "(a", "a)", "()", "&& a", "a &&", "+", "^2", "*a", "(a)~", "[a to b]", "a ^2^3"):
         with pytest.raises(ValueError):
             grammar.parse(bad)
 
