@@ -21,6 +21,12 @@ from showloom.operators.catalog import INFO, RENAMED
 from showloom.operators.vectors import last_wins
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def strings(*names: str) -> str:
     return ", ".join(f"`{n}` string" for n in names)
 
@@ -118,6 +124,7 @@ def write_tables(pages: DataFrame, folder: str) -> None:
     for name, rows in tables_of(parsed).items():
         names = [c.strip().split(" ")[0].strip("`") for c in SCHEMAS[name].split(",")]
         write_tsv(rows.select(*names), f"{folder}/{name}")
+    delete(pages.sparkSession, f"{folder}/_parsed")
 
 
 def read_pages(spark: SparkSession, mapping: DataFrame, folder: str) -> DataFrame:
