@@ -7,7 +7,7 @@ shard, postings are sorted by impact and cut into blocks, the first one short; a
 
 A batch sends its queries' terms to the shards' tasks. Of a query, a document's score is at most what a block's greatest
 impact and the other terms' greatest ones add up to; blocks for which that is less than what k documents surely have are
-skipped, most of them before they are shuffled. Within a shard, terms are added in order of what they can add at most, and
+skipped, some of them before they are shuffled. Within a shard, terms are added in order of what they can add at most, and
 once the rest can't bring a new document among the k best, only documents that still can be there look up the rest. What
 leaves a shard is its k best for each query.
 """
@@ -222,10 +222,13 @@ class Queries:
         else:
             n, rest = len(terms), 0.0
         places = np.flatnonzero((scores > 0) & (scores + rest >= theta * (1 - EPSILON)))
-        kept = scores[places]
         for _, w, term in terms[n:]:
-            kept += w * shard.look_up(term, places)
-            read += len(places)
+            own, xs, _, _ = shard.terms[term]
+            if len(own) <= len(places):  # adding the list is less work than looking documents up
+                scores[own] += w * xs
+            else:
+                scores[places] += w * shard.look_up(term, places)
+            read += min(len(own), len(places))
         out = np.zeros(len(scores))
-        out[places] = kept
+        out[places] = scores[places]
         return read, out
