@@ -143,9 +143,9 @@ def mapped_pages(spark, sf_dir):
     base, pages = fresh(spark, "files"), table(spark, sf_dir, "pages").withColumn("path", urls.store_path(F.col("url")))
     tables.write_files(pages.filter("page_id % 3 <> 0"), base, "page_id")
     tables.write_tsv(pages.select("url", "path"), f"{base}-map")
-    read = tables.read_pages(spark, tables.read_tsv(spark, f"{base}-map", tables.SCHEMAS["url_mapping"]), base)
-    named = pages.select("page_id", "url")  # urls are unique
-    return read.join(named, "url").select("page_id", "url", "path", F.char_length("html").cast("long").alias("n_chars"), F.md5("html").alias("digest"))
+    mapped = tables.read_tsv(spark, f"{base}-map", tables.SCHEMAS["url_mapping"]).distinct()  # pages may share a URL
+    read = tables.read_pages(spark, mapped, base).select("url", "path", F.char_length("html").cast("long").alias("n_chars"), F.md5("html").alias("digest"))
+    return pages.select("page_id", "url").join(read, "url").select("page_id", "url", "path", "n_chars", "digest")
 
 
 @query("SELECT count(*) AS written, count(*) AS read, sum(least(length(text), 4000))::BIGINT AS chars, (max(length(text)) > 4000) AS was_cut FROM documents")
