@@ -195,7 +195,12 @@ class Queries:
             if len(places) > 4 * k:
                 least = np.partition(scores[places], -k)[-k]
                 places = places[scores[places] >= least * (1 - EPSILON)]
-            best = sorted(zip((-np.round(scores[places], 12)).tolist(), shard.docs[places].tolist(), scores[places].tolist(), strict=True))[:k]
+            # Added up again in one order of terms: the one above differs by shard, and so would the last digits of
+            # documents that are equal, which decides between them where rounding is near.
+            sums = np.zeros(len(places))
+            for _, w, term in sorted(own, key=lambda o: o[2]):
+                sums += w * shard.look_up(term, places)
+            best = sorted(zip((-np.round(sums, 12)).tolist(), shard.docs[places].tolist(), sums.tolist(), strict=True))[:k]
             found += [(query, d, s) for _, d, s in best]
         if counts:
             names, kinds = ["query_id", "read", "held"], [self.kind, pa.int64(), pa.int64()]

@@ -123,3 +123,23 @@ def test_vector_search_fills_up_with_zero_scores(spark, tmp_path):
     idf = {"apple": math.log(7 / 3), "pie": math.log(7 / 2)}
     assert got == [(1, pytest.approx(1.0)), (0, pytest.approx(idf["apple"] / math.hypot(*idf.values()))), (2, 0.0), (3, 0.0)]
     assert store.search("nothing known").count() == 0
+
+
+def test_equal_documents_of_several_shards_have_equal_sums(spark):
+    """In each shard another term weighs most, so terms are added in other orders there."""
+    import itertools
+    import random
+
+    rng = random.Random(1)
+    while True:  # three numbers whose sums round to two values at the twelfth place
+        xs = [rng.random() for _ in range(3)]
+        if len({round(a + b + c, 12) for a, b, c in itertools.permutations(xs)}) > 1:
+            break
+    terms = "abc"
+    rows = [(t, d, x) for d in range(40) for t, x in zip(terms, xs, strict=True)]
+    shard = {r["d"]: r["s"] for r in spark.range(2000).selectExpr("id as d", "pmod(xxhash64(id), 6) as s").collect()}
+    order = dict(enumerate(itertools.permutations(terms)))  # of shards: which term has the greatest impact, and the next
+    big = [(t, d, 5.0 - order[shard[d]].index(t)) for d in range(1000, 1100) for t in terms[:1] + terms[1:] if d % 3 == "abc".index(t)]
+    queries = spark.createDataFrame([(1, t, 1.0) for t in terms], "query_id int, term string, w double")
+    found = Impacts.build(spark.createDataFrame(rows + big, "term string, doc_id long, x double"), shards=6).best(queries, 140)
+    assert len({r["score"] for r in found.filter("doc_id < 1000").collect()}) == 1
