@@ -38,6 +38,15 @@ def tf_weight(tf: Column, sublinear: bool = True) -> Column:
     return (1 + F.ln(tf)) if sublinear else tf.cast("double")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows, dealt by key where fewer tasks read them than the session has cores, as work within rows has no more."""
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def weighed(weights: dict, fields: list[str] | None, by: str | None) -> list[tuple[str, Column]]:
     """Fields that are indexed, each with its weight.
 
@@ -114,14 +123,18 @@ class Index:
     titles: DataFrame
     sublinear: bool = True
     parts: Callable[[], DataFrame] | None = None  # doc_id, term, tf that add up to postings
+    documents: DataFrame | None = None  # doc_id of rows with a token, where that is known without postings
 
     @staticmethod
     def build(docs: DataFrame, weights: dict, key: str = "doc_id", title: str | None = None, url: str | None = None, sublinear: bool = True, fields: list[str] | None = None, by: str | None = None) -> Index:
         """An index of documents of one kind, or with by (a column) of several, each with weights of its own."""
         found = postings(docs, weights, key, fields, by)
         text = lambda c: (F.col(c) if c else F.lit(None)).cast("string")
+        held = reduce(lambda a, b: a | b, [(w > 0) & F.rlike(F.lower(F.coalesce(F.col(f), F.lit(""))), F.lit("[a-z0-9]")) for f, w in weighed(weights, fields, by)], F.lit(False))
+        documents = docs.filter(held).select(F.col(key).alias("doc_id"))
         out = Index.of(found, docs.select(F.col(key).alias("doc_id"), text(url).alias("url"), text(title).alias("title")), sublinear)
-        out.parts = lambda: shares(docs, weights, key, fields, by) if docs.groupBy(key).count().filter("count > 1").isEmpty() else found
+        out.documents = documents
+        out.parts = lambda: shares(spread(docs, key), weights, key, fields, by) if docs.groupBy(key).count().filter("count > 1").isEmpty() else found
         return out
 
     @staticmethod
@@ -129,6 +142,10 @@ class Index:
         n = found.agg(F.countDistinct("doc_id").alias("n"))  # one row
         return Index(found, found.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)), titles, sublinear)
 
+    def ids(self) -> DataFrame:
+        """doc_id of the documents that have tokens, each once; read from the documents where they are known."""
+        return (self.postings if self.documents is None else self.documents).select("doc_id").distinct()
+
     def idf(self, mode: str) -> DataFrame:
         return self.terms.select("term", "df", idf(mode, F.col("n"), F.col("df")).alias("idf"))
 
@@ -157,7 +174,7 @@ class Index:
         the modes in which batches are searched.
 
         Postings are written first, each with its term's df, and what follows is computed from the files without a join but
-        that of norms, which are sent to all tasks where they are few.
+        that of norms, which are sent to all tasks where they are few. Norms and impacts can be added later too.
         """
         spark = self.postings.sparkSession
         # Written before they are ranged, as ranges are found by reading twice. They are by term, so adding up and counting
@@ -169,20 +186,46 @@ class Index:
         at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_parts")
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
         held = spark.read.parquet(f"{folder}/postings")
-        n = held.agg(F.countDistinct("doc_id")).first()[0]
+        n = self.ids().agg(F.count("doc_id")).first()[0]
         held.groupBy("term").agg(F.first("df").alias("df")).select("term", "df", F.lit(n).cast("long").alias("n")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
         self.titles.write.mode("overwrite").parquet(f"{folder}/titles")
-        weight = lambda m: tf_weight(F.col("tf"), self.sublinear) * idf(m, F.lit(n), F.col("df"))
-        by_mode(held.groupBy("doc_id").agg(*[F.sum(weight(m) * weight(m)).alias(m) for m in modes]), modes).write.mode("overwrite").partitionBy("idf_mode").parquet(f"{folder}/norms")
+        if modes:
+            Index.add_norms(spark, folder, modes, self.sublinear)
         for mode in batches:
-            norms = spark.read.parquet(f"{folder}/norms").filter(F.col("idf_mode") == mode).select("doc_id", "norm")
-            rows = held.join(F.broadcast(norms) if n <= SENT else norms, "doc_id")
-            Impacts.build(rows.select("term", "doc_id", F.abs(weight(mode) / F.col("norm")).alias("x")).filter("x > 0"), docs=n, ranged=True).save(f"{folder}/impacts-{mode}")
+            Index.add_impacts(spark, folder, mode, self.sublinear)
+
+    @staticmethod
+    def stored_weight(spark: SparkSession, folder: str, sublinear: bool) -> tuple[int, Callable[[str], Column]]:
+        """The number of documents of a saved index, and by mode the weight of its postings' rows."""
+        first = spark.read.parquet(f"{folder}/terms").select("n").first()
+        n = first["n"] if first else 0
+        return n, lambda m: tf_weight(F.col("tf"), sublinear) * idf(m, F.lit(n), F.col("df"))
+
+    @staticmethod
+    def add_norms(spark: SparkSession, folder: str, modes: tuple[str, ...], sublinear: bool = True) -> None:
+        """Adds norms of idf modes that the saved index in folder doesn't have yet."""
+        _, weight = Index.stored_weight(spark, folder, sublinear)
+        held = spark.read.parquet(f"{folder}/postings")
+        by_mode(held.groupBy("doc_id").agg(*[F.sum(weight(m) * weight(m)).alias(m) for m in modes]), modes).write.mode("append").partitionBy("idf_mode").parquet(f"{folder}/norms")
+
+    @staticmethod
+    def add_impacts(spark: SparkSession, folder: str, mode: str, sublinear: bool = True) -> None:
+        """Adds impacts of an idf mode, for batches, to the saved index in folder, which has its norms."""
+        n, weight = Index.stored_weight(spark, folder, sublinear)
+        norms = spark.read.parquet(f"{folder}/norms").filter(F.col("idf_mode") == mode).select("doc_id", "norm")
+        rows = spark.read.parquet(f"{folder}/postings").join(F.broadcast(norms) if n <= SENT else norms, "doc_id")
+        Impacts.build(rows.select("term", "doc_id", F.abs(weight(mode) / F.col("norm")).alias("x")).filter("x > 0"), docs=n, ranged=n <= SENT).save(f"{folder}/impacts-{mode}")
 
     @staticmethod
     def load(spark: SparkSession, folder: str, sublinear: bool = True) -> Saved:
         read = lambda name: spark.read.parquet(f"{folder}/{name}")
-        return Saved(read("postings").drop("df"), read("terms"), read("titles"), sublinear, stored=read("norms"), folder=folder)
+        try:
+            stored = read("norms")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            stored = None  # of no mode yet
+        return Saved(read("postings").drop("df"), read("terms"), read("titles"), sublinear, stored=stored, folder=folder)
 
 
 @dataclass
@@ -202,4 +245,6 @@ class Saved(Index):
             return super().impacts(mode)
 
     def norms(self, mode: str) -> DataFrame:
+        if self.stored is None:
+            return super().norms(mode)
         return self.stored.filter(F.col("idf_mode") == mode).select("doc_id", "norm")

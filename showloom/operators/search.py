@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from itertools import islice
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,7 +18,7 @@ from pyspark.sql.window import Window
 from showloom.functions.text import analyze, let, norm_query, snippet, tokenize
 from showloom.operators import grammar
 from showloom.operators.impacts import Impacts
-from showloom.operators.index import Index, tf_weight
+from showloom.operators.index import Index, spread, tf_weight
 
 BOOST, K1, B = 1.3, 1.2, 0.75
 #: Most terms that a fuzzy word stands for in a field.
@@ -102,6 +103,18 @@ def parse(command: str) -> Parsed:
     return out
 
 
+def placed(terms: Column) -> Column:
+    """array<term, tf, positions> of a text's terms: places are sorted by term, and a term's are a run of them."""
+
+    def runs(all: Column) -> Column:
+        new = lambda i: (i == 0) | (F.get(all, i)["term"] != F.get(all, F.greatest(i - 1, F.lit(0)))["term"])
+        starts = F.filter(F.sequence(F.lit(0), F.size(all) - 1), new)
+        lengths = let(starts, lambda s: F.zip_with(s, F.slice(s, 2, F.size(s)), lambda a, b: F.struct(a.alias("at"), (F.coalesce(b, F.size(all)) - a).alias("n"))))
+        return F.transform(lengths, lambda r: F.struct(F.get(all, r["at"])["term"].alias("term"), r["n"].cast("long").alias("tf"), F.slice(all, r["at"] + 1, r["n"])["place"].alias("positions")))
+
+    return let(F.sort_array(F.transform(terms, lambda t, i: F.struct(t.alias("term"), i.alias("place")))), runs)
+
+
 @dataclass
 class FieldIndex:
     """postings(field, term, doc_id, dl, tf, positions), stats(field, docs, total), df(field, term, df) of analyzed fields."""
@@ -110,24 +123,40 @@ class FieldIndex:
     stats: DataFrame
     df: DataFrame
     folder: str = ""
+    parts: Callable[[], DataFrame] | None = None  # the postings, made without a shuffle where no id is repeated
 
     @staticmethod
     def build(docs: DataFrame, fields: list[str], key: str = "doc_id") -> FieldIndex:
         each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), analyze(F.col(f)).alias("terms")) for f in fields]))
-        rows = docs.select(F.col(key).alias("doc_id"), each.alias("x")).select("doc_id", "x.field", "x.terms", F.size("x.terms").cast("long").alias("dl")).filter("dl > 0")
+        split = lambda docs: docs.select(F.col(key).alias("doc_id"), each.alias("x")).select("doc_id", "x.field", "x.terms", F.size("x.terms").cast("long").alias("dl")).filter("dl > 0")
+        rows = split(docs)
         found = rows.select("field", "doc_id", "dl", F.posexplode("terms").alias("place", "term")).groupBy("field", "term", "doc_id", "dl").agg(F.count("*").alias("tf"), F.collect_list("place").alias("positions"))
-        return FieldIndex(found, rows.groupBy("field").agg(F.count("*").alias("docs"), F.sum("dl").alias("total")), found.groupBy("field", "term").agg(F.count("*").alias("df")))
-
-    def save(self, folder: str) -> None:
-        """Parquet: postings by field, ranged and sorted by term, so a query's scan prunes to its terms."""
+        out = FieldIndex(found, rows.groupBy("field").agg(F.count("*").alias("docs"), F.sum("dl").alias("total")), found.groupBy("field", "term").agg(F.count("*").alias("df")))
+        own = lambda: split(spread(docs.select(*dict.fromkeys([key, *fields])), key)).select("field", "doc_id", "dl", F.explode(placed(F.col("terms"))).alias("p")).select("field", "p.term", "doc_id", "dl", "p.tf", "p.positions")
+        out.parts = lambda: own() if docs.groupBy(key).count().filter("count > 1").isEmpty() else found
+        return out
+
+    def save(self, folder: str, batches: bool = True) -> None:
+        """Parquet: postings by field, ranged and sorted by term, so a query's scan prunes to its terms; and impacts, which
+        batches are searched by and nothing else (they can be added later)."""
+        # Written before they are ranged, as ranges are found by reading twice.
+        spark = self.postings.sparkSession
+        (self.parts() if self.parts else self.postings).write.mode("overwrite").parquet(f"{folder}/_parts")
         # Counted by the ranges' own columns, which shuffles nothing.
-        ranged = self.postings.repartitionByRange("field", "term").withColumn("df", F.count("*").over(Window.partitionBy("field", "term")))
+        ranged = spark.read.parquet(f"{folder}/_parts").repartitionByRange("field", "term").withColumn("df", F.count("*").over(Window.partitionBy("field", "term")))
         ranged.sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").partitionBy("field").parquet(f"{folder}/postings")
-        saved = self.postings.sparkSession.read.parquet(f"{folder}/postings")
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_parts")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        saved = spark.read.parquet(f"{folder}/postings")
         saved.groupBy("field", "term").agg(F.first("df").alias("df")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/df")
         self.stats.write.mode("overwrite").parquet(f"{folder}/stats")
+        if batches:
+            FieldIndex.add_impacts(spark, folder)
 
-        stats = saved.sparkSession.read.parquet(f"{folder}/stats")
+    @staticmethod
+    def add_impacts(spark: SparkSession, folder: str) -> None:
+        """Adds impacts to the saved index in folder."""
+        saved, stats = spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/stats")
         Impacts.build(saved.join(F.broadcast(stats), "field").select("term", "doc_id", (idf_of() * saturated()).alias("x")), once=False).save(f"{folder}/impacts")
 
     @staticmethod
@@ -141,8 +170,15 @@ class FieldIndex:
         return Impacts.build(rows.select("term", "doc_id", (idf_of() * saturated()).alias("x")), once=False)
 
     def impacts(self) -> Impacts:
-        """The stored impacts of BM25; of an index that isn't saved they are computed."""
-        return Impacts.load(self.postings.sparkSession, f"{self.folder}/impacts") if self.folder else self.computed()
+        """The stored impacts of BM25; of an index that has none they are computed."""
+        if not self.folder:
+            return self.computed()
+        try:
+            return Impacts.load(self.postings.sparkSession, f"{self.folder}/impacts")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.computed()
 
 
 def analyzed(spark: SparkSession, node: grammar.Group) -> grammar.Group | None:

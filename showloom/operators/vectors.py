@@ -9,8 +9,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from showloom.functions.text import empty_as_null, let, tokenize_for_vectors
+from showloom.functions.text import counted, empty_as_null, let, tokenize_for_vectors
 from showloom.operators.impacts import Impacts
+from showloom.operators.index import spread
 from showloom.operators.numbering import numbered
 from showloom.operators.search import query_terms
 
@@ -48,7 +49,12 @@ class Vectors:
         """Vectors of tf times ln((1 + n) / (1 + df)); term ids are places in the sorted vocabulary."""
         named = lambda c: (F.col(c) if c else F.lit("")).cast("string")
         held = docs.select(F.col(key).alias("doc_id"), named(url).alias("url"), named(title).alias("title"), F.col(text).alias("text"))
-        counts = held.select("doc_id", F.explode(tokenize_for_vectors(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf")).checkpoint()
+        tokens = spread(held.select("doc_id", "text"), "doc_id").select("doc_id", tokenize_for_vectors(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
+        if docs.groupBy(key).count().filter("count > 1").isEmpty():  # counted within rows, which shuffles nothing
+            counts = tokens.select("doc_id", F.explode(counted(F.col("tokens"))).alias("x")).select("doc_id", "x.*")
+        else:
+            counts = tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+        counts = counts.checkpoint()
         n = F.broadcast(held.agg(F.count("*").alias("n")))  # one row
         terms = numbered(counts.groupBy("term").agg(F.count("*").alias("df")), "term_id", "term").crossJoin(n).select("term", "term_id", F.ln((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))
         value = F.struct("term_id", (F.col("tf") * F.col("idf")).alias("v"))
@@ -56,14 +62,20 @@ class Vectors:
         rows = held.drop("text").join(rows, "doc_id", "left").select("doc_id", "url", "title", F.coalesce("x.term_id", F.array().cast("array<long>")).alias("ids"), F.coalesce("x.v", F.array().cast("array<double>")).alias("values"))
         return Vectors(terms.select("term", "term_id"), terms.select("term_id", "idf"), rows, held.drop("text"))
 
-    def save(self, folder: str) -> None:
-        """Parquet; vocabulary and idf are sorted, so that a query's scan prunes to its terms."""
+    def save(self, folder: str, batches: bool = True) -> None:
+        """Parquet; vocabulary and idf are sorted, so that a query's scan prunes to its terms. Without batches the rows
+        aren't inverted (they can be later): a single query scans them."""
         self.vocab.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/vocab")
         self.idf.repartitionByRange("term_id").sortWithinPartitions("term_id").write.mode("overwrite").parquet(f"{folder}/idf")
         self.rows.write.mode("overwrite").parquet(f"{folder}/rows")
         self.docs.write.mode("overwrite").parquet(f"{folder}/docs")
-        spark = self.rows.sparkSession
-        Vectors(self.vocab, self.idf, spark.read.parquet(f"{folder}/rows"), self.docs).impacts().save(f"{folder}/impacts")
+        if batches:
+            Vectors.add_impacts(self.rows.sparkSession, folder)
+
+    @staticmethod
+    def add_impacts(spark: SparkSession, folder: str) -> None:
+        """Adds the inverted rows to the store in folder."""
+        Vectors.load(spark, folder).impacts().save(f"{folder}/impacts")
 
     def impacts(self) -> Impacts:
         """The rows inverted: of a term id and document, the value over the vector's length."""
@@ -86,7 +98,13 @@ class Vectors:
                 missing.append(name)
         if missing:
             raise FileNotFoundError(f"{folder} has no {', '.join(missing)}")
-        return Vectors(**found, inverted=Impacts.load(spark, f"{folder}/impacts"))
+        try:
+            inverted = Impacts.load(spark, f"{folder}/impacts")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            inverted = None
+        return Vectors(**found, inverted=inverted)
 
     def documents(self) -> DataFrame:
         """doc_id, url, title of every vector: of the documents, else what came with the vector."""
@@ -100,10 +118,18 @@ class Vectors:
         ids = [r["term_id"] for r in known.select("term_id").collect()]
         return known.join(self.idf.filter(F.col("term_id").isin(ids)), "term_id").select("term_id", (F.col("qtf") * F.col("idf")).alias("w"))
 
+    def scanned(self, weights: dict[int, float]) -> DataFrame:
+        """doc_id, score: sums for the terms of one query, by a pass over the rows."""
+        table = F.create_map(*[F.lit(x) for p in weights.items() for x in p])
+        own = F.filter(F.arrays_zip("ids", "values"), lambda p: p["ids"].isin([*weights]))
+        rows = self.rows.select("doc_id", "values", own.alias("own")).filter(F.size("own") > 0)
+        size = length(F.col("values"))
+        return rows.select("doc_id", F.aggregate(F.transform("own", lambda p: F.element_at(table, p["ids"]) * (p["values"] / size)), F.lit(0.0), lambda a, x: a + x).alias("score"))
+
     def search(self, query: str, k: int = 10) -> DataFrame:
         """doc_id, url, title, score: the k best by cosine; nothing without a known term.
 
-        Only postings of the query's terms are read. Documents without any of them have a score of zero: the first by id
+        Only postings of the query's terms are read; a store that isn't inverted is scanned once. Documents without any of them have a score of zero: the first by id
         follow where there are fewer than k others.
         """
         spark = self.rows.sparkSession
@@ -113,7 +139,9 @@ class Vectors:
             return self.documents().limit(0).withColumn("score", F.lit(0.0))
         size = sum(r["w"] ** 2 for r in found) ** 0.5 or FLOOR
         order = [F.desc(F.round("score", 12)), F.col("doc_id")]
-        best = self.impacts().one({str(r["term_id"]): r["w"] / size for r in found}).filter("score > 0").orderBy(*order).limit(k)
+        weights = {r["term_id"]: r["w"] / size for r in found}
+        scores = self.inverted.one({str(t): w for t, w in weights.items()}) if self.inverted else self.scanned(weights)
+        best = scores.filter("score > 0").orderBy(*order).limit(k)
         hits = spark.createDataFrame(best.collect(), best.schema)  # k rows
         if (n := hits.count()) < k:
             rest = self.rows.select("doc_id").join(F.broadcast(hits), "doc_id", "left_anti").orderBy("doc_id").limit(k - n)

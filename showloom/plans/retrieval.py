@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from showloom.functions import urls
 from showloom.operators import catalog, search
-from showloom.operators.index import postings
+from showloom.operators.index import MODES, postings
 from showloom.operators.numbering import numbered
 from showloom.operators.vectors import Vectors
-from showloom.plans.catalogue import COSINE, IDF, NORMS, PLACED, POSTINGS, STOPS, VECTOR, WORDS, fields, index, vectors
+from showloom.plans.catalogue import COSINE, IDF, NORMS, PLACED, POSTINGS, STOPS, VECTOR, WORDS, built, fields, index, vectors
 from showloom.plans.shared import fresh, query, r6, table
 from showloom.sources import tables
 
@@ -19,7 +19,7 @@ TOP = COSINE.format(q=WORDS).replace(" SELECT doc_id, round(s, 6) AS score FROM
 @query(f"WITH {POSTINGS}, {NORMS.format(IDF['smooth'])}, {TOP} SELECT doc_id, round(s, 6) AS score, lang, source, left(text, 200) || CASE WHEN length(text) > 200 THEN '...' ELSE '' END AS snippet FROM top JOIN documents USING (doc_id)")
 def search_hits(spark, sf_dir):
     """The best documents with stored columns and a cut description."""
-    found = search.cosine(index(spark, sf_dir), WORDS)
+    found = search.cosine(index(spark, sf_dir, ("smooth",)), WORDS)
     return search.hits(found, table(spark, sf_dir, "documents"), "lang", "source", description="text").withColumn("score", r6("score"))
 
 
@@ -29,7 +29,7 @@ def search_hits(spark, sf_dir):
 )
 def search_bm25_many(spark, sf_dir):
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return search.bm25_many(fields(spark, sf_dir), queries).withColumn("score", r6("score"))
+    return search.bm25_many(fields(spark, sf_dir, batches=True), queries).withColumn("score", r6("score"))
 
 
 RAW = (
@@ -68,7 +68,7 @@ def vector_hits(spark, sf_dir):
 )
 def vector_search_many(spark, sf_dir):
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return vectors(spark, sf_dir).search_many(queries, 3).withColumn("score", r6("score"))
+    return vectors(spark, sf_dir, batches=True).search_many(queries, 3).withColumn("score", r6("score"))
 
 
 @query("SELECT 'idf, docs' AS missing, count(*) AS vectors FROM documents")
@@ -89,7 +89,7 @@ def vector_parts_missing(spark, sf_dir):
 @query("WITH t AS (SELECT doc_id FROM documents WHERE len(regexp_extract_all(lower(text || ' ' || lang || ' ' || source), '[a-z0-9]+')) > 0) SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS dense_id FROM t")
 def dense_document_ids(spark, sf_dir):
     """Numbers without gaps for the documents that have tokens."""
-    return numbered(index(spark, sf_dir).postings.select("doc_id").distinct(), "dense_id", "doc_id")
+    return numbered(built(spark, sf_dir).ids(), "dense_id", "doc_id")
 
 
 BY_TYPE = {"en": {"text": 0.5, "source": 3.0}, "de": {"text": 2.0, "source": 0.0}}
@@ -192,7 +192,7 @@ def dump_chunks(spark, sf_dir):
 @query("SELECT 4 AS modes, count(DISTINCT doc_id) * 4 AS norms FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text || ' ' || lang || ' ' || source), '[a-z0-9]+')) AS term FROM documents)")
 def index_files(spark, sf_dir):
     """The saved index has a norm of each document for each idf mode."""
-    return index(spark, sf_dir).stored.agg(F.countDistinct("idf_mode").cast("int").alias("modes"), F.count("*").alias("norms"))
+    return index(spark, sf_dir, MODES).stored.agg(F.countDistinct("idf_mode").cast("int").alias("modes"), F.count("*").alias("norms"))
 
 
 @query(
