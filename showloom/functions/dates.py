@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from showloom.functions.text import let
+
 #: Month names of four letters or less, with one misspelling that pages have.
 MONTHS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "mat": 5, "jun": 6, "june": 6, "jul": 7, "july": 7, "aug": 8, "sep": 9, "sept": 9, "oct": 10, "nov": 11, "dec": 12}
 #: Infobox keys that may hold the first year, in order.
@@ -12,8 +14,9 @@ YEAR_KEYS = ["original_release", "first_aired", "released", "broadcast", "air_da
 
 
 def month_number(name: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
-    return F.element_at(table, F.lower(name))
+    # As it is mostly written, and only else in lower case, which costs more than the rest of a date.
+    table = F.create_map(*[F.lit(x) for m, n in MONTHS.items() for x in (m, n, m.capitalize(), n)])
+    return F.coalesce(F.element_at(table, name), F.element_at(table, F.lower(name)))
 
 
 def full_year(digits: Column) -> Column:
@@ -21,31 +24,25 @@ def full_year(digits: Column) -> Column:
     return F.when(year < 30, year + 2000).when(year < 100, year + 1900).otherwise(year)
 
 
-#: How pages write a date, from its start: day, month and year; month and year; year.
-PATTERNS = [r"^(\d{1,2})\s+([A-Za-z]{3,4})\s+(\d{2,4})", r"^()([A-Za-z]{3,4})\s+(\d{2,4})", r"^()()(\d{4})"]
+#: How pages write a date, from its start: day, month and year; month and year; year. One text fits one at most.
+DATE = r"(?s)^(?:(\d{1,2})\s+([A-Za-z]{3,4})\s+(\d{2,4})|([A-Za-z]{3,4})\s+(\d{2,4})|(\d{4})).*"
 
 
 def date_to_iso(c: Column) -> Column:
     """"d Mon yy[yy]", else "Mon yy[yy]" (day 01), else "yyyy" (01-01), at the text's start; days aren't validated.
 
-    A lambda's variable is evaluated once, so each text is cut to its parts once, and each form adds one text or null.
+    The pattern is tried once: its groups are put into one text between marks, and a text that it doesn't fit has none.
     """
+    mark = "\x01"
+    text = F.trim(F.translate(c, f"{mark}?_", "\x02"))
+
+    def written(p: Column) -> Column:
+        day, month, year, alone = [F.get(p, F.lit(i)) for i in range(4)]
+        two = lambda x: F.lpad(x, 2, "0")
+        dated = F.concat(F.lpad(full_year(year).cast("string"), 4, "0"), F.lit("-"), two(month_number(month).cast("string")), F.lit("-"), F.when(day == "", "01").otherwise(two(day)))
+        return F.when(F.size(p) == 4, F.when(alone != "", F.concat(alone, F.lit("-01-01"))).otherwise(dated))
 
-    def form(text: Column, k: int) -> Column:
-        def written(p: Column) -> Column:
-            month = month_number(p["m"]) if k < 2 else F.lit(1)
-            year = full_year(p["y"]) if k < 2 else p["y"].try_cast("int")
-            day = p["d"].try_cast("int") if k == 0 else F.lit(1)
-            return year.cast("string"), month.cast("string"), day.cast("string")
-
-        parts = F.array(F.struct(*[F.nullif(F.regexp_extract(text, PATTERNS[k], i + 1), F.lit("")).alias(n) for i, n in enumerate("dmy")]))
-        numbers = F.transform(parts, lambda p: F.array(*written(p)))
-        return F.transform(numbers, lambda n: F.when(~F.exists(n, F.isnull), F.concat_ws("-", F.lpad(n[0], 4, "0"), F.lpad(n[1], 2, "0"), F.lpad(n[2], 2, "0"))))
-
-    # coalesce() stops at the first form that fits.
-    texts = F.array(F.trim(F.regexp_replace(c, "[?_]", "")))
-    found = F.transform(texts, lambda t: F.coalesce(*[F.get(form(t, k), F.lit(0)) for k in range(3)]))
-    return F.get(found, F.lit(0))
+    return let(F.split(F.regexp_replace(text, DATE, mark.join(["$1", "$2$4", "$3$5", "$6"])), mark), written)
 
 
 def year_of_iso(c: Column) -> Column:

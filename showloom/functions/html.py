@@ -14,6 +14,9 @@ from showloom.functions.text import genres, let, roles, strip_tags
 
 #: A character reference: by number, or by a name of up to 32 characters.
 REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: The references that most texts have, the ampersand last, so that none is decoded twice; and an ampersand of any other.
+COMMON = {"lt": "<", "gt": ">", "quot": '"', "amp": "&"}
+OTHER = rf"&(?!(?:{'|'.join(COMMON)});|[\t\n\f <&;]|\z)"
 LINKED = r"(?:<a[^>]*>)?([^<]+?)(?:</a>)?"
 #: Where pages keep each field (dot matches newlines, case ignored); the wanted group is a number.
 KEYWORDS = r"""(?is)<meta\s+name="keywords"\s+content="([^"]+)"\s*/?>"""
@@ -25,9 +28,10 @@ RUNTIME = r"(?is)Run\s*time:\s*([^<]+?)\s*<br\s*/?>"
 GENRES = r"(?i)(?:<a[^>]*>)?Genre\(s\)(?:</a>)?\s*:\s*([^<]+)\s*<br\s*/?>"
 BLURB = r"""(?is)<div\s+id="blurb"[^>]*>\s*(.*?)\s*(?:<br\s*/?>)?\s*</div>"""
 CREDITS = r"""(?is)<div\s+id="credits"[^>]*>\s*(.*?)\s*</div>"""
+#: Where the episode list starts and ends.
+EPISODES = r"""(?is)<div\s+id="eplist"[^>]*>""", r"(?i)</(?:table|pre)>\s*</div>"
 #: A role needs white space before its "as", so that names that end in "as" stay whole.
 CAST = r"""(?is)<li(?![^>]*class=['"]lihd['"]).*?>\s*(?:<a[^>]*href="([^"]+)"[^>]*>\s*)?(?:<strong>\s*)?([^<]+?)(?:\s*</strong>)?(?:\s*</a>)?(?:\s+as\s+([^<\[]+?))?(?:\s*\[[^\]]*\])?\s*</li>"""
-EPISODES = r"""(?is)<div\s+id="eplist"[^>]*>\s*.*?(?:</table>|</pre>)\s*</div>"""
 ROW = (
     r"""(?ism)(?:<tr>\s*<td\s+class='epinfo\s+right'>\s*(\d+)\.\s*</td>\s*<td\s+class='epinfo\s+left\s+pad'>\s*(\d+\s*-\s*\d+)\s*(?:&nbsp;)?\s*</td>\s*"""
     r"""<td\s+class='epinfo\s+right\s+pad'>\s*([^<]+?)\s*</td>\s*<td\s+class='eptitle\s+left'>\s*(?:<a[^>]*href="([^"]+)"[^>]*>)?([^<]+)</a?>.*?</td>\s*</tr>"""
@@ -77,7 +81,12 @@ def unescape(c: Column) -> Column:
         joined = F.zip_with(found, pieces, lambda r, p: F.concat(p, F.when(r.isNotNull(), decoded_reference(r)).otherwise("")))
         return F.array_join(joined, "")
 
-    return F.when(F.contains(c, F.lit("&")), let(c, decoded)).otherwise(c)
+    def common(text: Column) -> Column:
+        for name, character in COMMON.items():
+            text = F.replace(text, F.lit(f"&{name};"), F.lit(character))
+        return text
+
+    return F.when(F.contains(c, F.lit("&")), let(c, lambda t: F.when(F.rlike(t, F.lit(OTHER)), decoded(t)).otherwise(common(t)))).otherwise(c)
 
 
 def tidy(c: Column) -> Column:
@@ -102,6 +111,12 @@ def first(c: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
+def between(c: Column, start: str, end: str) -> Column:
+    """What stands between the first fit of start and the next one of end, null without both. Cutting at two short patterns
+    is quicker than one that tries its end at every character."""
+    return let(F.split(F.get(F.split(c, start, 2), F.lit(1)), end, 2), lambda p: F.when(F.size(p) == 2, F.get(p, F.lit(0))))
+
+
 def runtime(c: Column) -> Column:
     """"a-b" of a range in minutes, else the first number, as text."""
     text = F.trim(F.replace(c, F.lit("min"), F.lit("")))
@@ -133,7 +148,9 @@ def parse(pages: DataFrame, wanted: tuple[str, ...] = WANTED) -> DataFrame:
     rows = pages.filter(F.coalesce(clean(first(page, TITLE)) != "", F.lit(False)))
     kept = ["url"]
     if "shows" in wanted or "episodes" in wanted:
-        rows, kept = rows.withColumn("episode_rows", F.regexp_extract_all(F.coalesce(first(page, EPISODES, 0), page), F.lit(ROW), F.lit(0))), ["url", "episode_rows"]
+        # The mark stands for the tag before, so that no line starts there.
+        listed = F.concat(F.lit(">"), between(page, *EPISODES))
+        rows, kept = rows.withColumn("episode_rows", F.regexp_extract_all(F.coalesce(listed, page), F.lit(ROW), F.lit(0))), ["url", "episode_rows"]
     rows = cleaned(rows, kept, parts)
     own = []
     if "shows" in wanted:
@@ -158,19 +175,43 @@ def groups(row: Column, pattern: str, *numbers: str, use) -> Column:
     return let(parts, lambda p: use([F.get(p, F.lit(i)) for i in range(len(numbers))]))
 
 
-def cast(parsed: DataFrame) -> DataFrame:
-    """url, at, actor_name, actor_url, roles."""
+def person(row: Column, at: Column) -> Column:
+    """at, actor_name, actor_url, roles of a row of the cast."""
+
+    def named(p: list[Column]) -> Column:
+        each = F.transform(F.array(*p), lambda x: tidy(unescape(x)))
+        return let(each, lambda e: F.struct(at.alias("at"), F.trim(F.get(e, F.lit(0))).alias("actor_name"), F.get(e, F.lit(1)).alias("actor_url"), roles(F.get(e, F.lit(2))).alias("roles")))
+
+    return groups(row, CAST, "$2", "$1", "$3", use=named)
+
+
+def episode(row: Column, at: Column) -> Column:
+    """at, season_number, episode_number_in_season, episode_title, airdate, airdate_iso, episode_url of an episode row."""
+
+    def named(p: list[Column]) -> Column:
+        number = lambda k: F.regexp_extract(p[0], r"(\d+)\s*-\s*(\d+)", k).try_cast("int")
+        each = F.transform(F.array(*p[1:]), lambda x: tidy(unescape(x)))
+        fields = lambda e: [e[0].alias("episode_title"), e[1].alias("airdate"), date_to_iso(e[1]).alias("airdate_iso"), F.trim(e[2]).alias("episode_url")]
+        return let(each, lambda e: F.struct(at.alias("at"), number(1).alias("season_number"), number(2).alias("episode_number_in_season"), *fields([F.get(e, F.lit(i)) for i in range(3)])))
 
-    def person(row: Column, at: Column) -> Column:
-        def named(p: list[Column]) -> Column:
-            each = F.transform(F.array(*p), lambda x: tidy(unescape(x)))
-            return let(each, lambda e: F.struct(at.alias("at"), F.trim(F.get(e, F.lit(0))).alias("actor_name"), F.get(e, F.lit(1)).alias("actor_url"), roles(F.get(e, F.lit(2))).alias("roles")))
+    return groups(row, ROW, "$2$7", "$5$10", "$3$8", "$4$9", use=named)
 
-        return groups(row, CAST, "$2", "$1", "$3", use=named)
 
+def is_apart(parsed: DataFrame, name: str) -> bool:
+    return dict(parsed.dtypes)[name] != "array<string>"
+
+
+def apart(parsed: DataFrame) -> DataFrame:
+    """parsed with its rows of the cast and of episodes taken apart, to be written for uses of several tables: then no table
+    parses a row again."""
+    return parsed.withColumns({name: F.transform(name, form) for name, form in (("cast_rows", person), ("episode_rows", episode)) if name in parsed.columns})
+
+
+def cast(parsed: DataFrame) -> DataFrame:
+    """url, at, actor_name, actor_url, roles."""
+    people = F.col("cast_rows") if is_apart(parsed, "cast_rows") else F.transform("cast_rows", person)
     # Filtered in the array, as a filter behind would have each row parsed once more.
-    people = F.filter(F.transform("cast_rows", person), lambda x: x["actor_name"] != "")
-    return parsed.select("url", F.explode(people).alias("x")).select("url", "x.*")
+    return parsed.select("url", F.explode(F.filter(people, lambda x: x["actor_name"] != "")).alias("x")).select("url", "x.*")
 
 
 def actors(cast: DataFrame) -> DataFrame:
@@ -186,17 +227,8 @@ def credits(cast: DataFrame) -> DataFrame:
 
 def episode_rows(parsed: DataFrame) -> DataFrame:
     """Every row of the episode lists: url, at, season_number, episode_number_in_season, title, airdate, iso, link."""
-
-    def episode(row: Column, at: Column) -> Column:
-        def named(p: list[Column]) -> Column:
-            number = lambda k: F.regexp_extract(p[0], r"(\d+)\s*-\s*(\d+)", k).try_cast("int")
-            each = F.transform(F.array(*p[1:]), lambda x: tidy(unescape(x)))
-            fields = lambda e: [e[0].alias("episode_title"), e[1].alias("airdate"), date_to_iso(e[1]).alias("airdate_iso"), F.trim(e[2]).alias("episode_url")]
-            return let(each, lambda e: F.struct(at.alias("at"), number(1).alias("season_number"), number(2).alias("episode_number_in_season"), *fields([F.get(e, F.lit(i)) for i in range(3)])))
-
-        return groups(row, ROW, "$2$7", "$5$10", "$3$8", "$4$9", use=named)
-
-    return parsed.select("url", F.explode(F.transform("episode_rows", episode)).alias("x")).select("url", "x.*")
+    rows = F.col("episode_rows") if is_apart(parsed, "episode_rows") else F.transform("episode_rows", episode)
+    return parsed.select("url", F.explode(rows).alias("x")).select("url", "x.*")
 
 
 def episodes(rows: DataFrame) -> DataFrame:
@@ -223,7 +255,8 @@ def seasons(parsed: DataFrame) -> DataFrame:
         return let(key, lambda x: F.struct(*[F.regexp_extract(x, r"(\d+)\s*-\s*(\d+)", k).try_cast("int").alias(n) for k, n in ((1, "season_number"), (2, "number"))]))
 
     # A page's rows are few: they are made distinct within it, so that fewer are shuffled.
-    own = F.filter(F.array_distinct(F.transform("episode_rows", numbers)), lambda x: x["season_number"] != 0)
+    known = lambda x: F.struct(x["season_number"].alias("season_number"), x["episode_number_in_season"].alias("number"))
+    own = F.filter(F.array_distinct(F.transform("episode_rows", known if is_apart(parsed, "episode_rows") else numbers)), lambda x: x["season_number"] != 0)
     rows = parsed.select("url", F.explode(own).alias("x")).select("url", "x.*")
     return rows.groupBy(F.col("url").alias("show_url"), "season_number").agg(F.countDistinct("number").alias("episode_count"))
 
@@ -232,7 +265,8 @@ def shows(parsed: DataFrame) -> DataFrame:
     """Shows with counts: all episode rows, and distinct seasons other than specials. Pages of one URL have counts over
     all of them."""
     fields = ["url", "keywords", "title", "date_start", "date_start_iso", "date_end", "date_end_iso", "status", "network", "country", "runtime_minutes"]
-    own = F.filter(F.array_distinct(F.transform("episode_rows", season_numbers)), lambda s: s != 0)
+    season = (lambda x: x["season_number"]) if is_apart(parsed, "episode_rows") else season_numbers
+    own = F.filter(F.array_distinct(F.transform("episode_rows", season)), lambda s: s != 0)
     # Counted within a page, then over its URL, so pages are parsed once and shuffled once.
     rows = parsed.select(*fields, "genres", "description", F.size("episode_rows").cast("long").alias("n"), own.alias("own"))
     same = Window.partitionBy("url")
@@ -258,7 +292,7 @@ def extract(pages: DataFrame, kept: bool = False, wanted: tuple[str, ...] = WANT
     """The tables of pages (url, html) that come of what is wanted; kept: parsed pages are written first, for uses of more
     than one table."""
     parsed = parse(pages, wanted)
-    return tables_of(parsed.checkpoint() if kept else parsed)
+    return tables_of(apart(parsed).checkpoint() if kept else parsed)
 
 
 def outcomes(statuses: DataFrame) -> DataFrame:

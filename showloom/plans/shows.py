@@ -83,7 +83,7 @@ def show_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kept_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The five tables, of parsed pages that are written once; each table reads the columns that it is made of."""
     folder = fresh(spark, "parsed")
-    html.parse(show_pages(spark, sf_dir)).write.parquet(folder)
+    html.apart(html.parse(show_pages(spark, sf_dir))).write.parquet(folder)
     return html.tables_of(spark.read.parquet(folder))
 
 

@@ -46,3 +46,23 @@ def test_counts_of_pages_with_one_url_are_over_all_of_them(spark):
 
 def test_joined_shows_keep_no_parsed_pages(spark, sf):
     assert "Scan ExistingRDD" not in plan(catalogue.QUERIES["joined_shows_wiki"](spark, sf))
+
+
+def test_rows_that_were_taken_apart_once_give_the_same_tables(spark):
+    head = '<div class="center titleblock"><h2><a href="/a">T &amp; U</a></h2></div>'
+    page = head + '<div id="credits"><li><a href="/p">N &lt;M</a> as R; S &amp; T</li><li>Plain</li></div><div id="eplist"><pre>\n 1. 1-1  1 Jan 01 <a href="/e">E &amp;amp; F</a>\n 2. 0-2  2 MAY 1999 <a href="/g">G</a>\n</pre></div> 9. 9-9  1 Jan 01 <a href="/z">Z</a>\n'
+    parsed = html.parse(spark.createDataFrame([("u", page)], "url string, html string"))
+    kept = html.apart(parsed)
+    assert kept.schema["cast_rows"].dataType != parsed.schema["cast_rows"].dataType
+    want, got = html.tables_of(parsed), html.tables_of(kept)
+    for t in want:
+        assert sorted(map(repr, got[t].collect())) == sorted(map(repr, want[t].collect())), t
+    assert sorted(tuple(r)[1:] for r in got["episodes"].collect()) == [(0, 2, 2, "G", "2 MAY 1999", "1999-05-02", "/g"), (1, 1, 1, "E &amp; F", "1 Jan 01", "2001-01-01", "/e")]
+
+
+def test_dates_and_references_by_the_quick_way(spark):
+    dates = {"1 Jan 2001": "2001-01-01", "?2 sept 99_ x": "1999-09-02", "MAY 29": "2029-05-01", "1998 on": "1998-01-01", "1 Foo 2001": None, "Foo 2001": None, "x": None, "": None, "12 Mar 123": "0123-03-12", "3 Jul 2004\x01a": "2004-07-03", "1\x01jan\x012001\x01": None}
+    texts = {"a &amp; b": "a & b", "&amp;lt;": "&lt;", "&&lt;&": "&<&", "&lt &amp;": "< &", "&copy;&quot;": '©"', "&ampx;": "&x;", "& ; &;": "& ; &;"}
+    rows = spark.createDataFrame([(k, True, v) for k, v in dates.items()] + [(k, False, v) for k, v in texts.items()], "t string, d boolean, want string")
+    got = rows.select("t", "want", html.F.when(html.F.col("d"), html.date_to_iso(html.F.col("t"))).otherwise(html.unescape(html.F.col("t"))).alias("got")).collect()
+    assert [(r["t"], r["got"]) for r in got] == [(r["t"], r["want"]) for r in got]
