@@ -1,6 +1,7 @@
 """Pages of shows are made and parsed in many tasks, once, and no more of them than a table needs."""
 
 import contextlib
+import datetime
 import io
 
 from showloom.functions import html
@@ -66,3 +67,42 @@ def test_dates_and_references_by_the_quick_way(spark):
     rows = spark.createDataFrame([(k, True, v) for k, v in dates.items()] + [(k, False, v) for k, v in texts.items()], "t string, d boolean, want string")
     got = rows.select("t", "want", html.F.when(html.F.col("d"), html.date_to_iso(html.F.col("t"))).otherwise(html.unescape(html.F.col("t"))).alias("got")).collect()
     assert [(r["t"], r["got"]) for r in got] == [(r["t"], r["want"]) for r in got]
+
+
+def test_tables_by_url_shuffle_nothing_after_the_pages(spark, sf):
+    for name in ("show_episodes", "show_table", "show_seasons"):
+        found = plan(catalogue.QUERIES[name](spark, sf))
+        assert found.count("Exchange hashpartitioning(") == 2 and "Exchange hashpartitioning(url" not in found, name
+
+
+def test_written_pages_are_dealt_to_as_many_parts_as_they_need(spark, monkeypatch, tmp_path):
+    html.parse(spark.createDataFrame([(f"u{i}", TITLED) for i in range(30)], "url string, html string")).write.parquet(str(tmp_path / "p"))
+    parsed = spark.read.parquet(str(tmp_path / "p"))
+    assert html.parts_for(parsed) is None
+    monkeypatch.setattr(html, "PAGES", 3)
+    tables = html.tables_of(parsed, html.parts_for(parsed))
+    for name in ("episodes", "shows"):
+        found = plan(tables[name])
+        assert found.count("Exchange hashpartitioning(") == found.count("Exchange hashpartitioning(url") == 1 and ", 10), REPARTITION" in found, name
+    assert tables["episodes"].count() == 30
+
+
+TITLED = '<div class="center titleblock"><h2><a href="/a">T</a></h2></div><div id="eplist"><pre>\n 1. 1-1  1 Jan 01 <a href="/e">E</a>\n</pre></div>'
+
+
+def test_pages_whose_url_is_one_have_their_own_lines(spark, tmp_path):
+    day, keys = datetime.datetime(2001, 1, 1), [123456780, 123456781, 5, 6]
+    spark.createDataFrame([(k, day, "F", "x") for k in keys], "o_orderkey long, o_orderdate timestamp, o_orderstatus string, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    lines = [(123456780, 1, 10), (123456780, 2, 11), (123456781, 1, 12), (6, 1, 13), (None, 1, 14)]
+    spark.createDataFrame([(k, n, p, 1, 1.0, day, "N", "O") for k, n, p in lines], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_shipdate timestamp, l_returnflag string, l_linestatus string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    for deal in (shows.address, html.F.col):
+        got = shows.show_pages(spark, str(tmp_path), deal).select("url", html.F.regexp_extract_all("html", html.F.lit("/ep/([0-9]+)"), html.F.lit(1)).alias("parts"))
+        assert sorted((r["url"][-9:], r["parts"]) for r in got.collect()) == [("00000005/", []), ("00000006/", ["13"]), ("12345678/", ["10", "11"]), ("12345678/", ["12"])]
+
+
+def test_episodes_of_pages_with_one_url_are_of_one_show(spark):
+    rows = [("u", 0, 0, 1, "s"), ("u", 1, 2, 1, "a"), ("u", 2, 1, 5, "b"), ("u", 3, 2, 1, "c"), ("u", 4, 2, 0, "d"), ("v", 0, 1, 1, "e"), ("u", 5, None, 1, "x"), (None, 0, 1, 1, "y")]
+    made = spark.createDataFrame([(*r, "", "", "") for r in rows], "url string, at int, season_number int, episode_number_in_season int, episode_title string, airdate string, airdate_iso string, episode_url string")
+    for parts in (None, 3):
+        got = html.episodes(made, parts).select("show_url", "episode_number_overall", "season_number", "episode_number_in_season", "episode_title").collect()
+        assert sorted(map(tuple, got)) == [("u", 1, 2, 1, "c"), ("u", 2, 2, 0, "d"), ("u", 3, 1, 5, "b"), ("u", 4, 0, 1, "s"), ("v", 1, 1, 1, "e")]
