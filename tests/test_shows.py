@@ -106,3 +106,9 @@ def test_episodes_of_pages_with_one_url_are_of_one_show(spark):
     for parts in (None, 3):
         got = html.episodes(made, parts).select("show_url", "episode_number_overall", "season_number", "episode_number_in_season", "episode_title").collect()
         assert sorted(map(tuple, got)) == [("u", 1, 2, 1, "c"), ("u", 2, 2, 0, "d"), ("u", 3, 1, 5, "b"), ("u", 4, 0, 1, "s"), ("v", 1, 1, 1, "e")]
+
+
+def test_pages_have_more_parts_the_more_line_items_there_are(spark, sf, monkeypatch):
+    monkeypatch.setattr(shows, "LINES", 200)
+    found = plan(catalogue.QUERIES["extraction_outcomes"](spark, sf))
+    assert found.count(f", {-(-spark.read.parquet(f'{sf}/lineitem.parquet').count() // 200)}), REPARTITION_BY_NUM") == 2
