@@ -18,8 +18,22 @@ from showloom.streaming.ingest import ingest_chunks, ingest_new, read_manifest
 SITE = "http://site.example/shows/"
 
 
-#: Line items of a partition on average, at most.
-LINES = 200_000
+#: Line items of a partition on average: at most, while partitions are few enough to be written straight to files; and at
+#: most in any case.
+LINES, MOST = 200_000, 1_200_000
+
+
+def parts_for(spark: SparkSession, lines: int) -> int:
+    """How many parts pages of so many line items are dealt to.
+
+    Up to a number of parts (200 unless the session has another) a task that deals rows writes each to its part's file. With
+    more it sorts them in memory, the more the larger its split, and spills; so past it parts grow first, and their number
+    only once they are as large as a task can sort. A number that is given isn't made less, so that pages of a small table
+    aren't made and parsed in one task.
+    """
+    given = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    straight = int(spark.conf.get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    return max(given, min(math.ceil(lines / LINES), straight), math.ceil(lines / MOST))
 
 
 def address(key: str) -> Column:
@@ -64,9 +78,7 @@ def show_pages(spark: SparkSession, sf_dir: str, deal: Callable[[str], Column] =
     row = lambda x, k: text(" ", k, ". ", number(x), "  ", day(x["l_shipdate"], "d MMM yy"), " ", link(x), "\n")
     supplier = lambda x: x["l_suppkey"].cast("string")
     person = lambda x, _: F.when(x["l_suppkey"] % 4 == 0, text("<li>Extra ", supplier(x), "</li>")).otherwise(text("<li><a href=\"/p/", supplier(x), "/", x["l_orderkey"].cast("string"), "\"><strong>Person ", supplier(x), " ", x["l_returnflag"], "</strong></a> as Role ", x["l_linestatus"], "; Lead &amp; Co [1]</li>"))
-    # As many parts as there are line items for; a number that is given isn't made less, so that pages of a small table
-    # aren't made and parsed in one task.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, math.ceil(table(spark, sf_dir, "lineitem").count() / LINES))
+    parts = parts_for(spark, table(spark, sf_dir, "lineitem").count())
     of = lines_of(spark, sf_dir, parts, deal)
     key = F.col("o_orderkey")
     # Orders of one place have their lines in one list, of which a page takes its own.

@@ -112,3 +112,12 @@ def test_pages_have_more_parts_the_more_line_items_there_are(spark, sf, monkeypa
     monkeypatch.setattr(shows, "LINES", 200)
     found = plan(catalogue.QUERIES["extraction_outcomes"](spark, sf))
     assert found.count(f", {-(-spark.read.parquet(f'{sf}/lineitem.parquet').count() // 200)}), REPARTITION_BY_NUM") == 2
+
+
+def test_parts_are_no_more_than_are_written_straight_to_files_until_they_are_large(spark, sf, monkeypatch):
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    # There are lines for three hundred parts; past two hundred a task that deals them sorts them in memory, and spills.
+    monkeypatch.setattr(shows, "LINES", -(-n // 300))
+    assert plan(catalogue.QUERIES["extraction_outcomes"](spark, sf)).count(", 200), REPARTITION_BY_NUM") == 2
+    monkeypatch.setattr(shows, "MOST", -(-n // 250))
+    assert plan(catalogue.QUERIES["extraction_outcomes"](spark, sf)).count(f", {-(-n // shows.MOST)}), REPARTITION_BY_NUM") == 2
