@@ -121,3 +121,63 @@ def test_parts_are_no_more_than_are_written_straight_to_files_until_they_are_lar
     assert plan(catalogue.QUERIES["extraction_outcomes"](spark, sf)).count(", 200), REPARTITION_BY_NUM") == 2
     monkeypatch.setattr(shows, "MOST", -(-n // 250))
     assert plan(catalogue.QUERIES["extraction_outcomes"](spark, sf)).count(f", {-(-n // shows.MOST)}), REPARTITION_BY_NUM") == 2
+
+
+def odd_pages(spark):
+    """Pages of one URL, without a title, without a URL; with marks, references and white space in rows."""
+    head = '<div class="center titleblock"><h2><a href="/a">T{}</a></h2></div>'
+    people = '<div id="credits"><ul><li class=\'lihd\'>Cast</li>{}</ul></div>'
+    row = ' 1. {}  1 Jan 01 <a href="/e">{}</a>\n'
+    listed = lambda *rows: '<div id="eplist"><pre>\n' + "".join(row.format(*r) for r in rows) + "</pre></div>\n 9. 9-9  1 Jan 01 <a href=\"/z\">Z</a>\n"
+    cast = people.format('<li><a href="/p">N &lt;M</a> as R &amp;amp; Q;  S</li><li> Plain</li><li>Plain as S</li><li>None as ;</li><li>&amp;copy; X as A &copy B</li>')
+    return spark.createDataFrame(
+        [
+            ("u", head.format(1) + cast + listed(("2-1", "a"), ("1-5", "b  b"), ("2-1", "c &amp; d"), ("2 - 0", "&copy;e"), ("0-1", "s"), ("99999999999-1", "x"), ("1-99999999999", "y"))),
+            ("u", head.format(2) + listed(*[("99999999999-1", "x")] * 8, ("3-1", "f"))),
+            ("m", head.format(3) + people.format("<li>A\x01B as C\x02D</li>") + listed(("1-1", "g\x01h  i"))),
+            ("untitled", cast + listed(("1-1", "z"))),
+            ("blank", head.format(" ").replace("T ", " ") + listed(("1-1", "z"))),
+            ("empty", head.format(4)),
+            ("gone", None),
+            (None, head.format(5) + cast + listed(("1-1", "z"), ("2-2", "z"))),
+        ],
+        "url string, html string",
+    )
+
+
+def sorted_rows(df):
+    return sorted(repr(tuple(r)) for r in df.collect())
+
+
+def test_pages_gone_through_once_give_the_five_tables_and_documents(spark):
+    from showloom.operators import catalog
+
+    pages = odd_pages(spark)
+    want, rows = html.tables_of(html.parse(pages)), html.together(pages)
+    got = html.tables_together(rows.checkpoint())
+    for t in want:
+        assert sorted_rows(got[t].select(*want[t].columns)) == sorted_rows(want[t]), t
+    assert sorted_rows(catalog.page_docs(rows)) == sorted_rows(catalog.show_docs(want["shows"], want["episodes"], want["credits"]))
+    wiki = spark.createDataFrame([("p", "T1", "t1", None, *[""] * len(catalog.INFO), "d", "c")], ", ".join(f"{c} {'int' if c == 'page_start_year' else 'string'}" for c in catalog.WIKI))
+    docs = catalog.index_fields(catalog.join_wiki(catalog.with_texts(rows), wiki, 3))
+    assert sorted_rows(docs) == sorted_rows(catalog.search_docs(catalog.join_wiki(want["shows"], wiki), want["episodes"], want["credits"]))
+    titles = {r["show_name"]: r["episode_titles"] for r in docs.collect() if r["url"] == "u"}
+    assert titles["T1"] == titles["T2"] and "c & d" in titles["T1"] and " \nb b" in titles["T1"]
+
+
+def test_documents_go_through_pages_once_and_write_nothing(spark, sf):
+    found = plan(catalogue.QUERIES["show_documents"](spark, sf))
+    assert found.count("Exchange hashpartitioning(") == 2 and "Join" in found and found.count("Join") == 1 and "parsed-" not in found
+    assert found.count("No title") == 1  # a page is made once, not once more for a filter
+    # The two sides of the pages' join are sorted, and nothing after it.
+    assert found.count("+- Sort") + found.count(":- Sort") == 3
+
+
+def test_the_five_tables_are_written_of_pages_gone_through_once(spark, tmp_path, monkeypatch):
+    from showloom.sources import tables
+
+    seen = {}
+    monkeypatch.setattr(tables, "write_tsv", lambda df, path: seen.update({path.rsplit("/")[-1]: df._jdf.queryExecution().toString()}))
+    tables.write_tables(odd_pages(spark), str(tmp_path / "t"))
+    assert sorted(seen) == ["actors", "credits", "episodes", "seasons", "shows"]
+    assert [t for t, p in sorted(seen.items()) if "Exchange" in p] == ["actors"]
