@@ -181,3 +181,9 @@ def test_the_five_tables_are_written_of_pages_gone_through_once(spark, tmp_path,
     tables.write_tables(odd_pages(spark), str(tmp_path / "t"))
     assert sorted(seen) == ["actors", "credits", "episodes", "seasons", "shows"]
     assert [t for t, p in sorted(seen.items()) if "Exchange" in p] == ["actors"]
+
+
+def test_encyclopedia_pages_are_made_in_many_tasks_for_the_join(spark, sf):
+    parts = shows.parts_for(spark, spark.read.parquet(f"{sf}/lineitem.parquet").count())
+    for name in ("search_documents", "joined_shows_wiki"):
+        assert plan(catalogue.QUERIES[name](spark, sf)).count(f", {parts}), REPARTITION_BY_NUM") == 3, name
